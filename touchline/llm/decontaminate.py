@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, small_enough, stored
+from .common import bounded, lower_ascii, numbered, stored
 
 WINDOW = 13
 #: The benchmark's vocabulary and its windows' prefix words are broadcast only up to so many rows.
@@ -37,14 +37,10 @@ def windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
     return w.select("item_id", F.explode(starts).alias("i"), "w").select("item_id", F.slice("w", F.col("i"), width).alias("tokens")).distinct()
 
 
-def _bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if small_enough(df, rows) else df
-
-
 def word_counts(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """How often all texts hold each word of the vocabulary: summed before the shuffle."""
     return (
-        texts.select(F.explode(words(F.col("text"))).alias("token")).join(_bounded(vocabulary), "token").groupBy("token").agg(F.count("*").alias("n"))
+        texts.select(F.explode(words(F.col("text"))).alias("token")).join(bounded(vocabulary, BROADCAST_ROWS), "token").groupBy("token").agg(F.count("*").alias("n"))
     )
 
 
@@ -59,7 +55,7 @@ def occurrences(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> tuple
     shapes = win.select("tokens").distinct().withColumn("shape", F.array_join("tokens", " "))
     placed = shapes.select("shape", F.size("tokens").alias("len"), F.posexplode("tokens").alias("at", "token"))
     rarest = (
-        placed.join(_bounded(counts), "token", "left")
+        placed.join(bounded(counts, BROADCAST_ROWS), "token", "left")
         .groupBy("shape", "len")
         .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "at")).alias("least"))
         .where("least.n > 0")
@@ -67,16 +63,16 @@ def occurrences(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> tuple
     )
     prefixes = stored(rarest.groupBy("token").agg(F.collect_set(F.struct("at", "len")).alias("places")))
     spots = docs.select("row_id", F.posexplode(words(F.col("text"))).alias("p", "token"))
-    starts = spots.join(_bounded(prefixes), "token").select("row_id", F.explode("places").alias("at"), "p").select(
+    starts = spots.join(bounded(prefixes, BROADCAST_ROWS), "token").select("row_id", F.explode("places").alias("at"), "p").select(
         "row_id", (F.col("p") - F.col("at.at")).alias("start"), F.col("at.len").alias("len")
     )
     found = stored(starts.where("start >= 0").groupBy("row_id", "start", "len").agg(F.lit(1).alias("one")).drop("one"))
     per_doc = found.groupBy("row_id").agg(F.collect_list(F.struct("start", "len")).alias("starts"))
-    texts = docs.join(_bounded(per_doc, 50_000), "row_id").select("row_id", words(F.col("text")).alias("w"), "starts")
+    texts = docs.join(per_doc, "row_id").select("row_id", words(F.col("text")).alias("w"), "starts")
     fits = F.filter("starts", lambda s: s["start"] + s["len"] <= F.size("w"))
     cut = F.transform(fits, lambda s: F.struct(s["start"].alias("start"), s["len"].alias("len"), F.array_join(F.slice("w", s["start"] + 1, s["len"]), " ").alias("shape")))
     candidates = texts.select("row_id", F.explode(cut).alias("c")).select("row_id", "c.*")
-    known = _bounded(stored(shapes.select("shape")))
+    known = bounded(stored(shapes.select("shape")), BROADCAST_ROWS)
     occ = stored(candidates.join(known, "shape", "left_semi"))
     return occ, win.select(F.array_join("tokens", " ").alias("shape"), "item_id")
 
@@ -89,25 +85,20 @@ def decontaminate(
     A document is contaminated where hit words make up ``percent`` in a hundred of its words.
     """
     carry = carry or ["doc_id"]
-    base = docs.select("text", F.struct(*carry).alias("row"), F.xxhash64("doc_id").alias("h"), "doc_id")
-    unique = base.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty()
-    if unique:
-        base = base.withColumn("row_id", F.col("doc_id").cast("string"))
-    else:  # repeated or null ids: number the rows once, in a table, so that the numbers stay
-        base = stored(base.withColumn("row_id", F.monotonically_increasing_id().cast("string")))
+    base = numbered(docs.select("text", "doc_id", F.struct(*carry).alias("row")))
     occ, win = occurrences(base.select("row_id", "text"), items, width)
     before = Window.partitionBy("row_id").orderBy("start", "len").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("len")
     fresh = F.greatest(F.lit(0), end - F.greatest("start", F.coalesce(F.max(end).over(before), F.lit(0))))
     hits = occ.withColumn("fresh", fresh).groupBy("row_id").agg(F.sum("fresh").alias("n_hit"))
-    pairs = occ.select("row_id", "shape").distinct().join(_bounded(stored(win)), "shape").select("row_id", "item_id").distinct()
+    pairs = occ.select("row_id", "shape").distinct().join(bounded(stored(win), BROADCAST_ROWS), "shape").select("row_id", "item_id").distinct()
     named = pairs.groupBy("row_id").agg(
         F.count("*").alias("n_items"), F.sort_array(F.collect_list(F.coalesce(F.col("item_id").cast("string"), F.lit("")))).alias("ids")
     )
     found = stored(hits.join(named, "row_id"))
     per = base.select("row_id", "row", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
-    return per.join(_bounded(found, 50_000), "row_id", "left").select(
+    return per.join(found, "row_id", "left").select(
         "row.*", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.array_join(F.coalesce("ids", F.array().cast("array<string>")), ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (100 * n_hit >= percent * F.col("n_words"))).alias("contaminated"),
