@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -46,6 +47,25 @@ def stored(df: DataFrame, kept: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """df with row_id: the key itself where it is a whole number and names each row, else a stored row number in its order, null last."""
+    whole = dict(df.dtypes)[key] in ("bigint", "int", "smallint", "tinyint")
+    if whole and df.groupBy(key).agg(F.count("*").alias("n")).where(f"n > 1 or `{key}` is null").isEmpty():
+        return df.withColumn("row_id", F.col(key).cast("long"))
+    return stored(df.orderBy(F.col(key).asc_nulls_last()).withColumn("row_id", F.monotonically_increasing_id()))
+
+
+def release(spark: SparkSession) -> None:
+    """Let the cleaner drop the shuffle files of plans that are finished and no longer referenced."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """Marked for broadcast where a count shows at most ``rows`` rows, else left to a shuffle join."""
+    return F.broadcast(df) if small_enough(df, rows) else df
+
+
 def forget(spark: SparkSession, paths: list[str]) -> None:
     """Remove stored tables that no later plan reads."""
     jvm = spark.sparkContext._jvm

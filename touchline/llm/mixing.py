@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, small_enough, stored
+from .common import bounded, forget, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: A row of the cell table is broadcast only where the table has at most so many rows.
@@ -28,9 +28,8 @@ BROADCAST_ROWS = 200_000
 _CHUNK = 512
 
 
-def _bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast where the count shows that it is small, otherwise leave the join to shuffle."""
-    return F.broadcast(df) if small_enough(df, rows) else df
+def _bounded(df: DataFrame) -> DataFrame:
+    return bounded(df, BROADCAST_ROWS)
 
 
 def sizes(docs: DataFrame) -> DataFrame:
