@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, minhash_dedup, mixing, quality, suffix_dedup, toxicity
+from . import decontaminate, embedding_dedup, html_extract, minhash_dedup, mixing, quality, suffix_dedup, toxicity
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -78,6 +82,7 @@ FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN least ON least.a = e.v
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_dedup": op1_embedding_dedup,
+        "op4_html_extract": op4_html_extract,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_mixing": op6_mixing,
         "op7_decontamination": op7_decontamination,
