@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, html_extract, minhash_dedup, mixing, quality, suffix_dedup, toxicity
+from . import decontaminate, embedding_dedup, html_extract, line_dedup, minhash_dedup, mixing, quality, suffix_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -15,6 +15,15 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.remove_lines(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages"))
 
@@ -82,6 +91,8 @@ FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN least ON least.a = e.v
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_dedup": op1_embedding_dedup,
+        "op2_line_dedup": op2_line_dedup,
+        "op3_token_counts": op3_token_counts,
         "op4_html_extract": op4_html_extract,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_mixing": op6_mixing,
