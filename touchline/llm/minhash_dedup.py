@@ -40,19 +40,22 @@ _U = np.uint64
 class Banding:
     """m half keys of r minhashes in each of two collections: m * m tables of 2 * r rows.
 
-    With r = 2 and m = 10 a pair at the threshold 0.75 is found with probability 0.9995.
+    With r = 3 and m = 15 a pair at the threshold 0.75 is found with probability 0.9995, and one at
+    0.3 shares a bucket with probability 0.11.
     """
 
-    m: int = 10
-    r: int = 2
+    m: int = 15
+    r: int = 3
     width: int = 5
     percent: int = 75
     #: Pairs whose signatures agree less than this are dropped: over four standard deviations below 0.75.
-    least_agreement: float = 0.45
+    least_agreement: float = 0.55
 
 
 #: Candidate ids, of 8 bytes each, are broadcast to the texts only up to so many.
 CANDIDATES = 500_000
+#: Rounds of one leader for each member; the last one takes all leaders that are left.
+STAR_TURNS = 3
 
 
 def _multipliers(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,6 +163,13 @@ def _verified(docs: DataFrame, sketches: DataFrame, pairs: DataFrame, banding: B
     return links
 
 
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose members are not in one component yet."""
+    of = lambda x: found.select(F.col("node").alias(f"n{x}"), F.col("component").alias(f"c{x}"))
+    placed = pairs.join(of("a"), F.expr("a = na"), "left").join(of("b"), F.expr("b = nb"), "left")
+    return placed.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, banding: Banding | None = None, carry: list[str] | None = None) -> DataFrame:
     """doc_id (or ``carry``), n_shingles, component_id, kept for every document.
 
@@ -185,8 +195,21 @@ def near_duplicates(docs: DataFrame, banding: Banding | None = None, carry: list
     buckets = stored(keys.groupBy("key").agg(F.min("row_id").alias("a"), F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("k"), "a"))
     star = stored(keys.join(buckets, F.expr("key = k")).where("row_id <> a").select("a", F.col("row_id").alias("b")).distinct())
     release(docs.sparkSession)
-    links = _verified(base, sketches, star, banding)
-    found = stored(connected_components(links))
+    tried = star
+    links = found = None
+    for turn in range(STAR_TURNS):  # one leader for each member at a time: most groups are whole after the first
+        here = star if found is None else _apart(star, found)
+        last = turn == STAR_TURNS - 1
+        here = stored(here if last else here.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        if here.isEmpty():
+            break
+        fresh = _verified(base, sketches, here, banding)
+        star = star if last else stored(star.join(here, ["a", "b"], "left_anti"))
+        links = fresh if links is None else links.unionByName(fresh)
+        found = stored(connected_components(links))
+    if found is None:
+        links = star
+        found = stored(connected_components(links))
     labelled = keys.join(buckets.select("k"), F.expr("key = k"), "left_semi").join(found, F.expr("row_id = node"), "left").select(
         "key", "row_id", F.coalesce("component", "row_id").alias("component")
     )
@@ -194,7 +217,7 @@ def near_duplicates(docs: DataFrame, banding: Banding | None = None, carry: list
     across = stored(labelled.join(stored(several.select(F.col("key").alias("k"))), F.expr("key = k"), "left_semi"))
     other = across.select(F.col("key").alias("k"), F.col("row_id").alias("b"), F.col("component").alias("cb"))
     pairs = across.join(other, F.expr("key = k and row_id < b and component <> cb")).select(F.col("row_id").alias("a"), "b").distinct()
-    more = stored(pairs.join(star, ["a", "b"], "left_anti"))
+    more = stored(pairs.join(tried, ["a", "b"], "left_anti"))
     if not more.isEmpty():  # afterwards every pair of a bucket was tested or lies within one component
         links = links.unionByName(_verified(base, sketches, more, banding))
         found = stored(connected_components(links))
