@@ -86,9 +86,9 @@ def team_sides(rows: DataFrame, cluster: str, x: str, role: str) -> DataFrame:
 
 def mode_per_track(rows: DataFrame, track: str, value: str) -> DataFrame:
     """The most frequent value that is not null; the smallest wins a tie."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(track, value).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(track).orderBy(F.desc("n"), value)
-    return counts.withColumn("__r", F.row_number().over(w)).where("__r = 1").select(track, value, "n")
+    counts = rows.where(F.col(value).isNotNull()).groupBy(track, value).agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(track).orderBy(F.desc("__n"), value)
+    return counts.withColumn("__r", F.row_number().over(w)).where("__r = 1").select(track, value, F.col("__n").alias("n"))
 
 
 def merge_by_mode(rows: DataFrame, track: str, value: str, frame: str, extra: list[str] | None = None) -> DataFrame:
@@ -96,7 +96,8 @@ def merge_by_mode(rows: DataFrame, track: str, value: str, frame: str, extra: li
 
     Adds ``merged``: dense numbers from 1, merged groups first, in order of value and of track.
     """
-    modes = mode_per_track(rows, track, value).select(track, F.col(value).alias("__mode"))
+    renamed = rows.withColumnRenamed(value, "__value")
+    modes = mode_per_track(renamed, track, "__value").select(track, F.col("__value").alias("__mode"))
     seen = rows.select(track, frame).distinct().join(modes, track)
     clash = seen.groupBy("__mode", frame).agg(F.countDistinct(track).alias("n")).where("n > 1").select("__mode").distinct()
     several = modes.groupBy("__mode").agg(F.count("*").alias("n")).where("n > 1").select("__mode")
