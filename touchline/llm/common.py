@@ -55,6 +55,11 @@ def numbered(df: DataFrame, key: str = "doc_id") -> DataFrame:
     return stored(df.orderBy(F.col(key).asc_nulls_last()).withColumn("row_id", F.monotonically_increasing_id()))
 
 
+def packed(df: DataFrame, name: str = "row") -> Column:
+    """All columns as one struct, so that no name of theirs can clash with one of an operator."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(name)
+
+
 def release(spark: SparkSession) -> None:
     """Let the cleaner drop the shuffle files of plans that are finished and no longer referenced."""
     gc.collect()

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, numbered, release, stored
+from .common import bounded, numbered, packed, release, stored
 
 #: Counters of the hashed token counts, and how many of the largest make each tier.
 COUNTERS, TIERS = 65_536, (16, 128, 1024, 8192)
@@ -116,17 +116,22 @@ def repeated_lines(docs: DataFrame, percent: int = 75, least: int = 5) -> DataFr
     return copied.unionByName(near)
 
 
-def remove_lines(docs: DataFrame, percent: int = 75, least: int = 5) -> DataFrame:
-    """docs with their text cut and, besides, n_lines and n_removed."""
-    names = docs.columns
-    base = numbered(docs.select("doc_id", "text", F.struct(*names).alias("row")))
+def cut_lines(docs: DataFrame, percent: int = 75, least: int = 5) -> DataFrame:
+    """row (all columns of docs as a struct), cut (the text that stays), n_lines, n_removed."""
+    base = numbered(docs.select("doc_id", "text", packed(docs)))
     gone = stored(repeated_lines(base.select("row_id", "text"), percent, least))
     per = gone.groupBy(F.col("row_id").alias("of")).agg(F.collect_set("line_no").alias("gone"))
     joined = base.select("row_id", "row", "text").join(per, F.expr("row_id = of"), "left")
     lines = F.split("text", "\n")
     kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull())
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines")
-    n_removed = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
-    out = joined.select("row", text.alias("cut"), n_lines, F.when(F.col("gone").isNull(), 0).otherwise(n_removed).cast("long").alias("n_removed"))
-    return out.select(*(F.col("cut").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names), "n_lines", "n_removed")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
+    n_removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
+    return joined.select("row", text.alias("cut"), n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+
+
+def remove_lines(docs: DataFrame, percent: int = 75, least: int = 5) -> DataFrame:
+    """docs with their text cut and, besides, n_lines and n_removed (in place of own columns of these names)."""
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    out = [F.col("cut").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names]
+    return cut_lines(docs, percent, least).select(*out, "n_lines", "n_removed")

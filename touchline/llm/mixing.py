@@ -76,11 +76,11 @@ def rates(cells: DataFrame, wanted: DataFrame, cap: float = 3.0, steps: int = 40
     """cells with the rate of their documents, from safeguarded Newton steps on the dual."""
     spark, paths = cells.sparkSession, []
     moments = cells.groupBy("source").agg(
-        (F.sum(F.col("n") * F.col("size") * F.col("size")) / F.sum(F.col("n") * F.col("size"))).alias("scale")
+        F.try_divide(F.sum((F.col("n") * F.col("size")).cast("double") * F.col("size")), F.sum(F.col("n") * F.col("size"))).alias("scale")
     )
     duals = wanted.join(moments, F.expr("wanted_source <=> source")).select(
         "wanted_source", "target", "scale", F.lit(0.0).alias("dual"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"),
-        (~(F.col("scale") > 0)).alias("done"),
+        F.coalesce(~(F.col("scale") > 0), F.lit(True)).alias("done"),
     )
     duals = stored(duals, paths)
     log_cap = F.log(F.lit(float(cap)))
@@ -97,7 +97,7 @@ def rates(cells: DataFrame, wanted: DataFrame, cap: float = 3.0, steps: int = 40
         joined = duals.join(now, F.expr("wanted_source <=> at"), "left")
         high = F.when(F.col("f") >= F.col("target"), F.col("dual")).otherwise(F.col("high"))
         low = F.when(F.col("f") < F.col("target"), F.col("dual")).otherwise(F.col("low"))
-        newton = F.col("dual") - F.col("f") * F.log(F.col("f") / F.col("target")) / F.col("slope")
+        newton = F.col("dual") - F.try_divide(F.col("f") * F.log(F.try_divide("f", "target")), "slope")
         widen = F.when(F.col("high").isNull(), F.coalesce(2 * F.abs("low"), F.lit(0.0)) + 1).when(F.col("low").isNull(), F.lit(-1.0) - 2 * F.abs("high"))
         inside = (newton > F.coalesce("low", F.lit(float("-inf")))) & (newton < F.coalesce("high", F.lit(float("inf")))) & (F.abs(newton) < 1e12)
         close = F.abs(F.col("f") - F.col("target")) <= tolerance * F.greatest(F.col("target"), F.lit(1.0))
@@ -116,7 +116,7 @@ def rates(cells: DataFrame, wanted: DataFrame, cap: float = 3.0, steps: int = 40
         if duals.where("not done").isEmpty():
             break
     found = _bounded(duals.select("wanted_source", "dual", "scale"))
-    x = F.col("dual") * F.col("size") / F.col("scale")
+    x = F.try_divide(F.col("dual") * F.col("size"), F.col("scale"))
     rate = F.when(F.col("size") > 0, F.exp(F.least(x, log_cap))).otherwise(0.0)
     return cells.join(found, F.expr("wanted_source <=> source")).select("source", "size", "n", rate.alias("rate"))
 

@@ -53,7 +53,7 @@ def attribute(ends: np.ndarray, begins: np.ndarray, stops: np.ndarray, rule: str
 
     Sections are half-open, sorted and disjoint.
     """
-    starts = np.concatenate([[0], ends[:-1]])
+    starts = np.concatenate([[0], ends[:-1]])[: len(ends)].astype(np.int64)
 
     def holder(at: np.ndarray) -> np.ndarray:
         k = np.searchsorted(begins, at, side="right") - 1
