@@ -11,39 +11,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm import decontaminate, line_dedup, minhash_dedup, mixing, quality
-from touchline.llm.common import numbered, stored, table
+from touchline.llm.common import numbered, packed, stored, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good; it learns from the rows that op9 learns from."""
     labels = table(spark, sf_dir, "labels").where(~quality.held_out(F.col("doc_id"), 3, 1))
-    names = docs.columns
-    scored = quality.score(docs.select("text", F.struct(*names).alias("doc")), quality.fit(docs, labels), keep=["doc"])
+    scored = quality.score(docs.select("text", packed(docs, "doc")), quality.fit(docs, labels), keep=["doc"])
     return scored.where("predicted = 1").select("doc.*")
 
 
 def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that repeat earlier ones; documents go that lost all they had."""
-    cut = line_dedup.remove_lines(docs)
-    left = cut.where((F.col("n_removed") == 0) | (F.length(F.trim("text")) > 0))
-    kept = [F.length("text").cast(dict(docs.dtypes)["n_chars"]).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return left.select(*kept)
+    cut = line_dedup.cut_lines(docs)
+    left = cut.where((F.col("n_removed") == 0) | (F.length(F.trim("cut")) > 0))
+    new = {"text": F.col("cut"), "n_chars": F.when(F.col("n_removed") > 0, F.length("cut")).otherwise(F.col("row.n_chars") if "n_chars" in docs.columns else None)}
+    kinds = dict(docs.dtypes)
+    return left.select(*((new[c].cast(kinds[c]) if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near copies."""
-    base = numbered(docs)
+    base = numbered(docs.select("doc_id", "text", packed(docs)))
     found = minhash_dedup.near_duplicates(base.select(F.col("row_id").alias("doc_id"), "text"))
     kept = stored(found.where("kept").select(F.col("doc_id").alias("kept_row")))
-    return base.join(kept, F.expr("row_id = kept_row"), "left_semi").select(*docs.columns)
+    return base.join(kept, F.expr("row_id = kept_row"), "left_semi").select("row.*")
 
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by benchmark items."""
-    base = numbered(docs)
+    base = numbered(docs.select("doc_id", "text", packed(docs)))
     found = decontaminate.decontaminate(base.select(F.col("row_id").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     bad = stored(found.where("contaminated").select(F.col("doc_id").alias("bad_row")))
-    return base.join(bad, F.expr("row_id = bad_row"), "left_anti").select(*docs.columns)
+    return base.join(bad, F.expr("row_id = bad_row"), "left_anti").select("row.*")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
