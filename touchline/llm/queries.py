@@ -88,6 +88,31 @@ FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN least ON least.a = e.v
 """
 
 
+OP2_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents),
+w AS (SELECT doc_id, no, line, list_distinct(list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS w FROM l),
+u AS (SELECT *, row_number() OVER (ORDER BY doc_id, no) AS id FROM w WHERE len(w) >= 5),
+t AS (SELECT id, len(w) AS n, unnest(w) AS t FROM u), f AS (SELECT t, count(*) AS f FROM t GROUP BY t),
+p AS (SELECT * FROM (SELECT id, n, t, row_number() OVER (PARTITION BY id ORDER BY f, t) AS k FROM t JOIN f USING (t)) WHERE k <= n - ceil(0.75 * n) + 1),
+c AS (SELECT DISTINCT a.id AS later, b.id AS earlier FROM p a JOIN p b ON a.t = b.t AND a.id > b.id AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)),
+g AS (SELECT DISTINCT later AS id FROM c JOIN u a ON a.id = later JOIN u b ON b.id = earlier WHERE 100 * len(list_intersect(a.w, b.w)) >= 75 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))),
+r AS (SELECT w.doc_id, w.no, w.line, g.id IS NOT NULL AS gone FROM w LEFT JOIN u USING (doc_id, no) LEFT JOIN g ON g.id = u.id)
+SELECT d.doc_id, count(r.no) AS n_lines, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(r.line, chr(10) ORDER BY r.no) FILTER (NOT gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id
+"""
+OP8_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+reach(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
+m AS (SELECT a, least(a, min(b)) AS c FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(m.c, d.doc_id) AS component_id, coalesce(m.c, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.a = d.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_dedup": op1_embedding_dedup,
@@ -104,4 +129,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": OP1_SQL, "op7_decontamination": OP7_SQL}
+    return {"op1_embedding_dedup": OP1_SQL, "op2_line_dedup": OP2_SQL, "op7_decontamination": OP7_SQL, "op8_minhash_dedup": OP8_SQL}
