@@ -95,3 +95,18 @@ def test_perfect_ranking_has_ap_one(spark):
     m = spark.createDataFrame([(0.5, 1, 1, 4), (0.5, 1, 2, 5), (0.5, 1, 3, None)], "threshold double, frame long, pred_id long, gt_id long")
     s = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.8), (1, 3, 0.1)], "frame long, pred_id long, score double")
     assert detection.average_precision(m, s, 2).first()["ap"] == pytest.approx(1.0)
+
+
+def test_global_keypoint_and_path_scores(spark):
+    gt = [(s, t, 1) for s in "ab" for t in range(3)]
+    pred = [(s, t, 10 if s == "a" else 11) for s in "ab" for t in range(3)]
+    sim = [(s, t, 1, 10 if s == "a" else 11, 1.0) for s in "ab" for t in range(3)]
+    args = tables(spark, gt, pred, sim)
+    assert {r["AssA"] for r in tracking.hota(*args).collect()} == {1.0}
+    assert {r["AssA"] for r in tracking.global_hota(*args).collect()} == {0.5}  # two ids for one person
+    joints = [d.withColumn("joint", d["seq"]) for d in args]
+    assert {r["joint"] for r in tracking.keypoint_hota(*joints).collect()} == {"a", "b", "total"}
+    at = spark.createDataFrame([("s", t, 1, float(3 * t), float(4 * t)) for t in range(4)], "seq string, t long, id long, x double, y double")
+    m = spark.createDataFrame([("s", t, 1, 7 if t < 3 else 8) for t in range(4)], "seq string, t long, gt_id long, tracker_id long")
+    assert tracking.path_consistency(at, m).first()["IDEucl"] == pytest.approx(2 / 3)
+    assert tracking.fragmentation(m, at.withColumnRenamed("id", "gt_id").select("seq", "t", "gt_id")).first()["FragA"] == pytest.approx(2 / 3)

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from touchline.functions import boxes, geometry, text, timing
+from touchline.functions import boxes, geometry, masks, text, timing
 
 
 def one(spark, column):
@@ -117,3 +117,18 @@ def test_timing(spark):
     assert one(spark, timing.sampled_frames(F.lit(10), 5)) == [0, 2, 4, 6, 8]
     assert tuple(one(spark, timing.clamped(F.lit(1.0), F.lit(9.0), F.lit(2.0), F.lit(5.0)))) == (0, 3)
     assert tuple(one(spark, timing.frame_bounds(F.lit(1), F.lit(8), F.lit(10), 3))) == (0, 9)
+
+
+def test_masks(spark):
+    import numpy as np
+
+    m = np.zeros((4, 5), bool)
+    m[1:3, 1:4] = True
+    n = np.roll(m, 1, axis=1)
+    assert (masks.decode(masks.encode(m), 4, 5) == m).all() and (masks.decode(masks.encode(~m), 4, 5) == ~m).all()
+    df = spark.createDataFrame([(masks.encode(m), masks.encode(n), 4, 5)], "a string, b string, h int, w int")
+    row = df.select(masks.area(F.col("a")).alias("area"), masks.mask_iou("a", "b", "h", "w").alias("iou"), masks.box_of_mask("a", "h", "w").alias("box"), masks.runs(F.col("a")).alias("runs")).first()
+    assert (row["area"], row["iou"], row["box"]) == (6, 0.5, [1.0, 1.0, 3.0, 2.0])
+    assert [tuple(r) for r in row["runs"]] == [(5, 7), (9, 11), (13, 15)]
+    two = np.array([[1, 1, 0], [0, 0, 0], [0, 1, 1]], bool)
+    assert masks.component_sizes(two) == [2, 2] and masks.boundary_f(m, m) == 1.0 and masks.boundary_f(m, ~m & False) == 0.0

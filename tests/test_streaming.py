@@ -31,6 +31,19 @@ def test_trackers_keep_identities(spark):
         assert len(got) == 3 and all(len(set(v)) == 1 for v in got.values()), (name, got)
 
 
+def test_trackers_by_motion_appearance_and_pitch(spark):
+    df = spark.createDataFrame([(*r, [1.0, 0.0] if r[2] % 10 == 1 else [0.0, 1.0]) for r in frames()], SCHEMA + ", features array<double>")
+    for name, options in (("observation_centric", {}), ("appearance", {}), ("pitch", {"most_metres": 30.0})):
+        got = by_track(trackers.track_batch(df, name, **options).orderBy("frame").collect())
+        assert len(got) == 3 and all(len(set(v)) == 1 for v in got.values()), (name, got)
+    # two objects swap places while unseen: appearance finds them again, overlap does not
+    a, b = [0.0, 0.0, 10.0, 20.0], [100.0, 0.0, 110.0, 20.0]
+    rows = [("v", f, 2 * f + k, box, 0.9, feature) for f in (0, 1, 2, 12, 13) for k, (box, feature) in enumerate(((a if f < 9 else b, [1.0, 0.0]), (b if f < 9 else a, [0.0, 1.0])))]
+    both = spark.createDataFrame(rows, SCHEMA + ", features array<double>")
+    got = trackers.track_batch(both, "appearance").collect()
+    assert len({r["track_id"] for r in got if r["det_id"] % 2 == 0}) == 1 and len({r["track_id"] for r in got}) == 2
+
+
 def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     df = spark.createDataFrame(frames(), SCHEMA)
     for k in range(3):

@@ -335,3 +335,61 @@ def tracked_buckets(events: DataFrame, keys: list[str] | None = None) -> DataFra
 def weighted_average(value: Column, weight: Column) -> Column:
     """sum(x * w) / max(1, sum w)."""
     return F.sum(value * weight) / F.greatest(F.lit(1.0), F.sum(weight).cast("double"))
+
+
+def path_consistency(gt_at: DataFrame, matches: DataFrame) -> DataFrame:
+    """Of each sequence the path lengths of objects under their one best tracker id over all path lengths.
+
+    gt_at has seq, t, id, x, y; matches seq, t, gt_id, tracker_id. A step counts for a tracker id when it
+    matches the object at both of its ends; one id is assigned to one object, for most length in all.
+    """
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("seq", "id").orderBy("t")
+    step = F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w))
+    steps = gt_at.withColumn("d", F.coalesce(step, F.lit(0.0))).withColumn("before", F.lag("t").over(w))
+    total = steps.groupBy("seq").agg(F.sum("d").alias("total"))
+    m = matches.select("seq", F.col("t").alias("mt"), F.col("gt_id").alias("id"), "tracker_id")
+    now = steps.join(m, ["seq", "id"]).where("t = mt").drop("mt")
+    both = now.join(m.withColumnRenamed("mt", "pt"), ["seq", "id", "tracker_id"]).where("before = pt")
+    per = both.groupBy("seq", F.col("id").alias("gt_id"), "tracker_id").agg(F.sum("d").alias("length"))
+    kind = dict(gt_at.dtypes)["seq"]
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        m, _, _ = _dense(pdf, "length")
+        r, c = assign(-m)
+        return pd.DataFrame({"seq": [pdf["seq"].iloc[0]], "kept": [float(m[r, c].sum())]})
+
+    kept = per.select("seq", "gt_id", "tracker_id", "length").groupBy("seq").applyInPandas(fold, f"seq {kind}, kept double")
+    return total.join(kept, "seq", "left").select("seq", F.coalesce(F.try_divide(F.coalesce("kept", F.lit(0.0)), "total"), F.lit(0.0)).alias("IDEucl"))
+
+
+def fragmentation(matches: DataFrame, gt: DataFrame) -> DataFrame:
+    """Of each sequence the share of neighbouring matched frames of an object that keep their tracker id."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("seq", "gt_id").orderBy("t")
+    rows = gt.join(matches.select("seq", "t", "gt_id", "tracker_id"), ["seq", "t", "gt_id"], "left")
+    same = F.coalesce(F.col("tracker_id") == F.lag("tracker_id").over(w), F.lit(False))
+    pairs = rows.withColumn("same", same).withColumn("has", F.lag("t").over(w).isNotNull())
+    return pairs.groupBy("seq").agg(F.coalesce(F.try_divide(F.count_if(F.col("same") & F.col("has")).cast("double"), F.count_if("has")), F.lit(1.0)).alias("FragA"))
+
+
+def keypoint_hota(sim: DataFrame, gt: DataFrame, pred: DataFrame) -> DataFrame:
+    """HOTA for each joint (a column ``joint`` on all tables) and, as joint 'total', over all of them."""
+    flat = lambda df: df.withColumn("seq", F.concat_ws("|", "joint", "seq")).drop("joint")
+    per = hota(flat(sim), flat(gt), flat(pred)).withColumn("joint", F.split("seq", r"\|")[0])
+    each = combined_hota(per, ["joint"])
+    return each.unionByName(combined_hota(per).withColumn("joint", F.lit("total")))
+
+
+def global_hota(sim: DataFrame, gt: DataFrame, pred: DataFrame) -> DataFrame:
+    """Ids that hold across sequences: frames are told apart by sequence, association is over all."""
+    from pyspark.sql import Window
+
+    frames = gt.select("seq", "t").unionByName(pred.select("seq", "t")).distinct()
+    last = frames.groupBy("seq").agg((F.max("t") + 1).alias("n"))
+    before = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    shift = last.select("seq", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    flat = lambda df: df.join(F.broadcast(shift), "seq").withColumn("t", F.col("t") + F.col("shift")).drop("shift").withColumn("seq", F.lit("all"))
+    return hota(flat(sim), flat(gt), flat(pred))

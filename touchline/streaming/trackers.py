@@ -1,4 +1,4 @@
-"""Online trackers as folds over frames, run in batch or as keyed streaming state.
+"""Online trackers as folds over frames, run in batch or as keyed streaming state.
 
 A tracker is a plain state and a step function for one frame. ``track_batch`` folds whole videos;
 ``track_stream`` keeps the state of each video between micro-batches. Both give the same rows as long
@@ -18,7 +18,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..evaluation.assignment import assign
 
-Step = Callable[[dict, int, np.ndarray, np.ndarray, np.ndarray], list[tuple[int, int]]]
+#: (state, frame, ids, boxes, scores, features) to (detection, track) pairs; features has no columns where there are none.
+Step = Callable[[dict, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[tuple[int, int]]]
 OUTPUT = "video_id string, frame long, det_id long, track_id long"
 
 
@@ -83,7 +84,7 @@ def _box(mean: np.ndarray) -> np.ndarray:
 def propagation(least_iou: float = 0.5, decay: float = 0.1, most_age: int = 7) -> Step:
     """Match to last boxes by IoU times decay**age; tracks go after ``most_age`` frames."""
 
-    def step(state: dict, frame: int, ids: np.ndarray, boxes: np.ndarray, scores: np.ndarray) -> list[tuple[int, int]]:
+    def step(state: dict, frame: int, ids: np.ndarray, boxes: np.ndarray, scores: np.ndarray, features: np.ndarray) -> list[tuple[int, int]]:
         tracks = {k: t for k, t in state.setdefault("tracks", {}).items() if frame - t[1] <= most_age}
         names = sorted(tracks)
         out, used = [], {}
@@ -121,7 +122,7 @@ def two_stage(high: float = 0.5, low: float = 0.1, first_cost: float = 0.8, seco
             cost = 1 - (1 - cost) * scores
         return [(i, j) for i, j in zip(*assign(np.where(cost <= limit, cost, np.nan)), strict=True)]
 
-    def step(state: dict, frame: int, ids: np.ndarray, boxes: np.ndarray, scores: np.ndarray) -> list[tuple[int, int]]:
+    def step(state: dict, frame: int, ids: np.ndarray, boxes: np.ndarray, scores: np.ndarray, features: np.ndarray) -> list[tuple[int, int]]:
         tracks: list[dict] = state.setdefault("list", [])
         for t in tracks:
             t["mean"], t["cov"] = Kalman.predict(t["mean"], t["cov"])
@@ -161,7 +162,148 @@ def two_stage(high: float = 0.5, low: float = 0.1, first_cost: float = 0.8, seco
     return step
 
 
-STEPS: dict[str, Callable[..., Step]] = {"propagation": propagation, "two_stage": two_stage}
+def observation_centric(least_score: float = 0.5, least_iou: float = 0.3, inertia: float = 0.2, look_back: int = 3, buffer: int = 30) -> Step:
+    """Overlap with predicted boxes plus agreement of directions, then overlap with the last boxes seen.
+
+    The direction of a track is that from an observation ``look_back`` frames ago to its last one; a
+    candidate is favoured by the cosine between it and the way from that observation to the candidate.
+    """
+
+    def direction(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        d = (b[..., :2] + b[..., 2:] - a[..., :2] - a[..., 2:]) / 2
+        return d / np.maximum(np.linalg.norm(d, axis=-1, keepdims=True), 1e-6)
+
+    def past(t: dict) -> np.ndarray:
+        frames = sorted(t["seen"])
+        old = [f for f in frames if f <= frames[-1] - look_back]
+        return t["seen"][old[-1] if old else frames[0]]
+
+    def step(state: dict, frame: int, ids: np.ndarray, boxes: np.ndarray, scores: np.ndarray, features: np.ndarray) -> list[tuple[int, int]]:
+        tracks: list[dict] = state.setdefault("list", [])
+        for t in tracks:
+            t["mean"], t["cov"] = Kalman.predict(t["mean"], t["cov"])
+        use = np.flatnonzero(scores >= least_score)
+        z, out, free_t, free_d = _measure(boxes), [], list(range(len(tracks))), list(use)
+
+        def take(i: int, j: int) -> None:
+            t = tracks[i]
+            t["mean"], t["cov"] = Kalman.update(t["mean"], t["cov"], z[j])
+            t["seen"] = {f: b for f, b in t["seen"].items() if f >= frame - 2 * look_back} | {frame: boxes[j]}
+            t["last"] = frame
+            free_t.remove(i)
+            free_d.remove(j)
+            out.append((int(ids[j]), t["id"]))
+
+        if free_t and free_d:
+            overlap = iou_matrix(np.array([_box(t["mean"]) for t in tracks]), boxes[use])
+            way = np.array([direction(past(t), t["seen"][max(t["seen"])]) for t in tracks])
+            to = np.array([direction(past(t), boxes[use]) for t in tracks])
+            cost = -(overlap + inertia * np.einsum("td,tnd->tn", way, to) * scores[use])
+            for i, j in zip(*assign(np.where(overlap >= least_iou, cost, np.nan)), strict=True):
+                take(i, use[j])
+        if free_t and free_d:
+            rest_t, rest_d = list(free_t), list(free_d)
+            overlap = iou_matrix(np.array([tracks[i]["seen"][max(tracks[i]["seen"])] for i in rest_t]), boxes[rest_d])
+            for i, j in zip(*assign(np.where(overlap >= least_iou, -overlap, np.nan)), strict=True):
+                take(rest_t[i], rest_d[j])
+        for j in list(free_d):
+            state["next"] = state.get("next", 0) + 1
+            mean, cov = Kalman.start(z[j])
+            tracks.append({"id": state["next"], "mean": mean, "cov": cov, "seen": {frame: boxes[j]}, "last": frame})
+            out.append((int(ids[j]), state["next"]))
+        state["list"] = [t for t in tracks if frame - t["last"] <= buffer]
+        return out
+
+    return step
+
+
+#: The 0.95 quantile of chi-square with four degrees of freedom: a fixed value.
+GATE = 9.4877
+
+
+def appearance(most_cosine: float = 0.3, least_iou: float = 0.3, momentum: float = 0.9, blind: int = 7, first_hits: int = 1, buffer: int = 300) -> Step:
+    """Confirmed tracks by appearance within the motion gate, then overlap for the rest.
+
+    Features are averaged exponentially and kept at unit length; a lost track is predicted for at most
+    ``blind`` frames; found after that it starts to move anew.
+    """
+
+    def step(state: dict, frame: int, ids: np.ndarray, boxes: np.ndarray, scores: np.ndarray, features: np.ndarray) -> list[tuple[int, int]]:
+        tracks: list[dict] = state.setdefault("list", [])
+        for t in tracks:
+            if frame - t["last"] <= blind:
+                t["mean"], t["cov"] = Kalman.predict(t["mean"], t["cov"])
+        norm = np.linalg.norm(features, axis=1, keepdims=True)
+        unit = features / np.where(norm > 0, norm, 1)
+        z, out, free_t, free_d = _measure(boxes), [], list(range(len(tracks))), list(range(len(ids)))
+
+        def take(i: int, j: int) -> None:
+            t = tracks[i]
+            t["mean"], t["cov"] = Kalman.start(z[j]) if frame - t["last"] > blind else Kalman.update(t["mean"], t["cov"], z[j])
+            blend = momentum * t["feature"] + (1 - momentum) * unit[j]
+            size = np.linalg.norm(blend)
+            t.update(feature=blend / size if size > 0 else blend, last=frame, hits=t["hits"] + 1)
+            free_t.remove(i)
+            free_d.remove(j)
+            out.append((int(ids[j]), t["id"]))
+
+        sure = [i for i in free_t if tracks[i]["hits"] >= first_hits]
+        if sure and free_d and unit.shape[1]:
+            cost = np.maximum(0, 1 - np.array([tracks[i]["feature"] for i in sure]) @ unit.T)
+            gate = np.array([Kalman.gate(tracks[i]["mean"], tracks[i]["cov"], z) for i in sure])
+            near = (gate <= GATE) | (np.array([frame - tracks[i]["last"] for i in sure]) > blind)[:, None]
+            for i, j in zip(*assign(np.where((cost <= most_cosine) & near, cost, np.nan)), strict=True):
+                take(sure[i], j)
+        rest_t, rest_d = [i for i in free_t if frame - tracks[i]["last"] <= blind], list(free_d)
+        if rest_t and rest_d:
+            overlap = iou_matrix(np.array([_box(tracks[i]["mean"]) for i in rest_t]), boxes[rest_d])
+            for i, j in zip(*assign(np.where(overlap >= least_iou, -overlap, np.nan)), strict=True):
+                take(rest_t[i], rest_d[j])
+        for j in list(free_d):
+            state["next"] = state.get("next", 0) + 1
+            mean, cov = Kalman.start(z[j])
+            tracks.append({"id": state["next"], "mean": mean, "cov": cov, "feature": unit[j], "last": frame, "hits": 1})
+            out.append((int(ids[j]), state["next"]))
+        state["list"] = [t for t in tracks if frame - t["last"] <= buffer]
+        return out
+
+    return step
+
+
+def pitch(most_metres: float = 5.0, most_cosine: float = 0.4, weight: float = 0.5, momentum: float = 0.9, buffer: int = 50) -> Step:
+    """Positions on the pitch: metres and appearance in one cost, both gated; boxes are points (x, y, x, y)."""
+
+    def step(state: dict, frame: int, ids: np.ndarray, boxes: np.ndarray, scores: np.ndarray, features: np.ndarray) -> list[tuple[int, int]]:
+        tracks: list[dict] = state.setdefault("list", [])
+        at = (boxes[:, :2] + boxes[:, 2:]) / 2
+        norm = np.linalg.norm(features, axis=1, keepdims=True)
+        unit = features / np.where(norm > 0, norm, 1)
+        out, taken = [], set()
+        if tracks and len(ids):
+            metres = np.linalg.norm(np.array([t["at"] for t in tracks])[:, None] - at[None], axis=2)
+            cost, ok = metres / most_metres, metres <= most_metres
+            if unit.shape[1]:
+                cosine = np.maximum(0, 1 - np.array([t["feature"] for t in tracks]) @ unit.T)
+                cost, ok = weight * cost + (1 - weight) * cosine / most_cosine, ok & (cosine <= most_cosine)
+            for i, j in zip(*assign(np.where(ok, cost, np.nan)), strict=True):
+                t = tracks[i]
+                t.update(at=at[j], last=frame, feature=momentum * t["feature"] + (1 - momentum) * unit[j])
+                taken.add(j)
+                out.append((int(ids[j]), t["id"]))
+        for j in range(len(ids)):
+            if j not in taken:
+                state["next"] = state.get("next", 0) + 1
+                tracks.append({"id": state["next"], "at": at[j], "feature": unit[j], "last": frame})
+                out.append((int(ids[j]), state["next"]))
+        state["list"] = [t for t in tracks if frame - t["last"] <= buffer]
+        return out
+
+    return step
+
+
+STEPS: dict[str, Callable[..., Step]] = {
+    "propagation": propagation, "two_stage": two_stage, "observation_centric": observation_centric, "appearance": appearance, "pitch": pitch,
+}
 
 
 def _fold(step: Step, state: dict, pdf: pd.DataFrame) -> list[tuple[int, int, int]]:
@@ -172,19 +314,25 @@ def _fold(step: Step, state: dict, pdf: pd.DataFrame) -> list[tuple[int, int, in
         state.setdefault("first", frame)
         state["frame"] = int(frame)
         boxes = np.array(f["box"].tolist(), float).reshape(-1, 4)
-        rows += [(int(frame), d, t) for d, t in step(state, int(frame), f["det_id"].to_numpy(), boxes, f["score"].to_numpy(float))]
+        features = np.array(f["features"].tolist(), float).reshape(len(f), -1) if "features" in f else np.zeros((len(f), 0))
+        rows += [(int(frame), d, t) for d, t in step(state, int(frame), f["det_id"].to_numpy(), boxes, f["score"].to_numpy(float), features)]
     return rows
 
 
+def _columns(detections: DataFrame) -> list[str]:
+    return ["video_id", "frame", "det_id", "box", "score", *(["features"] if "features" in detections.columns else [])]
+
+
 def track_batch(detections: DataFrame, tracker: str = "propagation", **options: Any) -> DataFrame:
-    """video_id, frame, det_id, track_id of whole videos; detections have det_id, box (ltrb) and score."""
+    """video_id, frame, det_id, track_id of whole videos; detections have det_id, box (ltrb), score and, for trackers
+    that look at appearance, features (array<double> of one length)."""
     step = STEPS[tracker](**options)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = _fold(step, {}, pdf)
         return pd.DataFrame([(pdf["video_id"].iloc[0], *r) for r in rows], columns=["video_id", "frame", "det_id", "track_id"])
 
-    return detections.select("video_id", "frame", "det_id", "box", "score").groupBy("video_id").applyInPandas(fold, OUTPUT)
+    return detections.select(*_columns(detections)).groupBy("video_id").applyInPandas(fold, OUTPUT)
 
 
 def track_stream(detections: DataFrame, tracker: str = "propagation", **options: Any) -> DataFrame:
@@ -199,7 +347,7 @@ def track_stream(detections: DataFrame, tracker: str = "propagation", **options:
         yield pd.DataFrame([(key[0], *r) for r in rows], columns=["video_id", "frame", "det_id", "track_id"])
 
     return (
-        detections.select("video_id", "frame", "det_id", "box", "score")
+        detections.select(*_columns(detections))
         .groupBy("video_id")
         .applyInPandasWithState(fold, OUTPUT, "state binary", "append", GroupStateTimeout.NoTimeout)
     )
