@@ -133,6 +133,14 @@ def test_lines_against_brute_force(docs, empty):
     assert line_dedup.remove_lines(empty).count() == 0
 
 
+def test_short_lines_against_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(k, "\n".join(" ".join(rng.choice("aAbcde") for _ in range(rng.randint(0, 7))) for _ in range(6))) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.remove_lines(df, least=1).collect()}
+    assert got == brute_lines(rows, least=1)
+
+
 def test_equal_rows_lose_their_lines_but_for_the_first(spark):
     df = spark.createDataFrame([(1, "a b c d e f")] * 3, "doc_id long, text string")
     assert sorted(r["text"] for r in line_dedup.remove_lines(df).collect()) == ["", "", "a b c d e f"]

@@ -41,6 +41,13 @@ def test_stages_take_effect(spark, folder):
     assert STAGES["mixing"](spark, docs, folder).count() == 95
 
 
+def test_line_stage_takes_short_lines(spark, folder):
+    texts = ["Les.\none two three four five\n\na b a b a b", "A  B\none two three four five\nLes.", "les.\n\nnew"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cut = {r["doc_id"]: r["text"] for r in STAGES["line_dedup"](spark, docs, folder).collect()}
+    assert cut == {0: texts[0], 2: "\nnew"}
+
+
 def test_empty_input_passes_every_stage(spark, folder):
     none = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
