@@ -212,6 +212,27 @@ def test_constant_slots_are_template_text():
     assert html_extract.extract(pages[2]) == "always here\n\ntext number 2 with words"
 
 
+def read_all(pages):
+    """Every page read against the wrapper of all of them."""
+    wrapper = None
+    for p in pages:
+        own = html_extract.tree(html_extract.parse(p))
+        wrapper = html_extract.merge(wrapper, own) if wrapper else own
+    return [html_extract.extract(p, wrapper) for p in pages]
+
+
+@pytest.mark.parametrize("n", [4, 5, 50])
+@pytest.mark.parametrize("box", ["article", "main", "section"])
+def test_copies_of_a_page_on_one_host_keep_their_text(n, box):
+    one = "<nav>Visit {k}</nav><{b}><h1>Title</h1><p>one text</p><pre>code</pre><blockquote>said</blockquote></{b}>"
+    assert read_all([one.format(b=box, k=k) for k in range(n)]) == ["Title\n\none text\n\ncode\n\nsaid"] * n
+
+
+def test_shared_headings_of_articles_stay():
+    pages = [f"<div class=x>always here</div><article><p>text {k}</p>{'<h2>Summary</h2>' * (k < 5)}<p>more {k}</p></article>" for k in range(9)]
+    assert read_all(pages) == [f"text {k}\n\n" + "Summary\n\n" * (k < 5) + f"more {k}" for k in range(9)]
+
+
 # 5 repeated byte strings
 
 

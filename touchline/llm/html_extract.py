@@ -4,14 +4,15 @@ A page's token stream becomes an ordered tree of its block elements in which equ
 folded into a repeated group. Trees of one host are aligned one after the other: elements that match
 are merged, elements that only one side has become optional groups, runs of equal elements become
 repeated groups, and text becomes slots. The result is a union-free regular expression over blocks,
-written as a tree: the host's wrapper. Every slot keeps a small summary (pages, a few text hashes,
-characters, characters in links) that tells template text from varying text.
+written as a tree: the host's wrapper. Every slot keeps a small summary (a few hashes of pages' contents
+and of its texts, characters, characters in links) that tells template text from varying text.
 
 Wrappers are combined inside each partition first, so a host with a third of all pages sends one
 partial wrapper from each task to its merge, never its pages. Extraction reads each page against its
 host's wrapper: what lies in elements named for navigation, headers, footers, sidebars, notices,
-adverts, forms or comments goes, slots that hold one and the same text on all pages go, and of the
-rest the main container's blocks are kept in page order.
+adverts, forms or comments goes, and of the rest the main container's blocks are kept in page order.
+Where a page has no main container, slots go that hold one and the same text on pages of at least
+five different contents; copies of a page are one content, and inside a main container no slot goes.
 
 Defined results: a null, empty or textless page gives '' and 0; a page whose host gives no wrapper is
 read by element names alone; a url without host shares the host ''; broken markup is read to its end;
@@ -25,6 +26,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -36,6 +38,8 @@ from .common import stored
 WRAPPER_CHARS = 16_000_000
 #: Distinct texts that a slot's summary remembers; a partition holds so many hosts' wrappers at once.
 _TEXTS, _HOSTS = 8, 2000
+#: Different page contents that make a slot's one text a template; a summary remembers no more of them.
+_CONTENTS = 5
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)"""
@@ -176,15 +180,29 @@ def parse(page: str) -> Block:
     return root
 
 
-# A wrapper node is [label, optional, repeated, pages, hashes, characters, linked characters, children].
+# A wrapper node is [label, optional, repeated, hashes of page contents, hashes of texts, characters, linked characters, children].
 LABEL, OPTIONAL, REPEATED, PAGES, HASHES, CHARS, LINKED, CHILDREN = range(8)
 
 
-def tree(block: Block) -> list:
+def _content(block: Block) -> int:
+    """Hash of a page's text without chrome, by which copies of a page are one."""
+    texts: list[str] = []
+    stack: list[str | Block] = [block]
+    while stack:
+        item = stack.pop()
+        if isinstance(item, str):
+            texts.append(item)
+        elif not _chrome(item, False):
+            stack += reversed(item.items)
+    return int.from_bytes(blake2b("\n".join(texts).encode("utf-8", "surrogatepass"), digest_size=6).digest())
+
+
+def tree(block: Block, content: int | None = None) -> list:
     """A page's own wrapper: equal neighbours folded."""
+    content = _content(block) if content is None else content
     texts = [x for x in block.items if isinstance(x, str)]
     hashes = sorted({zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts})[:_TEXTS]
-    node = [block.label, False, False, 1, hashes, sum(map(len, texts)), block.linked, [tree(c) for c in block.children]]
+    node = [block.label, False, False, [content], hashes, sum(map(len, texts)), block.linked, [tree(c, content) for c in block.children]]
     _fold(node)
     return node
 
@@ -193,9 +211,8 @@ def _fold(node: list) -> None:
     out: list[list] = []
     for child in node[CHILDREN]:
         if out and out[-1][LABEL] == child[LABEL]:
-            pages = max(out[-1][PAGES], child[PAGES])
             out[-1] = merge(out[-1], child)
-            out[-1][PAGES], out[-1][REPEATED] = pages, True
+            out[-1][REPEATED] = True
         else:
             out.append(child)
     node[CHILDREN] = out
@@ -235,7 +252,7 @@ def merge(a: list, b: list) -> list:
         else:
             children.append(merge(x, y))
     node = [
-        a[LABEL], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], a[PAGES] + b[PAGES],
+        a[LABEL], a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED], sorted({*a[PAGES], *b[PAGES]})[:_CONTENTS],
         sorted({*a[HASHES], *b[HASHES]})[:_TEXTS], a[CHARS] + b[CHARS], a[LINKED] + b[LINKED], children,
     ]
     _fold(node)
@@ -250,8 +267,8 @@ def expression(node: list) -> str:
 
 
 def _constant(node: list) -> bool:
-    """A slot with one text on many pages is part of the template."""
-    return node[PAGES] >= 5 and len(node[HASHES]) == 1 and not node[REPEATED]
+    """A slot with one text on many pages of different contents is part of the template."""
+    return len(node[PAGES]) >= _CONTENTS and len(node[HASHES]) == 1 and not node[REPEATED]
 
 
 def _chrome(block: Block, inside: bool) -> bool:
@@ -309,7 +326,7 @@ def extract(page: str | None, wrapper: list | None = None) -> str:
         if _chrome(block, inside):
             return
         node = nodes.get(id(block))
-        fixed = node is not None and _constant(node)
+        fixed = not inside and node is not None and _constant(node)
         linked = not inside and node is not None and node[CHARS] and node[LINKED] * 2 > node[CHARS]
         for item in block.items:
             if isinstance(item, Block):
