@@ -233,6 +233,25 @@ def test_shared_headings_of_articles_stay():
     assert read_all(pages) == [f"text {k}\n\n" + "Summary\n\n" * (k < 5) + f"more {k}" for k in range(9)]
 
 
+@pytest.mark.parametrize(
+    "tag",
+    [
+        '<div id="content" class="has-sidebar">', '<div class="single-post comments-open">', '<div class="layout no-sidebar"><article>', '<div class="sidebar-left"><article>',
+        '<div class="layout-sidebar"><main>', '<div class="hasSidebar"><article>', '<article><div class="legal-analysis">', '<div class="share content">', '<td class="post side-effects">',
+    ],
+)
+def test_marks_of_layouts_are_no_chrome(tag):
+    page = f'<p>Menu</p>{tag}<div class="entry-header"><h1>Title</h1></div><p>all of the text</p><div class="post-comments"><p>me too</p></div>'
+    assert html_extract.extract(page) == "Title\n\nall of the text"
+
+
+def test_marks_of_chrome_still_go():
+    for mark in ("share-buttons", "userComments", "site_footer", "ad-300", "related-posts", "sidebar left", "mainNav"):
+        assert html_extract.extract(f'<p>all of the text is here</p><div class="{mark}"><p>a teaser</p></div>') == "all of the text is here"
+    comments = '<ol class="comments"><li><article><p>me too</p></article></ol>'
+    assert html_extract.extract(f"<p>all of the text is here</p>{comments}") == "all of the text is here"
+
+
 # 5 repeated byte strings
 
 

@@ -10,7 +10,7 @@ and of its texts, characters, characters in links) that tells template text from
 Wrappers are combined inside each partition first, so a host with a third of all pages sends one
 partial wrapper from each task to its merge, never its pages. Extraction reads each page against its
 host's wrapper: what lies in elements named for navigation, headers, footers, sidebars, notices,
-adverts, forms or comments goes, and of the rest the main container's blocks are kept in page order.
+adverts, forms or comments goes (but not what holds the main container), and of the rest the main container's blocks are kept in page order.
 Where a page has no main container, slots go that hold one and the same text on pages of at least
 five different contents; copies of a page are one content, and inside a main container no slot goes.
 
@@ -26,6 +26,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -60,11 +61,20 @@ _ENDS = {
     "p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"},
 }
 _SCOPE = frozenset("article aside blockquote body div dl fieldset footer form header html main nav ol section table td th ul".split())
+#: What class names, ids and roles of chrome are called: the name as a whole or, of a compound, the word it ends with.
 _CHROME = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|promo\w*|sponsor\w*|banner|cookies?|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|newsletter|"
+    r"ad|ads|adv|advert\w*|adsense|promo\w*|sponsor\w*|banner|cookies?|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|newsletter|"
     r"subscri\w*|signup|login|share|sharing|social|related|recommend\w*|sidebar|side|rail|widget|menu|nav|navbar|navigation|topbar|breadcrumbs?|pagination|pager|comments?|"
-    r"commentlist|disqus|replies|reply|respond|reactions|footer|header|masthead|toolbar|search|skip|tags|tagcloud|toc|copyright|legal|disclaimer|complementary|contentinfo)(?=$|[\s_-]|\d)",
-    re.I,
+    r"commentlist|disqus|replies|reply|respond|reactions|footer|header|masthead|toolbar|search|skip|tags|tagcloud|toc|copyright|legal|disclaimer|complementary|contentinfo"
+)
+#: Words after a compound's head that leave its meaning (share-buttons), and words that make a name the state of something else (has-sidebar).
+_AFTER = frozenset(
+    "area articles bar block body bottom box button buttons center column container content form group icon icons inner item items left link links list media "
+    "news outer panel posts primary right secondary section slot stories title top unit wrap wrapper".split()
+)
+_STATE = frozenset("has have with no not without is hide hides show shows".split())
+_WHOLE = frozenset(
+    "article articlebody article-body article-content content entry entry-content main main-content maincontent post post-body post-content story story-body".split()
 )
 _MAIN = re.compile(r"(?:^|[\s_-])(?:article|articlebody|main|content|post|entry|story|body|text)(?=$|[\s_-]|\d)", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -77,22 +87,39 @@ def host_of(url: Column) -> Column:
 class Block:
     """A block element: its label, its text runs in order, and its child blocks."""
 
-    __slots__ = ("label", "name", "marks", "hidden", "children", "items", "linked", "parent")
+    __slots__ = ("label", "name", "marks", "chrome", "hidden", "children", "items", "linked", "parent")
 
-    def __init__(self, label: str, name: str, marks: str, hidden: bool, parent: Block | None) -> None:
+    def __init__(self, label: str, name: str, marks: str, chrome: str, hidden: bool, parent: Block | None) -> None:
         self.label, self.name, self.marks, self.hidden, self.parent = label, name, marks, hidden, parent
+        self.chrome = "" if name in ("", "body", "html", "article", "main") else chrome
         self.children: list[Block] = []
         self.items: list[str | Block] = []  # text runs and child blocks in page order
         self.linked = 0
 
 
+@lru_cache(4096)
+def _called(marks: str) -> str:
+    """The word by which class names, ids and roles call an element chrome; '' where none does or one is the main container's."""
+    names = [_CAMEL.sub("-", x).lower().replace("_", "-").strip("-") for x in marks.split()]
+    if not _WHOLE.isdisjoint(names):
+        return ""
+    words = []
+    for name in names:
+        parts = [x for x in (re.sub(r"[0-9].*", "", y) for y in name.split("-")) if x]
+        while len(parts) > 1 and parts[-1] in _AFTER:
+            parts.pop()
+        if parts and _STATE.isdisjoint(parts) and _CHROME.fullmatch(parts[-1]):
+            words.append(parts[-1])
+    return next((w for w in words if w != "header"), words[0] if words else "")
+
+
 def _blank(text: str) -> str:
     return " ".join(text.split())
 
 
 def parse(page: str) -> Block:
     """The tree of block elements; inline markup only adds its text, scripts and comments add nothing."""
-    root = at = Block("", "", "", False, None)
+    root = at = Block("", "", "", "", False, None)
     open_: list[str] = []  # every open element, inline ones too
     blocks: list[Block] = [root]
     run: list[str] = []
@@ -169,14 +196,16 @@ def parse(page: str) -> Block:
                 del open_[k:]
                 at = blocks[-1]
             k = min(k, len(open_)) - 1
-        marks = " ".join(_CAMEL.sub(" ", a or b or c) for _, a, b, c in _NAMED.findall(attrs)) if attrs else ""
-        block = Block(f"{name}.{re.sub(r'[0-9]+', '#', marks)}" if marks else name, name, marks, bool(attrs and _GONE.search(attrs)), at)
+        named = " ".join(a or b or c for _, a, b, c in _NAMED.findall(attrs)) if attrs else ""
+        marks = _CAMEL.sub(" ", named)
+        block = Block(f"{name}.{re.sub(r'[0-9]+', '#', marks)}" if marks else name, name, marks, _called(named) if named else "", bool(attrs and _GONE.search(attrs)), at)
         at.children.append(block)
         at.items.append(block)
         blocks.append(block)
         open_.append(name)
         at = block
     flush()
+    _spare(root)
     return root
 
 
@@ -197,6 +226,23 @@ def _content(block: Block) -> int:
     return int.from_bytes(blake2b("\n".join(texts).encode("utf-8", "surrogatepass"), digest_size=6).digest())
 
 
+def _spare(root: Block) -> None:
+    """Unmark what holds the main container: an element that claims to be it and has more text than all outside of marked ones."""
+    best, least = None, _volume(root)
+    stack = [(root, False)]
+    while stack:
+        block, marked = stack.pop()
+        if block.hidden or block.name in _DROPPED or block.name == "header":
+            continue
+        marked = marked or bool(block.chrome)
+        if marked and _is_main(block) >= 2 and (size := _volume(block, True)) > least:
+            best, least = block, size
+        stack += ((c, marked) for c in block.children)
+    while best is not None:
+        best.chrome = ""
+        best = best.parent
+
+
 def tree(block: Block, content: int | None = None) -> list:
     """A page's own wrapper: equal neighbours folded."""
     content = _content(block) if content is None else content
@@ -274,7 +320,7 @@ def _constant(node: list) -> bool:
 def _chrome(block: Block, inside: bool) -> bool:
     if block.hidden or block.name in _DROPPED or (block.name == "header" and not inside):
         return True
-    return bool(block.marks) and block.name not in ("body", "html") and bool(_CHROME.search(block.marks)) and not (block.name in ("article", "main"))
+    return bool(block.chrome) and not (inside and block.chrome == "header")
 
 
 def _is_main(block: Block) -> int:
