@@ -7,6 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from touchline import queries
 from touchline.evaluation import detection, tracking
 from touchline.evaluation.assignment import assign, assign_above, greedy
 
@@ -110,3 +111,10 @@ def test_global_keypoint_and_path_scores(spark):
     m = spark.createDataFrame([("s", t, 1, 7 if t < 3 else 8) for t in range(4)], "seq string, t long, gt_id long, tracker_id long")
     assert tracking.path_consistency(at, m).first()["IDEucl"] == pytest.approx(2 / 3)
     assert tracking.fragmentation(m, at.withColumnRenamed("id", "gt_id").select("seq", "t", "gt_id")).first()["FragA"] == pytest.approx(2 / 3)
+
+
+def test_predictions_without_any_truth_are_false_positives(spark, tmp_path):
+    events = [(1, "2024-01-01 00:10:00", 1, "click", 50.0), (2, "2024-01-01 00:20:00", 1, "purchase", 50.0), (3, "2024-01-01 00:30:00", 5, "error", 500.0)]
+    spark.createDataFrame(events, "event_id long, ts string, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    ap = {r["threshold"]: r["ap"] for r in queries.queries()["box_average_precision"](spark, str(tmp_path)).collect()}
+    assert ap[0.5] == pytest.approx(0.5)

@@ -698,9 +698,9 @@ def suppressed_boxes(spark, sf_dir):
 @query()
 def box_average_precision(spark, sf_dir):
     """Greedy matches and AP by threshold."""
-    sim, g, _ = _tracking_tables(spark, sf_dir)
+    sim, g, p = _tracking_tables(spark, sf_dir)
     pairs = sim.select(F.col("t").alias("frame"), F.col("tracker_id").alias("pred_id"), "gt_id", F.col("sim").alias("iou"))
-    pred = pairs.select("frame", "pred_id").distinct().withColumn("pos", F.col("pred_id"))
+    pred = p.select(F.col("t").alias("frame"), F.col("tracker_id").alias("pred_id"), F.col("tracker_id").alias("pos"))
     matches = detection.greedy_matches(pairs, pred, detection.THRESHOLDS)
     return detection.average_precision(matches, pred.select("frame", "pred_id", (F.col("pred_id") * 1.0).alias("score")), g.count())
 
