@@ -1,4 +1,4 @@
-"""Top-k, first-n, best-of, suppression, retrieval, sampling order."""
+"""Top-k, first-n, best-of, suppression, retrieval, sampling order."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Stream transformations: event time from frames, windows with late data, carried values, replays."""
+"""Stream transformations: event time from frames, windows with late data, carried values, replays."""
 
 from __future__ import annotations
 
