@@ -110,14 +110,14 @@ def test_embeddings_with_repeated_and_null_ids(spark):
 # 2 lines
 
 
-def brute_lines(rows, least=5):
+def brute_lines(rows):
     seen, out = [], {}
     for k, text in sorted((r[0], r[1]) for r in rows):
         kept, gone = [], 0
         for line in (text or "").split("\n"):
             w = frozenset(x for x in SPACES.split(line.lower()) if x)
-            hit = len(w) >= least and any(100 * len(w & s) >= 75 * len(w | s) for s in seen)
-            if len(w) >= least:
+            hit = bool(w) and any(100 * len(w & s) >= 75 * len(w | s) for s in seen)
+            if w:
                 seen.append(w)
             gone += hit
             kept += [] if hit else [line]
@@ -133,12 +133,33 @@ def test_lines_against_brute_force(docs, empty):
     assert line_dedup.remove_lines(empty).count() == 0
 
 
+def test_long_lines_and_groups_of_near_copies_against_brute_force(spark):
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(300)]
+    stem, long_stem = rng.sample(words, 40), [f"w{k}" for k in range(300)]
+
+    def near(base, share):
+        return " ".join(x if rng.random() > share else rng.choice(words) for x in base)
+
+    rows = [(k, near(stem, rng.choice([0.02, 0.08, 0.14]))) for k in range(150)] + [(200 + k, near(long_stem, rng.choice([0.05, 0.14]))) for k in range(30)]
+    rows += [(300, "\n".join(rng.choice(words) for _ in range(3000))), (301, " ".join(rng.choice(words) for _ in range(30_000)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.remove_lines(df).collect()}
+    assert got == brute_lines(rows)
+
+
+def test_lines_of_null_and_repeated_ids(spark):
+    df = spark.createDataFrame([(None, "a b c d e"), (4, "A b c d e\nx"), (4, "x\nnew"), (None, None)], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["text"], r["n_removed"]) for r in line_dedup.remove_lines(df).where("text is not null").collect()) in (
+        [(0, "", 1), (4, "A b c d e\nx", 0), (4, "new", 1)], [(0, "", 1), (4, "A b c d e", 1), (4, "x\nnew", 0)])
+
+
 def test_short_lines_against_brute_force(spark):
     rng = random.Random(8)
     rows = [(k, "\n".join(" ".join(rng.choice("aAbcde") for _ in range(rng.randint(0, 7))) for _ in range(6))) for k in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.remove_lines(df, least=1).collect()}
-    assert got == brute_lines(rows, least=1)
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.remove_lines(df).collect()}
+    assert got == brute_lines(rows)
 
 
 def test_equal_rows_lose_their_lines_but_for_the_first(spark):

@@ -1,22 +1,31 @@
 """Line dedup by an exact set-similarity join, with DataFrame operations only.
 
 A line's tokens are its distinct lower-cased words. A line is removed where an earlier line of the
-corpus (smaller document, or smaller line number in one document) has a Jaccard similarity of 0.75
-or more to it; lines of fewer than ``least`` tokens are neither compared nor removed.
-
-Equal lines are settled by counting first and only the first of each goes on. Tokens are ordered by
-rarity: counts over the whole corpus are kept in a fixed number of hashed counters, whose largest
-make a few frequency tiers, and tokens are ordered by tier and then by hash. Similar lines share a
-token among the first n - ceil(0.75 n) + 1 of either (prefix filter); sizes and positions of the
-shared token bound the overlap (length and positional filters); the rest is verified on the words.
-
-Lines of one prefix token are first paired with the earliest of them only, which settles groups of
-near copies in as many comparisons as they have lines; only lines that are still there are then
-paired with the other earlier lines of the token. Both joins can be split by adaptive execution.
+corpus (smaller document, or smaller line number in one document) has a Jaccard similarity of
+``percent`` or more to it. Every line with at least one word is compared, whatever its length.
+
+Equal lines are settled by counting, and only the first of each goes on. Whole texts are cut into
+words once, into a table of hashed tokens. Tokens are ordered by rarity: occurrences over the whole
+corpus are counted in a fixed number of counters, quarter octaves of the counts make the order, ties
+go by hash. Any fixed order gives exact results; the counts only
+make it fast.
+
+For similar lines of n <= m tokens the first token that both hold stands among the first
+n - ceil(2 * 0.75 * n / 1.75) + 1 of the shorter and the first m - ceil(0.75 * m) + 1 of the longer
+(prefix filter). There the tokens before it are unmatched, so their number and what is left behind it
+bound the overlap (positional filter), the sizes bound it as well (length filter), and so does the
+number of positions in which parity bitmaps of the whole lines differ. All of this is asked inside the
+join; what passes is verified on the words of both lines.
+
+The earliest line of each of a line's rarest tokens is tried first, which settles groups of near
+copies in as many comparisons as they have lines. Lines that are gone are then compared as earlier
+ones only. The join runs in passes over slices of the tokens, so its shuffle never holds more than a
+part of the prefixes; adaptive execution can split every one of its keys.
 
 Defined results: a null or empty text stays as it is; line breaks are \\n, and the lines kept are
-joined by \\n again; equal rows are rows of their own, of which all but the first lose their lines;
-an empty table gives an empty result; other columns are carried, whatever their names.
+joined by \\n again; lines without a word are neither compared nor removed; equal rows are rows of
+their own, of which all but the first lose their lines; null ids come last; an empty table gives an
+empty result; other columns are carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,104 +33,195 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, numbered, packed, release, stored
+from .common import bounded, forget, numbered, packed, release, stored
 
-#: Counters of the hashed token counts, and how many of the largest make each tier.
-COUNTERS, TIERS = 65_536, (16, 128, 1024, 8192)
-#: Lines of which copies exist, and ids of candidate lines, are broadcast only up to so many rows.
-BROADCAST_ROWS = 500_000
+#: Counters of the token counts; a power of two. They are joined to each document as one array of bytes.
+COUNTERS = 1 << 17
+#: Passes of the join over slices of the tokens, and how many of its rarest tokens bring a line to an earliest one.
+PASSES, HEADS = 2, 2
+#: Tables keyed by line or document are broadcast only up to so many rows.
+BROADCAST_ROWS = 300_000
+#: Lines of at most so many tokens have bitmaps of 64 bits, longer ones have 128.
+NARROW = 48
 _SPACE = r"[\x20\x09-\x0D]+"
+_BLANKS = " \t\x0b\x0c\r"
+_BITS = ("b0", "b1")
+
+
+def _tokens(line: Column) -> Column:
+    """The distinct words of a lower-cased line as 64-bit hashes."""
+    trimmed = F.btrim(line, F.lit(_BLANKS))
+    return F.array_distinct(F.transform(F.split(trimmed, _SPACE), lambda w: F.xxhash64(w)))
+
+
+def token_tiers(tokens: DataFrame) -> DataFrame:
+    """One row: the frequency class of every counter. ``tokens`` has a token column t."""
+    counts = tokens.groupBy(F.col("t").bitwiseAND(F.lit(COUNTERS - 1)).alias("at")).agg(F.count("*").alias("n"))
+    tier = F.least(F.lit(127), F.floor(4 * F.log2("n"))).cast("tinyint")
+    every = tokens.sparkSession.range(COUNTERS).select(F.col("id").alias("at"), F.lit(0).cast("tinyint").alias("tier"))
+    tiers = counts.select("at", tier.alias("tier")).unionByName(every).groupBy("at").agg(F.max("tier").alias("tier"))
+    return tiers.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "tier"))), lambda x: x["tier"]).alias("tiers"))
+
+
+def _numbered_tokens(tokens: Column, tiers: Column) -> Column:
+    """The tokens as whole numbers, rarest first: frequency class in the high bits, then 56 bits of hash."""
+
+    def number(h: Column) -> Column:
+        tier = F.get(tiers, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")).cast("long")
+        return F.shiftleft(tier, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+
+    return F.sort_array(F.transform(tokens, number))
 
 
-def words(line: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(line), _SPACE), lambda w: w != ""))
+def _bitmap(tokens: Column, size: Column, word: int) -> Column:
+    """One long of a line's parity bitmap; short lines use the first only."""
+    none = F.lit(0).cast("long")
 
+    def flip(bits: Column, t: Column) -> Column:
+        return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int")))
 
-def _counter(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(COUNTERS)).cast("int")
+    half = F.aggregate(F.filter(tokens, lambda t: t.bitwiseAND(F.lit(64)) == 64 * word), none, flip)
+    return F.when(size > NARROW, half).otherwise(none if word else F.aggregate(tokens, none, flip))
 
 
-def _ordered(tokens: Column, tiers: list[list[int]]) -> Column:
-    """The tokens as whole numbers, rarest first: tier in the high bits, then 60 bits of hash."""
+def _likely(percent: int) -> Column:
+    """Whether sizes and bitmaps of x and y leave room for the similarity."""
+    bits = lambda *names: F.bit_count(_xor(*(F.col(f"{s}.{b}") for b in names for s in ("x", "y"))))
+    n, m = F.col("x.n"), F.col("y.n")
+    apart = _apart(n, m, percent)
+    ok = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (bits(*_BITS) <= apart)
+    return ok & ((F.least(n, m) <= NARROW) | (bits("b0") + bits("b1") <= apart))
 
-    def number(w: Column) -> Column:
-        at = _counter(w)
-        tier = F.lit(0)
-        for members in tiers:
-            tier = tier + at.isin(members).cast("int")
-        return F.shiftleft(tier.cast("long"), 60).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 4))
 
-    return F.array_sort(F.transform(tokens, number))
+def _xor(first: Column, *more: Column) -> Column:
+    for c in more:
+        first = first.bitwiseXOR(c)
+    return first
 
 
-def frequency_tiers(lines: DataFrame) -> list[list[int]]:
-    """The counters that hold the most tokens, as nested sets; at most COUNTERS numbers reach the driver."""
-    counts = lines.select(F.explode("w").alias("w")).groupBy(_counter(F.col("w")).alias("at")).agg(F.count("*").alias("n"))
-    ranked = [r["at"] for r in counts.orderBy(F.desc("n"), "at").limit(TIERS[-1]).collect()]
-    return [ranked[:n] for n in TIERS if ranked]
+def _need(n: Column, m: Column, percent: int) -> Column:
+    """The least number of common tokens."""
+    return F.ceil(percent * (n + m) / (100 + percent))
 
 
-def _similar(prefix: DataFrame, other: DataFrame, percent: int) -> DataFrame:
-    """Pairs (later, earlier) that share a prefix token and pass the length and positional filters."""
-    n, m = F.col("n"), F.col("m")
-    need = F.ceil(percent * (n + m) / (100 + percent))
-    reach = 1 + F.least(n - F.col("p") - 1, m - F.col("q") - 1) + F.least("p", "q")
-    pairs = prefix.join(other, F.expr("t = u and id > e")).where((100 * F.least(n, m) >= percent * F.greatest(n, m)) & (reach >= need))
-    return pairs.select("id", "e").distinct()
+def _apart(n: Column, m: Column, percent: int) -> Column:
+    """The largest number of tokens that only one of them has."""
+    return n + m - 2 * _need(n, m, percent)
 
 
-def _verified(lines: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose lines are similar, by the words themselves."""
-    spark = lines.sparkSession
-    ids = stored(pairs.select(F.explode(F.array("id", "e")).alias("k")).distinct())
-    asked = stored(lines.select("id", "w").join(bounded(ids, BROADCAST_ROWS), F.expr("id = k"), "left_semi"))
+def _before(a: str, b: str) -> Column:
+    return (F.col(f"{a}.row_id") < F.col(f"{b}.row_id")) | ((F.col(f"{a}.row_id") == F.col(f"{b}.row_id")) & (F.col(f"{a}.line_no") < F.col(f"{b}.line_no")))
+
+
+#: Later and earlier line of a pair.
+_PAIR = ("l.row_id", "l.line_no", "e.row_id as e_row", "e.line_no as e_line")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """row_id, line_no of the later lines of the pairs that are similar, by the words of both."""
+    spark, gone = docs.sparkSession, []
+    ends = pairs.select("row_id", "line_no").unionByName(pairs.select(F.col("e_row").alias("row_id"), F.col("e_line").alias("line_no")))
+    texts = stored(ends.groupBy(F.col("row_id").alias("asked_row")).agg(F.collect_set("line_no").alias("asked")), gone)
+    lines = docs.join(bounded(texts, BROADCAST_ROWS), F.expr("row_id = asked_row")).withColumn("lines", F.split(F.lower("text"), "\n"))
+    picked = lines.select("row_id", F.explode("asked").alias("line_no"), "lines").select("row_id", "line_no", F.get("lines", F.col("line_no")).alias("line"))
+    asked = stored(picked.select("row_id", "line_no", F.array_distinct(F.split(F.btrim("line", F.lit(_BLANKS)), _SPACE)).alias("w")), gone)
     release(spark)
-    later = asked.select(F.col("id").alias("x"), F.col("w").alias("a"))
-    earlier = asked.select(F.col("id").alias("y"), F.col("w").alias("b"))
-    both = pairs.join(later, F.expr("id = x")).select("id", "e", "a").join(earlier, F.expr("e = y"))
+    later = asked.select(F.col("row_id").alias("x"), F.col("line_no").alias("x_line"), F.col("w").alias("a"))
+    earlier = asked.select(F.col("row_id").alias("y"), F.col("line_no").alias("y_line"), F.col("w").alias("b"))
+    both = pairs.join(later, F.expr("row_id = x and line_no = x_line")).join(earlier, F.expr("e_row = y and e_line = y_line"))
     common = F.size(F.array_intersect("a", "b"))
-    return both.where(100 * common >= percent * (F.size("a") + F.size("b") - common)).select("id", "e")
+    found = stored(both.where(100 * common >= percent * (F.size("a") + F.size("b") - common)).select("row_id", "line_no").distinct())
+    forget(spark, gone)
+    release(spark)
+    return found
+
+
+def _copies(docs: DataFrame) -> DataFrame:
+    """row_id, line_no of every line that equals an earlier one."""
+    spark, gone = docs.sparkSession, []
+    split = docs.select("row_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.length(F.btrim("line", F.lit(_BLANKS))) > 0)
+    keyed = stored(split.select("row_id", "line_no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")), gone)
+    first = F.min(F.struct("row_id", "line_no"))
+    copies = keyed.groupBy("h", "g").agg(F.count("*").alias("c"), first.alias("first")).where("c > 1")
+    copies = stored(copies.select(F.col("h").alias("ch"), F.col("g").alias("cg"), "first"), gone)
+    met = keyed.join(bounded(copies, BROADCAST_ROWS), F.expr("h = ch and g = cg")).where(F.struct("row_id", "line_no") != F.col("first"))
+    copied = stored(met.select("row_id", "line_no"))
+    forget(spark, gone)
+    release(spark)
+    return copied
 
 
-def repeated_lines(docs: DataFrame, percent: int = 75, least: int = 5) -> DataFrame:
+def repeated_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
     """row_id, line_no of every line that goes. ``docs`` has row_id (long, unique) and text."""
-    spark = docs.sparkSession
-    split = docs.select("row_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.length("line") >= 2 * least - 1)
-    mark = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")]
-    keyed = split.select("row_id", "line_no", *mark)
-    copies = keyed.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("row_id", "line_no")).alias("first")).where("c > 1")
-    copies = stored(copies.select(F.col("h").alias("ch"), F.col("g").alias("cg"), "first"))
-    marked = split.select("row_id", "line_no", "line", *mark).join(bounded(copies, BROADCAST_ROWS), F.expr("h = ch and g = cg"), "left")
-    here = F.struct("row_id", "line_no")
-    again = F.col("first").isNotNull() & (F.col("first") != here)
-    firsts = marked.where(~again).select(here.alias("id"), words(F.col("line")).alias("w")).where(F.size("w") >= least)
-    copied = marked.where(again & (F.size(words(F.col("line"))) >= least)).select("row_id", "line_no")
-    tiers = frequency_tiers(firsts)
-    n = F.size("s")
-    ordered = firsts.select("id", _ordered(F.col("w"), tiers).alias("s")).select("id", n.alias("n"), F.slice("s", 1, n - F.ceil(percent * n / 100).cast("int") + 1).alias("s"))
-    prefix = stored(ordered.select("id", "n", F.posexplode("s").alias("p", "t")))
+    spark, done = docs.sparkSession, []
+    copied = _copies(docs)
+    per = stored(copied.groupBy(F.col("row_id").alias("copied_row")).agg(F.collect_set("line_no").alias("copied")), done)
+    marked = docs.select("row_id", "text").where("text is not null").join(bounded(per, BROADCAST_ROWS), F.expr("row_id = copied_row"), "left")
+    none = F.array().cast("array<bigint>")
+    cut = lambda x, i: F.when(F.coalesce(F.array_contains("copied", i), F.lit(False)) | (F.length(F.btrim(x, F.lit(_BLANKS))) == 0), none).otherwise(_tokens(x))
+    first: list[str] = []
+    tokens = stored(marked.select("row_id", F.transform(F.split(F.lower("text"), "\n"), cut).alias("lines")), first)
     release(spark)
-    heads = prefix.groupBy("t").agg(F.count("*").alias("c"), F.min(F.struct("id", "n", "p")).alias("head")).where("c > 1")
-    heads = stored(heads.select(F.col("t").alias("u"), "c", F.col("head.id").alias("e"), F.col("head.n").alias("m"), F.col("head.p").alias("q")))
-    shared = stored(prefix.join(heads.select("u", "c"), F.expr("t = u")).select("t", "c", "id", "n", "p"))
+    tiers = stored(token_tiers(tokens.select(F.explode("lines").alias("w")).select(F.explode("w").alias("t"))), first)
+    ordered = tokens.join(F.broadcast(tiers), how="left").select(  # tiers is one row
+        "row_id", F.posexplode(F.transform("lines", lambda x: _numbered_tokens(x, F.col("tiers")))).alias("line_no", "s")
+    )
+    n = F.size("s")
+    longest = n - F.ceil(percent * n / 100).cast("int") + 1
+    bitmap = [_bitmap(F.col("s"), n, k).alias(b) for k, b in enumerate(_BITS)]
+    prefixes = stored(ordered.where(n > 0).select("row_id", "line_no", n.alias("n"), *bitmap, F.slice("s", 1, longest).alias("s")), done)
+    forget(spark, first)
     release(spark)
-    pairs = stored(_similar(shared, heads, percent))
-    gone = stored(_verified(firsts, pairs, percent).select(F.col("id").alias("gone")).distinct())
-    left = shared.where("c > 2").join(gone, F.expr("id = gone"), "left_anti")
-    others = shared.where("c > 2").select(F.col("t").alias("u"), F.col("id").alias("e"), F.col("n").alias("m"), F.col("p").alias("q"))
-    rest = stored(_similar(left, others, percent).join(pairs, ["id", "e"], "left_anti"))
+    pairs = stored(_with_earliest(prefixes, percent, done), done)
     release(spark)
-    more = stored(_verified(firsts, rest, percent).select(F.col("id").alias("gone")).distinct())
-    near = gone.unionByName(more).select("gone.row_id", "gone.line_no")
-    return copied.unionByName(near)
-
-
-def cut_lines(docs: DataFrame, percent: int = 75, least: int = 5) -> DataFrame:
+    gone = _verified(docs, pairs, percent)
+    rest = stored(_with_all(prefixes, gone, percent, done).join(pairs, ["row_id", "line_no", "e_row", "e_line"], "left_anti"), done)
+    found = gone.unionByName(_verified(docs, rest, percent))
+    forget(spark, done)
+    return copied.unionByName(found)
+
+
+def _with_earliest(prefixes: DataFrame, percent: int, done: list[str]) -> DataFrame:
+    """Likely pairs of a line and the earliest line of one of its rarest tokens."""
+    shared = F.filter("s", lambda t: F.shiftright(t, 56) > 0)  # where a counter holds one occurrence its class is 0, and the token has no partner
+    rare = prefixes.select("row_id", "line_no", "n", *_BITS, F.explode(F.slice(shared, 1, HEADS)).alias("t"))
+    heads = rare.groupBy("t").agg(F.count("*").alias("c"), F.min(F.struct("row_id", "line_no", "n", *_BITS)).alias("head")).where("c > 1")
+    heads = stored(heads.select("t", "head.*"), done)
+    release(prefixes.sparkSession)
+    met = rare.alias("x").join(heads.alias("y"), (F.col("x.t") == F.col("y.t")) & _before("y", "x") & _likely(percent))
+    return met.select(F.struct("x.row_id", "x.line_no").alias("l"), F.struct("y.row_id", "y.line_no").alias("e")).selectExpr(*_PAIR).distinct()
+
+
+def _with_all(prefixes: DataFrame, gone: DataFrame, percent: int, done: list[str]) -> DataFrame:
+    """All likely pairs whose later line is not gone."""
+    spark = prefixes.sparkSession
+    known = bounded(gone.select(F.col("row_id").alias("gone_row"), F.col("line_no").alias("gone_line"), F.lit(True).alias("is_gone")), BROADCAST_ROWS)
+    lines = prefixes.join(known, F.expr("row_id = gone_row and line_no = gone_line"), "left").withColumn("gone", F.coalesce("is_gone", F.lit(False)))
+    rows = lines.select("row_id", "line_no", "n", *_BITS, "gone", F.posexplode("s").alias("p", "t")).where(F.shiftright("t", 56) > 0)
+    n, m = F.col("x.n"), F.col("y.n")
+    shorter = (n < m) | ((n == m) & _before("x", "y"))
+    room = (F.col("x.p") + F.col("y.p") <= _apart(n, m, percent)) & (F.least(n - F.col("x.p"), m - F.col("y.p")) >= _need(n, m, percent))
+    stays = F.when(_before("x", "y"), ~F.col("y.gone")).otherwise(~F.col("x.gone"))
+    x, y = F.struct("x.row_id", "x.line_no"), F.struct("y.row_id", "y.line_no")
+    found = None
+    for k in range(PASSES):
+        here = rows.where(F.pmod("t", F.lit(PASSES)) == k)
+        index = here.where(F.col("p") <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)))
+        met = index.alias("x").join(here.alias("y"), (F.col("x.t") == F.col("y.t")) & shorter & room & _likely(percent) & stays)
+        ends = met.select(F.when(_before("x", "y"), y).otherwise(x).alias("l"), F.when(_before("x", "y"), x).otherwise(y).alias("e"))
+        part = stored(ends.selectExpr(*_PAIR).distinct(), done)
+        release(spark)
+        found = part if found is None else found.unionByName(part)
+    return found.distinct()
+
+
+def cut_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
     """row (all columns of docs as a struct), cut (the text that stays), n_lines, n_removed."""
     base = numbered(docs.select("doc_id", "text", packed(docs)))
-    gone = stored(repeated_lines(base.select("row_id", "text"), percent, least))
-    per = gone.groupBy(F.col("row_id").alias("of")).agg(F.collect_set("line_no").alias("gone"))
-    joined = base.select("row_id", "row", "text").join(per, F.expr("row_id = of"), "left")
+    gone = repeated_lines(base.select("row_id", "text"), percent)
+    per = stored(gone.groupBy(F.col("row_id").alias("of")).agg(F.collect_set("line_no").alias("gone")))
+    release(docs.sparkSession)
+    joined = base.select("row_id", "row", "text").join(bounded(per, BROADCAST_ROWS), F.expr("row_id = of"), "left")
     lines = F.split("text", "\n")
     kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull())
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
@@ -130,8 +230,8 @@ def cut_lines(docs: DataFrame, percent: int = 75, least: int = 5) -> DataFrame:
     return joined.select("row", text.alias("cut"), n_lines.alias("n_lines"), n_removed.alias("n_removed"))
 
 
-def remove_lines(docs: DataFrame, percent: int = 75, least: int = 5) -> DataFrame:
+def remove_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
     """docs with their text cut and, besides, n_lines and n_removed (in place of own columns of these names)."""
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     out = [F.col("cut").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names]
-    return cut_lines(docs, percent, least).select(*out, "n_lines", "n_removed")
+    return cut_lines(docs, percent).select(*out, "n_lines", "n_removed")

@@ -91,7 +91,7 @@ FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN least ON least.a = e.v
 OP2_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents),
 w AS (SELECT doc_id, no, line, list_distinct(list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS w FROM l),
-u AS (SELECT *, row_number() OVER (ORDER BY doc_id, no) AS id FROM w WHERE len(w) >= 5),
+u AS (SELECT *, row_number() OVER (ORDER BY doc_id, no) AS id FROM w WHERE len(w) > 0),
 t AS (SELECT id, len(w) AS n, unnest(w) AS t FROM u), f AS (SELECT t, count(*) AS f FROM t GROUP BY t),
 p AS (SELECT * FROM (SELECT id, n, t, row_number() OVER (PARTITION BY id ORDER BY f, t) AS k FROM t JOIN f USING (t)) WHERE k <= n - ceil(0.75 * n) + 1),
 c AS (SELECT DISTINCT a.id AS later, b.id AS earlier FROM p a JOIN p b ON a.t = b.t AND a.id > b.id AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)),
