@@ -22,8 +22,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that repeat earlier ones, lines of one word too; documents go that lost all they had."""
-    cut = line_dedup.cut_lines(docs, least=1)
+    """Texts without lines that repeat earlier ones, documents go that lost all they had."""
+    cut = line_dedup.cut_lines(docs)
     left = cut.where((F.col("n_removed") == 0) | (F.length(F.trim("cut")) > 0))
     new = {"text": F.col("cut"), "n_chars": F.when(F.col("n_removed") > 0, F.length("cut")).otherwise(F.col("row.n_chars") if "n_chars" in docs.columns else None)}
     kinds = dict(docs.dtypes)
