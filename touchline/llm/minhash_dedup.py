@@ -9,6 +9,11 @@ bucket the members are first paired with the bucket's smallest member; what diff
 short signature far beyond chance is dropped, the rest is verified on full sets. Buckets that then
 still hold more than one component are searched again between the components only, so a bucket of
 thousands of near copies never gives all its pairs, and no link between components is left untested.
+That search asks inside its join whether sizes and parity bitmaps of the sets leave room for a link: a
+bitmap never differs in more positions than the sets differ in shingles, so no link is lost to it;
+sets of more than ``WHOLE`` shingles have bitmaps of a sample of them and a margin of 4.5 deviations.
+
+Table keys are made in passes over the first collection, and only keys that two rows share are kept.
 
 Hot buckets are reduced by partial aggregation before the shuffle, and joins on bucket keys can be
 split by adaptive execution. Components are found in Spark; nothing is collected.
@@ -30,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import bounded, bytes_of, numbered, release, sliced, stored
+from .common import bounded, bytes_of, forget, numbered, release, sliced, stored
 from .components import connected_components
 
 _U = np.uint64
@@ -54,8 +59,10 @@ class Banding:
 
 #: Candidate ids, of 8 bytes each, are broadcast to the texts only up to so many.
 CANDIDATES = 500_000
-#: Rounds of one leader for each member; the last one takes all leaders that are left.
-STAR_TURNS = 3
+#: Rounds of one leader for each member, and passes in which table keys are made.
+STAR_TURNS, PASSES = 2, 3
+#: Longs of a parity bitmap, and the largest set that it takes whole.
+BIT_WORDS, WHOLE = 16, 512
 
 
 def _multipliers(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,10 +104,16 @@ def _sketch(banding: Banding):
         keys = K.mix(keys + np.arange(1, 2 * banding.m + 1, dtype=_U).reshape(2, banding.m) * _U(0xA24BAED4963EE407))
         lists = lambda x: pa.ListArray.from_arrays(np.arange(0, n * banding.m + 1, banding.m, dtype=np.int32), pa.array(x.reshape(-1).view(np.int64)))
         signature = (least & _U(0xFF)).astype(np.uint8)
+        level = np.ceil(np.log2(np.maximum(sizes, 1) / WHOLE)).clip(0).astype(np.int32)
+        mixed = K.mix(values + _U(11))
+        taken = (mixed >> _U(40)) & ((_U(1) << level[owners].astype(_U)) - _U(1)) == 0
+        odd = np.zeros((n, BIT_WORDS), _U)
+        np.bitwise_xor.at(odd, (owners[taken], ((mixed[taken] >> _U(6)) % _U(BIT_WORDS)).astype(np.int64)), _U(1) << (mixed[taken] & _U(63)))
+        bits = pa.ListArray.from_arrays(np.arange(0, n * BIT_WORDS + 1, BIT_WORDS, dtype=np.int32), pa.array(odd.reshape(-1).view(np.int64)))
         yield pa.record_batch(
             {"row_id": batch.column("row_id"), "n": pa.array(sizes.astype(np.int64)), "s0": pa.array(sums[0].view(np.int64)), "s1": pa.array(sums[1].view(np.int64)),
              "left": lists(np.ascontiguousarray(keys[:, 0])), "right": lists(np.ascontiguousarray(keys[:, 1])),
-             "signature": pa.array([row.tobytes() for row in signature], pa.binary())}
+             "signature": pa.array([row.tobytes() for row in signature], pa.binary()), "level": pa.array(level), "bits": bits}
         )
 
     return fn
@@ -170,6 +183,45 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return placed.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
+def _members(firsts: DataFrame, banding: Banding, gone: list[str]) -> DataFrame:
+    """key, row_id, a of every row in every table bucket that holds more than one; a is the bucket's smallest row."""
+    found = None
+    for k in range(PASSES):
+        begin, end = banding.m * k // PASSES, banding.m * (k + 1) // PASSES
+        halves = firsts.select("row_id", F.explode(F.slice("left", begin + 1, end - begin)).alias("half"), "right")
+        here: list[str] = []
+        shared = stored(halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select(F.col("half").alias("h")), here)
+        release(firsts.sparkSession)
+        met = stored(halves.join(shared, F.expr("half = h"), "left_semi"), here)
+        release(firsts.sparkSession)
+        keys = met.select("row_id", F.explode(F.transform("right", lambda x: F.xxhash64("half", x))).alias("key"))
+        buckets = stored(keys.groupBy("key").agg(F.min("row_id").alias("a"), F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("k"), "a"), here)
+        release(firsts.sparkSession)
+        part = stored(keys.join(buckets, F.expr("key = k")).select("key", "row_id", "a"), gone)
+        forget(firsts.sparkSession, here)
+        release(firsts.sparkSession)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _across(members: DataFrame, found: DataFrame, sketches: DataFrame, percent: int, gone: list[str]) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components whose sizes and bitmaps leave room for a link."""
+    at = found.select("node", "component")
+    labelled = stored(members.join(at, F.expr("row_id = node"), "left").select("key", "row_id", F.coalesce("component", "row_id").alias("component")), gone)
+    several = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select(F.col("key").alias("k"))
+    open_ = stored(labelled.join(stored(several, gone), F.expr("key = k"), "left_semi"), gone)
+    release(members.sparkSession)
+    short = sketches.select(F.col("row_id").alias("id"), "n", "level", "bits")
+    rows = open_.join(short, F.expr("row_id = id")).select("key", "row_id", "component", "n", "level", "bits")
+    n, m = F.col("x.n"), F.col("y.n")
+    differ = sum((F.bit_count(F.get("x.bits", F.lit(i)).bitwiseXOR(F.get("y.bits", F.lit(i)))) for i in range(BIT_WORDS)), F.lit(0))
+    most = (n + m - 2 * F.ceil(percent * (n + m) / (100 + percent))) / F.call_function("shiftleft", F.lit(1), F.col("x.level"))
+    most = most + F.when(F.col("x.level") > 0, 4.5 * F.sqrt(most)).otherwise(0)
+    likely = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((F.col("x.level") != F.col("y.level")) | (differ <= most))
+    met = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.row_id") < F.col("y.row_id")) & (F.col("x.component") != F.col("y.component")) & likely)
+    return stored(met.select(F.col("x.row_id").alias("a"), F.col("y.row_id").alias("b")).distinct(), gone)
+
+
 def near_duplicates(docs: DataFrame, banding: Banding | None = None, carry: list[str] | None = None) -> DataFrame:
     """doc_id (or ``carry``), n_shingles, component_id, kept for every document.
 
@@ -181,43 +233,30 @@ def near_duplicates(docs: DataFrame, banding: Banding | None = None, carry: list
     base = numbered(docs.select("doc_id", "text", F.struct(*carry).alias("row")))
     sketches = stored(
         base.select("row_id", "text").mapInArrow(
-            sliced(_sketch(banding)), "row_id long, n long, s0 long, s1 long, left array<long>, right array<long>, signature binary"
+            sliced(_sketch(banding)), "row_id long, n long, s0 long, s1 long, left array<long>, right array<long>, signature binary, level int, bits array<long>"
         )
     )
     classes = stored(sketches.where("n > 0").groupBy("n", "s0", "s1").agg(F.min("row_id").alias("first")))
     firsts = stored(sketches.join(classes.select(F.col("first").alias("row_id")), "row_id", "left_semi"))
-    halves = firsts.select("row_id", F.explode("left").alias("half"), "right")
-    shared = stored(firsts.select(F.explode("left").alias("half")).groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select(F.col("half").alias("h")))
-    keys = stored(
-        halves.join(shared, F.expr("half = h"), "left_semi").select("row_id", F.explode(F.transform("right", lambda x: F.xxhash64("half", x))).alias("key"))
-    )
+    gone: list[str] = []
     release(docs.sparkSession)
-    buckets = stored(keys.groupBy("key").agg(F.min("row_id").alias("a"), F.count("*").alias("c")).where("c > 1").select(F.col("key").alias("k"), "a"))
-    star = stored(keys.join(buckets, F.expr("key = k")).where("row_id <> a").select("a", F.col("row_id").alias("b")).distinct())
+    members = _members(firsts, banding, gone)
+    star = stored(members.where("row_id <> a").select("a", F.col("row_id").alias("b")).distinct(), gone)
     release(docs.sparkSession)
-    tried = star
     links = found = None
-    for turn in range(STAR_TURNS):  # one leader for each member at a time: most groups are whole after the first
+    for _ in range(STAR_TURNS):  # one leader for each member at a time: most groups are whole after the first
         here = star if found is None else _apart(star, found)
-        last = turn == STAR_TURNS - 1
-        here = stored(here if last else here.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        here = stored(here.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), gone)
         if here.isEmpty():
             break
         fresh = _verified(base, sketches, here, banding)
-        star = star if last else stored(star.join(here, ["a", "b"], "left_anti"))
+        star = stored(star.join(here, ["a", "b"], "left_anti"), gone)
         links = fresh if links is None else links.unionByName(fresh)
         found = stored(connected_components(links))
     if found is None:
         links = star
         found = stored(connected_components(links))
-    labelled = keys.join(buckets.select("k"), F.expr("key = k"), "left_semi").join(found, F.expr("row_id = node"), "left").select(
-        "key", "row_id", F.coalesce("component", "row_id").alias("component")
-    )
-    several = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    across = stored(labelled.join(stored(several.select(F.col("key").alias("k"))), F.expr("key = k"), "left_semi"))
-    other = across.select(F.col("key").alias("k"), F.col("row_id").alias("b"), F.col("component").alias("cb"))
-    pairs = across.join(other, F.expr("key = k and row_id < b and component <> cb")).select(F.col("row_id").alias("a"), "b").distinct()
-    more = stored(pairs.join(tried, ["a", "b"], "left_anti"))
+    more = _across(members, found, sketches, banding.percent, gone)
     if not more.isEmpty():  # afterwards every pair of a bucket was tested or lies within one component
         links = links.unionByName(_verified(base, sketches, more, banding))
         found = stored(connected_components(links))
@@ -225,6 +264,8 @@ def near_duplicates(docs: DataFrame, banding: Banding | None = None, carry: list
     of_class = classes.select(F.col("n").alias("cn"), F.col("s0").alias("c0"), F.col("s1").alias("c1"), "first")
     placed = member.join(of_class, F.expr("n = cn and s0 = c0 and s1 = c1"), "left").join(found, F.expr("first = node"), "left")
     placed = stored(placed.select(F.col("row_id").alias("id"), "n_shingles", F.coalesce("component", "first", "row_id").alias("component_row")))
+    forget(docs.sparkSession, gone)
+    release(docs.sparkSession)
     rows = base.select("row_id", "row", "doc_id").join(placed, F.expr("row_id = id"))
     kept = F.col("row_id") == F.col("component_row")
     if dict(docs.dtypes)["doc_id"] == "bigint" and base.where("not (row_id <=> doc_id)").isEmpty():
