@@ -273,6 +273,21 @@ def test_marks_of_chrome_still_go():
     assert html_extract.extract(f"<p>all of the text is here</p>{comments}") == "all of the text is here"
 
 
+def test_deep_and_wide_pages_end_and_keep_their_text():
+    deep = "<div>" * 10_000 + "<p>far below</p>" + "</div>" * 10_000
+    claimed = "<div class='content'>" * 3000 + "<p>far below</p><nav>menu</nav>" + "</div>" * 3000
+    assert html_extract.extract(deep) == html_extract.extract(claimed) == "far below"
+    own = html_extract.merge(html_extract.tree(html_extract.parse(deep)), html_extract.tree(html_extract.parse(claimed)))
+    assert html_extract.extract(deep, own) == "far below"
+    wide = ["".join(f"<p class='{x}{chr(97 + k % 26)}'>t</p>" for k in range(3000)) for x in "xy"]
+    node = html_extract.merge(*(html_extract.tree(html_extract.parse(w)) for w in wide))
+    assert len(node[html_extract.CHILDREN]) == 6000
+
+
+def test_inline_labels_and_formulas_are_text():
+    assert html_extract.extract("<article><p>one <label>two</label> <math>x</math> three</p></article>") == "one two x three"
+
+
 # 5 repeated byte strings
 
 

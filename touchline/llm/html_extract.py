@@ -41,6 +41,10 @@ WRAPPER_CHARS = 16_000_000
 _TEXTS, _HOSTS = 8, 2000
 #: Different page contents that make a slot's one text a template; a summary remembers no more of them.
 _CONTENTS = 5
+#: Levels of nested blocks that a wrapper follows; below, a page is read by element names alone.
+_LEVELS = 60
+#: Children lists are aligned by their longest common subsequence up to so many cells, then by the next equal label within ``_NEAR``.
+_CELLS, _NEAR = 250_000, 64
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)"""
@@ -55,7 +59,7 @@ BLOCKS = frozenset(
     "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_DROPPED = frozenset("nav footer aside form menu dialog button label option fieldset search audio video canvas math".split())
+_DROPPED = frozenset("nav footer aside form menu dialog button option fieldset search audio video canvas".split())
 #: Elements that an opening tag of the key ends when they are still open.
 _ENDS = {
     "p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"},
@@ -87,7 +91,7 @@ def host_of(url: Column) -> Column:
 class Block:
     """A block element: its label, its text runs in order, and its child blocks."""
 
-    __slots__ = ("label", "name", "marks", "chrome", "hidden", "children", "items", "linked", "parent")
+    __slots__ = ("label", "name", "marks", "chrome", "hidden", "children", "items", "linked", "parent", "claim", "volume")
 
     def __init__(self, label: str, name: str, marks: str, chrome: str, hidden: bool, parent: Block | None) -> None:
         self.label, self.name, self.marks, self.hidden, self.parent = label, name, marks, hidden, parent
@@ -95,6 +99,7 @@ class Block:
         self.children: list[Block] = []
         self.items: list[str | Block] = []  # text runs and child blocks in page order
         self.linked = 0
+        self.claim = self.volume = 0  # set by _measure
 
 
 @lru_cache(4096)
@@ -228,27 +233,32 @@ def _content(block: Block) -> int:
 
 def _spare(root: Block) -> None:
     """Unmark what holds the main container: an element that claims to be it and has more text than all outside of marked ones."""
-    best, least = None, _volume(root)
+    _measure(root)
+    best, least = None, root.volume[0]
     stack = [(root, False)]
     while stack:
         block, marked = stack.pop()
         if block.hidden or block.name in _DROPPED or block.name == "header":
             continue
         marked = marked or bool(block.chrome)
-        if marked and _is_main(block) >= 2 and (size := _volume(block, True)) > least:
-            best, least = block, size
+        if marked and block.claim >= 2 and block.volume[1] > least:
+            best, least = block, block.volume[1]
         stack += ((c, marked) for c in block.children)
+    if best is None:
+        return
     while best is not None:
         best.chrome = ""
         best = best.parent
+    _measure(root)
 
 
-def tree(block: Block, content: int | None = None) -> list:
+def tree(block: Block, content: int | None = None, level: int = 0) -> list:
     """A page's own wrapper: equal neighbours folded."""
     content = _content(block) if content is None else content
     texts = [x for x in block.items if isinstance(x, str)]
     hashes = sorted({zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts})[:_TEXTS]
-    node = [block.label, False, False, [content], hashes, sum(map(len, texts)), block.linked, [tree(c, content) for c in block.children]]
+    below = [tree(c, content, level + 1) for c in block.children] if level < _LEVELS else []
+    node = [block.label, False, False, [content], hashes, sum(map(len, texts)), block.linked, below]
     _fold(node)
     return node
 
@@ -265,10 +275,23 @@ def _fold(node: list) -> None:
 
 
 def _aligned(a: list[list], b: list[list]) -> Iterator[tuple[list | None, list | None]]:
-    """Pairs of the longest common subsequence of labels, and what only one side has, in order."""
-    if [x[LABEL] for x in a] == [x[LABEL] for x in b]:
-        yield from zip(a, b, strict=True)
-        return
+    """Pairs of nodes with one label, in order, and what only one side has."""
+    same = 0
+    while same < min(len(a), len(b)) and a[same][LABEL] == b[same][LABEL]:
+        same += 1
+    yield from zip(a[:same], b[:same], strict=True)
+    a, b = a[same:], b[same:]
+    tail = 0
+    while tail < min(len(a), len(b)) and a[-1 - tail][LABEL] == b[-1 - tail][LABEL]:
+        tail += 1
+    ends = list(zip(a[len(a) - tail :], b[len(b) - tail :], strict=True))
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    yield from (_longest if len(a) * len(b) <= _CELLS else _nearest)(a, b)
+    yield from ends
+
+
+def _longest(a: list[list], b: list[list]) -> Iterator[tuple[list | None, list | None]]:
+    """By the longest common subsequence of labels."""
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -287,6 +310,20 @@ def _aligned(a: list[list], b: list[list]) -> Iterator[tuple[list | None, list |
             j += 1
 
 
+def _nearest(a: list[list], b: list[list]) -> Iterator[tuple[list | None, list | None]]:
+    """Each node with the next one of its label that is near enough."""
+    j = 0
+    for x in a:
+        k = next((k for k in range(j, min(len(b), j + _NEAR)) if b[k][LABEL] == x[LABEL]), None)
+        if k is None:
+            yield x, None
+        else:
+            yield from ((None, y) for y in b[j:k])
+            yield x, b[k]
+            j = k + 1
+    yield from ((None, y) for y in b[j:])
+
+
 def merge(a: list, b: list) -> list:
     """Align two wrappers of one label: mismatches become optional groups."""
     children = []
@@ -332,25 +369,33 @@ def _is_main(block: Block) -> int:
     return 1 if block.name in ("div", "section", "td") and block.marks and _MAIN.search(block.marks) else 0
 
 
-def _volume(block: Block, inside: bool = False) -> int:
-    """Characters of text below an element, without chrome and without text in links."""
-    if _chrome(block, inside):
-        return 0
-    own = sum(len(x) for x in block.items if isinstance(x, str)) - block.linked
-    return max(0, own) + sum(_volume(c, inside or bool(_is_main(block))) for c in block.children)
+def _measure(root: Block) -> None:
+    """Set each block's claim and volume: characters below it without chrome and text in links, seen from outside and from inside a main container."""
+    order, stack = [], [root]
+    while stack:
+        block = stack.pop()
+        block.claim = _is_main(block)
+        order.append(block)
+        stack += block.children
+    for block in reversed(order):
+        own = max(0, sum(len(x) for x in block.items if isinstance(x, str)) - block.linked)
+        block.volume = tuple(0 if _chrome(block, inside) else own + sum(c.volume[inside or block.claim > 0] for c in block.children) for inside in (False, True))
 
 
-def _containers(block: Block, out: list[tuple[int, int, int, Block]]) -> None:
+def _containers(root: Block) -> list[tuple[int, int, int, Block]]:
     """(strength, volume, -depth order, element) of the outermost elements that claim to be main."""
-    if _chrome(block, False):
-        return
-    claim = _is_main(block)
-    if claim:
-        out.append((claim, _volume(block, True), -len(out), block))
-        if claim == 3:
-            return
-    for c in block.children:
-        _containers(c, out)
+    out: list[tuple[int, int, int, Block]] = []
+    stack = [root]
+    while stack:
+        block = stack.pop()
+        if _chrome(block, False):
+            continue
+        if block.claim:
+            out.append((block.claim, block.volume[1], -len(out), block))
+            if block.claim == 3:
+                continue
+        stack += reversed(block.children)
+    return out
 
 
 def extract(page: str | None, wrapper: list | None = None) -> str:
@@ -358,30 +403,23 @@ def extract(page: str | None, wrapper: list | None = None) -> str:
     if not page:
         return ""
     root = parse(page)
-    found: list[tuple[int, int, int, Block]] = []
-    _containers(root, found)
-    whole = _volume(root)
-    found = [x for x in found if x[1] * 4 >= whole]  # a container with little of the text is a teaser
+    whole = root.volume[0]
+    found = [x for x in _containers(root) if x[1] * 4 >= whole]  # a container with little of the text is a teaser
     strongest = max((x[0] for x in found), default=0)
     tops = [x[3] for x in found if x[0] == strongest] if strongest == 3 else [max(found, key=lambda x: x[:3])[3]] if found else [root]
     nodes = _nodes(root, wrapper)
     out: list[str] = []
     inside = bool(found)
-
-    def keep(block: Block) -> None:
-        if _chrome(block, inside):
-            return
-        node = nodes.get(id(block))
-        fixed = not inside and node is not None and _constant(node)
-        linked = not inside and node is not None and node[CHARS] and node[LINKED] * 2 > node[CHARS]
-        for item in block.items:
-            if isinstance(item, Block):
-                keep(item)
-            elif not fixed and not linked:
-                out.append(item)
-
-    for top in tops:
-        keep(top)
+    stack: list[str | Block] = list(reversed(tops))
+    while stack:
+        block = stack.pop()
+        if isinstance(block, str):
+            out.append(block)
+        elif not _chrome(block, inside):
+            node = nodes.get(id(block))
+            fixed = not inside and node is not None and _constant(node)
+            linked = not inside and node is not None and node[CHARS] and node[LINKED] * 2 > node[CHARS]
+            stack += reversed([x for x in block.items if isinstance(x, Block) or not (fixed or linked)])
     return "\n\n".join(out)
 
 
