@@ -223,36 +223,35 @@ def _union(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cut(with_text: bool):
-    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = bytes_of(batch.column("text"))
-            asked = batch.column("ranges")
-            at = asked.offsets.to_numpy()
-            flat = asked.flatten()
-            begins, ends = flat.field("begin").to_numpy(), flat.field("end").to_numpy()
-            at = at - at[0]
-            removed, spans, digests, kept_texts = [], [], [], []
-            for i in range(batch.num_rows):
-                text = data[offsets[i] : offsets[i + 1]]
-                gone = count = 0
-                if at[i + 1] > at[i]:
-                    b, e = _union(begins[at[i] : at[i + 1]], ends[at[i] : at[i + 1]])
-                    gone, count = int((e - b).sum()), len(b)
-                    edges = np.zeros(len(text) + 1, np.int8)
-                    edges[b] += 1
-                    edges[e] -= 1
-                    text = text[np.cumsum(edges[:-1]) == 0]
-                removed.append(gone)
-                spans.append(count)
-                digests.append(hashlib.sha256(text).hexdigest())
-                if with_text:
-                    kept_texts.append(text.tobytes())
-            out = {"row": batch.column("row"), "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
+    def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        data, offsets = bytes_of(batch.column("text"))
+        asked = batch.column("ranges")
+        at = asked.offsets.to_numpy()
+        flat = asked.flatten()
+        begins, ends = flat.field("begin").to_numpy(), flat.field("end").to_numpy()
+        at = at - at[0]
+        removed, spans, digests, kept_texts = [], [], [], []
+        for i in range(batch.num_rows):
+            text = data[offsets[i] : offsets[i + 1]]
+            gone = count = 0
+            if at[i + 1] > at[i]:
+                b, e = _union(begins[at[i] : at[i + 1]], ends[at[i] : at[i + 1]])
+                gone, count = int((e - b).sum()), len(b)
+                edges = np.zeros(len(text) + 1, np.int8)
+                edges[b] += 1
+                edges[e] -= 1
+                text = text[np.cumsum(edges[:-1], dtype=np.int8) == 0]
+            removed.append(gone)
+            spans.append(count)
+            digests.append(hashlib.sha256(text).hexdigest())
             if with_text:
-                out["kept"] = pa.array(kept_texts, pa.binary())
-            yield pa.record_batch(out)
+                kept_texts.append(text.tobytes())
+        out = {"row": batch.column("row"), "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
+        if with_text:
+            out["kept"] = pa.array(kept_texts, pa.binary())
+        yield pa.record_batch(out)
 
-    return fn
+    return sliced(fn)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, q: int = Q, carry: list[str] | None = None, with_text: bool = False) -> DataFrame:
