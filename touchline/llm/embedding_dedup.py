@@ -7,7 +7,8 @@ counts of links add up over tables without a table of pairs. A bucket gives its
 and, for the components, a star for each group of linked members, never all pairs.
 
 A bucket with more than ``block`` members is cut into blocks and every pair of blocks is a unit of
-work of its own, so a hot bucket spreads over the cluster.
+work of its own, so a hot bucket spreads over the cluster. Vectors travel as they are stored, and
+tables are worked through a few at a time, so the shuffle holds that many copies of them and no more.
 
 Defined results: a vector that is null, empty, zero or has null or non-finite components links with
 nothing; vectors of different lengths never link; rows with equal or null vec_id are vectors of their
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, release, stored
+from .common import forget, numbered, release, stored
 from .components import connected_components
 
 
@@ -37,6 +38,8 @@ class Hyperplanes:
     seed: int = 11
     threshold: float = 0.95
     block: int = 512
+    #: Tables whose buckets are compared in one pass.
+    at_once: int = 3
 
 
 def _unit(vectors: pa.Array, dim: int) -> np.ndarray:
@@ -132,18 +135,13 @@ def usable(column: str) -> Column:
     return v.isNotNull() & finite & F.exists(v, lambda x: x != 0)
 
 
-def near_duplicates(vectors: DataFrame, spec: Hyperplanes | None = None) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding)."""
-    spec = spec or Hyperplanes()
-    vector = F.transform("embedding", lambda x: x.cast("double"))
-    base = numbered(vectors.select("vec_id", "embedding"), "vec_id")
-    ok = base.where(usable("embedding")).select("row_id", "embedding")
-    classes = stored(ok.groupBy("embedding").agg(F.min("row_id").alias("first"), F.count("*").alias("n")))
-    whole = classes.select(F.col("first").alias("row_id"), "n", F.size("embedding").alias("dim"), vector.alias("vector"))
-    hashed = stored(whole.mapInArrow(_signatures(spec), "row_id long, n long, dim int, vector array<double>, codes array<int>"))
-    keyed = hashed.select("row_id", "dim", F.posexplode("codes").alias("at", "code"))
+def _compared(hashed: DataFrame, spec: Hyperplanes, begin: int) -> DataFrame:
+    """row_id, end, links: link counts and stars from the buckets of the tables from ``begin`` on."""
+    codes = F.posexplode(F.slice("codes", begin + 1, spec.at_once)).alias("step", "code")
+    keyed = hashed.select("row_id", "dim", codes).select("row_id", "dim", "code", (F.col("step") + begin).alias("at"))
     counts = keyed.groupBy("dim", "at", "code").agg(F.count("*").alias("m")).where("m > 1")
-    blocks = stored(counts.select(*(F.col(c).alias(f"k_{c}") for c in ("dim", "at", "code")), F.ceil(F.col("m") / spec.block).alias("blocks")))
+    gone: list[str] = []
+    blocks = stored(counts.select(*(F.col(c).alias(f"k_{c}") for c in ("dim", "at", "code")), F.ceil(F.col("m") / spec.block).alias("blocks")), gone)
     work = keyed.join(blocks, F.expr("dim = k_dim and at = k_at and code = k_code")).withColumn("own", F.pmod(F.xxhash64("row_id"), F.col("blocks")))
     pairs = work.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     units = pairs.select(
@@ -154,12 +152,32 @@ def near_duplicates(vectors: DataFrame, spec: Hyperplanes | None = None) -> Data
     full = units.join(body, F.expr("row_id = id")).select("row_id", "n", "dim", "vector", "codes", "at", "side", "unit")
     compared = full.repartition("unit").sortWithinPartitions("unit").mapInArrow(_compare(spec), "row_id long, links long, end long")
     found = stored(compared.groupBy("row_id", "end").agg(F.sum("links").alias("links")))
+    forget(hashed.sparkSession, gone)
+    release(hashed.sparkSession)
+    return found
+
+
+def near_duplicates(vectors: DataFrame, spec: Hyperplanes | None = None) -> DataFrame:
+    """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding)."""
+    spec = spec or Hyperplanes()
+    kind = dict(vectors.dtypes)["embedding"]
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    base = numbered(vectors.select("vec_id", "embedding"), "vec_id")
+    ok = base.where(usable("embedding")).select("row_id", "embedding")
+    classes = stored(ok.groupBy("embedding").agg(F.min("row_id").alias("first"), F.count("*").alias("n")))
+    whole = classes.select(F.col("first").alias("row_id"), "n", F.size("embedding").alias("dim"), F.col("embedding").cast(kind).alias("vector"))
+    hashed = stored(whole.mapInArrow(_signatures(spec), f"row_id long, n long, dim int, vector {kind}, codes array<int>"))
+    parts = [_compared(hashed, spec, begin) for begin in range(0, spec.tables, spec.at_once)]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    found = stored(found.groupBy("row_id", "end").agg(F.sum("links").alias("links")))
     release(vectors.sparkSession)
     links = found.groupBy("row_id").agg(F.sum("links").alias("links")).select(F.col("row_id").alias("linked"), "links")
-    parts = connected_components(found, "row_id", "end")
+    components = connected_components(found, "row_id", "end")
     first = classes.select(F.col("embedding").alias("e"), "first", "n")
     of_row = ok.join(first, F.expr("embedding = e")).select(F.col("row_id").alias("r"), "first", "n")
-    of_row = of_row.join(links, F.expr("first = linked"), "left").join(parts, F.expr("first = node"), "left")
+    of_row = of_row.join(links, F.expr("first = linked"), "left").join(components, F.expr("first = node"), "left")
     of_row = stored(
         of_row.select("r", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "first").alias("component_row"))
     )
