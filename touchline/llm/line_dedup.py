@@ -17,8 +17,9 @@ bound the overlap (positional filter), the sizes bound it as well (length filter
 number of positions in which parity bitmaps of the whole lines differ. All of this is asked inside the
 join; what passes is verified on the words of both lines.
 
-The earliest line of each of a line's rarest tokens is tried first, which settles groups of near
-copies in as many comparisons as they have lines. Lines that are gone are then compared as earlier
+The earliest lines of a few of a line's tokens are tried first, which settles groups of near copies in
+as many comparisons as they have lines. These tokens are the last of the shorter prefix: in a large
+group the rarest ones are what its lines do not share. Lines that are gone are then compared as earlier
 ones only. The join runs in passes over slices of the tokens, so its shuffle never holds more than a
 part of the prefixes; adaptive execution can split every one of its keys.
 
@@ -37,8 +38,8 @@ from .common import bounded, forget, numbered, packed, release, stored
 
 #: Counters of the token counts; a power of two. They are joined to each document as one array of bytes.
 COUNTERS = 1 << 17
-#: Passes of the join over slices of the tokens, and how many of its rarest tokens bring a line to an earliest one.
-PASSES, HEADS = 2, 2
+#: Passes of the join over slices of the tokens; how many of its tokens bring a line to early ones, and how many early lines a token has.
+PASSES, HEADS, EARLY = 3, 2, 6
 #: Tables keyed by line or document are broadcast only up to so many rows.
 BROADCAST_ROWS = 300_000
 #: Lines of at most so many tokens have bitmaps of 64 bits, longer ones have 128.
@@ -181,11 +182,17 @@ def repeated_lines(docs: DataFrame, percent: int = 75) -> DataFrame:
     return copied.unionByName(found)
 
 
+def _index_size(percent: int) -> Column:
+    """How many tokens of a line stand in the prefix that it has as the shorter one."""
+    return F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)).cast("int") + 1
+
+
 def _with_earliest(prefixes: DataFrame, percent: int, done: list[str]) -> DataFrame:
-    """Likely pairs of a line and the earliest line of one of its rarest tokens."""
-    shared = F.filter("s", lambda t: F.shiftright(t, 56) > 0)  # where a counter holds one occurrence its class is 0, and the token has no partner
-    rare = prefixes.select("row_id", "line_no", "n", *_BITS, F.explode(F.slice(shared, 1, HEADS)).alias("t"))
-    heads = rare.groupBy("t").agg(F.count("*").alias("c"), F.min(F.struct("row_id", "line_no", "n", *_BITS)).alias("head")).where("c > 1")
+    """Likely pairs of a line and the earliest lines of one of its tokens, one for each part of the lines that have it."""
+    begin = F.greatest(_index_size(percent) - HEADS + 1, F.lit(1))
+    rare = prefixes.select("row_id", "line_no", "n", *_BITS, F.explode(F.slice("s", begin, F.lit(HEADS))).alias("t"))
+    part = F.pmod(F.xxhash64("row_id", "line_no"), F.lit(EARLY))
+    heads = rare.groupBy("t", part.alias("part")).agg(F.min(F.struct("row_id", "line_no", "n", *_BITS)).alias("head"))
     heads = stored(heads.select("t", "head.*"), done)
     release(prefixes.sparkSession)
     met = rare.alias("x").join(heads.alias("y"), (F.col("x.t") == F.col("y.t")) & _before("y", "x") & _likely(percent))
@@ -197,7 +204,8 @@ def _with_all(prefixes: DataFrame, gone: DataFrame, percent: int, done: list[str
     spark = prefixes.sparkSession
     known = bounded(gone.select(F.col("row_id").alias("gone_row"), F.col("line_no").alias("gone_line"), F.lit(True).alias("is_gone")), BROADCAST_ROWS)
     lines = prefixes.join(known, F.expr("row_id = gone_row and line_no = gone_line"), "left").withColumn("gone", F.coalesce("is_gone", F.lit(False)))
-    rows = lines.select("row_id", "line_no", "n", *_BITS, "gone", F.posexplode("s").alias("p", "t")).where(F.shiftright("t", 56) > 0)
+    rows = lines.select("row_id", "line_no", "n", *_BITS, "gone", F.posexplode("s").alias("p", "t"))
+    rows = rows.where(F.shiftright("t", 56) > 0)  # where a counter holds one occurrence its class is 0, and the token has no partner
     n, m = F.col("x.n"), F.col("y.n")
     shorter = (n < m) | ((n == m) & _before("x", "y"))
     room = (F.col("x.p") + F.col("y.p") <= _apart(n, m, percent)) & (F.least(n - F.col("x.p"), m - F.col("y.p")) >= _need(n, m, percent))
@@ -206,7 +214,7 @@ def _with_all(prefixes: DataFrame, gone: DataFrame, percent: int, done: list[str
     found = None
     for k in range(PASSES):
         here = rows.where(F.pmod("t", F.lit(PASSES)) == k)
-        index = here.where(F.col("p") <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)))
+        index = here.where(F.col("p") < _index_size(percent))
         met = index.alias("x").join(here.alias("y"), (F.col("x.t") == F.col("y.t")) & shorter & room & _likely(percent) & stays)
         ends = met.select(F.when(_before("x", "y"), y).otherwise(x).alias("l"), F.when(_before("x", "y"), x).otherwise(y).alias("e"))
         part = stored(ends.selectExpr(*_PAIR).distinct(), done)
