@@ -39,14 +39,14 @@ from .common import bounded, forget, numbered, packed, release, stored
 #: Counters of the token counts; a power of two. They are joined to each document as one array of bytes.
 COUNTERS = 1 << 17
 #: Passes of the join over slices of the tokens; how many of its tokens bring a line to early ones, and how many early lines a token has.
-PASSES, HEADS, EARLY = 3, 2, 6
+PASSES, HEADS, EARLY = 3, 2, 24
 #: Tables keyed by line or document are broadcast only up to so many rows.
 BROADCAST_ROWS = 300_000
-#: Lines of at most so many tokens have bitmaps of 64 bits, longer ones have 128.
-NARROW = 48
+#: Lines of at most so many tokens have bitmaps of 64 bits, longer ones have 256.
+NARROW = 40
 _SPACE = r"[\x20\x09-\x0D]+"
 _BLANKS = " \t\x0b\x0c\r"
-_BITS = ("b0", "b1")
+_BITS = ("b0", "b1", "b2", "b3")
 
 
 def _tokens(line: Column) -> Column:
@@ -81,8 +81,8 @@ def _bitmap(tokens: Column, size: Column, word: int) -> Column:
     def flip(bits: Column, t: Column) -> Column:
         return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int")))
 
-    half = F.aggregate(F.filter(tokens, lambda t: t.bitwiseAND(F.lit(64)) == 64 * word), none, flip)
-    return F.when(size > NARROW, half).otherwise(none if word else F.aggregate(tokens, none, flip))
+    part = F.aggregate(F.filter(tokens, lambda t: t.bitwiseAND(F.lit(192)) == 64 * word), none, flip)
+    return F.when(size > NARROW, part).otherwise(none if word else F.aggregate(tokens, none, flip))
 
 
 def _likely(percent: int) -> Column:
@@ -91,7 +91,7 @@ def _likely(percent: int) -> Column:
     n, m = F.col("x.n"), F.col("y.n")
     apart = _apart(n, m, percent)
     ok = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (bits(*_BITS) <= apart)
-    return ok & ((F.least(n, m) <= NARROW) | (bits("b0") + bits("b1") <= apart))
+    return ok & ((F.least(n, m) <= NARROW) | (bits("b0") + bits("b1") + bits("b2") + bits("b3") <= apart))
 
 
 def _xor(first: Column, *more: Column) -> Column:
