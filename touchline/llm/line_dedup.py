@@ -39,7 +39,7 @@ from .common import bounded, forget, numbered, packed, release, stored
 #: Counters of the token counts; a power of two. They are joined to each document as one array of bytes.
 COUNTERS = 1 << 17
 #: Passes of the join over slices of the tokens; how many of its tokens bring a line to early ones, and how many early lines a token has.
-PASSES, HEADS, EARLY = 3, 2, 24
+PASSES, HEADS, EARLY = 4, 2, 24
 #: Tables keyed by line or document are broadcast only up to so many rows.
 BROADCAST_ROWS = 300_000
 #: Lines of at most so many tokens have bitmaps of 64 bits, longer ones have 256.
