@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .evaluation import tracking
 from .functions import geometry
 from .operators import claims, integrity, merge, preparation
 from .queries import _r, _read, query
@@ -280,3 +281,103 @@ def registry_upserted(spark, sf_dir):
     old = _read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.min("c_acctbal").alias("v"))
     new = _read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.max("s_acctbal").alias("v"))
     return merge.registry_upsert(old, new, "k").select("k", "v")
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'exact' WHEN event_id % 3 = 0 THEN 'model_mapped' WHEN value > 50 THEN 'candidate' ELSE 'not_applicable' END AS status FROM events""")
+def statuses_mapped(spark, sf_dir):
+    """The strongest mapping of each row."""
+    k = F.col("event_id")
+    return _read(spark, sf_dir, "events").select("event_id", claims.mapping_status(k % 5 == 0, k % 3 == 0, F.col("value") > 50).alias("status"))
+
+
+@query("""
+SELECT event_type, count(*) AS rows, count(*) FILTER (event_id % 3 = 0) AS ok, CAST(sum(event_id % 3) AS BIGINT) AS errors, CAST(sum(user_id % 2) AS BIGINT) AS warnings FROM events GROUP BY event_type""")
+def severities_reported(spark, sf_dir):
+    """Errors and warnings by split."""
+    return integrity.severity_report(_read(spark, sf_dir, "events"), "event_type", F.col("event_id") % 3, F.col("user_id") % 2)
+
+
+@query("SELECT event_id FROM events WHERE event_id % 4 = 3")
+def citations_missing(spark, sf_dir):
+    """rows that cite what is not there."""
+    cited, known = F.array(F.col("user_id") % 3, F.col("event_id") % 4), F.array(*(F.lit(i).cast("long") for i in range(3)))
+    rows = _read(spark, sf_dir, "events").select("event_id", cited.alias("cited"), known.alias("known"))
+    return integrity.uncited(rows, "cited", "known").select("event_id")
+
+
+@query("""
+WITH h AS (SELECT DISTINCT l_orderkey AS o, l_linenumber % 3 AS tactic FROM lineitem WHERE l_tax > 0.02 AND l_discount * 1000 >= 50 AND least(l_quantity + 3, 30) > greatest(l_quantity, 10))
+SELECT o_orderkey, o_orderkey IN (SELECT l_orderkey FROM lineitem) AS covered, (o_orderkey, o_custkey % 3) IN (SELECT (o, tactic) FROM h) AS predicted FROM orders""")
+def claims_matched(spark, sf_dir):
+    """Claims that a run covers and supports with a span in their window."""
+    window = {"start_s": F.lit(10.0), "end_s": F.lit(30.0)}
+    asked = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("clip_uid"), (F.col("o_custkey") % 3).alias("tactic_id"), *(v.alias(k) for k, v in window.items()))
+    spans = F.array(F.struct(F.col("l_quantity").alias("start_s"), (F.col("l_quantity") + 3).alias("end_s")))
+    said = F.struct((F.col("l_linenumber") % 3).cast("long").alias("tactic_id"), F.when(F.col("l_tax") > 0.02, "present").otherwise("absent").alias("verdict"),
+                    (F.col("l_discount") * 1000).alias("confidence"), spans.alias("evidence_spans"))
+    runs = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("clip_uid")).agg(F.collect_list(said).alias("assessments"))
+    return claims.matched_claims(asked, runs, 50.0).select(F.col("clip_uid").alias("o_orderkey"), "covered", "predicted")
+
+
+@query("""
+WITH e AS (SELECT event_id // 10 AS image, value > 40 AS d, user_id % 2 = 0 AS ok, event_id % 3 > 0 AS t FROM events)
+SELECT image, count(*) FILTER (d AND t AND ok) AS tp, count(*) FILTER (d AND NOT (t AND ok)) AS fp, count(*) FILTER (t AND NOT (d AND ok)) AS fn FROM e WHERE d OR t GROUP BY image""")
+def lines_confused(spark, sf_dir):
+    """Line classes found, wrong and missed in each image."""
+    rows = _read(spark, sf_dir, "events").select(F.expr("event_id div 10").alias("image"), (F.col("event_id") % 10).alias("kind"), "event_id", "value", (F.col("user_id") % 2 == 0).alias("ok"))
+    return claims.class_confusion(rows.where("value > 40"), rows.where("event_id % 3 > 0"), "image", "kind", "ok")
+
+
+@query("""
+WITH e AS (SELECT event_id % 2 AS side, user_id % 4 AS seq, user_id AS id, event_id // 20 AS t, value AS l, (user_id % 20) * 5.0 AS u FROM events),
+n AS (SELECT side, seq, id, count(*) * 900.0 AS s FROM e GROUP BY ALL),
+m AS (SELECT a.seq, a.id AS a_id, b.id AS b_id, sum(greatest(0, 30 - abs(a.l - b.l)) * greatest(0, 30 - abs(a.u - b.u))) AS i FROM e a JOIN e b ON a.side = 0 AND b.side = 1 AND a.seq = b.seq AND a.t = b.t GROUP BY ALL)
+SELECT m.seq, a_id, b_id, round_even(i / (x.s + y.s - i), 6) AS iou FROM m JOIN n x ON x.side = 0 AND x.seq = m.seq AND x.id = a_id JOIN n y ON y.side = 1 AND y.seq = m.seq AND y.id = b_id""")
+def tracks_overlapping(spark, sf_dir):
+    """Overlap of whole tracks."""
+    u = (F.col("user_id") % 20) * 5.0
+    box = F.array(F.col("value"), u, F.col("value") + 30, u + 30)
+    rows = _read(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 4).alias("seq"), F.col("user_id").alias("id"), F.expr("event_id div 20").alias("t"), box.alias("box"))
+    out = tracking.track_overlap(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"))
+    return out.select("seq", "a_id", "b_id", _r("iou").alias("iou"))
+
+
+@query("""
+WITH e AS (SELECT user_id % 5 AS seq, sqrt((event_id % 4) ** 2 + (event_id % 3) ** 2) AS d FROM events WHERE event_id % 2 = 0)
+SELECT seq, round_even(avg(d), 6) AS distance, round_even(avg(exp(-d * d / (2 * 2.0427 * 2.0427))), 6) AS similarity FROM e GROUP BY seq""")
+def distances_on_pitch(spark, sf_dir):
+    """How far matched positions lie apart."""
+    e = _read(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("seq"), F.col("event_id").alias("t"), F.col("user_id").alias("id"), F.col("value").alias("x"), F.lit(0.0).alias("y"))
+    other = e.select("seq", "t", (F.col("id") + 1000).alias("id"), (F.col("x") + F.col("t") % 4).alias("x"), (F.col("t") % 3).cast("double").alias("y"))
+    matches = e.where("t % 2 = 0").select("seq", "t", F.col("id").alias("gt_id"), (F.col("id") + 1000).alias("tracker_id"))
+    return tracking.pitch_distance(matches, e, other).select("seq", _r("distance").alias("distance"), _r("similarity").alias("similarity"))
+
+
+@query("""
+WITH e AS (SELECT user_id % 5 AS seq, user_id, event_id, CASE WHEN event_id % 4 > 0 THEN event_id // 400 END AS k FROM events),
+l AS (SELECT seq, k = lag(k) OVER w AS same, lag(event_id) OVER w IS NOT NULL AS has FROM e WINDOW w AS (PARTITION BY seq, user_id ORDER BY event_id))
+SELECT seq, round_even(coalesce(count(*) FILTER (same AND has) / nullif(count(*) FILTER (has), 0), 1.0), 6) AS "FragA" FROM l GROUP BY seq""")
+def ids_kept(spark, sf_dir):
+    """The share of neighbouring frames that keep their tracker id."""
+    gt = _read(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("seq"), F.col("event_id").alias("t"), F.col("user_id").alias("gt_id"))
+    matches = gt.where("t % 4 > 0").withColumn("tracker_id", F.expr("t div 400"))
+    return tracking.fragmentation(matches, gt).select("seq", _r("FragA").alias("FragA"))
+
+
+@query("SELECT event_type, round_even(sum(value * (user_id % 2)) / greatest(1.0, sum(user_id % 2)), 6) AS mean FROM events GROUP BY event_type")
+def means_weighted(spark, sf_dir):
+    """Averages by weight."""
+    mean = tracking.weighted_average(F.col("value"), F.col("user_id") % 2)
+    return _read(spark, sf_dir, "events").groupBy("event_type").agg(_r(mean).alias("mean"))
+
+
+@query("""
+SELECT c_custkey, c_nationkey % 5 > 0 AS valid, CASE WHEN c_nationkey % 5 > 0 THEN round_even(-c_nationkey / 2, 6) END AS shift, CASE WHEN c_nationkey % 5 > 0 THEN round_even(1 / 3, 6) END AS scale FROM customer""")
+def cameras_inverted(spark, sf_dir):
+    """Valid homographies and their inverses."""
+    k = F.when(F.col("c_nationkey") % 5 > 0, F.col("c_nationkey").cast("double")).otherwise(float("nan"))
+    d = lambda *row: F.array(*(x if hasattr(x, "cast") else F.lit(float(x)) for x in row))
+    rows = _read(spark, sf_dir, "customer").select("c_custkey", F.array(d(2, 0, k), d(0, 3, 1), d(0, 0, 1)).alias("h"))
+    back = geometry.inverse(F.col("h"))
+    return rows.select("c_custkey", geometry.valid_matrix(F.col("h")).alias("valid"), _r(back[0][2]).alias("shift"), _r(back[1][1]).alias("scale"))
