@@ -1,4 +1,4 @@
-"""Detection scores: greedy matches, average precision, attribute accuracy."""
+"""Detection scores: greedy matches, average precision, attribute accuracy."""
 
 from __future__ import annotations
 

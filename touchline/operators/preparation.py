@@ -1,4 +1,4 @@
-"""What goes before evaluation and recognition: gates, ignore regions, distractors, look-ups and projections."""
+"""What goes before evaluation and recognition: gates, ignore regions, distractors, look-ups and projections."""
 
 from __future__ import annotations
 

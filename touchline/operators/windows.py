@@ -1,4 +1,4 @@
-"""Ordered operators: islands, sessions, trailing frames, paths."""
+"""Ordered operators: islands, sessions, trailing frames, paths."""
 
 from __future__ import annotations
 
