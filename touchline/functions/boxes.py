@@ -1,4 +1,4 @@
-"""Boxes as array<double> columns of four: conversions, clipping, overlap measures."""
+"""Boxes as array<double> columns of four: conversions, clipping, overlap measures."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Homographies, cameras and distances as column expressions."""
+"""Homographies, cameras and distances as column expressions."""
 
 from __future__ import annotations
 

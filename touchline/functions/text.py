@@ -1,4 +1,4 @@
-"""Labels, titles and replies as text columns."""
+"""Labels, titles and replies as text columns."""
 
 from __future__ import annotations
 
