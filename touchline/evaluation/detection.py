@@ -42,7 +42,7 @@ def greedy_matches(pairs: DataFrame, pred: DataFrame, thresholds: list[float]) -
 def average_precision(matches: DataFrame, scores: DataFrame, truths: int, levels: int = 101) -> DataFrame:
     """Per threshold the interpolated AP; scores(frame, pred_id, score)."""
     rows = matches.join(scores, ["frame", "pred_id"]).withColumn("tie", F.struct("frame", "pred_id")).withColumn("hit", F.col("gt_id").isNotNull())
-    curve = ranking.precision_recall(rows, "score", F.col("hit"), "tie", "threshold").withColumn("recall", F.col("tp") / F.lit(max(1, truths)))
+    curve = ranking.precision_recall(rows, "score", F.col("hit"), "tie", "threshold", "frame").withColumn("recall", F.col("tp") / F.lit(max(1, truths)))
     grid = F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))
     reach = curve.withColumn("level", F.floor(F.col("recall") * (levels - 1) + F.lit(1e-9)).cast("int")).groupBy("threshold", "level").agg(F.max("precision").alias("p"))
     full = matches.select("threshold").distinct().withColumn("at", grid)

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import frames as in_frames
+from ..operators import ordered
 from .assignment import assign
 
 ALPHAS = [round(0.05 * k, 2) for k in range(1, 20)]
@@ -116,45 +118,54 @@ def clear(sim: DataFrame, gt: DataFrame, pred: DataFrame, threshold: float = 0.5
     pairs = sim.select("seq", "t", F.lit("s").alias("kind"), "gt_id", "tracker_id", "sim")
     kind = dict(gt.dtypes)["seq"]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        tp = fn = fp = switches = 0
-        loc = 0.0
-        last, previous, count, matched, starts = {}, {}, {}, {}, {}
-        frames = 0
+    def step(state: dict, pdf: pd.DataFrame) -> None:
+        last, previous, count, matched, starts, sums = (state[k] for k in ("last", "previous", "count", "matched", "starts", "sums"))
+        state["seq"] = pdf["seq"].iloc[0]
         for _, f in pdf.groupby("t", sort=True):
-            frames += 1
+            sums["frames"] += 1
             g = np.sort(f.loc[f["kind"] == "g", "gt_id"].to_numpy(np.int64))
             p = np.sort(f.loc[f["kind"] == "p", "tracker_id"].to_numpy(np.int64))
             for x in g:
                 count[x] = count.get(x, 0) + 1
             if not len(g) or not len(p):
-                fp += len(p)
-                fn += len(g)
+                sums["fp"] += len(p)
+                sums["fn"] += len(g)
                 continue
             s = f[f["kind"] == "s"]
             m = np.zeros((len(g), len(p)))
             m[np.searchsorted(g, s["gt_id"].to_numpy(np.int64)), np.searchsorted(p, s["tracker_id"].to_numpy(np.int64))] = s["sim"]
-            score = m + 1000.0 * np.array([[previous.get(a) == b for b in p] for a in g])
-            score[m < threshold - _EPS] = 0
-            r, c = assign(-score)
-            ok = score[r, c] > _EPS
-            r, c = r[ok], c[ok]
-            now = {int(g[i]): int(p[j]) for i, j in zip(r, c, strict=True)}
-            switches += sum(a in last and last[a] != b for a, b in now.items())
+            may = m >= threshold - _EPS
+            held = np.array([[previous.get(a) == b for b in p] for a in g])
+            worth = np.where(may, m + 1000.0 * held, 0.0)  # a pair of the last frame outweighs every new one
+            r, c = assign(-worth)
+            good = worth[r, c] > _EPS
+            now = {int(g[i]): int(p[j]) for i, j in zip(r[good], c[good], strict=True)}
+            sums["idsw"] += sum(a in last and last[a] != b for a, b in now.items())
             for a in now:
                 matched[a] = matched.get(a, 0) + 1
                 starts[a] = starts.get(a, 0) + (a not in previous)
             last.update(now)
-            previous = now
-            tp, fn, fp, loc = tp + len(now), fn + len(g) - len(now), fp + len(p) - len(now), loc + float(m[r, c].sum())
-        share = [matched.get(a, 0) / n for a, n in count.items()]
+            previous.clear()
+            previous.update(now)
+            sums["tp"] += len(now)
+            sums["fn"] += len(g) - len(now)
+            sums["fp"] += len(p) - len(now)
+            sums["motp_sum"] += float(m[r[good], c[good]].sum())
+
+    def finish(state: dict) -> pd.DataFrame:
+        count, sums = state["count"], state["sums"]
+        share = [state["matched"].get(a, 0) / n for a, n in count.items()]
         mt, some = sum(x > 0.8 for x in share), sum(x >= 0.2 for x in share)
-        frag = sum(n - 1 for n in starts.values())
-        return pd.DataFrame([[pdf["seq"].iloc[0], tp, fn, fp, switches, mt, some - mt, len(count) - some, frag, loc, frames]], columns=names)
+        own = {"seq": state["seq"], "mt": mt, "pt": some - mt, "ml": len(count) - some, "frag": sum(n - 1 for n in state["starts"].values())}
+        return pd.DataFrame([own | sums])[names]
+
+    def start() -> dict:
+        return {k: {} for k in ("last", "previous", "count", "matched", "starts")} | {"sums": dict(tp=0, fn=0, fp=0, idsw=0, motp_sum=0.0, frames=0)}
 
     names = ["seq", "tp", "fn", "fp", "idsw", "mt", "pt", "ml", "frag", "motp_sum", "frames"]
     schema = f"seq {kind}, " + ", ".join(f"{n} {'double' if n == 'motp_sum' else 'long'}" for n in names[1:])
-    return final_clear(left.unionByName(right).unionByName(pairs).groupBy("seq").applyInPandas(fold, schema), ["seq"])
+    rows = left.unionByName(right).unionByName(pairs)
+    return final_clear(in_frames.fold(rows, "seq", "t", start, step, schema, finish), ["seq"])
 
 
 def final_clear(sums: DataFrame, keys: list[str]) -> DataFrame:
@@ -278,31 +289,29 @@ def accumulate(pairs: DataFrame, objects: DataFrame, hypotheses: DataFrame) -> D
         .unionByName(hypotheses.select("seq", "frame", null("long").alias("oid"), "hid", null("double").alias("distance")))
     )
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        seq, held, out = pdf["seq"].iloc[0], {}, []
+    def step(held: dict, pdf: pd.DataFrame) -> pd.DataFrame:
+        seq, out = pdf["seq"].iloc[0], []
         for frame, f in pdf.groupby("frame", sort=True):
             both = f[f["distance"].notna()]
             o = sorted(set(f["oid"].dropna().astype(int)))
             h = sorted(set(f["hid"].dropna().astype(int)))
             d = {(int(a), int(b)): float(c) for a, b, c in zip(both["oid"], both["hid"], both["distance"], strict=True)}
-            free_o, free_h = list(o), list(h)
-            for a in o:
-                b = held.get(a)
-                if b in free_h and (a, b) in d:
-                    out.append((seq, frame, "MATCH", a, b, d[a, b]))
-                    free_o.remove(a)
-                    free_h.remove(b)
+            met = {a: held[a] for a in o if held.get(a) in h and (a, held[a]) in d}
+            kept = {}
+            for a, b in met.items():  # the smaller object keeps a hypothesis that two held
+                if b not in kept.values():
+                    kept[a] = b
+            out += [(seq, frame, "MATCH", a, b, d[a, b]) for a, b in kept.items()]
+            free_o, free_h = [a for a in o if a not in kept], [b for b in h if b not in kept.values()]
             cost = np.array([[d.get((a, b), np.nan) for b in free_h] for a in free_o]).reshape(len(free_o), len(free_h))
-            for i, j in zip(*assign(cost), strict=True):
-                a, b = free_o[i], free_h[j]
-                out.append((seq, frame, "SWITCH" if a in held and held[a] != b else "MATCH", a, b, d[a, b]))
-                held[a] = b
-            taken = {(x[3], x[4]) for x in out if x[1] == frame}
-            out += [(seq, frame, "MISS", a, None, None) for a in o if a not in {x for x, _ in taken}]
-            out += [(seq, frame, "FP", None, b, None) for b in h if b not in {y for _, y in taken}]
+            fresh = {free_o[i]: free_h[j] for i, j in zip(*assign(cost), strict=True)}
+            out += [(seq, frame, "SWITCH" if a in held and held[a] != b else "MATCH", a, b, d[a, b]) for a, b in fresh.items()]
+            held.update(fresh)
+            out += [(seq, frame, "MISS", a, None, None) for a in free_o if a not in fresh]
+            out += [(seq, frame, "FP", None, b, None) for b in free_h if b not in fresh.values()]
         return pd.DataFrame(out, columns=["seq", "frame", "type", "oid", "hid", "distance"]).astype({"oid": "Int64", "hid": "Int64"})
 
-    return rows.groupBy("seq").applyInPandas(fold, f"seq {kind}, frame long, type string, oid long, hid long, distance double")
+    return in_frames.fold(rows, "seq", "frame", dict, step, f"seq {kind}, frame long, type string, oid long, hid long, distance double")
 
 
 def event_metrics(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -385,11 +394,8 @@ def keypoint_hota(sim: DataFrame, gt: DataFrame, pred: DataFrame) -> DataFrame:
 
 def global_hota(sim: DataFrame, gt: DataFrame, pred: DataFrame) -> DataFrame:
     """Ids that hold across sequences: frames are told apart by sequence, association is over all."""
-    from pyspark.sql import Window
-
     frames = gt.select("seq", "t").unionByName(pred.select("seq", "t")).distinct()
     last = frames.groupBy("seq").agg((F.max("t") + 1).alias("n"))
-    before = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    shift = last.select("seq", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    flat = lambda df: df.join(F.broadcast(shift), "seq").withColumn("t", F.col("t") + F.col("shift")).drop("shift").withColumn("seq", F.lit("all"))
+    shift = ordered.running(last, "seq", [], {"upto": F.col("n")}).select("seq", (F.col("upto") - F.col("n")).alias("shift"))
+    flat = lambda df: df.join(shift, "seq").withColumn("t", F.col("t") + F.col("shift")).drop("shift").withColumn("seq", F.lit("all"))
     return hota(flat(sim), flat(gt), flat(pred))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
+
 
 def upsert_merge(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Full outer alignment on the key; a value of the right wins unless it is null."""
@@ -104,11 +106,10 @@ def combined_classes(rows: DataFrame, keys: list[str], values: list[str]) -> Dat
 def rebased_events(events: DataFrame, sequence: str, frame: str, ids: list[str]) -> DataFrame:
     """Frames continue over sequences; ids become dense numbers of (sequence, id)."""
     frames = events.groupBy(sequence).agg((F.max(frame) + 1).alias("__n"))
-    before = Window.orderBy(sequence).rowsBetween(Window.unboundedPreceding, -1)
-    shift = frames.select(sequence, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
-    out = events.join(F.broadcast(shift), sequence).withColumn(frame, F.col(frame) + F.col("__shift")).drop("__shift")
+    shift = ordered.running(frames, sequence, [], {"__upto": F.col("__n")}).select(sequence, (F.col("__upto") - F.col("__n")).alias("__shift"))
+    out = events.join(shift, sequence).withColumn(frame, F.col(frame) + F.col("__shift")).drop("__shift")
     for c in ids:
         known = events.where(F.col(c).isNotNull()).select(sequence, c).distinct()
-        dense = known.withColumn("__new", F.row_number().over(Window.orderBy(sequence, c)) - 1)
+        dense = ordered.numbered(known, [sequence, c], "__new")
         out = out.join(dense, [sequence, c], "left").withColumn(c, F.col("__new")).drop("__new")
     return out

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
+
 
 def top_k(rows: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each group; adds ``rank``. Spark keeps only k rows of a group in each task."""
@@ -65,12 +67,14 @@ def shuffled_groups(rows: DataFrame, group: str, key: str, epoch: int, shards: i
     return rows.withColumn("position", place).withColumn("shard", F.pmod("position", F.lit(shards)))
 
 
-def precision_recall(rows: DataFrame, score: str, positive: Column, tie: str, group: str | None = None) -> DataFrame:
-    """Running precision and recall by falling score."""
-    part = Window.partitionBy(group) if group else Window.partitionBy()
-    w = part.orderBy(F.desc(score), F.asc(tie)).rowsBetween(Window.unboundedPreceding, 0)
-    hit = positive.cast("int")
-    out = rows.withColumn("tp", F.sum(hit).over(w)).withColumn("seen", F.count("*").over(w)).withColumn("positives", F.sum(hit).over(part))
+def precision_recall(rows: DataFrame, score: str, positive: Column, tie: str, group: str | None = None, spread: str | None = None) -> DataFrame:
+    """Running precision and recall by falling score, over ranges of the scores.
+
+    A score that many rows share is cut by ``spread``, a number that ``tie`` is ordered by first: ``tie`` itself where it is one.
+    """
+    numeric = dict(rows.dtypes)[tie].split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+    out = ordered.running(rows, score, [tie], {"tp": positive.cast("int"), "seen": F.lit(1)}, True, group, spread or (tie if numeric else None))
+    out = out.withColumnRenamed("tp_all", "positives").drop("seen_all")
     return out.withColumn("precision", F.col("tp") / F.col("seen")).withColumn("recall", F.col("tp") / F.col("positives"))
 
 
@@ -88,12 +92,21 @@ def interpolated_ap(curve: DataFrame, levels: int = 101) -> DataFrame:
     return per.select(F.coalesce(best, F.lit(0.0)).alias("p")).agg(F.avg("p").alias("ap"))
 
 
-def stepwise_ap(curve: DataFrame, order: list[Column]) -> DataFrame:
-    """Area under the monotone envelope of precision."""
-    back = Window.orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    here = Window.orderBy(*order)
-    env = curve.withColumn("__e", F.max("precision").over(back)).withColumn("__d", F.col("recall") - F.coalesce(F.lag("recall").over(here), F.lit(0.0)))
-    return env.agg(F.sum(F.col("__e") * F.col("__d")).alias("ap"))
+def stepwise_ap(curve: DataFrame) -> DataFrame:
+    """Area under the monotone envelope of precision. ``curve`` has recall and precision, as ``precision_recall`` gives them.
+
+    Precision only counts where recall rises, that is at the best point of each recall; the envelope over these is taken
+    along ranges of recall: within a range by a window, from the ranges beyond by their best.
+    """
+    steps = curve.where("recall > 0").groupBy("recall").agg(F.max("precision").alias("p"))
+    steps = steps.withColumn("__k", F.floor(F.col("recall") * ordered.RANGES))
+    here = Window.partitionBy("__k").orderBy("recall")
+    ends = steps.groupBy("__k").agg(F.max("p").alias("__p"), F.max("recall").alias("__r"))  # one row for each range
+    along = Window.orderBy("__k")
+    ends = ends.select(F.col("__k").alias("__at"), F.max("__p").over(along.rowsBetween(1, Window.unboundedFollowing)).alias("__beyond"), F.lag("__r").over(along).alias("__from"))
+    inside = steps.withColumn("__e", F.max("p").over(here.rowsBetween(0, Window.unboundedFollowing))).withColumn("__l", F.lag("recall").over(here))
+    rise = F.col("recall") - F.coalesce("__l", "__from", F.lit(0.0))
+    return inside.join(ends, F.expr("__k = __at")).agg(F.sum(F.greatest("__e", F.coalesce("__beyond", "__e")) * rise).alias("ap"))
 
 
 def diverse_slots(candidates: DataFrame, slot: str, team: str, edition: str, most: int = 6) -> DataFrame:
@@ -119,6 +132,16 @@ def diverse_slots(candidates: DataFrame, slot: str, team: str, edition: str, mos
 
 
 def skyline(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """Rows that no other row beats in both x and y."""
-    w = Window.orderBy(F.desc(x), F.desc(y)).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("__b", F.max(y).over(w)).where(F.col("__b").isNull() | (F.col(y) > F.col("__b"))).drop("__b")
+    """Rows that no other row beats in both x and y; of rows equal in both one stays.
+
+    The best y of each x comes first; then x is cut in ranges, and a range has to beat the best of all ranges beyond it.
+    """
+    names = [c for c in rows.columns if c not in (x, y)]
+    best = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x).agg(F.max_by(F.struct(y, *names), y).alias("__b")).select(x, "__b.*")
+    placed = ordered.ranged(best, x, "__k")
+    tops = placed.groupBy("__k").agg(F.max(y).alias("__t"))  # one row for each range
+    beyond = tops.select(F.col("__k").alias("__at"), F.max("__t").over(Window.orderBy(F.desc("__k")).rowsBetween(Window.unboundedPreceding, -1)).alias("__far"))
+    near = F.max(y).over(Window.partitionBy("__k").orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, -1))
+    met = placed.withColumn("__near", near).join(beyond, F.expr("__k = __at"))
+    top = F.greatest("__near", "__far")
+    return met.where(top.isNull() | (F.col(y) > top)).select(*rows.columns)

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
+
 
 def weighted_vote(rows: DataFrame, track: str, value: str, weight: str, pos: str) -> DataFrame:
     """Per track the value of the largest summed weight; the first seen wins a tie; null is a value."""
@@ -103,9 +105,12 @@ def merge_by_mode(rows: DataFrame, track: str, value: str, frame: str, extra: li
     several = modes.groupBy("__mode").agg(F.count("*").alias("n")).where("n > 1").select("__mode")
     whole = several.join(clash, "__mode", "left_anti").withColumn("__merge", F.lit(True))
     tracks = rows.select(track).distinct().join(modes, track, "left").join(whole, "__mode", "left")
-    group = F.struct(F.col("__merge").isNull().alias("a"), F.when(F.col("__merge"), F.col("__mode")).alias("b"), F.when(F.col("__merge").isNull(), F.col(track)).alias("c"))
-    numbered = tracks.withColumn("merged", F.dense_rank().over(Window.orderBy(group)))
-    return rows.join(numbered.select(track, "merged"), track)
+    merged = ordered.numbered(tracks.where("__merge").select("__mode").distinct(), ["__mode"], "merged", 1)
+    alone = ordered.numbered(tracks.where("__merge is null").select(track), [track], "merged", 1)
+    shift = merged.agg(F.coalesce(F.max("merged"), F.lit(0)).alias("__shift"))
+    alone = alone.join(F.broadcast(shift)).select(track, (F.col("merged") + F.col("__shift")).alias("merged"))  # one row
+    together = tracks.where("__merge").join(merged, "__mode").select(track, "merged")
+    return rows.join(together.unionByName(alone), track)
 
 
 def agglomerate(tracks: DataFrame, group: str, threshold: float) -> DataFrame:
@@ -119,22 +124,28 @@ def agglomerate(tracks: DataFrame, group: str, threshold: float) -> DataFrame:
         pdf = pdf.sort_values("track")
         items = [([int(t)], np.asarray(m, float), float(n), set(f)) for t, m, n, f in zip(pdf["track"], pdf["mean"], pdf["n"], pdf["frames"], strict=True) if m is not None]
         alone = [int(t) for t, m in zip(pdf["track"], pdf["mean"], strict=True) if m is None]
-        while len(items) > 1:
-            x = np.stack([m for _, m, _, _ in items])
-            norm = np.linalg.norm(x, axis=1)
-            norm[norm == 0] = np.inf
-            d = np.maximum(0, 1 - (x / norm[:, None]) @ (x / norm[:, None]).T)
-            best = None
-            for i in range(len(items)):
-                for j in range(i + 1, len(items)):
-                    if d[i, j] <= threshold and not items[i][3] & items[j][3] and (best is None or d[i, j] < best[0]):
-                        best = (d[i, j], i, j)
-            if best is None:
-                break
-            _, i, j = best
+        x = np.stack([m for _, m, _, _ in items]) if items else np.zeros((0, 1))
+        unit = x / np.where((norm := np.linalg.norm(x, axis=1)) == 0, np.inf, norm)[:, None]
+        far = np.full((len(items), len(items)), np.inf)  # distances of i < j, infinite where they may not merge
+
+        def measure(i: int, others: np.ndarray) -> None:
+            d = np.maximum(0, 1 - unit[others] @ unit[i])
+            ok = np.array([items[j] is not None and not items[i][3] & items[j][3] for j in others], bool)
+            d[~ok | (d > threshold)] = np.inf
+            far[np.minimum(i, others), np.maximum(i, others)] = d
+
+        for i in range(len(items) - 1):
+            measure(i, np.arange(i + 1, len(items)))
+        while len(items) and np.isfinite(far[(at := np.unravel_index(far.argmin(), far.shape))]):
+            i, j = map(int, at)
             (ta, ma, na, fa), (tb, mb, nb, fb) = items[i], items[j]
-            items[i] = (ta + tb, (ma * na + mb * nb) / (na + nb), na + nb, fa | fb)
-            del items[j]
+            mean = (ma * na + mb * nb) / (na + nb)
+            items[i], items[j] = (ta + tb, mean, na + nb, fa | fb), None
+            length = np.linalg.norm(mean)
+            unit[i] = mean / (length if length else np.inf)
+            far[j, :] = far[:, j] = np.inf
+            measure(i, np.delete(np.arange(len(items)), i))
+        items = [one for one in items if one is not None]
         rows = [(t, min(ts)) for ts, *_ in items for t in ts] + [(t, t) for t in alone]
         return pd.DataFrame({group: pdf[group].iloc[0], "track": [a for a, _ in rows], "merged": [b for _, b in rows]})
 
@@ -181,10 +192,8 @@ def dense_ids(rows: DataFrame, key: str, first_by: str | None = None) -> DataFra
     """
     if first_by:
         keys = rows.groupBy(key).agg(F.min(first_by).alias("__f"))
-        order = Window.orderBy("__f", key)
-    else:
-        keys, order = rows.select(key).distinct(), Window.orderBy(key)
-    return keys.select(key, (F.row_number().over(order) - 1).alias("dense_id"))
+        return ordered.numbered(keys, ["__f", key], "dense_id").select(key, "dense_id")
+    return ordered.numbered(rows.select(key).distinct(), [key], "dense_id")
 
 
 def sampled_videos(rows: DataFrame, video: str, n: int, seed: int = 2) -> DataFrame:

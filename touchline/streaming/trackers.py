@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..evaluation.assignment import assign
+from ..operators import frames
 
 #: (state, frame, ids, boxes, scores, features) to (detection, track) pairs; features has no columns where there are none.
 Step = Callable[[dict, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[tuple[int, int]]]
@@ -328,11 +329,10 @@ def track_batch(detections: DataFrame, tracker: str = "propagation", **options:
     that look at appearance, features (array<double> of one length)."""
     step = STEPS[tracker](**options)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = _fold(step, {}, pdf)
-        return pd.DataFrame([(pdf["video_id"].iloc[0], *r) for r in rows], columns=["video_id", "frame", "det_id", "track_id"])
+    def some(state: dict, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(pdf["video_id"].iloc[0], *r) for r in _fold(step, state, pdf)], columns=["video_id", "frame", "det_id", "track_id"])
 
-    return detections.select(*_columns(detections)).groupBy("video_id").applyInPandas(fold, OUTPUT)
+    return frames.fold(detections.select(*_columns(detections)), "video_id", "frame", dict, some, OUTPUT)
 
 
 def track_stream(detections: DataFrame, tracker: str = "propagation", **options: Any) -> DataFrame:
