@@ -717,11 +717,11 @@ def kmeans_two(spark, sf_dir):
 
 @query()
 def agglomerative_merge(spark, sf_dir):
-    """Closest pairs merged while their frames are disjoint."""
+    """Closest pairs merged while their frames are disjoint; each label is a video of three tracks."""
     e = _read(spark, sf_dir, "embeddings").withColumn("track", F.col("label").cast("long") * 10 + F.col("vec_id") % 3)
     m = tracklets.mean_vector(e, "track", "embedding", 64)
     n = e.groupBy("track").agg(F.count("*").alias("n"), F.collect_set("vec_id").alias("frames"))
-    return tracklets.agglomerate(m.join(n, "track").withColumn("video", F.lit("v")), "video", 0.3)
+    return tracklets.agglomerate(m.join(n, "track").withColumn("video", F.floor(F.col("track") / 10).cast("string")), "video", 0.3)
 
 
 def _boxes_by_frame(spark, sf_dir):
