@@ -488,3 +488,17 @@ def test_marginals_against_enumeration():
             total += w
             hit += w * np.array(tags)
         assert got[at] == pytest.approx(hit / total)
+
+
+def test_toxicity_with_fewer_toxic_documents_than_a_marker_asks_for(spark):
+    plain = "the team ran a long way down the river and came home late in the rain".split()
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(plain, k=30)) for _ in range(60)]
+    for k in range(3):
+        words = texts[k].split()
+        words[9:9] = ["you", "vile", "scumbag"]
+        texts[k] = " ".join(words)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 3)) for k in range(60)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert min(got[k] for k in range(3)) > max(got[k] for k in range(3, 60))

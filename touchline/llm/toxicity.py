@@ -12,7 +12,8 @@ function fitted on the same sample; runs of tokens with a marginal of a half or
 offending offsets, counted in characters.
 
 Defined results: a null, empty or wordless text scores 0 and has no offsets; a null doc_id counts as
-the text ''; without toxic labels every score is 0; an empty table gives an empty result; other
+the text ''; without toxic labels every score is 0; repeated rows are scored each on its own, and equal texts score alike; one text of
+any length is scored whole, in a slice of its own; an empty table gives an empty result; other
 columns are ignored or carried, whatever their names.
 """
 
@@ -32,8 +33,8 @@ from .common import bytes_of, sliced
 _U = np.uint64
 #: At most so many labelled rows of either kind are used to fit.
 FIT_TOXIC, FIT_CLEAN = 3_000, 6_000
-#: Hashed weights; segment length in tokens; segments taken from one document at most.
-DIM, SEGMENT, PER_DOC = 1 << 18, 15, 6
+#: Hashed weights; segment length in tokens; segments that a toxic and a clean document of the sample give at most.
+DIM, SEGMENT, PER_TOXIC, PER_CLEAN = 1 << 18, 15, 6, 3
 #: Lengths in bytes of the word beginnings that are features and may be markers.
 BEGINNINGS = (4, 5, 6, 7, 8, 9)
 #: A marker stands in so many toxic documents and after so many different words at least.
@@ -189,12 +190,20 @@ def fit_field(x: np.ndarray, y: np.ndarray, mask: np.ndarray, steps: int = 100,
     return Field(w.astype(np.float32), moves)
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = FIT_TOXIC, clean_rows: int = FIT_CLEAN, label: str = "toxic") -> Field:
-    """Fit on at most ``toxic_rows`` and ``clean_rows`` labelled documents, those whose ids hash lowest."""
+def fit(
+    docs: DataFrame, labels: DataFrame, toxic_rows: int = FIT_TOXIC, clean_rows: int = FIT_CLEAN, label: str = "toxic",
+    per_toxic: int = PER_TOXIC, per_clean: int = PER_CLEAN, least: int = LEAST,
+) -> Field:
+    """Fit on at most ``toxic_rows`` and ``clean_rows`` labelled documents, those whose ids hash lowest.
+
+    ``per_toxic`` and ``per_clean`` bound the segments of one document of that sample, ``least`` is the fewest toxic
+    documents that a marker stands in, and words that it follows; with fewer toxic documents in the sample, one of each is enough.
+    """
     rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     pick = lambda y, n: rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = pick(1, toxic_rows).unionByName(pick(0, clean_rows))
+    least = least if min(counts.get(1, 0), toxic_rows) >= least else 1
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text").where("text is not null").distinct().cache()
 
     def mark(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -206,8 +215,9 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = FIT_TOXIC, clean_r
         yield pa.record_batch({"marker": pa.array(values[keep].view(np.int64)), "y": pa.array(y[keep].astype(np.int32))})
 
     counted = texts.mapInArrow(sliced(mark), "marker long, y int").groupBy("marker").agg(F.sum("y").alias("bad"), F.count("*").alias("all"))
-    good = counted.where((F.col("bad") >= LEAST) & (F.col("all") - F.col("bad") <= 0.1 * F.col("bad")))
-    rows_ = good.orderBy(F.desc("bad"), "marker").limit(20_000).select("marker").toArrow()
+    # the markers of a bounded sample of texts; all of them go on, so that copies of a few texts can't crowd others out
+    good = counted.where((F.col("bad") >= least) & (F.col("all") - F.col("bad") <= 0.1 * F.col("bad")))
+    rows_ = good.select("marker").toArrow()
     candidates = np.sort(rows_.column("marker").to_numpy().view(_U)) if rows_.num_rows else np.zeros(0, _U)
 
     def hit(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -218,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = FIT_TOXIC, clean_r
         yield pa.record_batch({"marker": pa.array(m[at, k].view(np.int64)), "before": pa.array(before[at].view(np.int64))})
 
     met = texts.where("y = 1").mapInArrow(sliced(hit), "marker long, before long").groupBy("marker").agg(F.countDistinct("before").alias("n"))
-    marks = met.where(F.col("n") >= LEAST).select("marker").toArrow() if len(candidates) else None
+    marks = met.where(F.col("n") >= least).select("marker").toArrow() if len(candidates) else None
     picked = np.sort(marks.column("marker").to_numpy().view(_U)) if marks is not None and marks.num_rows else np.zeros(0, _U)
 
     def segment(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -231,9 +241,9 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = FIT_TOXIC, clean_r
             a, b = np.searchsorted(t.docs, [d, d + 1])
             if a == b:
                 continue
-            centres = np.flatnonzero(bad[a:b]) if y[d] else np.linspace(0, b - a - 1, 3).astype(int)
-            if len(centres) > PER_DOC:
-                centres = centres[np.linspace(0, len(centres) - 1, PER_DOC).astype(int)]
+            centres = np.flatnonzero(bad[a:b]) if y[d] else np.linspace(0, b - a - 1, per_clean).astype(int)
+            if y[d] and len(centres) > per_toxic:
+                centres = centres[np.linspace(0, len(centres) - 1, per_toxic).astype(int)]
             for c in centres:
                 lo = max(a, min(a + c - SEGMENT // 2, b - SEGMENT))
                 n = min(SEGMENT, b - lo)
