@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, divergence, embedding_dedup, html_extract, line_dedup, minhash_dedup, mixing, quality, suffix_dedup, token_counts, toxicity
+from . import decontaminate, divergence, embedding_dedup, html_extract, lexical_search, line_dedup, minhash_dedup, mixing, quality, suffix_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -133,6 +133,23 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS IN
 """
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS t FROM documents),
+n AS (SELECT id, doc_id, len(t) AS n FROM d WHERE len(t) > 0), s AS (SELECT count(*) AS n_docs, sum(n) AS n_terms FROM n),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM benchmark) GROUP BY ALL),
+p AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(t) AS term FROM d) SEMI JOIN q USING (term) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term, n_docs),
+i AS (SELECT id, doc_id, term, (1000000000 * tf) // (1000 * tf + 12 * (75 + CAST((25 * n * n_docs) // n_terms AS BIGINT))) AS imp FROM p JOIN n USING (id), s),
+c AS (SELECT item_id, id, doc_id, CAST(sum(w * times * imp) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN i USING (term) GROUP BY ALL),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM c WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_dedup": op1_embedding_dedup,
@@ -146,8 +163,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality": op9_quality,
         "op10_toxicity": op10_toxicity,
         "op11_divergence": op11_divergence,
+        "op13_lexical_search": op13_lexical_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": OP1_SQL, "op2_line_dedup": OP2_SQL, "op7_decontamination": OP7_SQL, "op8_minhash_dedup": OP8_SQL, "op11_divergence": OP11_SQL}
+    return {"op1_embedding_dedup": OP1_SQL, "op2_line_dedup": OP2_SQL, "op7_decontamination": OP7_SQL, "op8_minhash_dedup": OP8_SQL, "op11_divergence": OP11_SQL, "op13_lexical_search": OP13_SQL}
