@@ -61,6 +61,11 @@ def run_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def spaces(data: np.ndarray) -> np.ndarray:
+    """Where 0x20 and 0x09-0x0D stand."""
+    return _SPACE[data]
+
+
 def space_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, document) of the maximal runs without 0x20 and 0x09-0x0D; none crosses texts."""
     return _runs(~_SPACE[data], offsets)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, divergence, embedding_dedup, html_extract, lexical_search, line_dedup, minhash_dedup, mixing, quality, suffix_dedup, token_counts, toxicity
+from . import decontaminate, divergence, embedding_dedup, hidden_markov, html_extract, lexical_search, line_dedup, minhash_dedup, mixing, quality, suffix_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -133,6 +133,10 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS IN
 """
 
 
+def op12_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov.score(table(spark, sf_dir, "documents"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -163,6 +167,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality": op9_quality,
         "op10_toxicity": op10_toxicity,
         "op11_divergence": op11_divergence,
+        "op12_hidden_markov": op12_hidden_markov,
         "op13_lexical_search": op13_lexical_search,
     }
 
