@@ -1,4 +1,4 @@
-"""Masks as run lengths: decode, areas, overlaps, boxes, components.
+"""Masks as run lengths: areas, overlaps, boxes, connected parts, cleaning.
 
 A mask is the uncompressed run-length string of its pixels column by column: blank-separated counts
 that begin with the background. Work on pixels is numpy inside Arrow batches.
@@ -47,30 +47,133 @@ def area(rle: Column) -> Column:
     return F.aggregate(odd, F.lit(0).cast("long"), lambda s, c: s + c.cast("long"))
 
 
+def spans(rle: str, pixels: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """First and one past last pixel of each foreground run, cut at ``pixels``."""
+    ends = np.cumsum(np.array(rle.split(), np.int64))
+    begins, ends = ends[:-1:2], ends[1::2]
+    if pixels is not None:
+        begins, ends = np.minimum(begins, pixels), np.minimum(ends, pixels)
+    some = ends > begins
+    return begins[some], ends[some]
+
+
+def common_pixels(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
+    """Pixels in runs of both: for each end of a run of a, how much of b lies before it."""
+    if not len(a[0]) or not len(b[0]):
+        return 0
+    before = np.concatenate([[0], np.cumsum(b[1] - b[0])])
+
+    def upto(x: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(b[0], x, side="right")
+        last = np.maximum(k - 1, 0)
+        return np.where(k > 0, before[last] + np.minimum(x, b[1][last]) - b[0][last], 0)
+
+    return int((upto(a[1]) - upto(a[0])).sum())
+
+
 @F.pandas_udf(T.DoubleType())
 def mask_iou(a: pd.Series, b: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
-    """Intersection over union; two empty masks give 0."""
+    """Intersection over union from run lengths; two empty masks give 0, a null mask null."""
 
-    def one(x: str, y: str, m: int, n: int) -> float | None:
+    def one(x: str, y: str, pixels: int) -> float | None:
         if x is None or y is None:
             return None
-        p, q = decode(x, int(m), int(n)), decode(y, int(m), int(n))
-        union = int((p | q).sum())
-        return float((p & q).sum() / union) if union else 0.0
+        p, q = spans(x, pixels), spans(y, pixels)
+        common = common_pixels(p, q)
+        union = int((p[1] - p[0]).sum() + (q[1] - q[0]).sum()) - common
+        return common / union if union else 0.0
 
-    return pd.Series([one(*v) for v in zip(a, b, h, w, strict=True)], dtype="float64")
+    return pd.Series([one(x, y, int(m) * int(n)) for x, y, m, n in zip(a, b, h, w, strict=True)], dtype="float64")
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def box_of_mask(rle: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
-    """First and last true row and column as ltrb; an empty mask gives null."""
+    """First and last true row and column as ltrb, from run lengths; an empty mask gives null."""
 
     def one(x: str, m: int, n: int):
-        mask = decode(x, int(m), int(n)) if x is not None else np.zeros((0, 0), bool)
-        rows, columns = np.flatnonzero(mask.any(1)), np.flatnonzero(mask.any(0))
-        return [float(columns[0]), float(rows[0]), float(columns[-1]), float(rows[-1])] if len(rows) else None
-
-    return pd.Series([one(*v) for v in zip(rle, h, w, strict=True)])
+        begins, ends = spans(x, m * n) if x is not None else (np.zeros(0, int),) * 2
+        if not len(begins):
+            return None
+        ends = ends - 1
+        several = (begins // m != ends // m).any()  # a run over the end of a column holds a last and a first row
+        rows = (0, m - 1) if several else ((begins % m).min(), (ends % m).max())
+        return [float(begins[0] // m), float(rows[0]), float(ends[-1] // m), float(rows[1])]
+
+    return pd.Series([one(x, int(m), int(n)) for x, m, n in zip(rle, h, w, strict=True)])
+
+
+def column_runs(rle: str, h: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(column, first row, one past last row) of each run, runs over the end of a column cut there."""
+    begins, ends = spans(rle, h * w)
+    parts = (ends - 1) // h - begins // h + 1
+    run = np.repeat(np.arange(len(begins)), parts)
+    column = begins[run] // h + np.arange(len(run)) - np.repeat(np.cumsum(parts) - parts, parts)
+    return column, np.maximum(begins[run], column * h) - column * h, np.minimum(ends[run], (column + 1) * h) - column * h
+
+
+def pieces(rle: str, h: int, w: int, corners: bool = True) -> list[int]:
+    """Sizes of connected parts, largest first; runs of neighbouring columns that touch are one part, at corners too if asked."""
+    column, top, end = column_runs(rle, h, w)
+    parent = list(range(len(column)))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    reach = 1 if corners else 0
+    first = np.searchsorted(column, np.arange(w + 1))
+    for c in range(1, w):
+        i, j = first[c - 1], first[c]
+        while i < first[c] and j < first[c + 1]:
+            if top[i] < end[j] + reach and top[j] < end[i] + reach:
+                parent[root(i)] = root(j)
+            if end[i] < end[j]:
+                i += 1
+            else:
+                j += 1
+    sizes: dict[int, int] = {}
+    for k in range(len(column)):
+        sizes[root(k)] = sizes.get(root(k), 0) + int(end[k] - top[k])
+    return sorted(sizes.values(), reverse=True)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def piece_sizes(rle: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
+    """Sizes of the 8-connected parts of each mask, largest first."""
+    return pd.Series([None if x is None else pieces(x, int(m), int(n)) for x, m, n in zip(rle, h, w, strict=True)])
+
+
+def _disc(size: int) -> list[tuple[int, int]]:
+    """Offsets of an elliptic kernel of odd ``size``: in each row as far as the rounded ellipse reaches."""
+    r = size // 2
+    reach = [round(r * float(np.sqrt(max(r * r - d * d, 0))) / r) if r else 0 for d in range(-r, r + 1)]
+    return [(y - r, x) for y, n in enumerate(reach) for x in range(-n, n + 1)]
+
+
+def cleaned(mask: np.ndarray, size: int = 5) -> np.ndarray:
+    """Opening, then closing by an elliptic kernel; beyond the image nothing is worn away and nothing grows in."""
+    r, kernel = size // 2, _disc(size)
+    rows, columns = np.flatnonzero(mask.any(1)), np.flatnonzero(mask.any(0))
+    out = np.zeros_like(mask)
+    if not len(rows):
+        return out
+    part = (slice(max(rows[0] - 2 * size, 0), rows[-1] + 2 * size + 1), slice(max(columns[0] - 2 * size, 0), columns[-1] + 2 * size + 1))
+
+    def swept(m: np.ndarray, grow: bool) -> np.ndarray:
+        p = np.pad(m, r, constant_values=not grow)
+        found = np.full(m.shape, not grow)
+        for y, x in kernel:
+            shifted = p[r + y : r + y + m.shape[0], r + x : r + x + m.shape[1]]
+            found = found | shifted if grow else found & shifted
+        return found
+
+    small = mask[part]
+    for grow in (False, True, True, False):
+        small = swept(small, grow)
+    out[part] = small
+    return out
 
 
 def component_sizes(mask: np.ndarray) -> list[int]:
