@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from touchline.streaming import flows, trackers
+from touchline.streaming import flows, moving, trackers
 
 SCHEMA = "video_id string, frame long, det_id long, box array<double>, score double"
 
@@ -76,3 +78,76 @@ def test_windows_of_frames(spark):
     df = spark.range(10).select(flows.event_time(F.col("id"), 10.0).alias("at"), F.lit("a").alias("k"), F.lit(1.0).alias("v"))
     got = flows.windowed_counts(df, "at", ["k"], "v").orderBy("start").collect()
     assert [r["n"] for r in got] == [5, 10, 5]
+
+
+# A moving camera
+
+
+def panned(pan=60.0, still=False):
+    """Three walkers under a camera that pans by ``pan`` a frame, after a zoom at frame 6; (detections, motion)."""
+    rows, motion, at = [], [], np.array([[1.0, 0, 0], [0, 1, 0]])
+    for f in range(14):
+        warp = np.array([[1.0, 0, -pan], [0, 1, 0]]) if f != 6 else np.array([[1.2, 0, -pan], [0, 1.2, 5]])
+        if f and not still:
+            at = warp @ np.vstack([at, [0, 0, 1]])
+        motion.append(("v", f, (warp if f and not still else np.array([[1.0, 0, 0], [0, 1, 0]])).ravel().tolist()))
+        for k in range(3):
+            if f == 9 or (k == 1 and f in (4, 5)):
+                continue  # a frame without detections, an object out of sight
+            corners = np.array([[200.0 * k + 3 * f, 40], [200.0 * k + 3 * f + 30, 120]]) @ at[:, :2].T + at[:, 2]
+            rows.append(("v", f, 10 * f + k, corners.ravel().tolist(), 0.9 if k < 2 or f % 4 else 0.55, [float(k == 0), float(k == 1), float(k == 2), 0.1]))
+    return rows, motion
+
+
+MOVING = ["propagation", "two_stage", "observation_centric", "appearance", "camera", "deep_observation_centric"]
+
+
+@pytest.mark.parametrize("name", MOVING)
+def test_motion_keeps_identities(spark, name):
+    rows, motion = panned()
+    schema = SCHEMA + ", features array<double>"
+    plain = name in ("propagation", "two_stage", "observation_centric")
+    df = spark.createDataFrame([r[:5] for r in rows] if plain else rows, SCHEMA if plain else schema)
+    both = moving.with_motion(df, spark.createDataFrame(motion, "video_id string, frame long, warp array<double>"))
+    options = {"decay": 0.9, "least_iou": 0.3} if name == "propagation" else {}
+    got = by_track(trackers.track_batch(both.repartition(4), name, **options).collect())
+    assert len(got) == 3 and all(len(set(v)) == 1 for v in got.values()), (name, got)
+    if plain:
+        assert len(by_track(trackers.track_batch(df, name, **options).collect())) > 3
+
+
+@pytest.mark.parametrize("name", MOVING)
+def test_no_motion_changes_nothing(spark, name):
+    rows, motion = panned(still=True)
+    df = spark.createDataFrame(rows, SCHEMA + ", features array<double>")
+    both = moving.with_motion(df, spark.createDataFrame(motion, "video_id string, frame long, warp array<double>").where("frame <> 9"))
+    want = sorted(map(tuple, trackers.track_batch(df, name).collect()))
+    assert want and sorted(map(tuple, trackers.track_batch(both, name).collect())) == want
+
+
+def test_camera_tracker_without_motion_or_features_follows_as_two_stages_do(spark):
+    df = spark.createDataFrame(frames(), SCHEMA)
+    assert by_track(trackers.track_batch(df, "camera").orderBy("frame").collect()) == by_track(trackers.track_batch(df, "two_stage").orderBy("frame").collect())
+
+
+@pytest.mark.parametrize("name", ["camera", "deep_observation_centric"])
+def test_motion_in_a_stream_gives_what_the_batch_gives(spark, tmp_path, name):
+    rows, motion = panned()
+    both = moving.with_motion(spark.createDataFrame(rows, SCHEMA + ", features array<double>"), spark.createDataFrame(motion, "video_id string, frame long, warp array<double>")).cache()
+    for k in range(4):
+        both.where((F.col("frame") >= 4 * k) & (F.col("frame") < 4 * k + 4)).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = spark.readStream.schema(both.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    q = trackers.track_stream(stream, name).writeStream.format("memory").queryName(f"moved_{name}").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert sorted(map(tuple, spark.table(f"moved_{name}").collect())) == sorted(map(tuple, trackers.track_batch(both, name).collect()))
+
+
+def test_appearance_counts_less_where_it_tells_nothing_apart():
+    c = np.array([[0.9, 0.1], [0.8, 0.8]])
+    # rows: second over best 1/9 and 1; columns: 8/9 and 1/8; only what exceeds a half weighs down
+    column = [1 - (8 / 9 - 0.5) / 0.5, 1.0]
+    want = np.array([[0.9 * column[0], 0.1], [0.0, 0.0]])
+    assert np.allclose(moving._weighed(c, 1.0, 0.5), want)

@@ -553,8 +553,11 @@ def json_props(spark, sf_dir):
 
 
 def _tracking_tables(spark, sf_dir):
-    """Clicks are the truth, other events of the same hour the predictions; similarity falls with the difference of values."""
-    e = _read(spark, sf_dir, "events").withColumn("t", F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600)).withColumn("seq", (F.col("t") % 4).cast("string"))
+    """Clicks are the truth, other events of the same hour the predictions; similarity falls with the difference of values.
+
+    A day of a block of users is a sequence.
+    """
+    e = _read(spark, sf_dir, "events").withColumn("t", F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600)).withColumn("seq", F.concat_ws("-", F.expr("t div 24"), F.expr("user_id div 50")))
     g = e.where("event_type in ('click', 'view')").groupBy("seq", "t", (F.col("user_id") % 12).alias("gt_id")).agg(F.min("value").alias("a"))
     p = e.where("event_type in ('purchase', 'error')").groupBy("seq", "t", (F.col("user_id") % 12).alias("tracker_id")).agg(F.min("value").alias("b"))
     sim = g.join(p, ["seq", "t"]).select("seq", "t", "gt_id", "tracker_id", F.greatest(F.lit(0.0), 1 - F.abs(F.col("a") - F.col("b")) / 40).alias("sim")).where("sim > 0")
@@ -562,7 +565,7 @@ def _tracking_tables(spark, sf_dir):
 
 
 _TRACKS = """
-WITH e AS (SELECT *, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS t, CAST(CAST(floor(epoch(ts) / 3600) AS BIGINT) % 4 AS VARCHAR) AS seq FROM events),
+WITH e AS (SELECT *, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS t, concat(CAST(floor(epoch(ts) / 3600) AS BIGINT) // 24, '-', user_id // 50) AS seq FROM events),
 g AS (SELECT seq, t, user_id % 12 AS gt_id, min(value) AS a FROM e WHERE event_type IN ('click', 'view') GROUP BY ALL), p AS (SELECT seq, t, user_id % 12 AS tracker_id, min(value) AS b FROM e WHERE event_type IN ('purchase', 'error') GROUP BY ALL),
 sim AS (SELECT seq, t, gt_id, tracker_id, greatest(0, 1 - abs(a - b) / 40) AS sim FROM g JOIN p USING (seq, t) WHERE 1 - abs(a - b) / 40 > 0)
 """
@@ -727,7 +730,7 @@ def agglomerative_merge(spark, sf_dir):
 def _boxes_by_frame(spark, sf_dir):
     e = _read(spark, sf_dir, "events").withColumn("t", F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600))
     box = F.array(F.col("value"), (F.col("user_id") % 20) * 5.0, F.col("value") + 30, (F.col("user_id") % 20) * 5.0 + 30)
-    return e.select((F.col("user_id") % 4).cast("string").alias("video_id"), F.col("t").alias("frame"), F.col("event_id").alias("det_id"), box.alias("box"), (F.col("value") / 100).alias("score"))
+    return e.select(F.expr("user_id div 10").cast("string").alias("video_id"), F.col("t").alias("frame"), F.col("event_id").alias("det_id"), box.alias("box"), (F.col("value") / 100).alias("score"))
 
 
 @query()
@@ -752,7 +755,7 @@ def _positions(spark, sf_dir):
     k = F.pmod(F.xxhash64("l_orderkey", "l_partkey", "l_suppkey"), F.lit(22))
     role = F.when(k == 21, "ball").when(k.isin(9, 19), "goalkeeper").otherwise("player")
     return rows.select(
-        (F.col("l_orderkey") % 97).cast("string").alias("clip"), (F.col("l_orderkey") % 50).alias("frame"), k.alias("track_id"), F.when(k < 10, "left").when(k < 20, "right").alias("team"),
+        F.expr("l_orderkey div 150").cast("string").alias("clip"), (F.col("l_orderkey") % 50).alias("frame"), k.alias("track_id"), F.when(k < 10, "left").when(k < 20, "right").alias("team"),
         role.alias("role"), k.cast("int").alias("jersey_number"), (F.col("l_quantity") * 2 - 50).alias("x"), (F.col("l_discount") * 600 - 30).alias("y"), F.col("l_linenumber").alias("pos"),
     )
 

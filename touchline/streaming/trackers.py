@@ -37,6 +37,7 @@ def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Kalman:
     """Constant velocity for (x, y, aspect, height); noise in shares of the height."""
 
+    #: Shares of the height: fixed values.
     POSITION, VELOCITY = 1 / 20, 1 / 160
 
     @staticmethod
@@ -72,6 +73,27 @@ class Kalman:
         return np.einsum("ij,ij->i", d, np.linalg.solve(s, d.T).T)
 
 
+def moved_boxes(boxes: np.ndarray, warp: np.ndarray) -> np.ndarray:
+    """ltrb rows with both corners taken through an affine motion (2 x 3)."""
+    corners = boxes.reshape(-1, 2) @ warp[:, :2].T + warp[:, 2]
+    return corners.reshape(-1, 4)
+
+
+def _advanced(state: dict, t: dict, predict: bool = True) -> None:
+    """A track's next state, under the frame's camera motion if there is one: heights grow with the square root of the area."""
+    if predict:
+        t["mean"], t["cov"] = Kalman.predict(t["mean"], t["cov"])
+    if state.get("warp") is not None:
+        turn = state["warp"][:, :2]
+        big = np.kron(np.eye(4), np.zeros((2, 2)))
+        for k in (0, 4):
+            big[k : k + 2, k : k + 2] = turn
+            big[k + 2, k + 2], big[k + 3, k + 3] = 1, np.sqrt(abs(np.linalg.det(turn)))
+        t["mean"] = big @ t["mean"]
+        t["mean"][:2] += state["warp"][:, 2]
+        t["cov"] = big @ t["cov"] @ big.T
+
+
 def _measure(boxes: np.ndarray) -> np.ndarray:
     w, h = boxes[:, 2] - boxes[:, 0], np.maximum(boxes[:, 3] - boxes[:, 1], 1e-6)
     return np.column_stack([(boxes[:, 0] + boxes[:, 2]) / 2, (boxes[:, 1] + boxes[:, 3]) / 2, w / h, h])
@@ -87,6 +109,8 @@ def propagation(least_iou: float = 0.5, decay: float = 0.1, most_age: int = 7) -
 
     def step(state: dict, frame: int, ids: np.ndarray, boxes: np.ndarray, scores: np.ndarray, features: np.ndarray) -> list[tuple[int, int]]:
         tracks = {k: t for k, t in state.setdefault("tracks", {}).items() if frame - t[1] <= most_age}
+        if state.get("warp") is not None:
+            tracks = {k: (moved_boxes(b[None], state["warp"])[0], f) for k, (b, f) in tracks.items()}
         names = sorted(tracks)
         out, used = [], {}
         if names and len(ids):
@@ -126,7 +150,7 @@ def two_stage(high: float = 0.5, low: float = 0.1, first_cost: float = 0.8, seco
     def step(state: dict, frame: int, ids: np.ndarray, boxes: np.ndarray, scores: np.ndarray, features: np.ndarray) -> list[tuple[int, int]]:
         tracks: list[dict] = state.setdefault("list", [])
         for t in tracks:
-            t["mean"], t["cov"] = Kalman.predict(t["mean"], t["cov"])
+            _advanced(state, t)
         z, out = _measure(boxes), []
 
         def seen(t: dict, j: int) -> None:
@@ -182,7 +206,9 @@ def observation_centric(least_score: float = 0.5, least_iou: float = 0.3, inerti
     def step(state: dict, frame: int, ids: np.ndarray, boxes: np.ndarray, scores: np.ndarray, features: np.ndarray) -> list[tuple[int, int]]:
         tracks: list[dict] = state.setdefault("list", [])
         for t in tracks:
-            t["mean"], t["cov"] = Kalman.predict(t["mean"], t["cov"])
+            _advanced(state, t)
+            if state.get("warp") is not None:
+                t["seen"] = {f: moved_boxes(b[None], state["warp"])[0] for f, b in t["seen"].items()}
         use = np.flatnonzero(scores >= least_score)
         z, out, free_t, free_d = _measure(boxes), [], list(range(len(tracks))), list(use)
 
@@ -232,8 +258,7 @@ def appearance(most_cosine: float = 0.3, least_iou: float = 0.3, momentum: float
     def step(state: dict, frame: int, ids: np.ndarray, boxes: np.ndarray, scores: np.ndarray, features: np.ndarray) -> list[tuple[int, int]]:
         tracks: list[dict] = state.setdefault("list", [])
         for t in tracks:
-            if frame - t["last"] <= blind:
-                t["mean"], t["cov"] = Kalman.predict(t["mean"], t["cov"])
+            _advanced(state, t, frame - t["last"] <= blind)
         norm = np.linalg.norm(features, axis=1, keepdims=True)
         unit = features / np.where(norm > 0, norm, 1)
         z, out, free_t, free_d = _measure(boxes), [], list(range(len(tracks))), list(range(len(ids)))
@@ -307,27 +332,43 @@ STEPS: dict[str, Callable[..., Step]] = {
 }
 
 
+def _step(tracker: str, options: dict) -> Step:
+    from . import moving  # noqa: F401  registers its trackers
+
+    return STEPS[tracker](**options)
+
+
 def _fold(step: Step, state: dict, pdf: pd.DataFrame) -> list[tuple[int, int, int]]:
     rows = []
     for frame, f in pdf.sort_values(["frame", "det_id"], kind="stable").groupby("frame", sort=True):
         if frame <= state.get("frame", -1):
             continue  # late
-        state.setdefault("first", frame)
         state["frame"] = int(frame)
+        if "warp" in f:  # rows without a detection bring the motion of the camera
+            found = [w for w in f["warp"] if w is not None]
+            state["warp"] = np.array(found[0], float).reshape(2, 3) if found else None
+            f = f[f["det_id"].notna()]
+        if len(f):
+            state.setdefault("first", int(frame))
+        elif "first" not in state:
+            continue
         boxes = np.array(f["box"].tolist(), float).reshape(-1, 4)
-        features = np.array(f["features"].tolist(), float).reshape(len(f), -1) if "features" in f else np.zeros((len(f), 0))
-        rows += [(int(frame), d, t) for d, t in step(state, int(frame), f["det_id"].to_numpy(), boxes, f["score"].to_numpy(float), features)]
+        features = np.zeros((len(f), state.get("width", 0)))
+        if "features" in f and len(f):
+            features = np.array(f["features"].tolist(), float).reshape(len(f), -1)
+            state["width"] = features.shape[1]
+        rows += [(int(frame), d, t) for d, t in step(state, int(frame), f["det_id"].to_numpy(np.int64), boxes, f["score"].to_numpy(float), features)]
     return rows
 
 
 def _columns(detections: DataFrame) -> list[str]:
-    return ["video_id", "frame", "det_id", "box", "score", *(["features"] if "features" in detections.columns else [])]
+    return ["video_id", "frame", "det_id", "box", "score", *(c for c in ("features", "warp") if c in detections.columns)]
 
 
 def track_batch(detections: DataFrame, tracker: str = "propagation", **options: Any) -> DataFrame:
     """video_id, frame, det_id, track_id of whole videos; detections have det_id, box (ltrb), score and, for trackers
-    that look at appearance, features (array<double> of one length)."""
-    step = STEPS[tracker](**options)
+    that look at appearance, features (array<double> of one length); ``moving.with_motion`` adds the camera's motion."""
+    step = _step(tracker, options)
 
     def some(state: dict, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([(pdf["video_id"].iloc[0], *r) for r in _fold(step, state, pdf)], columns=["video_id", "frame", "det_id", "track_id"])
@@ -337,7 +378,7 @@ def track_batch(detections: DataFrame, tracker: str = "propagation", **options:
 
 def track_stream(detections: DataFrame, tracker: str = "propagation", **options: Any) -> DataFrame:
     """The same over a stream; the state of a video survives restarts with the checkpoint."""
-    step = STEPS[tracker](**options)
+    step = _step(tracker, options)
 
     def fold(key: tuple[str], frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         state = pickle.loads(held.get[0]) if held.exists else {}

@@ -128,3 +128,33 @@ def boxes_cleaned(spark, sf_dir):
     rows = rows.select("user_id", "frame", F.lit(10).cast("long").alias("prompt"), box.alias("box"), (F.col("event_id") % 17 > 0).alias("valid"), (F.col("event_id") % 3).alias("pieces"))
     out = cleanup.clean_outward(rows, ["user_id"], "frame", "prompt")
     return out.select("user_id", "frame", *(_r(F.col("box")[k]).alias(n) for k, n in enumerate("ltrb")), "valid", "constrained", "outlier", "reached")
+
+
+def _panned(spark, sf_dir):
+    """The boxes of blocks of users, seen by a camera that pans by a hundredth of a box in each hour, and its motion."""
+    from .queries import _boxes_by_frame
+    from .streaming import moving
+
+    rows = _boxes_by_frame(spark, sf_dir)
+    shift = F.col("frame").cast("double") % 1000 * 0.3
+    seen = F.transform("box", lambda v, k: v - F.when(k % 2 == 0, shift).otherwise(0.0))
+    features = F.array(*(F.cos(F.col("det_id") % 5 + k) for k in range(3)))
+    motion = rows.select("video_id", "frame").distinct().withColumn("pan", F.when(F.col("frame") % 1000 == 0, 999 * 0.3).otherwise(-0.3))
+    motion = motion.select("video_id", "frame", F.array(*(F.lit(float(v)) if v != "pan" else F.col("pan") for v in (1, 0, "pan", 0, 1, 0))).alias("warp"))
+    return moving.with_motion(rows.withColumn("box", seen).withColumn("features", features), motion)
+
+
+@query()
+def camera_tracks(spark, sf_dir):
+    """Under a panning camera; a filter's state goes from frame to frame, so SQL has no form of it."""
+    from .streaming import trackers
+
+    return trackers.track_batch(_panned(spark, sf_dir), "camera")
+
+
+@query()
+def deep_tracks(spark, sf_dir):
+    """The same by overlap, direction and appearance."""
+    from .streaming import trackers
+
+    return trackers.track_batch(_panned(spark, sf_dir), "deep_observation_centric")
