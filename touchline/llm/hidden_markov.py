@@ -44,7 +44,7 @@ TIED = 1 << 15
 BLOCK_BYTES = 16 << 20
 PIECE = 2048
 #: Word positions whose state probabilities are held at once.
-_HELD = 1 << 18
+_HELD = 1 << 19
 UNIT = 1024
 #: Stands for the end of a text; no word can hold a line feed.
 END = "\n"
@@ -107,21 +107,42 @@ class Chain:
         self.start, self.steps = start, steps
 
     def _walk(self, emit: np.ndarray, at: np.ndarray, n: np.ndarray, begin: np.ndarray, every: bool) -> tuple:
-        """Scaled forward recursion; pieces fall in length. ``at`` has the place of each step's first row."""
-        states = begin.copy()
+        """Scaled forward recursion; pieces fall in length. ``at`` has the place of each step's first row.
+
+        ``every`` keeps the state probabilities and scales of all steps in place of the logarithms.
+        """
+        size = emit.shape[1]
+        ones = np.ones(size, emit.dtype)
+        steps, states = self.steps.astype(emit.dtype), begin.astype(emit.dtype)
         logs = np.zeros(len(begin))
-        alpha = np.empty((at[-1], emit.shape[1])) if every else None
-        scale = np.empty(at[-1]) if every else None
+        alpha = np.empty_like(emit) if every else None
+        scale = np.empty(len(emit), emit.dtype) if every else None
         for t in range(len(n)):
-            k = n[t]
-            now = (begin[:k] if t == 0 else states[:k] @ self.steps) * emit[at[t] : at[t + 1]]
-            total = now.sum(axis=1)
+            k, here = n[t], slice(at[t], at[t + 1])
+            now = states[:k] if t == 0 else states[:k] @ steps
+            now = now * emit[here]
+            total = now @ ones
             now /= total[:, None]
             states[:k] = now
-            logs[:k] += np.log(total)
             if every:
-                alpha[at[t] : at[t + 1]], scale[at[t] : at[t + 1]] = now, total
-        return states, logs, alpha, scale
+                alpha[here], scale[here] = now, total
+            else:
+                logs[:k] += np.log(total)
+        return logs, alpha, scale
+
+    def _effects(self, emit: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """For each piece the matrix from the state predicted for its first word to its last state, but for a factor."""
+        size = emit.shape[1]
+        ones = np.ones(size * size)
+        found = np.eye(size)[None] * emit[: n[0], None, :]
+        for t in range(1, len(n)):
+            k = n[t]
+            now = (found[:k].reshape(-1, size) @ self.steps).reshape(k, size, size)
+            now *= emit[at[t] : at[t + 1], None, :]
+            if t % 8 == 0:
+                now /= (now.reshape(k, -1) @ ones)[:, None, None]
+            found[:k] = now
+        return found / (found.reshape(len(found), -1) @ ones)[:, None, None]
 
     def pieces(self, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first token, length, text) of each piece, texts in order."""
@@ -133,10 +154,10 @@ class Chain:
         return first, np.minimum(PIECE, ends[text] - first), text
 
     @staticmethod
-    def _groups(lengths: np.ndarray, some: np.ndarray, copies: int = 1) -> Iterator[np.ndarray]:
+    def _groups(lengths: np.ndarray, some: np.ndarray) -> Iterator[np.ndarray]:
         order = some[np.argsort(-lengths[some], kind="stable")]
         while len(order):
-            fits = max(1, int(np.searchsorted(np.cumsum(lengths[order]) * copies, _HELD, side="right")))
+            fits = max(1, int(np.searchsorted(np.cumsum(lengths[order]), _HELD, side="right")))
             yield order[:fits]
             order = order[fits:]
 
@@ -161,12 +182,9 @@ class Chain:
         if not len(several):
             return first, length, enters, leaves, joins
         effect = np.empty((len(first), size, size))
-        for part in self._groups(length, several, size):
-            many = np.repeat(part, size)
-            n, at = self._layout(length[many])
-            states, logs, _, _ = self._walk(emit[tokens[self._turned(first[many], n)]], at, n, np.tile(np.eye(size), (len(part), 1)), False)
-            logs = logs.reshape(-1, size)
-            effect[part] = states.reshape(-1, size, size) * np.exp(logs - logs.max(axis=1, keepdims=True))[:, :, None]
+        for part in self._groups(length, several):
+            n, at = self._layout(length[part])
+            effect[part] = self._effects(emit[tokens[self._turned(first[part], n)]], at, n)
         for k in several:
             if k and text[k - 1] == text[k]:
                 out = enters[k - 1] @ effect[k - 1]
@@ -189,37 +207,36 @@ class Chain:
         logs = np.zeros(len(first))
         for part in self._groups(length, np.arange(len(first))):
             n, at = self._layout(length[part])
-            logs[part] = self._walk(emit[tokens[self._turned(first[part], n)]], at, n, enters[part], False)[1]
+            logs[part] = self._walk(emit[tokens[self._turned(first[part], n)]], at, n, enters[part], False)[0]
         return np.bincount(text, weights=logs, minlength=len(ends))
 
     def expected(self, tokens: np.ndarray, emit: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Baum-Welch counts: (state of the first word, step from state to state, code by state)."""
+        """Baum-Welch counts: (state of the first word, step from state to state, code by state); single precision within pieces."""
         size = len(self.start)
         starts, by_code = np.zeros(size), np.zeros((len(emit), size))
         first, length, enters, leaves, steps = self.entering(tokens, emit, ends, True)
         opens = np.isin(first, np.concatenate([[0], ends[:-1]]))
+        light, back = emit.astype(np.float32), np.ascontiguousarray(self.steps.T.astype(np.float32))
         for part in self._groups(length, np.arange(len(first))):
             n, at = self._layout(length[part])
             order = tokens[self._turned(first[part], n)]
-            b = emit[order]
-            _, _, alpha, scale = self._walk(b, at, n, enters[part], True)
-            ahead = np.empty_like(alpha)
-            last = leaves[part].copy()
-            last /= (self._ends(alpha, at, n) * last).sum(axis=1, keepdims=True)
-            beta = last.copy()
+            b = light[order]
+            _, alpha, scale = self._walk(b, at, n, enters[part], True)
+            beta = leaves[part]
+            beta = (beta / (self._ends(alpha, at, n) * beta).sum(axis=1, keepdims=True)).astype(b.dtype)
+            b /= scale[:, None]
+            ahead = np.empty_like(b)
             for t in range(len(n) - 1, -1, -1):
-                k = n[t]
-                here = slice(at[t], at[t + 1])
-                gamma = alpha[here] * beta[:k]
-                ahead[here] = b[here] * beta[:k] / scale[here, None]
-                b[here] = gamma
-                beta[:k] = ahead[here] @ self.steps.T
+                k, here = n[t], slice(at[t], at[t + 1])
+                np.multiply(b[here], beta[:k], out=ahead[here])
+                np.multiply(alpha[here], beta[:k], out=b[here])
+                np.matmul(ahead[here], back, out=beta[:k])
             for s in range(size):
                 by_code[:, s] += np.bincount(order, weights=b[:, s], minlength=len(emit))
-            starts += b[: n[0]][opens[part]].sum(axis=0)
+            starts += b[: n[0]][opens[part]].sum(axis=0, dtype=float)
             if len(n) > 1:
                 before = np.concatenate([np.arange(at[t], at[t] + n[t + 1]) for t in range(len(n) - 1)])
-                steps = steps + self.steps * (alpha[before].T @ ahead[at[1] :])
+                steps = steps + self.steps * (alpha[before].T @ ahead[at[1] :]).astype(float)
         return starts, steps, by_code
 
     @staticmethod
