@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from touchline.streaming import flows, moving, trackers
+from touchline.streaming import flows, lifecycle, moving, trackers
 
 SCHEMA = "video_id string, frame long, det_id long, box array<double>, score double"
 
@@ -151,3 +151,72 @@ def test_appearance_counts_less_where_it_tells_nothing_apart():
     column = [1 - (8 / 9 - 0.5) / 0.5, 1.0]
     want = np.array([[0.9 * column[0], 0.1], [0.0, 0.0]])
     assert np.allclose(moving._weighed(c, 1.0, 0.5), want)
+
+
+# The life of a video's state
+
+
+def spoken(start, frames, video="v"):
+    return [(video, f, 10 * f + k, [100.0 * k + f, 0.0, 100.0 * k + f + 30, 60.0], 0.9, start + f) for f in frames for k in range(2)]
+
+
+def life_of(spark, tmp_path, batches, name, idle_ms=20_000, parts=None):
+    """Run batches of (video, frame, det, box, score, second) as a stream; ``parts`` cuts the run into several queries on one checkpoint."""
+    schema = SCHEMA + ", second long"
+    for k, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, schema).withColumn("at", F.timestamp_seconds("second")).drop("second")
+        df.coalesce(1).write.parquet(str(tmp_path / f"all/{k}"))
+    (tmp_path / "in").mkdir()
+    queries, kind = [], spark.read.parquet(str(tmp_path / "all/0")).schema
+    for upto in parts or [len(batches)]:
+        for k in range(upto):
+            if not (tmp_path / f"in/{k}").exists():
+                (tmp_path / f"all/{k}").rename(tmp_path / f"in/{k}")
+        stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+        tracked = lifecycle.tracked_videos(stream, "at", idle_ms=idle_ms)
+        q = flows.to_table(tracked, str(tmp_path / "out"), str(tmp_path / "c")).outputMode("append").start()
+        try:
+            q.processAllAvailable()
+            queries.append((lifecycle.late_rows(q), lifecycle.held_rows(q)))
+        finally:
+            q.stop()
+    rows = spark.read.option("recursiveFileLookup", "true").schema(lifecycle.OUTPUT).parquet(str(tmp_path / "out")).collect()
+    return rows, queries
+
+
+@pytest.fixture
+def rocks(spark):
+    before = {k: spark.conf.get(k) for k in lifecycle.SETTINGS}
+    for k, v in lifecycle.SETTINGS.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_a_silent_video_is_closed_and_its_state_leaves(spark, tmp_path, rocks):
+    # v stops after 12 seconds; w goes on, out of order by two seconds; late rows of v come when it is closed
+    w = [r[:5] + (r[5],) for r in spoken(1000, range(70), "w")]
+    shuffled = lambda a, b: [r for f in range(a, b, 2) for g in (f + 1, f) for r in w if r[1] == g]
+    batches = [spoken(1000, range(6)) + shuffled(0, 6), spoken(1000, range(6, 12)) + shuffled(6, 12), shuffled(12, 30), shuffled(30, 50) + spoken(1000, [3]), shuffled(50, 70)]
+    batches.append([("x", 0, 0, [0.0, 0.0, 9.0, 9.0], 0.9, 2000)])
+    batches.append([("x", 1, 1, [0.0, 0.0, 9.0, 9.0], 0.9, 3000)])
+    batches.append([("y", 0, 0, [0.0, 0.0, 9.0, 9.0], 0.9, 4000)])
+    rows, ((late, held),) = life_of(spark, tmp_path, batches, "one")
+    closed = {r["video_id"]: (r["frame"], r["n_frames"], r["n_detections"], r["n_tracks"]) for r in rows if r["kind"] == "closed"}
+    assert closed["v"] == (11, 12, 24, 2) and closed["w"] == (69, 70, 140, 2)
+    assert late == 2  # the two rows of frame 3 that came again
+    assert held < 10  # of x and y only: nothing of v and w
+    tracks = [r for r in rows if r["kind"] == "track"]
+    want = trackers.track_batch(spark.createDataFrame([r[:5] for r in spoken(1000, range(12)) + w], SCHEMA), "two_stage").collect()
+    got = sorted((r["video_id"], r["frame"], r["det_id"], r["track_id"]) for r in tracks if r["video_id"] in "vw")
+    assert got == sorted(map(tuple, want))
+
+
+def test_a_restart_repeats_nothing_and_a_closed_video_may_speak_again(spark, tmp_path, rocks):
+    batches = [spoken(1000, range(8)), spoken(1000, range(8, 16)), spoken(1100, range(8)), spoken(1300, range(1), "w"), spoken(1500, range(1), "w")]
+    rows, runs = life_of(spark, tmp_path, batches, "two", parts=[1, 2, 5])
+    v = [r for r in rows if r["video_id"] == "v" and r["kind"] == "closed"]
+    assert sorted(r["n_frames"] for r in v) == [8, 16] and all(r["n_tracks"] == 2 for r in v)
+    seen = [(r["frame"], r["det_id"]) for r in rows if r["video_id"] == "v" and r["kind"] == "track"]
+    assert len(seen) == 2 * (16 + 8) and sum(late for late, _ in runs) == 0
