@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from touchline.evaluation import track_precision as precision
-from touchline.evaluation import tracking
+from touchline.evaluation import regions, tracking
 from touchline.functions import masks
 from touchline.operators import cleanup, segments
 
@@ -328,3 +328,86 @@ def test_overlaps_reach_the_precision(spark):
     p = precision.measured(b, ["seq", "id"]).withColumnRenamed("id", "tracker_id").withColumn("score", F.lit(0.5))
     got = {(r["range"], r["threshold"]): r["ap"] for r in precision.track_precision(o, t, p).collect()}
     assert got["all", 0.8] == pytest.approx(1) and got["all", 0.85] == 0.0 and got["time_l", 0.5] is None and got["time_m", 0.5] == pytest.approx(1) and len(got) == 70
+
+
+# Regions and boundaries
+
+
+def dense_boundary(m):
+    h, w = m.shape
+    out = np.zeros_like(m)
+    for y in range(h):
+        for x in range(w):
+            right, down = x + 1 < w, y + 1 < h
+            if right and down:
+                out[y, x] = len({m[y, x], m[y, x + 1], m[y + 1, x], m[y + 1, x + 1]}) > 1
+            elif right:
+                out[y, x] = m[y, x] != m[y, x + 1]
+            elif down:
+                out[y, x] = m[y, x] != m[y + 1, x]
+    return out
+
+
+def dense_grown(m, r):
+    out = np.zeros_like(m)
+    for y, x in np.argwhere(m):
+        for v in range(max(y - r, 0), min(y + r + 1, m.shape[0])):
+            for u in range(max(x - r, 0), min(x + r + 1, m.shape[1])):
+                out[v, u] |= (v - y) ** 2 + (u - x) ** 2 <= r * r
+    return out
+
+
+def dense_f(a, b, r):
+    p, q = dense_boundary(a), dense_boundary(b)
+    if not p.any() or not q.any():
+        return 1.0 if p.any() == q.any() else 0.0
+    precision, recall = (p & dense_grown(q, r)).sum() / p.sum(), (q & dense_grown(p, r)).sum() / q.sum()
+    return 2 * precision * recall / (precision + recall) if precision + recall else 0.0
+
+
+def test_boundaries_by_intervals_are_those_by_pixels():
+    rng = random.Random(14)
+    for k in range(80):
+        h, w = rng.randint(2, 14), rng.randint(2, 14)
+        a, b = (blob(rng, h, w) if k % 8 else np.full((h, w), k % 16 == 0) for _ in range(2))
+        got = np.zeros(h * w, bool)
+        for x, y in zip(*masks.boundary(masks.encode(a), h, w), strict=True):
+            got[x:y] = True
+        assert (got.reshape(w, h).T == dense_boundary(a)).all(), (a.astype(int), dense_boundary(a).astype(int))
+        for r in (1, 2, 3):
+            assert masks.boundary_f(masks.encode(a), masks.encode(b), h, w, r) == pytest.approx(dense_f(a, b, r))
+
+
+def plain_regions(gt, tr, n, shape, r):
+    """Best assignment over all ways, then means over frames; missing masks are empty."""
+    import itertools
+
+    none = np.zeros(shape, bool)
+    j = lambda a, b: 1.0 if not a.any() and not b.any() else (a & b).sum() / (a | b).sum()
+    mean = lambda g, t: np.mean([j(gt[g].get(k, none), tr.get(t, {}).get(k, none)) for k in range(n)])
+    names = [*tr, *(f"none{k}" for k in range(max(len(gt) - len(tr), 0)))]
+    best = max(itertools.permutations(names, len(gt)), key=lambda way: sum(mean(g, t) for g, t in zip(gt, way, strict=True)))
+    out = []
+    edges = [int(np.floor(1 + (n - 1) * k / 4 + 0.5 + 1e-10)) - 1 for k in range(5)]
+    for g, t in zip(gt, best, strict=True):
+        js = np.array([j(gt[g].get(k, none), tr.get(t, {}).get(k, none)) for k in range(n)])
+        fs = np.array([dense_f(gt[g].get(k, none), tr.get(t, {}).get(k, none), r) for k in range(n)])
+        out.append([v for x in (js, fs) for v in (x.mean(), (x > 0.5).mean(), x[edges[0] : edges[1] + 1].mean() - x[edges[3] : edges[4] + 1].mean())])
+    return np.mean(out, axis=0)
+
+
+def test_region_scores_match_a_plain_version(spark):
+    rng = random.Random(31)
+    shape, seqs = (9, 11), {}
+    for s in range(5):
+        gt = {g: {t: m for t in range(7) if rng.random() < 0.8 and (m := blob(rng, *shape)) is not None} for g in range(rng.randint(1, 3))}
+        tr = {k: {t: np.roll(m, rng.randint(0, 1), 1) for t, m in gt[k % len(gt)].items() if rng.random() < 0.8} for k in range(rng.randint(0, 4))}
+        seqs[s] = ({g: x or {0: blob(rng, *shape)} for g, x in gt.items()}, {k: x for k, x in tr.items() if x})
+    rows = lambda side: spark.createDataFrame([(s, i, t, masks.encode(m)) for s, x in seqs.items() for i, track in x[side].items() for t, m in track.items()], "seq long, id long, t long, mask string")
+    images = spark.createDataFrame([(s, 7, *shape) for s in seqs], "seq long, n_frames long, h int, w int")
+    got = {r["seq"]: [r[c] for c in regions.FIELDS] for r in regions.region_scores(rows(0), rows(1), images).collect()}
+    for s, (gt, tr) in seqs.items():
+        assert got[s] == pytest.approx(plain_regions(gt, tr, 7, shape, masks.reach_of(*shape))), s
+    per = regions.region_scores(rows(0), rows(1), images)
+    n = np.array([len(x[0]) for x in seqs.values()])
+    assert regions.combined_scores(per).first()["j_mean"] == pytest.approx(sum(got[s][0] * n[s] for s in seqs) / n.sum())

@@ -104,11 +104,7 @@ def box_of_mask(rle: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
 
 def column_runs(rle: str, h: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(column, first row, one past last row) of each run, runs over the end of a column cut there."""
-    begins, ends = spans(rle, h * w)
-    parts = (ends - 1) // h - begins // h + 1
-    run = np.repeat(np.arange(len(begins)), parts)
-    column = begins[run] // h + np.arange(len(run)) - np.repeat(np.cumsum(parts) - parts, parts)
-    return column, np.maximum(begins[run], column * h) - column * h, np.minimum(ends[run], (column + 1) * h) - column * h
+    return _columns(*spans(rle, h * w), h)
 
 
 def pieces(rle: str, h: int, w: int, corners: bool = True) -> list[int]:
@@ -195,21 +191,88 @@ def component_sizes(mask: np.ndarray) -> list[int]:
     return sorted(sizes, reverse=True)
 
 
-def boundary_f(a: np.ndarray, b: np.ndarray, reach: int = 1) -> float:
-    """F of boundary pixels that have a boundary pixel of the other mask within ``reach``."""
+# Sets of pixels as sorted intervals of flat pixel numbers, column by column
 
-    def edge(m: np.ndarray) -> np.ndarray:
-        p = np.pad(m, 1)
-        inner = p[:-2, 1:-1] & p[2:, 1:-1] & p[1:-1, :-2] & p[1:-1, 2:]
-        return m & ~inner
 
-    def grown(m: np.ndarray) -> np.ndarray:
-        p = np.pad(m, reach)
-        return np.any([p[y : y + m.shape[0], x : x + m.shape[1]] for y in range(2 * reach + 1) for x in range(2 * reach + 1)], axis=0)
+def _where(begins: np.ndarray, ends: np.ndarray, full: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Where at least one interval lies, and fewer than ``full`` of them."""
+    some = ends > begins
+    at, place = np.unique(np.concatenate([begins[some], ends[some]]), return_inverse=True)
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    n = int(some.sum())
+    count = np.cumsum(np.bincount(place, weights=np.repeat([1, -1], n), minlength=len(at))).astype(np.int64)
+    inside = (count > 0) & (count < full) if full else count > 0
+    turns = np.diff(inside.astype(np.int8), prepend=0)
+    return at[turns == 1], at[turns == -1]
+
+
+def _columns(begins: np.ndarray, ends: np.ndarray, h: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(column, first row, one past last row) of each interval, cut where columns end."""
+    parts = (ends - 1) // h - begins // h + 1
+    run = np.repeat(np.arange(len(begins)), parts)
+    column = begins[run] // h + np.arange(len(run)) - np.repeat(np.cumsum(parts) - parts, parts)
+    return column, np.maximum(begins[run], column * h) - column * h, np.minimum(ends[run], (column + 1) * h) - column * h
 
-    x, y = edge(np.asarray(a, bool)), edge(np.asarray(b, bool))
-    if not x.any() and not y.any():
-        return 1.0
-    precision = (x & grown(y)).sum() / x.sum() if x.any() else 0.0
-    recall = (y & grown(x)).sum() / y.sum() if y.any() else 0.0
-    return float(2 * precision * recall / (precision + recall)) if precision + recall else 0.0
+
+def _sized(intervals: tuple[np.ndarray, np.ndarray]) -> int:
+    return int((intervals[1] - intervals[0]).sum())
+
+
+def boundary(rle: str, h: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pixels that differ from the next one to the right, below, or both, as intervals; the mask is never decoded.
+
+    In the last row only the right neighbour counts, in the last column only the one below, and the last pixel never.
+    """
+    column, top, end = column_runs(rle, h, w)
+    # the mask and its three neighbours, each moved to the pixel that looks at it
+    inner_end, inner_column = h - 1, w - 1
+    begins, ends = [], []
+    for right, down in ((0, 0), (0, 1), (1, 0), (1, 1)):
+        c, a, b = column - right, np.maximum(top - down, 0), np.minimum(end - down, inner_end)
+        here = (c >= 0) & (c < inner_column) & (b > a)
+        begins.append((c * h + a)[here])
+        ends.append((c * h + b)[here])
+    found = [_where(np.concatenate(begins), np.concatenate(ends), 4)]
+    last = column == inner_column
+    sides = [np.maximum(top[last] - down, 0) for down in (0, 1)], [np.minimum(end[last] - down, inner_end) for down in (0, 1)]
+    found.append(_where(inner_column * h + np.concatenate(sides[0]), inner_column * h + np.maximum(np.concatenate(sides[1]), np.concatenate(sides[0])), 2))
+    bottom = column[end == h]
+    row = np.setxor1d(bottom[bottom < inner_column], bottom[bottom > 0] - 1) * h + inner_end
+    found.append((row, row + 1))
+    return _where(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
+
+
+def grown(intervals: tuple[np.ndarray, np.ndarray], reach: int, h: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pixels within ``reach`` of a set: each column's intervals widened in the columns beside it, less the farther away."""
+    column, top, end = _columns(*intervals, h)
+    begins, ends = [], []
+    for aside in range(-reach, reach + 1):
+        more = int(np.sqrt(reach * reach - aside * aside))
+        here = (column + aside >= 0) & (column + aside < w)
+        base = (column[here] + aside) * h
+        begins.append(base + np.maximum(top[here] - more, 0))
+        ends.append(base + np.minimum(end[here] + more, h))
+    return _where(np.concatenate(begins), np.concatenate(ends))
+
+
+def reach_of(h: int, w: int, share: float = 0.008) -> int:
+    """Pixels within which boundaries agree: a share of the diagonal, rounded up."""
+    return int(np.ceil(share * np.hypot(h, w)))
+
+
+def boundary_f(a: str | None, b: str | None, h: int, w: int, reach: int | None = None) -> float:
+    """F of the boundary pixels of two masks that lie within ``reach`` of the other's; a null mask is empty, two empty ones give 1."""
+    p, q = (boundary(m, h, w) if m is not None else (np.zeros(0, np.int64),) * 2 for m in (a, b))
+    n, m = _sized(p), _sized(q)
+    if not n or not m:
+        return 1.0 if n == m else 0.0
+    r = reach_of(h, w) if reach is None else reach
+    precision, recall = common_pixels(p, grown(q, r, h, w)) / n, common_pixels(q, grown(p, r, h, w)) / m
+    return 2 * precision * recall / (precision + recall) if precision + recall else 0.0
+
+
+@F.pandas_udf(T.DoubleType())
+def boundary_score(a: pd.Series, b: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
+    """``boundary_f`` of two columns of masks."""
+    return pd.Series([boundary_f(x, y, int(m), int(n)) for x, y, m, n in zip(a, b, h, w, strict=True)], dtype="float64")

@@ -158,3 +158,45 @@ def deep_tracks(spark, sf_dir):
     from .streaming import trackers
 
     return trackers.track_batch(_panned(spark, sf_dir), "deep_observation_centric")
+
+
+@query(f"""
+WITH {_MASKS},
+s AS (SELECT l_orderkey, place, p // 12 AS c, p % 12 AS y FROM (SELECT l_orderkey, place, unnest(range(b, least(e, 120))) AS p FROM i)),
+n AS (SELECT l_orderkey, place, count(*) AS n FROM s GROUP BY ALL),
+v AS (SELECT l_orderkey, place, c - dc AS c, y - dy AS y, count(*) AS n FROM s, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS d(dc, dy) WHERE c >= dc AND y >= dy GROUP BY ALL),
+e AS (SELECT l_orderkey, place, c, y FROM v WHERE (y < 11 AND c < 9 AND n < 4) OR (((y = 11) <> (c = 9)) AND n = 1)),
+g AS (SELECT DISTINCT l_orderkey, place, c + dc AS c, y + dy AS y FROM e, (VALUES (0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)) AS d(dc, dy)),
+pair AS (SELECT a.l_orderkey, a.place AS a, b.place AS b FROM m a JOIN m b ON a.l_orderkey = b.l_orderkey AND b.place = a.place + 1),
+ne AS (SELECT l_orderkey, place, count(*) AS n FROM e GROUP BY ALL),
+hit AS (SELECT p.l_orderkey, p.a, p.b, (SELECT 0) AS z, count(*) FILTER (side = 1) AS h1, count(*) FILTER (side = 2) AS h2 FROM (
+  SELECT p.*, 1 AS side FROM pair p JOIN e ON e.l_orderkey = p.l_orderkey AND e.place = p.a JOIN g ON g.l_orderkey = p.l_orderkey AND g.place = p.b AND g.c = e.c AND g.y = e.y
+  UNION ALL SELECT p.*, 2 FROM pair p JOIN e ON e.l_orderkey = p.l_orderkey AND e.place = p.b JOIN g ON g.l_orderkey = p.l_orderkey AND g.place = p.a AND g.c = e.c AND g.y = e.y) p GROUP BY ALL),
+inter AS (SELECT p.l_orderkey, p.a, count(*) AS k FROM pair p JOIN s x ON x.l_orderkey = p.l_orderkey AND x.place = p.a JOIN s y ON y.l_orderkey = p.l_orderkey AND y.place = p.b AND x.c = y.c AND x.y = y.y GROUP BY ALL),
+r AS (SELECT p.l_orderkey, p.a, coalesce(k, 0) AS k, coalesce(na.n, 0) AS na, coalesce(nb.n, 0) AS nb, coalesce(ea.n, 0) AS ea, coalesce(eb.n, 0) AS eb, coalesce(h1, 0) AS h1, coalesce(h2, 0) AS h2 FROM pair p
+  LEFT JOIN inter USING (l_orderkey, a) LEFT JOIN hit USING (l_orderkey, a) LEFT JOIN n na ON na.l_orderkey = p.l_orderkey AND na.place = p.a LEFT JOIN n nb ON nb.l_orderkey = p.l_orderkey AND nb.place = p.b
+  LEFT JOIN ne ea ON ea.l_orderkey = p.l_orderkey AND ea.place = p.a LEFT JOIN ne eb ON eb.l_orderkey = p.l_orderkey AND eb.place = p.b)
+SELECT l_orderkey, a AS place, round_even(CASE WHEN na + nb = 0 THEN 0 ELSE k / (na + nb - k) END, 6) AS j,
+  round_even(CASE WHEN ea = 0 AND eb = 0 THEN 1 WHEN ea = 0 OR eb = 0 OR h1 + h2 = 0 THEN 0 ELSE 2 * (h1 / ea) * (h2 / eb) / (h1 / ea + h2 / eb) END, 6) AS f FROM r""")
+def region_and_boundary(spark, sf_dir):
+    """Neighbouring lines of an order as two masks of an image of 12 by 10 pixels."""
+    from .functions import masks
+
+    rows = _segments(spark, sf_dir)
+    after = rows.select("l_orderkey", (F.col("place") - 1).alias("place"), F.col("mask").alias("other"))
+    both = rows.select("l_orderkey", "place", "mask").join(after, ["l_orderkey", "place"])
+    h, w = F.lit(12), F.lit(10)
+    return both.select("l_orderkey", "place", _r(masks.mask_iou("mask", "other", h, w)).alias("j"), _r(masks.boundary_score("mask", "other", h, w)).alias("f"))
+
+
+@query()
+def region_scores(spark, sf_dir):
+    """Blocks of orders as sequences, lines as objects over sixteen frames; the best assignment has no form in SQL."""
+    from .evaluation import regions
+
+    rows = _segments(spark, sf_dir).select(F.expr("l_orderkey div 64").alias("seq"), (F.col("l_orderkey") % 16).alias("t"), F.col("place").alias("id"), "mask", "obj_id", "l_orderkey")
+    one = rows.groupBy("seq", "id", "t").agg(F.min_by("mask", F.struct("l_orderkey", "mask")).alias("mask"), F.max_by("mask", F.struct("l_orderkey", "mask")).alias("other"))
+    truth, predicted = one.select("seq", "id", "t", "mask"), one.select("seq", ((F.col("id") + 2) % 7).alias("id"), "t", F.col("other").alias("mask"))
+    images = one.select("seq").distinct().select("seq", F.lit(16).cast("long").alias("n_frames"), F.lit(12).alias("h"), F.lit(10).alias("w"))
+    out = regions.region_scores(truth, predicted, images)
+    return out.select("seq", "n_tracks", *(_r(c).alias(c) for c in [*regions.FIELDS, "jf_mean"]))
