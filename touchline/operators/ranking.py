@@ -92,21 +92,26 @@ def interpolated_ap(curve: DataFrame, levels: int = 101) -> DataFrame:
     return per.select(F.coalesce(best, F.lit(0.0)).alias("p")).agg(F.avg("p").alias("ap"))
 
 
-def stepwise_ap(curve: DataFrame) -> DataFrame:
+def stepwise_ap(curve: DataFrame, group: str | None = None) -> DataFrame:
     """Area under the monotone envelope of precision. ``curve`` has recall and precision, as ``precision_recall`` gives them.
 
     Precision only counts where recall rises, that is at the best point of each recall; the envelope over these is taken
     along ranges of recall: within a range by a window, from the ranges beyond by their best.
     """
-    steps = curve.where("recall > 0").groupBy("recall").agg(F.max("precision").alias("p"))
+    own = [group] if group else []
+    steps = curve.where("recall > 0").groupBy(*own, "recall").agg(F.max("precision").alias("p"))
     steps = steps.withColumn("__k", F.floor(F.col("recall") * ordered.RANGES))
-    here = Window.partitionBy("__k").orderBy("recall")
-    ends = steps.groupBy("__k").agg(F.max("p").alias("__p"), F.max("recall").alias("__r"))  # one row for each range
-    along = Window.orderBy("__k")
-    ends = ends.select(F.col("__k").alias("__at"), F.max("__p").over(along.rowsBetween(1, Window.unboundedFollowing)).alias("__beyond"), F.lag("__r").over(along).alias("__from"))
+    here = Window.partitionBy(*own, "__k").orderBy("recall")
+    ends = steps.groupBy(*own, "__k").agg(F.max("p").alias("__p"), F.max("recall").alias("__r"))  # one row for each range
+    along = Window.partitionBy(*own).orderBy("__k")
+    ends = ends.select(
+        *(F.col(c).alias("__g") for c in own), F.col("__k").alias("__at"), F.max("__p").over(along.rowsBetween(1, Window.unboundedFollowing)).alias("__beyond"), F.lag("__r").over(along).alias("__from")
+    )
     inside = steps.withColumn("__e", F.max("p").over(here.rowsBetween(0, Window.unboundedFollowing))).withColumn("__l", F.lag("recall").over(here))
     rise = F.col("recall") - F.coalesce("__l", "__from", F.lit(0.0))
-    return inside.join(ends, F.expr("__k = __at")).agg(F.sum(F.greatest("__e", F.coalesce("__beyond", "__e")) * rise).alias("ap"))
+    same = F.expr("__k = __at")
+    met = inside.join(ends, same & F.col(group).eqNullSafe(F.col("__g")) if group else same)
+    return met.groupBy(*own).agg(F.sum(F.greatest("__e", F.coalesce("__beyond", "__e")) * rise).alias("ap"))
 
 
 def diverse_slots(candidates: DataFrame, slot: str, team: str, edition: str, most: int = 6) -> DataFrame:

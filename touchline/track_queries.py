@@ -200,3 +200,87 @@ def region_scores(spark, sf_dir):
     images = one.select("seq").distinct().select("seq", F.lit(16).cast("long").alias("n_frames"), F.lit(12).alias("h"), F.lit(10).alias("w"))
     out = regions.region_scores(truth, predicted, images)
     return out.select("seq", "n_tracks", *(_r(c).alias(c) for c in [*regions.FIELDS, "jf_mean"]))
+
+
+@query("""
+WITH l AS (SELECT l_orderkey AS frame, l_linenumber AS id, l_quantity AS q, l_discount * 100 AS d, l_tax * 100 AS t, l_suppkey % 7 AS s, l_partkey % 5 AS p FROM
+  (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) AS k FROM lineitem) WHERE k = 1),
+g AS (SELECT frame, id AS gt_id, 4.0 + t AS head, j, x, y FROM (SELECT frame, id, t, unnest([0, 1, 2]) AS j, unnest([q, q + d, 20.0]) AS x, unnest([d, t, d + 3]) AS y FROM l)),
+r AS (SELECT frame, id AS pred_id, j, x, y, c FROM (SELECT frame, id, unnest([0, 1, 2]) AS j, unnest([q + s, q + d + p, 20.0 + s]) AS x, unnest([d, t + 1, d + 3 - p]) AS y, unnest([s / 7.0, p / 5.0, q / 50]) AS c FROM l WHERE id % 5 > 0)),
+m AS (SELECT g.frame, gt_id, pred_id, j, g.x > 0 AND g.y > 0 AND r.x > 0 AND r.y > 0 AND sqrt((g.x - r.x) ** 2 + (g.y - r.y) ** 2) <= 0.5 * head AS hit, g.x > 0 AND g.y > 0 AS there FROM g JOIN r USING (frame, j)),
+s AS (SELECT frame, gt_id, pred_id, count(*) FILTER (hit) / count(*) FILTER (there) AS share FROM m GROUP BY ALL HAVING count(*) FILTER (hit) > 0),
+a AS (SELECT *, row_number() OVER (PARTITION BY frame, pred_id ORDER BY share DESC, gt_id) AS k FROM s),
+b AS (SELECT *, row_number() OVER (PARTITION BY frame, gt_id ORDER BY share DESC, pred_id) AS n FROM a WHERE k = 1),
+o AS (SELECT r.frame, r.pred_id, r.j, r.c, CASE WHEN m.hit THEN 1 ELSE 0 END AS hit FROM r LEFT JOIN (SELECT * FROM b WHERE n = 1) b ON b.frame = r.frame AND b.pred_id = r.pred_id
+  LEFT JOIN m ON m.frame = b.frame AND m.gt_id = b.gt_id AND m.pred_id = b.pred_id AND m.j = r.j WHERE r.x > 0 AND r.y > 0),
+n AS (SELECT j, count(*) FILTER (x > 0 AND y > 0) AS n FROM g GROUP BY j),
+c AS (SELECT j, sum(hit) OVER w AS tp, count(*) OVER w AS seen, c, frame, pred_id FROM o WINDOW w AS (PARTITION BY j ORDER BY c DESC, frame, pred_id ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT j, tp, max(tp / seen) AS p FROM c WHERE tp > 0 GROUP BY j, tp),
+f AS (SELECT j, tp, max(p) OVER (PARTITION BY j ORDER BY tp DESC ROWS UNBOUNDED PRECEDING) AS p FROM e),
+ap AS (SELECT j, sum(p) / any_value(n) AS ap FROM f JOIN n USING (j) GROUP BY j),
+z AS (SELECT j, 100 * coalesce(ap, 0) AS ap, 100 * coalesce(hits / seen, 0) AS precision, 100 * coalesce(hits / n, 0) AS recall FROM n LEFT JOIN ap USING (j) LEFT JOIN (SELECT j, sum(hit) AS hits, count(*) AS seen FROM o GROUP BY j) USING (j)),
+parts(part, j) AS (VALUES ('Upper', 0), ('Upper', 1), ('Lower', 2), ('Total', 0), ('Total', 1), ('Total', 2))
+SELECT part, round_even(avg(ap), 4) AS ap, round_even(avg(precision), 4) AS precision, round_even(avg(recall), 4) AS recall FROM parts JOIN z USING (j) GROUP BY part""")
+def pose_precision(spark, sf_dir):
+    """The lines of an order as poses of three joints, most of them predicted somewhat aside."""
+    from pyspark.sql import Window
+
+    from .evaluation import pose
+
+    first = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity")
+    rows = _read(spark, sf_dir, "lineitem").withColumn("k", F.row_number().over(first)).where("k = 1")
+    q, d, t, s, p = F.col("l_quantity"), F.col("l_discount") * 100, F.col("l_tax") * 100, F.col("l_suppkey") % 7, F.col("l_partkey") % 5
+    point = lambda x, y, *c: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), *(v.cast("double").alias("c") for v in c))
+    at = [F.col("l_orderkey").alias("frame"), F.col("l_linenumber").cast("long")]
+    truth = rows.select(at[0], at[1].alias("gt_id"), F.array(point(q, d), point(q + d, t), point(F.lit(20.0), d + 3)).alias("points"), (4 + t).alias("head"))
+    said = F.array(point(q + s, d, s / 7), point(q + d + p, t + 1, p / 5), point(20 + s, d + 3 - p, q / 50))
+    predicted = rows.where("l_linenumber % 5 > 0").select(at[0], at[1].alias("pred_id"), said.alias("points"))
+    out = pose.pose_precision(truth, predicted, 0.5, {"Upper": [0, 1], "Lower": [2]}, 3)
+    return out.select("part", *(_r(c, 4).alias(c) for c in ("ap", "precision", "recall")))
+
+
+@query("""
+WITH e AS (SELECT CASE event_type WHEN 'click' THEN 'MATCH' WHEN 'view' THEN 'SWITCH' WHEN 'error' THEN 'MISS' ELSE 'FP' END AS type, concat('s', user_id // 16) AS seq, value, user_id FROM events),
+o AS (SELECT seq, user_id, count(*) FILTER (type IN ('MATCH', 'SWITCH')) AS d, count(*) FILTER (type <> 'FP') AS n, count(*) FILTER (type = 'SWITCH') AS s, count(*) FILTER (type = 'MISS') AS m, count(*) FILTER (type = 'FP') AS f,
+  sum(value) FILTER (type IN ('MATCH', 'SWITCH')) AS dist FROM e GROUP BY ALL),
+b AS (SELECT * FROM o UNION ALL SELECT 'OVERALL', * EXCLUDE (seq) FROM o),
+g AS (SELECT seq, sum(d) AS d, sum(n) AS n, sum(s) AS s, sum(m) AS m, sum(f) AS f, sum(dist) AS dist, count(*) FILTER (n > 0) AS u, count(*) FILTER (n > 0 AND d / n >= 0.8) AS mt, count(*) FILTER (n > 0 AND d / n < 0.2) AS ml FROM b GROUP BY seq)
+SELECT seq, round_even(1 - CASE WHEN n > 0 THEN (m + s + f) / n END, 6) AS mota, round_even(CASE WHEN d > 0 THEN dist / d END, 6) AS motp, round_even(CASE WHEN 2 * d + f + m > 0 AND d > 0 THEN 2 * (d / (d + f)) * (d / n) / (d / (d + f) + d / n) END, 6) AS f1,
+  CAST(u AS BIGINT) AS num_unique_objects, CAST(mt AS BIGINT) AS mostly_tracked, CAST(ml AS BIGINT) AS mostly_lost FROM g""")
+def metrics_registered(spark, sf_dir):
+    """Metrics of each block of users and of all, resolved by name, over one scan."""
+    from .evaluation import registry
+
+    kind = F.when(F.col("event_type") == "click", "MATCH").when(F.col("event_type") == "view", "SWITCH").when(F.col("event_type") == "error", "MISS").otherwise("FP")
+    e = _read(spark, sf_dir, "events").select(F.concat(F.lit("s"), F.expr("user_id div 16").cast("string")).alias("seq"), kind.alias("type"), F.col("user_id").alias("oid"), "value")
+    e = e.withColumn("distance", F.when(F.col("type").isin("MATCH", "SWITCH"), F.col("value")))
+    r = registry.tracking_registry()
+    r.metrics.pop("num_unique_objects")
+    r.per_object(lambda num_objects: F.count_if(num_objects > 0), name="num_unique_objects")
+    asked = ["mota", "motp", "f1", "num_unique_objects", "mostly_tracked", "mostly_lost"]
+    out = r.compute_many(e, asked, "seq")
+    return out.select("seq", *(_r(c).alias(c) for c in asked[:3]), *(F.col(c).cast("long").alias(c) for c in asked[3:]))
+
+
+@query("""
+WITH l AS (SELECT l_orderkey // 64 AS seq, l_linenumber AS t, l_orderkey AS id, l_quantity AS q, l_suppkey FROM lineitem),
+gf AS (SELECT seq, sum(k - 1) AS twice FROM (SELECT seq, t, id, count(*) AS k FROM l GROUP BY ALL) WHERE k > 1 GROUP BY seq),
+bad AS (SELECT seq FROM (SELECT seq, t, id, count(*) AS k FROM l GROUP BY ALL) GROUP BY seq HAVING max(k) > 1),
+run AS (SELECT DISTINCT seq FROM l WHERE seq NOT IN (SELECT seq FROM bad))
+SELECT tracker, CAST(seq AS VARCHAR) AS seq, CAST(count(*) AS DOUBLE) AS gt_dets, CAST(count(*) FILTER (tracker = 'a' OR l_suppkey % 3 > 0) AS DOUBLE) AS dets FROM l SEMI JOIN run USING (seq), (VALUES ('a'), ('b')) AS x(tracker) GROUP BY ALL
+UNION ALL SELECT tracker, 'COMBINED', CAST(count(*) AS DOUBLE), CAST(count(*) FILTER (tracker = 'a' OR l_suppkey % 3 > 0) AS DOUBLE) FROM l SEMI JOIN run USING (seq), (VALUES ('a'), ('b')) AS x(tracker) GROUP BY tracker
+UNION ALL SELECT tracker, concat('fault ', seq), NULL, NULL FROM bad, (VALUES ('a'), ('b')) AS x(tracker)""")
+def evaluation_run(spark, sf_dir):
+    """Two trackers over all sequences; sequences in which an order has a line number twice are faults, and the others' counts stay."""
+    from .evaluation import run
+
+    x = (F.col("l_orderkey") % 64) * 100.0
+    rows = _read(spark, sf_dir, "lineitem").select(
+        F.expr("l_orderkey div 64").alias("seq"), F.col("l_linenumber").cast("long").alias("t"), F.col("l_orderkey").alias("id"), F.array(x, F.lit(0.0), x + F.col("l_quantity"), F.lit(50.0)).alias("box"), "l_suppkey"
+    )
+    gt = rows.select("seq", "t", F.col("id").alias("gt_id"), "box")
+    kept = rows.withColumn("tracker", F.explode(F.array(F.lit("a"), F.lit("b")))).where("tracker = 'a' or l_suppkey % 3 > 0")
+    results, errors = run.evaluate(gt, kept.select("tracker", "seq", "t", F.col("id").alias("tracker_id"), "box"), ["Identity"])
+    counts = results.where("metric = 'Count' and field in ('gt_dets', 'dets')").groupBy("tracker", "seq").pivot("field", ["gt_dets", "dets"]).agg(F.first("value"))
+    faults = errors.where("error like 'truth%'").select("tracker", F.concat(F.lit("fault "), F.col("seq").cast("string")).alias("seq")).distinct()
+    return counts.select("tracker", "seq", "gt_dets", "dets").unionByName(faults.withColumn("gt_dets", F.lit(None).cast("double")).withColumn("dets", F.lit(None).cast("double")))
