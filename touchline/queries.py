@@ -34,13 +34,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import row_queries, scope_queries, track_queries  # noqa: F401  register their own
+    from . import row_queries, scope_queries, source_queries, track_queries  # noqa: F401  register their own
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import row_queries, scope_queries, track_queries  # noqa: F401
+    from . import row_queries, scope_queries, source_queries, track_queries  # noqa: F401
 
     return dict(_SQL)
 
