@@ -155,3 +155,56 @@ def test_poses(spark):
     assert out["second"]["ap"] == pytest.approx(100 / 3) and out["Total"]["ap"] == pytest.approx((50 + 100 / 3) / 2)
     none = pose.pose_precision(truth, predicted.where("frame > 9"), 0.5, {"first": [0]}, 2).collect()
     assert {(r["part"], r["ap"]) for r in none} == {("first", 0.0), ("Total", 0.0)}
+
+
+def test_sparse_assignments_are_the_dense_ones():
+    import numpy as np
+
+    from touchline.evaluation.assignment import assign, assign_sparse
+
+    rng = np.random.default_rng(2)
+    for k in range(60):
+        n, m = rng.integers(1, 14, 2)
+        dense = np.where(rng.random((n, m)) < 0.15 + 0.1 * (k % 4), rng.integers(1, 9, (n, m)), 0)
+        r, c = np.nonzero(dense)
+        order = rng.permutation(len(r))
+        r, c = r[order], c[order]
+        taken = assign_sparse(r * 7, c + 100, dense[r, c])
+        assert len(set(r[taken])) == taken.sum() == len(set(c[taken]))
+        a, b = assign(-dense.astype(float))
+        assert dense[r, c][taken].sum() == dense[a, b].sum()
+    # a hundred thousand ids on either side, which a matrix would not hold
+    ids = np.arange(100_000)
+    rows, columns = np.concatenate([ids, ids]), np.concatenate([ids, ids // 2 * 2])
+    assert assign_sparse(rows[ids.size :], columns[ids.size :], np.ones(ids.size)).sum() == 50_000
+
+
+def test_set_matches(spark):
+    import itertools
+
+    import numpy as np
+
+    from touchline.evaluation import detection
+
+    rng = np.random.default_rng(5)
+    preds = [(s, p, rng.normal(size=3).tolist(), rng.uniform(0.2, 0.8, 4).tolist()) for s in range(4) for p in range(4)]
+    targets = [(s, t, int(rng.integers(0, 3)), rng.uniform(0.2, 0.8, 4).tolist()) for s in range(4) for t in range(s)]
+
+    def cost(p, t):
+        q = 1 / (1 + np.exp(-p[2][t[2]]))
+        focal = 0.25 * (1 - q) ** 2 * -np.log(q + 1e-8) - 0.75 * q**2 * -np.log(1 - q + 1e-8)
+        corners = lambda b: (b[0] - b[2] / 2, b[1] - b[3] / 2, b[0] + b[2] / 2, b[1] + b[3] / 2)
+        a, b = corners(p[3]), corners(t[3])
+        i = max(min(a[2], b[2]) - max(a[0], b[0]), 0) * max(min(a[3], b[3]) - max(a[1], b[1]), 0)
+        u = p[3][2] * p[3][3] + t[3][2] * t[3][3] - i
+        hull = (max(a[2], b[2]) - min(a[0], b[0])) * (max(a[3], b[3]) - min(a[1], b[1]))
+        return focal + sum(abs(x - y) for x, y in zip(p[3], t[3], strict=True)) - (i / u - (hull - u) / hull)
+
+    got = detection.set_matches(
+        spark.createDataFrame(preds, "sample long, pred_id long, logits array<double>, box array<double>"), spark.createDataFrame(targets, "sample long, target_id long, label int, box array<double>")
+    ).collect()
+    for s in range(4):
+        own, wanted = [p for p in preds if p[0] == s], [t for t in targets if t[0] == s]
+        best = min((sum(cost(p, t) for p, t in zip(way, wanted, strict=True)) for way in itertools.permutations(own, len(wanted))), default=0)
+        mine = [r for r in got if r["sample"] == s]
+        assert len(mine) == len(wanted) and sum(r["cost"] for r in mine) == pytest.approx(best)

@@ -1,4 +1,4 @@
-"""Optimal and greedy matching in numpy for the groups of a frame or a sequence."""
+"""Optimal and greedy matching in numpy for the groups of a frame or a sequence."""
 
 from __future__ import annotations
 
@@ -54,6 +54,44 @@ def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r for r, _ in pairs], int), np.array([c for _, c in pairs], int)
 
 
+def assign_sparse(rows: np.ndarray, columns: np.ndarray, worth: np.ndarray) -> np.ndarray:
+    """Which pairs an assignment of largest summed worth takes, from a list of pairs; pairs that are not listed are worth nothing.
+
+    Pairs that share no row and no column, directly or over others, cannot disturb each other: the pairs'
+    graph is cut into its connected parts, and a matrix is made for one part at a time. A row and a column
+    that meet no other are taken as they are. A pair comes once.
+    """
+    taken = np.zeros(len(worth), bool)
+    some = np.flatnonzero(np.asarray(worth) > 0)
+    if not len(some):
+        return taken
+    r, ri = np.unique(np.asarray(rows)[some], return_inverse=True)
+    c, ci = np.unique(np.asarray(columns)[some], return_inverse=True)
+    label = np.arange(len(r) + len(c))
+    while True:  # the least label of a part spreads over its pairs, halving the way by jumps
+        least = np.minimum(label[ri], label[len(r) + ci])
+        following = label.copy()
+        np.minimum.at(following, ri, least)
+        np.minimum.at(following, len(r) + ci, least)
+        following = following[following]
+        if (following == label).all():
+            break
+        label = following
+    part = label[ri]
+    order = np.argsort(part, kind="stable")
+    for group in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        if len(group) == 1:
+            taken[some[group]] = True
+            continue
+        a, ai = np.unique(ri[group], return_inverse=True)
+        b, bi = np.unique(ci[group], return_inverse=True)
+        cost, at = np.zeros((len(a), len(b))), np.full((len(a), len(b)), -1)
+        cost[ai, bi], at[ai, bi] = -np.asarray(worth, float)[some[group]], group
+        chosen = at[assign(cost)]
+        taken[some[chosen[chosen >= 0]]] = True
+    return taken
+
+
 def assign_above(similarity: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs at or above a threshold; a threshold matrix that is one-to-one needs no solver."""
     over = similarity >= least

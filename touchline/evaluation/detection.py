@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import boxes
 from ..operators import ranking
-from .assignment import greedy
+from .assignment import assign, greedy
 
 THRESHOLDS = [0.01, 0.25, *(round(0.5 + 0.05 * k, 2) for k in range(10))]
 FRAMES = 256
@@ -80,3 +81,31 @@ def threshold_accuracy(points: DataFrame, image: str, distance: str, confidence:
     per = points.groupBy(image).agg(F.count_if(said & near).alias("tp"), F.count_if(said & ~near).alias("fp"), F.count_if(real & ~(said & near)).alias("fn"))
     acc = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))
     return per.agg(F.avg(acc).alias("accuracy"), F.avg((acc > cut).cast("int")).alias("share_above"))
+
+
+def set_matches(predicted: DataFrame, targets: DataFrame, w_class: float = 1.0, w_box: float = 1.0, w_overlap: float = 1.0, alpha: float = 0.25, gamma: float = 2.0) -> DataFrame:
+    """Sample, pred_id, target_id, cost: the assignment of least summed cost within each sample.
+
+    predicted: sample, pred_id, logits (array<double>), box (array of centre x, centre y, width, height);
+    targets: sample, target_id, label (place in the logits), box. The cost is a focal cost of the class, the
+    summed distance of the four numbers, and the negative generalised IoU. Costs are made by Spark in one
+    join by sample; a sample's pairs, its predictions times its targets, are one group.
+    """
+    p = predicted.select("sample", "pred_id", "logits", F.col("box").alias("a"))
+    both = p.join(targets.select("sample", "target_id", "label", F.col("box").alias("b")), "sample")
+    s = 1 / (1 + F.exp(-F.get("logits", F.col("label"))))
+    focal = alpha * F.pow(1 - s, F.lit(gamma)) * -F.log(s + 1e-8) - (1 - alpha) * F.pow(s, F.lit(gamma)) * -F.log(1 - s + 1e-8)
+    apart = F.aggregate(F.zip_with("a", "b", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda t, v: t + v)
+    cost = w_class * focal + w_box * apart - w_overlap * boxes.giou(boxes.xywh_to_ltrb(F.col("a")), boxes.xywh_to_ltrb(F.col("b")))
+    rows = both.select("sample", "pred_id", "target_id", cost.alias("cost"))
+    kind = dict(predicted.dtypes)["sample"]
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, ai = np.unique(pdf["pred_id"], return_inverse=True)
+        b, bi = np.unique(pdf["target_id"], return_inverse=True)
+        m = np.full((len(a), len(b)), np.nan)
+        m[ai, bi] = pdf["cost"]
+        r, c = assign(m)
+        return pd.DataFrame({"sample": pdf["sample"].iloc[0], "pred_id": a[r], "target_id": b[c], "cost": m[r, c]})
+
+    return rows.groupBy("sample").applyInPandas(best, f"sample {kind}, pred_id long, target_id long, cost double")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import frames as in_frames
 from ..operators import ordered
-from .assignment import assign
+from .assignment import assign, assign_sparse
 
 ALPHAS = [round(0.05 * k, 2) for k in range(1, 20)]
 #: Frames that one matching task takes together.
@@ -200,9 +200,8 @@ def identity(sim: DataFrame, gt: DataFrame, pred: DataFrame, threshold: float =
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         # leaving both ids alone costs what matching saves: the best assignment has the most common frames
-        m, _, _ = _dense(pdf, "together")
-        r, c = assign(-m)
-        return pd.DataFrame({"seq": [pdf["seq"].iloc[0]], "idtp": [int(m[r, c].sum())]})
+        best = assign_sparse(pdf["gt_id"], pdf["tracker_id"], pdf["together"].to_numpy())
+        return pd.DataFrame({"seq": [pdf["seq"].iloc[0]], "idtp": [int(pdf["together"].to_numpy()[best].sum())]})
 
     best = pair_counts(sim, threshold).groupBy("seq").applyInPandas(fold, f"seq {kind}, idtp long")
     full = g.join(t, "seq", "full_outer").join(best, "seq", "left").na.fill(0)
@@ -233,9 +232,8 @@ def vace(sim: DataFrame, gt: DataFrame, pred: DataFrame, threshold: float = 0.5)
     overlap = pairs.withColumn("overlap", F.col("together") / (F.col("n_gt") + F.col("n_tr") - F.col("together")))
 
     def tracks(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, _, _ = _dense(pdf, "overlap")
-        r, c = assign(-m)
-        return pd.DataFrame({"seq": [pdf["seq"].iloc[0]], "stda": [float(m[r, c].sum())]})
+        best = assign_sparse(pdf["gt_id"], pdf["tracker_id"], pdf["overlap"].to_numpy())
+        return pd.DataFrame({"seq": [pdf["seq"].iloc[0]], "stda": [float(pdf["overlap"].to_numpy()[best].sum())]})
 
     stda = overlap.select("seq", "gt_id", "tracker_id", "overlap").groupBy("seq").applyInPandas(tracks, f"seq {kind}, stda double")
     ids = g.groupBy("seq").agg(F.count("*").alias("a")).join(t.groupBy("seq").agg(F.count("*").alias("b")), "seq", "full_outer")
@@ -365,9 +363,8 @@ def path_consistency(gt_at: DataFrame, matches: DataFrame) -> DataFrame:
     kind = dict(gt_at.dtypes)["seq"]
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, _, _ = _dense(pdf, "length")
-        r, c = assign(-m)
-        return pd.DataFrame({"seq": [pdf["seq"].iloc[0]], "kept": [float(m[r, c].sum())]})
+        best = assign_sparse(pdf["gt_id"], pdf["tracker_id"], pdf["length"].to_numpy())
+        return pd.DataFrame({"seq": [pdf["seq"].iloc[0]], "kept": [float(pdf["length"].to_numpy()[best].sum())]})
 
     kept = per.select("seq", "gt_id", "tracker_id", "length").groupBy("seq").applyInPandas(fold, f"seq {kind}, kept double")
     return total.join(kept, "seq", "left").select("seq", F.coalesce(F.try_divide(F.coalesce("kept", F.lit(0.0)), "total"), F.lit(0.0)).alias("IDEucl"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import geometry
+from ..operators import ordered
 
 
 def labels(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -53,7 +54,7 @@ def numbered_frames(spark: SparkSession, video_id: str, n: int) -> DataFrame:
 
 def with_person_keys(rows: DataFrame, category: str) -> DataFrame:
     """A dense category number over sorted names, and a key of video, image and track."""
-    names = rows.select(category).distinct().withColumn("category_no", F.row_number().over(Window.orderBy(category)) - 1)
+    names = ordered.numbered(rows.select(category).distinct(), [category], "category_no")
     key = F.concat_ws("_", "video_id", "image_id", F.col("track_id").cast("string"))
     return rows.join(names, category, "left").withColumn("person_key", key)
 
