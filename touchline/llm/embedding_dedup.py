@@ -17,8 +17,9 @@ own; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +42,25 @@ class Hyperplanes:
     #: Tables whose buckets are compared in one pass.
     at_once: int = 3
 
+    def found(self) -> float:
+        """The probability that a pair at the threshold shares a bucket: a sign agrees with probability 1 - angle / pi."""
+        same = (1 - math.acos(self.threshold) / math.pi) ** self.signs
+        return 1 - (1 - same) ** self.tables
+
+    def for_classes(self, n: int) -> Hyperplanes:
+        """As many signs as hold a bucket of ``n`` vectors without near copies to about ``block``, and as many tables as hold ``found``.
+
+        Work and shuffle then grow as n to the power 1 + log(1 / p) / log 2, p a sign's agreement: 1.15 for 0.95.
+        """
+        signs = max(self.signs, math.ceil(math.log2(max(n, 1) / self.block)))
+        same = (1 - math.acos(self.threshold) / math.pi) ** signs
+        tables = max(self.tables, math.ceil(math.log(1 - self.found()) / math.log(1 - same)))
+        return replace(self, signs=signs, tables=-(-tables // self.at_once) * self.at_once)
+
 
 def _unit(vectors: pa.Array, dim: int) -> np.ndarray:
     x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # else squares of very large or small components are lost
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -60,7 +77,7 @@ def _signatures(spec: Hyperplanes):
                 if dim not in planes:
                     planes[dim] = np.random.default_rng(spec.seed).standard_normal((int(dim), spec.tables * spec.signs))
                 signs = (_unit(batch.column("vector"), int(dim)) @ planes[dim] > 0).reshape(-1, spec.tables, spec.signs)
-                codes = (signs * weights).sum(2).astype(np.int32)
+                codes = (signs * weights).sum(2).astype(np.int64)
                 lists = pa.ListArray.from_arrays(np.arange(0, codes.size + 1, spec.tables, dtype=np.int32), pa.array(codes.reshape(-1)))
                 yield pa.record_batch({**{c: batch.column(c) for c in ("row_id", "n", "dim", "vector")}, "codes": lists})
 
@@ -158,15 +175,15 @@ def _compared(hashed: DataFrame, spec: Hyperplanes, begin: int) -> DataFrame:
 
 
 def near_duplicates(vectors: DataFrame, spec: Hyperplanes | None = None) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding)."""
-    spec = spec or Hyperplanes()
+    """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding); ``spec`` follows the number of different vectors."""
     kind = dict(vectors.dtypes)["embedding"]
     kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
     base = numbered(vectors.select("vec_id", "embedding"), "vec_id")
     ok = base.where(usable("embedding")).select("row_id", "embedding")
     classes = stored(ok.groupBy("embedding").agg(F.min("row_id").alias("first"), F.count("*").alias("n")))
+    spec = spec or Hyperplanes().for_classes(classes.count())
     whole = classes.select(F.col("first").alias("row_id"), "n", F.size("embedding").alias("dim"), F.col("embedding").cast(kind).alias("vector"))
-    hashed = stored(whole.mapInArrow(_signatures(spec), f"row_id long, n long, dim int, vector {kind}, codes array<int>"))
+    hashed = stored(whole.mapInArrow(_signatures(spec), f"row_id long, n long, dim int, vector {kind}, codes array<bigint>"))
     parts = [_compared(hashed, spec, begin) for begin in range(0, spec.tables, spec.at_once)]
     found = parts[0]
     for part in parts[1:]:
