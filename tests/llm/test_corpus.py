@@ -284,6 +284,45 @@ def test_deep_and_wide_pages_end_and_keep_their_text():
     assert len(node[html_extract.CHILDREN]) == 6000
 
 
+@pytest.mark.parametrize("aside", ['<div class="box2">', '<section class="user-discussion">', "<div>", "<section>"])
+@pytest.mark.parametrize("around", ["body", "main"])
+def test_a_short_article_beside_a_long_text_is_the_text(aside, around):
+    much = " ".join(f"word{k}" for k in range(200))
+    end = aside[1:].split()[0].rstrip(">")
+    assert html_extract.extract(f"<{around}><article><h1>T</h1><p>A short text.</p></article>{aside}<p>{much}</p></{end}></{around}>") == "T\n\nA short text."
+
+
+def test_teasers_do_not_stand_for_the_text():
+    much = " ".join(f"word{k}" for k in range(200))
+    cards = "".join(f"<article class=card><p>teaser {k}</p></article>" for k in range(4))
+    assert html_extract.extract(f"<body><div class=content><p>{much}</p></div><section>{cards}</section></body>") == much
+    assert html_extract.extract(f"<body><article><p>{much}</p></article>{cards}</body>") == much
+    assert html_extract.extract(f"<body><div class=text><p>few</p></div><div class=prose><p>{much}</p></div></body>") == f"few\n\n{much}"
+
+
+def test_unclosed_markup_takes_linear_time():
+    import time
+
+    for page, want in (("<svg>" * 200_000 + "<p>x", "x"), ("<span>" * 50_000 + "</b>" * 50_000 + "y", "y"), ("<i><div>" + "<span>" * 50_000 + "</i>" * 50_000 + "z", "z"), ("<span>" * 20_000 + "<p>" * 20_000 + "w", "w")):
+        began = time.perf_counter()
+        assert html_extract.extract(page) == want
+        assert time.perf_counter() - began < 20
+    assert html_extract.extract("a<svg><p>gone</p></svg>b<select>c<noscript>gone</noscript>d") == "abcd"
+
+
+def test_partial_wrappers_are_merged_in_one_order(spark):
+    import itertools
+
+    pages = ["<h1>t</h1><p>a</p><ul><li>1</ul>", "<p>a</p><h1>t</h1><div>x</div>", "<ul><li>1</ul><p>b</p><div>y</div>", "<div>z</div><h1>t</h1>"]
+    found = set()
+    for k, way in enumerate(itertools.permutations(range(4))):
+        if k % 5:
+            continue
+        df = spark.createDataFrame([("http://h/", pages[i]) for i in way], "url string, html string").repartition(4, "html")
+        found.add(html_extract.wrappers(df).first()["wrapper"])
+    assert len(found) == 1
+
+
 def test_inline_labels_and_formulas_are_text():
     assert html_extract.extract("<article><p>one <label>two</label> <math>x</math> three</p></article>") == "one two x three"
 
@@ -502,3 +541,32 @@ def test_toxicity_with_fewer_toxic_documents_than_a_marker_asks_for(spark):
     labels = spark.createDataFrame([(k, int(k < 3)) for k in range(60)], "doc_id long, toxic int")
     got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
     assert min(got[k] for k in range(3)) > max(got[k] for k in range(3, 60))
+
+
+# 1 again: magnitudes, and planes that follow the number of vectors
+
+
+def test_extreme_magnitudes_link(spark):
+    rows = [(1, [1e200, 1e200, 0.0]), (2, [2e200, 2e200, 0.0]), (3, [1e-200, 0.0, 0.0]), (4, [3e-200, 1e-203, 0.0]), (5, [0.0, 0.0, 5e-324]), (6, [0.0, 0.0, 1e300])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (1, 3), 5: (1, 5), 6: (1, 5)}
+
+
+def test_planes_follow_the_number_of_vectors():
+    base = embedding_dedup.Hyperplanes()
+    for n in (0, 10, 10**6, 10**8, 10**10):
+        spec = base.for_classes(n)
+        assert spec.found() >= base.found() > 0.9995 and n / 2**spec.signs <= spec.block and spec.tables % spec.at_once == 0
+    spec = base.for_classes(10**8)
+    assert (spec.signs, spec.tables) == (18, 51)
+    # pairs of cosine 0.95, by their buckets
+    rng_ = np.random.default_rng(1)
+    a = rng_.standard_normal((2000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng_.standard_normal((2000, 64))
+    b -= (b * a).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    b = 0.95 * a + np.sqrt(1 - 0.95**2) * b
+    planes = np.random.default_rng(spec.seed).standard_normal((64, spec.tables * spec.signs))
+    same = ((a @ planes > 0) == (b @ planes > 0)).reshape(2000, spec.tables, spec.signs).all(2).any(1)
+    assert same.mean() > 0.995

@@ -25,6 +25,7 @@ import html as entities
 import json
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -48,10 +49,11 @@ _CELLS, _NEAR = 250_000, 64
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)"""
-    r"""|<(noscript|template|svg|iframe|select|object)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?</\2\s*>"""
     r"""|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|(?P<text>[^<]+|<)""",
     re.S | re.I,
 )
+#: Elements whose content is no text; one that is never closed holds nothing.
+_OPAQUE = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("noscript", "template", "svg", "iframe", "select", "object")}
 _NAMED = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _GONE = re.compile(r"(?:^|\s)(?:hidden(?=\s|$|=)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 BLOCKS = frozenset(
@@ -126,9 +128,12 @@ def parse(page: str) -> Block:
     """The tree of block elements; inline markup only adds its text, scripts and comments add nothing."""
     root = at = Block("", "", "", "", False, None)
     open_: list[str] = []  # every open element, inline ones too
+    places: dict[str, list[int]] = {}  # where in it each name stands
+    scopes: list[int] = []  # where in it scopes stand
     blocks: list[Block] = [root]
     run: list[str] = []
     in_link = skipped = 0
+    unclosed: set[str] = set()
 
     def flush() -> None:
         if run:
@@ -137,7 +142,36 @@ def parse(page: str) -> Block:
             if text:
                 at.items.append(text)
 
-    for m in _TOKEN.finditer(page):
+    def opened(name: str) -> None:
+        nonlocal in_link, skipped
+        places.setdefault(name, []).append(len(open_))
+        if name in _SCOPE:
+            scopes.append(len(open_))
+        open_.append(name)
+        if name not in BLOCKS:
+            in_link += name == "a"
+            skipped += name in _DROPPED
+
+    def closed(upto: int) -> None:
+        """Close the elements from a place on."""
+        nonlocal at, in_link, skipped
+        while len(open_) > upto:
+            last = open_.pop()
+            places[last].pop()
+            if last in _SCOPE:
+                scopes.pop()
+            if last in BLOCKS:
+                blocks.pop()
+                at = blocks[-1]
+            elif last == "a":
+                in_link = max(0, in_link - 1)
+            elif last in _DROPPED:
+                skipped = max(0, skipped - 1)
+
+    pos = 0
+    while pos < len(page):
+        m = _TOKEN.match(page, pos)
+        pos = m.end()
         text = m.group("text")
         if text is not None:
             if not skipped:
@@ -153,26 +187,22 @@ def parse(page: str) -> Block:
             continue
         name = name.lower()
         if m.group("close"):
-            if name not in open_:
+            if not places.get(name):
                 if name == "br":
                     run.append(" ")
                 continue
             if name in BLOCKS:
                 flush()
-            elif name in _SCOPE or any(x in _SCOPE for x in open_[len(open_) - 1 - open_[::-1].index(name) + 1 :]):
+            elif name in _SCOPE or (scopes and scopes[-1] > places[name][-1]):
                 continue  # an inline end does not close blocks that were opened inside
-            while open_:
-                last = open_.pop()
-                if last in BLOCKS:
-                    blocks.pop()
-                    at = blocks[-1]
-                elif last == "a":
-                    in_link = max(0, in_link - 1)
-                elif last in _DROPPED:
-                    skipped = max(0, skipped - 1)
-                if last == name:
-                    break
+            closed(places[name][-1])
             continue
+        if name in _OPAQUE and name not in unclosed:
+            end = _OPAQUE[name].search(page, pos)
+            if end:
+                pos = end.end()
+                continue
+            unclosed.add(name)  # nor is any later one
         if name in _VOID:
             if name == "hr":
                 flush()
@@ -182,32 +212,24 @@ def parse(page: str) -> Block:
         if name not in BLOCKS:
             if attrs.rstrip().endswith("/"):
                 continue
-            open_.append(name)
-            in_link += name == "a"
-            skipped += name in _DROPPED
+            opened(name)
             continue
         flush()
         ends = _ENDS.get(name) or ({"p"} if name not in ("body", "html") else set())
-        k = len(open_) - 1
-        while k >= 0 and (open_[k] not in _SCOPE or open_[k] in ends):
-            if open_[k] in ends:
-                for last in reversed(open_[k:]):
-                    if last in BLOCKS:
-                        blocks.pop()
-                    elif last == "a":
-                        in_link = max(0, in_link - 1)
-                    elif last in _DROPPED:
-                        skipped = max(0, skipped - 1)
-                del open_[k:]
-                at = blocks[-1]
-            k = min(k, len(open_)) - 1
+        inner = len(scopes) - 1
+        while inner >= 0 and open_[scopes[inner]] in ends:
+            inner -= 1
+        least = scopes[inner] if inner >= 0 else -1
+        cut = [at_[bisect_right(at_, least)] for at_ in (places.get(e) for e in ends) if at_ and at_[-1] > least]
+        if cut:
+            closed(min(cut))
         named = " ".join(a or b or c for _, a, b, c in _NAMED.findall(attrs)) if attrs else ""
         marks = _CAMEL.sub(" ", named)
         block = Block(f"{name}.{re.sub(r'[0-9]+', '#', marks)}" if marks else name, name, marks, _called(named) if named else "", bool(attrs and _GONE.search(attrs)), at)
         at.children.append(block)
         at.items.append(block)
         blocks.append(block)
-        open_.append(name)
+        opened(name)
         at = block
     flush()
     _spare(root)
@@ -398,15 +420,31 @@ def _containers(root: Block) -> list[tuple[int, int, int, Block]]:
     return out
 
 
+def _main(root: Block) -> list[Block]:
+    """The page's main containers; none where no element claims to be one.
+
+    One article is the main container however short it is: what stands beside it has no claim. Of several,
+    those count that have at least a quarter of the longest one's text; if they are alike and together
+    short against another container, they are teasers, and that container counts. An element that claims
+    by a name like content only counts where it has a quarter of the page's text.
+    """
+    found = [x for x in _containers(root) if x[1] > 0]
+    articles = [x for x in found if x[0] == 3]
+    rest = [x for x in found if x[0] == 2 or (x[0] == 1 and x[1] * 4 >= root.volume[0])]
+    longest = max((x[1] for x in articles), default=0)
+    articles = [x for x in articles if x[1] * 4 >= longest]
+    if articles and (len(articles) == 1 or 4 * sum(x[1] for x in articles) >= max((x[1] for x in rest), default=0)):
+        return [x[3] for x in articles]
+    return [max(rest, key=lambda x: x[:3])[3]] if rest else [x[3] for x in articles]
+
+
 def extract(page: str | None, wrapper: list | None = None) -> str:
     """The page's main text: blocks in page order, joined by blank lines."""
     if not page:
         return ""
     root = parse(page)
-    whole = root.volume[0]
-    found = [x for x in _containers(root) if x[1] * 4 >= whole]  # a container with little of the text is a teaser
-    strongest = max((x[0] for x in found), default=0)
-    tops = [x[3] for x in found if x[0] == strongest] if strongest == 3 else [max(found, key=lambda x: x[:3])[3]] if found else [root]
+    found = _main(root)
+    tops = found or [root]
     nodes = _nodes(root, wrapper)
     out: list[str] = []
     inside = bool(found)
@@ -454,13 +492,17 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One wrapper for each host from its partial ones."""
-    held: dict[str, list] = {}
+    """One wrapper for each host from its partial ones, which come in order."""
+    name, whole = None, None
     for batch in batches:
         for host, text in zip(batch.column("host").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
+            if whole is not None and host != name:
+                yield _written({name: whole})
+                whole = None
             own = json.loads(text)
-            held[host] = merge(held[host], own) if host in held else own
-    yield _written(held)
+            name, whole = host, merge(whole, own) if whole is not None else own
+    if whole is not None:
+        yield _written({name: whole})
 
 
 def _written(held: dict[str, list]) -> pa.RecordBatch:
@@ -470,9 +512,9 @@ def _written(held: dict[str, list]) -> pa.RecordBatch:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper for every host of ``pages`` (url, html)."""
+    """host, wrapper for every host of ``pages`` (url, html); partial wrappers are merged in one order, whichever comes first."""
     own = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_partial, "host string, wrapper string")
-    return own.repartition("host").mapInArrow(_combined, "host string, wrapper string")
+    return own.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(_combined, "host string, wrapper string")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
