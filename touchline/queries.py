@@ -750,43 +750,107 @@ def two_stage_tracks(spark, sf_dir):
 
 
 def _positions(spark, sf_dir):
-    """Orders are clips and lines of an order stand around the pitch in 25 frames."""
+    """Lines of three orders stand around the pitch in a frame, fifty frames are a clip."""
     rows = _read(spark, sf_dir, "lineitem")
-    k = F.pmod(F.xxhash64("l_orderkey", "l_partkey", "l_suppkey"), F.lit(22))
+    k = (F.col("l_orderkey") * 7 + F.col("l_partkey") * 13 + F.col("l_suppkey") * 5) % 22
     role = F.when(k == 21, "ball").when(k.isin(9, 19), "goalkeeper").otherwise("player")
+    pos = F.col("l_partkey") * 1_000_000_000 + F.col("l_suppkey") * 10_000 + F.col("l_linenumber") * 100 + F.col("l_quantity").cast("long")
     return rows.select(
         F.expr("l_orderkey div 150").cast("string").alias("clip"), (F.col("l_orderkey") % 50).alias("frame"), k.alias("track_id"), F.when(k < 10, "left").when(k < 20, "right").alias("team"),
-        role.alias("role"), k.cast("int").alias("jersey_number"), (F.col("l_quantity") * 2 - 50).alias("x"), (F.col("l_discount") * 600 - 30).alias("y"), F.col("l_linenumber").alias("pos"),
+        role.alias("role"), k.cast("int").alias("jersey_number"), (F.col("l_quantity") * 2 - 50).alias("x"), (F.col("l_discount") * 600 - 30).alias("y"), pos.alias("pos"),
     )
 
 
-@query()
+_POSITIONS = """
+p AS (SELECT CAST(l_orderkey // 150 AS VARCHAR) AS clip, l_orderkey % 50 AS frame, k AS track_id, CASE WHEN k < 10 THEN 'left' WHEN k < 20 THEN 'right' END AS team,
+  CASE WHEN k = 21 THEN 'ball' WHEN k IN (9, 19) THEN 'goalkeeper' ELSE 'player' END AS role, l_quantity * 2 - 50 AS x, l_discount * 600 - 30 AS y, l_partkey * 1000000000 + l_suppkey * 10000 + l_linenumber * 100 + CAST(l_quantity AS BIGINT) AS pos
+  FROM (SELECT *, (l_orderkey * 7 + l_partkey * 13 + l_suppkey * 5) % 22 AS k FROM lineitem))"""
+
+
+def _lines_sql(support: float, lateral: float) -> str:
+    """The lines of every clip and window as a chain of named tables that ends with ``lines`` and its ``members``."""
+    return f"""{_POSITIONS},
+med AS (SELECT clip, median(x) FILTER (team = 'left' AND role = 'goalkeeper') AS l, median(x) FILTER (team = 'right' AND role = 'goalkeeper') AS r FROM p GROUP BY clip),
+dirs AS (SELECT clip, 'left' AS team, CASE WHEN l > 0 THEN -1 WHEN l IS NOT NULL THEN 1 WHEN r > 0 THEN 1 WHEN r IS NOT NULL THEN -1 ELSE 1 END AS direction,
+  CASE WHEN l IS NOT NULL THEN 'goalkeeper' WHEN r IS NOT NULL THEN 'opponent_goalkeeper' ELSE 'team_label_fallback' END AS source FROM med
+  UNION ALL SELECT clip, 'right', CASE WHEN r > 0 THEN -1 WHEN r IS NOT NULL THEN 1 WHEN l > 0 THEN 1 WHEN l IS NOT NULL THEN -1 ELSE -1 END,
+  CASE WHEN r IS NOT NULL THEN 'goalkeeper' WHEN l IS NOT NULL THEN 'opponent_goalkeeper' ELSE 'team_label_fallback' END FROM med),
+ball AS (SELECT clip, frame, arg_min(x, pos) AS b_x, arg_min(y, pos) AS b_y FROM p WHERE role = 'ball' GROUP BY ALL),
+near AS (SELECT *, row_number() OVER (PARTITION BY clip, frame ORDER BY d, pos) AS k FROM (SELECT clip, frame, team, pos, sqrt((x - b_x) ** 2 + (y - b_y) ** 2) AS d FROM p JOIN ball USING (clip, frame) WHERE role IN ('player', 'goalkeeper') AND team IS NOT NULL)),
+poss AS (SELECT f.clip, f.frame, CASE WHEN d <= 5 THEN team END AS possession FROM (SELECT DISTINCT clip, frame FROM p) f LEFT JOIN near n ON n.clip = f.clip AND n.frame = f.frame AND k = 1),
+framed AS (SELECT *, unnest(range(greatest(0, CAST(floor((frame * 40 - 1000) / 500) AS BIGINT) + 1), frame * 40 // 500 + 1)) AS "window" FROM poss),
+votes AS (SELECT clip, "window", possession, count(*) AS n, min(frame) AS first FROM framed WHERE possession IS NOT NULL GROUP BY ALL),
+attack AS (SELECT clip, "window", possession AS attacking_team, n AS valid_frames FROM (SELECT *, row_number() OVER (PARTITION BY clip, "window" ORDER BY n DESC, first) AS k FROM votes) WHERE k = 1),
+deep AS (SELECT p.*, direction * x AS depth FROM p JOIN dirs USING (clip, team) WHERE role = 'player'),
+step AS (SELECT *, count(*) OVER g AS cnt, row_number() OVER o AS k, depth - lag(depth) OVER o AS gap, max(depth) OVER g - min(depth) OVER g >= 6 AS wide FROM deep WINDOW g AS (PARTITION BY clip, frame, team), o AS (PARTITION BY clip, frame, team ORDER BY depth, pos)),
+ranked AS (SELECT *, max((coalesce(gap >= 4.5, false))::INT) OVER (PARTITION BY clip, frame, team) AS any_gap, row_number() OVER (PARTITION BY clip, frame, team ORDER BY gap DESC NULLS LAST, k DESC) AS late, row_number() OVER (PARTITION BY clip, frame, team ORDER BY gap DESC NULLS LAST, k) AS early FROM step),
+parts AS (SELECT *, sum(coalesce(CASE WHEN any_gap = 1 THEN gap >= 4.5 AND late <= 2 ELSE wide AND early = 1 AND gap IS NOT NULL END, false)::INT) OVER (PARTITION BY clip, frame, team ORDER BY depth, pos ROWS UNBOUNDED PRECEDING) AS part FROM ranked WHERE cnt >= 2),
+grp AS (SELECT *, max(part) OVER (PARTITION BY clip, frame, team) + 1 AS n_parts FROM parts),
+placed AS (SELECT f.clip, f."window", f.frame, g.track_id, g.x, g.y, CASE WHEN g.team = attacking_team AND part = n_parts - 1 THEN 'attacking_forward' WHEN g.team = attacking_team AND part = n_parts - 2 THEN 'attacking_midfield'
+  WHEN g.team <> attacking_team AND part = 0 THEN 'defending_defensive' END AS line FROM framed f JOIN attack a USING (clip, "window") JOIN grp g ON g.clip = f.clip AND g.frame = f.frame WHERE possession = attacking_team AND n_parts >= 2),
+sup AS (SELECT clip, "window", line, count(DISTINCT frame) AS frames FROM placed WHERE line IS NOT NULL GROUP BY ALL),
+members AS (SELECT clip, "window", line, track_id, round_even(median(x), 2) + 0 AS x_m, round_even(median(y), 2) + 0 AS y_m, count(*) / any_value(valid_frames) AS ratio FROM placed JOIN attack USING (clip, "window") WHERE line IS NOT NULL GROUP BY ALL HAVING count(*) / any_value(valid_frames) >= {support}),
+listed AS (SELECT clip, "window", line, count(*) AS m, max(y_m) - min(y_m) AS span, sum(x_m) / count(*) AS mean_x, min(x_m) AS x0, max(x_m) AS x1, min(y_m) AS y0, max(y_m) AS y1,
+  string_agg(concat_ws(':', track_id, x_m, y_m, round_even(ratio, 3)), ' ' ORDER BY y_m, track_id) AS members FROM members GROUP BY ALL),
+base AS (SELECT a.*, line, CASE WHEN line = 'defending_defensive' THEN CASE attacking_team WHEN 'left' THEN 'right' ELSE 'left' END ELSE attacking_team END AS team FROM attack a, (VALUES ('attacking_forward'), ('attacking_midfield'), ('defending_defensive')) AS v(line)),
+lines AS (SELECT b.clip, b."window", b.line, b.team, attacking_team, valid_frames, coalesce(frames, 0) / valid_frames AS ratio, source, coalesce(m, 0) AS m, coalesce(span, 0) AS span, mean_x, x0, x1, y0, y1, coalesce(members, '') AS members,
+  list_filter([CASE WHEN source = 'team_label_fallback' THEN 'attack direction inferred only from team label' END, CASE WHEN coalesce(frames, 0) / valid_frames < {support} THEN 'role is not stable in 60% of valid frames' END,
+   CASE WHEN coalesce(m, 0) < 2 THEN 'fewer than two stable visible members' END, CASE WHEN coalesce(span, 0) < {lateral} THEN 'stable members have insufficient lateral span' END], lambda g: g IS NOT NULL) AS gaps
+  FROM base b LEFT JOIN listed l ON l.clip = b.clip AND l."window" = b."window" AND l.line = b.line LEFT JOIN sup s ON s.clip = b.clip AND s."window" = b."window" AND s.line = b.line JOIN dirs d ON d.clip = b.clip AND d.team = b.team)"""
+
+
+@query(f"""
+WITH {_lines_sql(0.6, 4.0)}
+SELECT clip, "window", line, team, attacking_team, valid_frames, CASE WHEN len(gaps) = 0 THEN 'renderable' ELSE 'candidate' END AS status, round_even(ratio, 3) AS support_ratio, source AS direction_source, members, round_even(span, 2) + 0 AS lateral_span_m,
+  array_to_string(gaps, '; ') AS evidence_gaps FROM lines""")
 def topology_lines(spark, sf_dir):
-    """Lines of every clip and window."""
+    """Lines of every clip and window, members as text."""
     from .plans import topology
 
-    return topology.lines(_positions(spark, sf_dir), 25.0)
+    out = topology.lines(_positions(spark, sf_dir), 25.0)
+    member = lambda m: F.concat_ws(":", m["track_id"].cast("string"), (m["x_m"] + 0.0).cast("string"), (m["y_m"] + 0.0).cast("string"), m["support_ratio"].cast("string"))
+    return out.withColumn("members", F.array_join(F.transform("members", member), " ")).withColumn("evidence_gaps", F.array_join("evidence_gaps", "; ")).withColumn("lateral_span_m", F.col("lateral_span_m") + 0.0)
 
 
-@query()
+@query(f"""
+WITH {_lines_sql(0.05, 1.0)}, ok AS (SELECT * FROM lines WHERE len(gaps) = 0)
+SELECT clip, "window", 'unit_band' AS type, team, round_even(x0 - 1.5, 2) + 0 AS x0, round_even(y0 - 1.5, 2) + 0 AS y0, round_even(x1 + 1.5, 2) + 0 AS x1, round_even(y1 + 1.5, 2) + 0 AS y1 FROM ok WHERE line = 'defending_defensive'
+UNION ALL SELECT f.clip, f."window", 'inter_line_space', f.team, round_even(m.mean_x, 2) + 0, round_even(greatest(f.y0, m.y0), 2) + 0, round_even(f.mean_x, 2) + 0, round_even(least(f.y1, m.y1), 2) + 0 FROM ok f JOIN ok m USING (clip, "window", team)
+  WHERE f.line = 'attacking_forward' AND m.line = 'attacking_midfield' AND least(f.y1, m.y1) - greatest(f.y0, m.y0) >= 1.0""")
 def topology_zones(spark, sf_dir):
-    """A13, A14."""
+    """Opposite corners of each zone."""
     from .plans import topology
 
-    return topology.zones(topology.lines(_positions(spark, sf_dir), 25.0, topology.Rules(support=0.05, lateral_span=1.0)))
+    rules = topology.Rules(support=0.05, lateral_span=1.0)
+    out = topology.zones(topology.lines(_positions(spark, sf_dir), 25.0, rules), rules)
+    corner = {"x0": (0, 0), "y0": (0, 1), "x1": (2, 0), "y1": (2, 1)}
+    return out.select("clip", "window", "type", "team", *((F.col("polygon")[i][j] + 0.0).alias(n) for n, (i, j) in corner.items()))
 
 
-@query()
+@query(f"""
+WITH {_lines_sql(0.6, 4.0)},
+d AS (SELECT clip, "window", attacking_team, max(CASE WHEN line = 'attacking_forward' THEN round_even(mean_x, 1) + 0 END) AS forward_x, max(CASE WHEN line = 'attacking_forward' THEN round_even(span, 2) + 0 END) AS forward_span,
+  max(CASE WHEN line = 'attacking_midfield' THEN round_even(mean_x, 1) + 0 END) AS midfield_x, max(CASE WHEN line = 'attacking_midfield' THEN round_even(span, 2) + 0 END) AS midfield_span,
+  max(CASE WHEN line = 'defending_defensive' THEN round_even(mean_x, 1) + 0 END) AS last_x, max(CASE WHEN line = 'defending_defensive' THEN round_even(span, 2) + 0 END) AS last_span, array_to_string(list_sort(list_distinct(flatten(list(gaps)))), '; ') AS gaps FROM lines GROUP BY ALL)
+SELECT *, CAST("window" * 0.5 + 0.5 AS DOUBLE) AS t, round_even(abs(last_x - midfield_x), 4) AS gap FROM d""")
 def topology_digest(spark, sf_dir):
-    """A15."""
+    """One row for each window."""
     from .plans import topology
 
-    return topology.digest(topology.lines(_positions(spark, sf_dir), 25.0))
+    out = topology.digest(topology.lines(_positions(spark, sf_dir), 25.0))
+    numbers = [f"{n}_{s}" for n in ("forward", "midfield", "last") for s in ("x", "span")]
+    return out.withColumns({c: F.col(c) + 0.0 for c in numbers}).withColumn("gap", _r("gap", 4)).withColumn("gaps", F.array_join("gaps", "; "))
 
 
-@query()
+@query(f"""
+WITH {_POSITIONS},
+b AS (SELECT *, unnest(range(greatest(0, CAST(floor((frame * 40 - 1000) / 500) AS BIGINT) + 1), frame * 40 // 500 + 1)) AS "window" FROM p WHERE role = 'ball'),
+r AS (SELECT clip, "window", round_even(median(x), 2) + 0 AS x_m, round_even(median(y), 2) + 0 AS y_m, count(*) AS sample_count, min(frame * 1000000000000000 + pos) AS first, max(frame * 1000000000000000 + pos) AS last FROM b GROUP BY ALL)
+SELECT r.clip, r."window", x_m, y_m, round_even(sqrt((z.x - a.x) ** 2 + (z.y - a.y) ** 2), 2) AS displacement_m, sample_count FROM r JOIN p a ON a.clip = r.clip AND a.role = 'ball' AND a.frame * 1000000000000000 + a.pos = first
+  JOIN p z ON z.clip = r.clip AND z.role = 'ball' AND z.frame * 1000000000000000 + z.pos = last""")
 def ball_summaries(spark, sf_dir):
-    """W20."""
+    """The ball in each window."""
     from .plans import topology
 
-    return topology.ball_summary(_positions(spark, sf_dir), 25.0)
+    out = topology.ball_summary(_positions(spark, sf_dir), 25.0)
+    return out.withColumns({c: F.col(c) + 0.0 for c in ("x_m", "y_m")})
