@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import boxes
-from ..operators import ranking
+from ..operators import ordered, ranking
 from .assignment import assign, greedy
 
 THRESHOLDS = [0.01, 0.25, *(round(0.5 + 0.05 * k, 2) for k in range(10))]
@@ -109,3 +109,50 @@ def set_matches(predicted: DataFrame, targets: DataFrame, w_class: float = 1.0,
         return pd.DataFrame({"sample": pdf["sample"].iloc[0], "pred_id": a[r], "target_id": b[c], "cost": m[r, c]})
 
     return rows.groupBy("sample").applyInPandas(best, f"sample {kind}, pred_id long, target_id long, cost double")
+
+
+def assigned_pairs(costs: DataFrame, keys: list[str], a: str, b: str, cost: str, limit: float, age: str | None = None) -> DataFrame:
+    """Keys, a, b, cost of the assignment of least cost among pairs within ``limit``, group by group; with nulls, the a and b that got none.
+
+    With ``age``, a column of the a side, younger ones choose first: a cascade of assignments by rising age.
+    A pair that is not listed does not exist; a group's pairs are one task.
+    """
+    kinds = dict(costs.dtypes)
+    columns = [*keys, a, b, cost, *([age] if age else [])]
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, free = [], sorted(pdf[b].unique())
+        for _, level in pdf.groupby(age) if age else [(0, pdf)]:
+            names = sorted(level[a].unique())
+            some = level[level[b].isin(free) & (level[cost] <= limit)]
+            m = np.full((len(names), len(free)), np.nan)
+            m[np.searchsorted(names, some[a]), np.searchsorted(free, some[b])] = some[cost]
+            pairs = {names[i]: (free[j], m[i, j]) for i, j in zip(*assign(m), strict=True)}
+            out += [(n, *pairs.get(n, (None, None))) for n in names]
+            free = [f for f in free if f not in {p[0] for p in pairs.values()}]
+        out += [(None, f, None) for f in free]
+        done = pd.DataFrame(out, columns=[a, b, cost]).astype({a: "Int64", b: "Int64", cost: float})
+        return done.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, a, b, cost]]
+
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"`{a}` long, `{b}` long, `{cost}` double"])
+    return costs.select(*columns).groupBy(*keys).applyInPandas(best, schema)
+
+
+def box_map(pred: DataFrame, truth: DataFrame, images: DataFrame, thresholds: list[float] | None = None) -> DataFrame:
+    """category_id, threshold, ap of boxes over labelled images that have truth; ignored predictions are left out.
+
+    pred: image_id, pred_id, category_id, score, box (ltrb), ignored; truth: image_id, gt_id, category_id, box; images: image_id, is_labeled.
+    """
+    used = images.where("is_labeled").join(truth.select("image_id").distinct(), "image_id").select("image_id")
+    frames = ordered.numbered(used, ["image_id"], "frame")
+    p = pred.where(~F.coalesce(F.col("ignored"), F.lit(False))).join(frames, "image_id").withColumn("pos", -F.col("score"))
+    g = truth.join(frames, "image_id")
+    out = None
+    for row in g.select("category_id").distinct().orderBy("category_id").collect():  # a few classes
+        c = row["category_id"]
+        own_p, own_g = p.where(F.col("category_id").eqNullSafe(c)), g.where(F.col("category_id").eqNullSafe(c))
+        pairs = own_p.select("frame", "pred_id", F.col("box").alias("a")).join(own_g.select("frame", "gt_id", F.col("box").alias("b")), "frame")
+        matches = greedy_matches(pairs.select("frame", "pred_id", "gt_id", boxes.iou(F.col("a"), F.col("b")).alias("iou")), own_p.select("frame", "pred_id", "pos"), thresholds or THRESHOLDS[2:])
+        per = average_precision(matches, own_p.select("frame", "pred_id", "score"), own_g.count()).select(F.lit(c).alias("category_id"), "threshold", "ap")
+        out = per if out is None else out.unionByName(per)
+    return out if out is not None else p.select("category_id", F.lit(0.0).alias("threshold"), F.lit(0.0).alias("ap")).limit(0)

@@ -206,3 +206,30 @@ def keypoints_in_box(points: Column, box: Column) -> Column:
 def rescaled_keypoints(points: Column, sx: Column, sy: Column) -> Column:
     """Other size, same confidence."""
     return F.transform(points, lambda p: F.struct((p["x"] * sx).alias("x"), (p["y"] * sy).alias("y"), p["c"].alias("c")))
+
+
+#: Ways from one form of a box to another.
+_FORMS = {
+    ("ltwh", "ltrb"): ltwh_to_ltrb, ("ltwh", "xywh"): ltwh_to_xywh, ("ltrb", "ltwh"): ltrb_to_ltwh, ("ltrb", "xywh"): ltrb_to_xywh, ("xywh", "ltwh"): xywh_to_ltwh, ("xywh", "ltrb"): xywh_to_ltrb,
+}
+
+
+def seen_as(box: Column, have: str, want: str, width: Column | None = None, height: Column | None = None, whole: bool = False) -> Column:
+    """A box in another form, within the image if its size is given, in whole pixels on demand."""
+    if have not in ("ltwh", "ltrb", "xywh") or want not in ("ltwh", "ltrb", "xywh"):
+        raise ValueError(f"boxes are ltwh, ltrb or xywh, not {have} or {want}")
+    out = box if have == want else _FORMS[have, want](box)
+    if width is not None and height is not None:
+        inside = clipped_ltrb(out if want == "ltrb" else _FORMS[want, "ltrb"](out), width, height)
+        out = inside if want == "ltrb" else _FORMS["ltrb", want](inside)
+    return rounded(out) if whole else out
+
+
+def visible_points(points: Column, least: float = 0.0) -> Column:
+    """The keypoints (structs x, y, c) whose confidence is above ``least``."""
+    return F.filter(points, lambda p: p["c"] > least)
+
+
+def mean_confidence(points: Column) -> Column:
+    """The mean confidence of the keypoints; null without any."""
+    return F.try_divide(F.aggregate(points, F.lit(0.0), lambda s, p: s + p["c"]), F.size(points))

@@ -86,3 +86,13 @@ def category(role: Column, team: Column, jersey: Column) -> Column:
     player = role.isin("player", "goalkeeper")
     named = F.when(jersey.rlike("^[0-9]+$"), F.concat_ws("_", role, team, jersey)).otherwise(F.concat_ws("_", role, team))
     return F.when(player, named).when(bare, role).otherwise(F.raise_error(F.concat(F.lit("unknown role "), F.coalesce(role, F.lit("null")))))
+
+
+def display_path(relative: Column, library: str) -> Column:
+    """A path below the name of its library."""
+    return F.concat(F.lit(f"{library}/"), relative)
+
+
+def result_path(relative: Column, folder: str = "analysis") -> Column:
+    """The path of a file's result: below ``folder``, the last suffix of its name replaced by .json."""
+    return F.concat(F.lit(f"{folder}/"), F.regexp_replace(relative, r"(?<=[^/])\.[^./]+$", ""), F.lit(".json"))

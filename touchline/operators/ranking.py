@@ -150,3 +150,13 @@ def skyline(rows: DataFrame, x: str, y: str) -> DataFrame:
     met = placed.withColumn("__near", near).join(beyond, F.expr("__k = __at"))
     top = F.greatest("__near", "__far")
     return met.where(top.isNull() | (F.col(y) > top)).select(*rows.columns)
+
+
+def ordered_detections(rows: DataFrame) -> DataFrame:
+    """By video, image and track, over the whole table: ranges of the order, one after the other in the partitions; null tracks last."""
+    return rows.orderBy("video_id", "image_id", F.asc_nulls_last("track_id"))
+
+
+def by_score(rows: DataFrame, keys: list[str], score: str, tie: str) -> DataFrame:
+    """The rows of each group by falling score as ``rank`` from 1, equal scores by ``tie``; null scores last."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last(score), tie)))

@@ -198,3 +198,20 @@ def draw_list(found: DataFrame, visible: DataFrame, zone_rows: DataFrame, most:
     have = drawn.groupBy("clip", "window").agg(F.collect_set("line").alias("drawn"))
     whole = zone_rows.join(have, ["clip", "window"]).where(F.size(F.array_except("supporting", "drawn")) == 0).drop("drawn")
     return drawn, whole
+
+
+def facts(found: DataFrame, zone_rows: DataFrame, spans: DataFrame, stride_s: float = 0.5, window_s: float = 1.0) -> DataFrame:
+    """Clip, fact, window, start_s, end_s, attacking_team, lines and zones, cut to what is cited, of the windows that touch a reviewed span.
+
+    spans: clip, fact, from_s, to_s. Lines keep team, role, status, support, ids and known jerseys of their members, and gaps.
+    """
+    line = F.struct(
+        F.col("line").alias("role"), "team", "status", "support_ratio", F.transform("members", lambda m: m["track_id"]).alias("member_track_ids"),
+        F.filter(F.transform("members", lambda m: m["jersey_number"]), lambda j: j.isNotNull()).alias("member_jerseys"), "evidence_gaps",
+    )
+    per = found.groupBy("clip", "window", "attacking_team").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    per = per.withColumn("start_s", F.col("window") * stride_s).withColumn("end_s", F.col("window") * stride_s + window_s)
+    drawn = zone_rows.groupBy("clip", "window").agg(F.sort_array(F.collect_list(F.struct("type", "supporting"))).alias("zones"))
+    met = joins.interval_join(per, spans, ("start_s", "end_s"), ("from_s", "to_s"), 10.0, ["clip"], inclusive=True).join(drawn, ["clip", "window"], "left")
+    none = F.array().cast(dict(drawn.dtypes)["zones"])
+    return met.select("clip", "fact", "window", "start_s", "end_s", "attacking_team", "lines", F.coalesce("zones", none).alias("zones"))

@@ -292,3 +292,66 @@ def files_listed(spark, sf_dir):
     rows = _read(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("name"), F.col("n_name").alias("value"))
     rows.write.partitionBy("name").text(path)
     return _listed(readers.files(spark, path, "*.txt", digest=True))
+
+
+@query("""
+WITH e AS (SELECT event_id, user_id // 20 AS v, event_id // 300 AS i, value, CASE WHEN value > 20 THEN value * 2 + 1 END AS y FROM events),
+r AS (SELECT *, CASE WHEN y IS NOT NULL THEN row_number() OVER (PARTITION BY v, i ORDER BY y NULLS LAST, event_id) END AS place FROM e)
+SELECT event_id, round_even(y, 4) AS y, CAST(place AS BIGINT) AS place, count(y) OVER (PARTITION BY v) AS seen FROM r""")
+def stages_merged(spark, sf_dir):
+    """A stage of rows, one of images and one of videos, each merged into the detections."""
+    from .plans import stage
+
+    e = _read(spark, sf_dir, "events").select(
+        F.col("event_id").alias("det_id"), F.expr("user_id div 20").alias("video_id"), F.concat_ws("-", F.expr("user_id div 20"), F.expr("event_id div 300")).alias("image_id"), "value"
+    )
+
+    def placed(rows):
+        some = rows[rows["y"].notna()].sort_values(["y", "det_id"])
+        return rows.assign(place=some.assign(k=range(1, len(some) + 1))["k"].astype("Int64").reindex(rows.index))
+
+    stages = [
+        stage.detections_stage("y", lambda b: b.assign(y=b["value"] * 2 + 1), ["value"], {"y": "double"}, where=F.col("value") > 20),
+        stage.images_stage("place", placed, ["y"], {"place": "bigint"}),
+        stage.videos_stage("seen", lambda t: t.join(t.groupBy("video_id").agg(F.count("y").alias("seen")), "video_id"), ["y"], {"seen": "bigint"}),
+    ]
+    out = stage.run_stages(stages, {"detections": e})["detections"]
+    return out.select(F.col("det_id").alias("event_id"), _r("y", 4).alias("y"), "place", "seen")
+
+
+@query("""
+SELECT l_orderkey AS frame, coalesce(string_agg(concat(l_linenumber, ':', l_suppkey), ' ' ORDER BY l_partkey, l_linenumber, l_suppkey) FILTER (l_linenumber % 3 > 0), '') AS annotations FROM lineitem GROUP BY l_orderkey""")
+def predictions_indexed(spark, sf_dir):
+    """The annotations of each frame in their stored order; frames without any have an empty list."""
+    rows = _read(spark, sf_dir, "lineitem")
+    images = rows.select(F.col("l_orderkey").alias("image_id"), F.format_string("img1/%08d.jpg", "l_orderkey").alias("file_name")).distinct()
+    annotations = rows.where("l_linenumber % 3 > 0").select(F.col("l_orderkey").alias("image_id"), F.struct("l_partkey", "l_linenumber", "l_suppkey").alias("pos"), "l_linenumber", "l_suppkey")
+    found = readers.predictions_index(images, annotations)
+    return found.select("frame", F.array_join(F.transform("annotations", lambda a: F.concat_ws(":", a["l_linenumber"], a["l_suppkey"])), " ").alias("annotations"))
+
+
+@query("""
+WITH r AS (SELECT concat('v', o_custkey // 100) AS video_id, CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey END AS track_id, NULL::VARCHAR AS kind FROM orders
+  UNION ALL SELECT concat('v', c_custkey // 100), concat('c', c_custkey), NULL, c_mktsegment FROM customer)
+SELECT video_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY id) - 1 AS INTEGER) AS place, id, track_id, kind FROM r""")
+def documents_round_trip(spark, sf_dir):
+    """One document for each video of rows of two kinds, sorted by id as text, written and read."""
+    rows = _read(spark, sf_dir, "orders").select(F.concat(F.lit("v"), F.expr("o_custkey div 100")).alias("video_id"), F.col("o_orderkey").cast("string").alias("id"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_custkey")).alias("track_id"))
+    more = _read(spark, sf_dir, "customer").select(F.concat(F.lit("v"), F.expr("c_custkey div 100")).alias("video_id"), F.concat(F.lit("c"), F.col("c_custkey")).alias("id"), F.col("c_mktsegment").alias("kind"))
+    path = scratch(spark)
+    writers.write_evaluation_documents(writers.evaluation_documents(rows, more), path)
+    schema = "video_id string, predictions array<struct<id: string, track_id: bigint, kind: string>>"
+    back = spark.read.schema(schema).json(path)
+    return back.select("video_id", F.posexplode("predictions").alias("place", "p")).select("video_id", "place", "p.*")
+
+
+@query("""
+SELECT CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS tracker, CAST(user_id AS VARCHAR) AS seq, event_type AS field, round_even(max(value), 4) AS value FROM events
+WHERE user_id % 2 = 0 OR event_type IN ('click', 'view') GROUP BY ALL""")
+def details_round_trip(spark, sf_dir):
+    """Wide results of two trackers, with different metrics, read as one long table."""
+    per = _read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("seq"), "event_type").agg(_r(F.max("value"), 4).alias("value"))
+    paths = {"even": scratch(spark), "odd": scratch(spark)}
+    writers.write_wide_summary(per.where("seq % 2 = 0"), ["seq"], "event_type", "value", paths["even"])
+    writers.write_wide_summary(per.where("seq % 2 = 1 and event_type in ('click', 'view')"), ["seq"], "event_type", "value", paths["odd"])
+    return readers.metric_details(spark, paths)

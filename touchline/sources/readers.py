@@ -207,3 +207,34 @@ def with_defaults(overrides: Column, defaults: dict[str, float], low: float, hig
     base = F.create_map(*(F.lit(x) for pair in defaults.items() for x in (pair[0], float(pair[1]))))
     known = F.map_filter(overrides, lambda k, v: k.isin(list(defaults)) & v.isNotNull() & ~F.isnan(v))
     return F.transform_values(base, lambda k, v: F.least(F.lit(high), F.greatest(F.lit(low), F.coalesce(known[k], v))))
+
+
+def public_detections(state_rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The detections that come with the data, as if they were predicted: wanted columns that exist, truth ids left out."""
+    return state_rows.drop("track_id").select(*(c for c in columns if c in state_rows.columns and c != "track_id"))
+
+
+def predictions_index(images: DataFrame, annotations: DataFrame) -> DataFrame:
+    """Frame, image_id and the annotations of each image in their stored order (``pos``); images without any have an empty list.
+
+    The frame is the number in the image's file name; images without one are left out.
+    """
+    names = [c for c in annotations.columns if c not in ("image_id", "pos")]
+    per = annotations.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("pos", *names))).alias("annotations"))
+    frame = F.regexp_extract("file_name", r"([0-9]+)\.[^.]*$", 1).try_cast("long")
+    listed = images.select(frame.alias("frame"), "image_id").where("frame is not null").join(per, "image_id", "left")
+    return listed.withColumn("annotations", F.coalesce("annotations", F.array().cast(dict(per.dtypes)["annotations"]))).select("frame", "image_id", "annotations")
+
+
+def metric_details(spark: SparkSession, paths: dict[str, str], seq: str = "seq") -> DataFrame:
+    """Tracker, seq, field, value from the wide CSV files of several trackers; files may have different columns."""
+    out = None
+    for tracker, path in paths.items():
+        rows = spark.read.csv(path, header=True)
+        fields = [c for c in rows.columns if c != seq]
+        pairs = F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"`{c}`").try_cast("double").alias("value")) for c in fields))
+        long = rows.select(F.lit(tracker).alias("tracker"), seq, F.explode(pairs).alias("z")).select("tracker", seq, "z.*")
+        out = long if out is None else out.unionByName(long)
+    if out is None:
+        raise ValueError("no tracker is given")
+    return out.where("value is not null")

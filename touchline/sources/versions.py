@@ -1,4 +1,4 @@
-"""Sets of tables promoted together: one manifest names the version that counts.
+"""Sets of tables promoted together: one manifest names the version that counts.
 
 Tables of a version are written beside the current ones and checked where they lie. Only then the
 manifest, a small file, is written under another name and renamed over the old one: a reader sees the
@@ -17,6 +17,22 @@ from pyspark.sql import DataFrame, SparkSession
 Check = Callable[[DataFrame], Iterable[str]]
 
 
+def replace_file(spark: SparkSession, path: str, content: str) -> None:
+    """All of a small text file or nothing: written beside it under another name, then renamed over it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target, part = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.part"))
+    fs = target.getFileSystem(conf)
+    out = fs.create(part, True)
+    try:
+        out.write(bytearray(content.encode()))
+    finally:
+        out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(part), fs.makeQualified(target), options)
+
+
 class Versions:
     """Versions of named tables under a folder of any store that Hadoop's file systems reach."""
 
@@ -36,18 +52,7 @@ class Versions:
         return self._fs().exists(self._path(name))
 
     def _write(self, name: str, content: str) -> None:
-        """All of a small file or nothing: written under another name, then renamed over it."""
-        fs, part = self._fs(), f"{name}.part"
-        out = fs.create(self._path(part), True)
-        try:
-            out.write(bytearray(content.encode()))
-        finally:
-            out.close()
-        rename = self.jvm.org.apache.hadoop.fs.Options.Rename
-        options = self.spark.sparkContext._gateway.new_array(rename, 1)
-        options[0] = rename.OVERWRITE
-        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("x").toUri(), self.conf)
-        context.rename(fs.makeQualified(self._path(part)), fs.makeQualified(self._path(name)), options)
+        replace_file(self.spark, f"{self.root}/{name}", content)
 
     def _read(self, name: str) -> dict | None:
         if not self._exists(name):

@@ -63,6 +63,21 @@ def write_label_json(annotations: DataFrame, path: str) -> None:
     annotations.select("video_id", body).repartition("video_id").write.mode("overwrite").partitionBy("video_id").text(path)
 
 
+def evaluation_documents(annotations: DataFrame, *more: DataFrame) -> DataFrame:
+    """video_id and ``value``, one JSON document of all rows of a video, object, camera and pitch ones, sorted by id as text; null fields are left out."""
+    rows = annotations
+    for other in more:
+        rows = rows.unionByName(other, allowMissingColumns=True)
+    names = [c for c in rows.columns if c not in ("video_id", "id")]
+    listed = rows.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), *names))).alias("predictions"))
+    return listed.select("video_id", F.to_json(F.struct("predictions")).alias("value"))
+
+
+def write_evaluation_documents(documents: DataFrame, path: str) -> None:
+    """A folder for each video with one file in it."""
+    documents.repartition("video_id").write.mode("overwrite").partitionBy("video_id").text(path)
+
+
 def refined(rows: DataFrame, matched: DataFrame, inserted: DataFrame, key: str, video: str) -> DataFrame:
     """Matched rows get new track ids, other rows of refined videos go, inserted rows come, other videos stay."""
     videos = matched.select(video).unionByName(inserted.select(video)).distinct()

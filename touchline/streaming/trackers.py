@@ -248,11 +248,34 @@ def observation_centric(least_score: float = 0.5, least_iou: float = 0.3, inerti
 GATE = 9.4877
 
 
-def appearance(most_cosine: float = 0.3, least_iou: float = 0.3, momentum: float = 0.9, blind: int = 7, first_hits: int = 1, buffer: int = 300) -> Step:
+def part_distances(a: np.ndarray, b: np.ndarray, parts: int) -> np.ndarray:
+    """Half the distance of unit vectors, the mean over parts weighed by the visibility of both; 1 where no part is visible in both.
+
+    Rows hold the visibility of each part, then the parts' vectors one after the other.
+    """
+    va, vb = a[:, :parts], b[:, :parts]
+    x, y = (m[:, parts:].reshape(len(m), parts, -1) for m in (a, b))
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=2, keepdims=True), 1e-12)
+    apart = np.sqrt(np.maximum(2 - 2 * np.einsum("ipd,jpd->ijp", unit(x), unit(y)), 0)) / 2
+    weight = va[:, None, :] * vb[None, :, :]
+    total = weight.sum(axis=2)
+    return np.where(total > 0, (apart * weight).sum(axis=2) / np.where(total > 0, total, 1), 1.0)
+
+
+def _blended_parts(old: np.ndarray, new: np.ndarray, parts: int, momentum: float) -> np.ndarray:
+    """Parts seen in both are averaged exponentially, parts seen in one are its own; what was seen once stays visible."""
+    v, w = old[:parts], new[:parts]
+    x, y = old[parts:].reshape(parts, -1), new[parts:].reshape(parts, -1)
+    share = np.where((v > 0) & (w > 0), momentum, (v > 0).astype(float))[:, None]
+    return np.concatenate([np.maximum(v, w), (share * x + (1 - share) * y).ravel()])
+
+
+def appearance(most_cosine: float = 0.3, least_iou: float = 0.3, momentum: float = 0.9, blind: int = 7, first_hits: int = 1, buffer: int = 300, parts: int = 0) -> Step:
     """Confirmed tracks by appearance within the motion gate, then overlap for the rest.
 
     Features are averaged exponentially and kept at unit length; a lost track is predicted for at most
-    ``blind`` frames; found after that it starts to move anew.
+    ``blind`` frames; found after that it starts to move anew. With ``parts``, features are the visibility
+    of so many body parts and then their vectors: only parts visible in both are compared and averaged.
     """
 
     def step(state: dict, frame: int, ids: np.ndarray, boxes: np.ndarray, scores: np.ndarray, features: np.ndarray) -> list[tuple[int, int]]:
@@ -260,22 +283,23 @@ def appearance(most_cosine: float = 0.3, least_iou: float = 0.3, momentum: float
         for t in tracks:
             _advanced(state, t, frame - t["last"] <= blind)
         norm = np.linalg.norm(features, axis=1, keepdims=True)
-        unit = features / np.where(norm > 0, norm, 1)
+        unit = features if parts else features / np.where(norm > 0, norm, 1)
         z, out, free_t, free_d = _measure(boxes), [], list(range(len(tracks))), list(range(len(ids)))
 
         def take(i: int, j: int) -> None:
             t = tracks[i]
             t["mean"], t["cov"] = Kalman.start(z[j]) if frame - t["last"] > blind else Kalman.update(t["mean"], t["cov"], z[j])
-            blend = momentum * t["feature"] + (1 - momentum) * unit[j]
+            blend = _blended_parts(t["feature"], unit[j], parts, momentum) if parts else momentum * t["feature"] + (1 - momentum) * unit[j]
             size = np.linalg.norm(blend)
-            t.update(feature=blend / size if size > 0 else blend, last=frame, hits=t["hits"] + 1)
+            t.update(feature=blend / size if size > 0 and not parts else blend, last=frame, hits=t["hits"] + 1)
             free_t.remove(i)
             free_d.remove(j)
             out.append((int(ids[j]), t["id"]))
 
         sure = [i for i in free_t if tracks[i]["hits"] >= first_hits]
         if sure and free_d and unit.shape[1]:
-            cost = np.maximum(0, 1 - np.array([tracks[i]["feature"] for i in sure]) @ unit.T)
+            known = np.array([tracks[i]["feature"] for i in sure])
+            cost = part_distances(known, unit, parts) if parts else np.maximum(0, 1 - known @ unit.T)
             gate = np.array([Kalman.gate(tracks[i]["mean"], tracks[i]["cov"], z) for i in sure])
             near = (gate <= GATE) | (np.array([frame - tracks[i]["last"] for i in sure]) > blind)[:, None]
             for i, j in zip(*assign(np.where((cost <= most_cosine) & near, cost, np.nan)), strict=True):
