@@ -26,6 +26,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A row of the cell table is broadcast only where the table has at most so many rows.
 BROADCAST_ROWS = 200_000
 _CHUNK = 512
+#: Sizes of a source that are rounded one after the other in one part.
+_PART = 500
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -124,19 +126,25 @@ def rates(cells: DataFrame, wanted: DataFrame, cap: float = 3.0, steps: int = 40
 def copies_per_cell(rated: DataFrame, cap: int = 3) -> DataFrame:
     """source, size, n, copies: whole copies of each cell, words owed carried to the next smaller size.
 
-    A source's list holds one entry for each distinct size of its documents, not one for each document.
+    A source's list holds one entry for each distinct size of its documents, not one for each document. It is
+    folded in parts of ``_PART`` sizes, since each size that is added copies the copies of its part only.
     """
     entry = F.struct(F.col("size"), F.col("n"), F.col("rate"))
     lists = rated.where("size > 0").groupBy("source").agg(F.sort_array(F.collect_list(entry), asc=False).alias("cells"))
-    spark_sql = f"""
-        aggregate(cells,
-          named_struct('owed', 0.0D, 'copies', cast(array() as array<bigint>)),
-          (a, c) -> named_struct(
-            'owed', a.owed + c.n * c.size * c.rate - c.size * greatest(0L, least({cap}L * c.n, cast(floor((a.owed + c.n * c.size * c.rate) / c.size + 0.5D) as bigint))),
-            'copies', array_append(a.copies, greatest(0L, least({cap}L * c.n, cast(floor((a.owed + c.n * c.size * c.rate) / c.size + 0.5D) as bigint))))),
-          a -> a.copies)"""
+    starts = F.sequence(F.lit(1), F.size("cells"), F.lit(_PART))
+    lists = lists.withColumn("parts", F.transform(starts, lambda i: F.slice("cells", i, _PART)))
+    words = "a.owed + c.n * c.size * c.rate"
+    copies = f"greatest(0L, least({cap}L * c.n, cast(floor(({words}) / c.size + 0.5D) as bigint)))"
+    folded = f"""
+        aggregate(parts,
+          named_struct('owed', 0.0D, 'copies', cast(array() as array<array<bigint>>)),
+          (whole, part) -> transform(array(aggregate(part,
+              named_struct('owed', whole.owed, 'copies', cast(array() as array<bigint>)),
+              (a, c) -> named_struct('owed', {words} - c.size * {copies}, 'copies', array_append(a.copies, {copies})))),
+            done -> named_struct('owed', done.owed, 'copies', array_append(whole.copies, done.copies)))[0],
+          whole -> flatten(whole.copies))"""
     return (
-        lists.withColumn("copies", F.expr(spark_sql))
+        lists.withColumn("copies", F.expr(folded))
         .select("source", F.explode(F.arrays_zip("cells", "copies")).alias("z"))
         .select("source", F.col("z.cells.size").alias("size"), F.col("z.cells.n").alias("n"), F.col("z.copies").alias("copies"))
     )
