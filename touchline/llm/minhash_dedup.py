@@ -5,13 +5,12 @@ the m * m table keys are all pairs of a half key from either collection. Thus m
 rows cost 2 * m * r minhashes instead of 2 * m * m * r.
 
 Texts with the same set form a class and only the classes' first members are compared. In each table
-bucket the members are first paired with the bucket's smallest member; what differs in size or in a
-short signature far beyond chance is dropped, the rest is verified on full sets. Buckets that then
+bucket the members are first paired with the bucket's smallest member, and verified on full sets. Buckets that then
 still hold more than one component are searched again between the components only, so a bucket of
 thousands of near copies never gives all its pairs, and no link between components is left untested.
-That search asks inside its join whether sizes and parity bitmaps of the sets leave room for a link: a
-bitmap never differs in more positions than the sets differ in shingles, so no link is lost to it;
-sets of more than ``WHOLE`` shingles have bitmaps of a sample of them and a margin of 4.5 deviations.
+Before full sets are compared, sizes and parity bitmaps are asked whether they leave room for a link: a
+bitmap never differs in more positions than the sets differ in shingles, so no link is lost to it. Sets
+of more than ``WHOLE`` shingles have no bitmap; theirs are all compared whole.
 
 Table keys are made in passes over the first collection, and only keys that two rows share are kept.
 
@@ -31,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -53,8 +52,6 @@ class Banding:
     r: int = 3
     width: int = 5
     percent: int = 75
-    #: Pairs whose signatures agree less than this are dropped: over four standard deviations below 0.75.
-    least_agreement: float = 0.55
 
 
 #: Candidate ids, of 8 bytes each, are broadcast to the texts only up to so many.
@@ -103,33 +100,26 @@ def _sketch(banding: Banding):
             keys = keys * _U(0x9FB21C651E98DF25) + halves[..., j]
         keys = K.mix(keys + np.arange(1, 2 * banding.m + 1, dtype=_U).reshape(2, banding.m) * _U(0xA24BAED4963EE407))
         lists = lambda x: pa.ListArray.from_arrays(np.arange(0, n * banding.m + 1, banding.m, dtype=np.int32), pa.array(x.reshape(-1).view(np.int64)))
-        signature = (least & _U(0xFF)).astype(np.uint8)
-        level = np.ceil(np.log2(np.maximum(sizes, 1) / WHOLE)).clip(0).astype(np.int32)
         mixed = K.mix(values + _U(11))
-        taken = (mixed >> _U(40)) & ((_U(1) << level[owners].astype(_U)) - _U(1)) == 0
+        taken = (sizes <= WHOLE)[owners]
         odd = np.zeros((n, BIT_WORDS), _U)
         np.bitwise_xor.at(odd, (owners[taken], ((mixed[taken] >> _U(6)) % _U(BIT_WORDS)).astype(np.int64)), _U(1) << (mixed[taken] & _U(63)))
         bits = pa.ListArray.from_arrays(np.arange(0, n * BIT_WORDS + 1, BIT_WORDS, dtype=np.int32), pa.array(odd.reshape(-1).view(np.int64)))
         yield pa.record_batch(
             {"row_id": batch.column("row_id"), "n": pa.array(sizes.astype(np.int64)), "s0": pa.array(sums[0].view(np.int64)), "s1": pa.array(sums[1].view(np.int64)),
              "left": lists(np.ascontiguousarray(keys[:, 0])), "right": lists(np.ascontiguousarray(keys[:, 1])),
-             "signature": pa.array([row.tobytes() for row in signature], pa.binary()), "level": pa.array(level), "bits": bits}
+             "bits": bits}
         )
 
     return fn
 
 
-def _agree(least: float, percent: int):
-    """Keep pairs whose sizes and signatures allow the similarity."""
-
-    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("signature_a", "signature_b"))
-            p, q = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-            keep = ((x == y).mean(1) >= least) & (100 * np.minimum(p, q) >= percent * np.maximum(p, q))
-            yield pa.record_batch({c: batch.column(c).filter(pa.array(keep)) for c in ("a", "b")})
-
-    return fn
+def _room(percent: int) -> Column:
+    """Whether sizes and bitmaps of x and y leave room for a link."""
+    n, m = F.col("x.n"), F.col("y.n")
+    differ = sum((F.bit_count(F.get("x.bits", F.lit(i)).bitwiseXOR(F.get("y.bits", F.lit(i)))) for i in range(BIT_WORDS)), F.lit(0))
+    most = n + m - 2 * F.ceil(percent * (n + m) / (100 + percent))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((F.greatest(n, m) > WHOLE) | (differ <= most))
 
 
 def _full_sets(width: int):
@@ -160,10 +150,9 @@ def _verify(percent: int):
 def _verified(docs: DataFrame, sketches: DataFrame, pairs: DataFrame, banding: Banding) -> DataFrame:
     """The pairs (a, b) that are links, confirmed on the full sets of both."""
     spark = docs.sparkSession
-    short = sketches.select("row_id", "n", "signature")
-    side = lambda x: short.select(*(F.col(c).alias(f"{c}_{x}") for c in short.columns))
-    both = pairs.join(side("a"), F.expr("a = row_id_a")).join(side("b"), F.expr("b = row_id_b"))
-    likely = stored(both.select("a", "b", "n_a", "n_b", "signature_a", "signature_b").mapInArrow(_agree(banding.least_agreement, banding.percent), "a long, b long"))
+    short = sketches.select(F.col("row_id").alias("id"), "n", "bits")
+    both = pairs.join(short.alias("x"), F.expr("a = x.id")).join(short.alias("y"), F.expr("b = y.id"))
+    likely = stored(both.where(_room(banding.percent)).select("a", "b"))
     release(spark)
     ids = stored(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = docs.select("row_id", "text").join(bounded(ids, CANDIDATES), F.expr("row_id = id"), "left_semi")
@@ -211,14 +200,10 @@ def _across(members: DataFrame, found: DataFrame, sketches: DataFrame, percent:
     several = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select(F.col("key").alias("k"))
     open_ = stored(labelled.join(stored(several, gone), F.expr("key = k"), "left_semi"), gone)
     release(members.sparkSession)
-    short = sketches.select(F.col("row_id").alias("id"), "n", "level", "bits")
-    rows = open_.join(short, F.expr("row_id = id")).select("key", "row_id", "component", "n", "level", "bits")
-    n, m = F.col("x.n"), F.col("y.n")
-    differ = sum((F.bit_count(F.get("x.bits", F.lit(i)).bitwiseXOR(F.get("y.bits", F.lit(i)))) for i in range(BIT_WORDS)), F.lit(0))
-    most = (n + m - 2 * F.ceil(percent * (n + m) / (100 + percent))) / F.call_function("shiftleft", F.lit(1), F.col("x.level"))
-    most = most + F.when(F.col("x.level") > 0, 4.5 * F.sqrt(most)).otherwise(0)
-    likely = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((F.col("x.level") != F.col("y.level")) | (differ <= most))
-    met = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.row_id") < F.col("y.row_id")) & (F.col("x.component") != F.col("y.component")) & likely)
+    short = sketches.select(F.col("row_id").alias("id"), "n", "bits")
+    rows = open_.join(short, F.expr("row_id = id")).select("key", "row_id", "component", "n", "bits")
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.row_id") < F.col("y.row_id")) & (F.col("x.component") != F.col("y.component"))
+    met = rows.alias("x").join(rows.alias("y"), apart & _room(percent))
     return stored(met.select(F.col("x.row_id").alias("a"), F.col("y.row_id").alias("b")).distinct(), gone)
 
 
@@ -233,7 +218,7 @@ def near_duplicates(docs: DataFrame, banding: Banding | None = None, carry: list
     base = numbered(docs.select("doc_id", "text", F.struct(*carry).alias("row")))
     sketches = stored(
         base.select("row_id", "text").mapInArrow(
-            sliced(_sketch(banding)), "row_id long, n long, s0 long, s1 long, left array<long>, right array<long>, signature binary, level int, bits array<long>"
+            sliced(_sketch(banding)), "row_id long, n long, s0 long, s1 long, left array<long>, right array<long>, bits array<long>"
         )
     )
     classes = stored(sketches.where("n > 0").groupBy("n", "s0", "s1").agg(F.min("row_id").alias("first")))
