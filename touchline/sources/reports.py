@@ -45,10 +45,11 @@ def write_json(rows: DataFrame, path: str) -> None:
 
 
 def write_csv(rows: DataFrame, path: str, order: list[str] | None = None) -> None:
-    """Evidence rows as one CSV file with a header, quoted where needed, in order."""
-    kept = _bounded(rows, REPORT_ROWS)
-    kept = kept.sortWithinPartitions(*order) if order else kept
-    kept.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """Evidence rows as CSV with a header, quoted where needed, in order: one file, or for more rows one after the other."""
+    small = rows.limit(REPORT_ROWS + 1).count() <= REPORT_ROWS
+    kept = rows.coalesce(1) if small else rows
+    kept = (kept.sortWithinPartitions(*order) if small else kept.orderBy(*order)) if order else kept
+    kept.write.mode("overwrite").option("header", True).option("escape", '"').option("maxRecordsPerFile", REPORT_ROWS).csv(path)
 
 
 def calibration_report(frames: DataFrame, runs: DataFrame, group: str, valid: Column) -> DataFrame:
