@@ -69,9 +69,10 @@ def projection(K: Column, Rt: Column) -> Column:
 
 
 def _seen(K: Column, p: Column, width: Column, height: Column) -> Column:
-    """A point of the camera's frame in shares of the image."""
-    at = _times(K, [p["x"], p["y"], p["z"]])
-    return F.struct((at[0] / at[2] / width).alias("x"), (at[1] / at[2] / height).alias("y"))
+    """A point of the camera's frame in shares of the image; the centre of the image is added after the division, so it is not rounded with the rest."""
+    at, depth = _times(K, [p["x"], p["y"]]), K[2][0] * p["x"] + K[2][1] * p["y"] + K[2][2] * p["z"]
+    x, y = (at[i] / depth + K[i][2] * (p["z"] / depth) for i in (0, 1))
+    return F.struct((x / width).alias("x"), (y / height).alias("y"))
 
 
 def _in_camera(Rt: Column, p: Column) -> Column:
