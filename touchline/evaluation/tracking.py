@@ -23,13 +23,13 @@ FRAMES = 256
 _EPS = float(np.finfo(float).eps)
 
 
-def alignment(sim: DataFrame, gt: DataFrame, pred: DataFrame) -> DataFrame:
-    """M01, first pass: seq, gt_id, tracker_id, potential, alignment (Jaccard of summed normalised similarity)."""
+def alignment(sim: DataFrame, gt: DataFrame, pred: DataFrame, least: float = _EPS) -> DataFrame:
+    """M01, first pass: seq, gt_id, tracker_id, potential, alignment (Jaccard of summed normalised similarity); sums up to ``least`` count as none."""
     rows = sim.groupBy("seq", "t", "gt_id").agg(F.sum("sim").alias("by_gt"))
     columns = sim.groupBy("seq", "t", "tracker_id").agg(F.sum("sim").alias("by_tr"))
     joined = sim.join(rows, ["seq", "t", "gt_id"]).join(columns, ["seq", "t", "tracker_id"])
     rest = F.col("by_gt") + F.col("by_tr") - F.col("sim")
-    potential = joined.withColumn("p", F.when(rest > _EPS, F.col("sim") / rest).otherwise(0.0)).groupBy("seq", "gt_id", "tracker_id").agg(F.sum("p").alias("potential"))
+    potential = joined.withColumn("p", F.when(rest > least, F.col("sim") / rest).otherwise(0.0)).groupBy("seq", "gt_id", "tracker_id").agg(F.sum("p").alias("potential"))
     g, t = gt.groupBy("seq", "gt_id").agg(F.count("*").alias("n_gt")), pred.groupBy("seq", "tracker_id").agg(F.count("*").alias("n_tr"))
     full = potential.join(g, ["seq", "gt_id"]).join(t, ["seq", "tracker_id"])
     return full.withColumn("alignment", F.col("potential") / (F.col("n_gt") + F.col("n_tr") - F.col("potential")))
