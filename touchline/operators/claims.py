@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rounding import half_even
+
 
 def sample_vote(samples: DataFrame, card: list[str], verdict: str, confidence: str, pos: str) -> DataFrame:
     """Modal verdict, half-even rounded mean confidence of its samples, nearest sample as representative.
@@ -14,7 +16,7 @@ def sample_vote(samples: DataFrame, card: list[str], verdict: str, confidence: s
     per = samples.groupBy(*card, verdict).agg(F.count("*").alias("n"), F.avg(confidence).alias("mean"), F.min(pos).alias("first"))
     total = per.groupBy(*card).agg(F.sum("n").alias("all"), F.max_by(F.struct(verdict, "mean"), F.struct(F.col("n"), -F.col("first"))).alias("best"))
     odd = F.when(F.col("all") % 2 == 1, F.col("all")).otherwise(F.raise_error(F.lit("an odd number of samples is needed")).cast("long"))
-    won = total.select(*card, odd.alias("samples"), F.col(f"best.{verdict}").alias(verdict), F.bround("best.mean", 0).alias(confidence))
+    won = total.select(*card, odd.alias("samples"), F.col(f"best.{verdict}").alias(verdict), half_even(F.col("best.mean"), slack=4).alias(confidence))
     own = samples.withColumnRenamed(confidence, "__c")
     near = won.join(own, [*card, verdict]).groupBy(*card, verdict, confidence, "samples")
     return near.agg(F.min_by(pos, F.struct(F.abs(F.col("__c") - F.col(confidence)), F.col(pos))).alias("representative"))
