@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -38,6 +39,39 @@ def _same(a: Any, b: Any) -> bool:
     return a == b or (pd.isna(a) and pd.isna(b))
 
 
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """(rows, firsts): rows of many whole groups, and where each of them begins; the group that a batch cuts is held until its rest has come."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if batch.empty:
+            continue
+        new = np.zeros(len(batch), bool)
+        for k in keys:
+            before = batch[k].shift()
+            new |= ~((batch[k] == before) | (batch[k].isna() & before.isna())).to_numpy(bool)
+        new[0] = bool(held) and not all(_same(held[-1][k].iloc[-1], batch[k].iloc[0]) for k in keys)
+        starts = np.flatnonzero(new)
+        if not len(starts):
+            held.append(batch)
+            continue
+        rows = pd.concat([*held, batch.iloc[: starts[-1]]], ignore_index=True)
+        own = sum(map(len, held))
+        yield rows, np.concatenate([[0], starts[:-1] + own])
+        held = [batch.iloc[starts[-1] :]]
+    if held:
+        yield pd.concat(held, ignore_index=True), np.zeros(1, np.int64)
+
+
+def by_group(rows: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """``fn`` of the rows of many whole groups at once and of where each begins; for groups so small that a call for each costs more than its work."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some, firsts in whole_groups(batches, keys):
+            yield fn(some, firsts)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
 def fold(
     rows: DataFrame, group: str, frame: str, start: Callable[[], Any], step: Callable[[Any, pd.DataFrame], pd.DataFrame | None], schema: str,
     finish: Callable[[Any], pd.DataFrame] | None = None,

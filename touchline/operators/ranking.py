@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import frames as in_frames
 from . import ordered
 
 
@@ -23,29 +25,31 @@ def best_row(rows: DataFrame, group: list[str], order: list[Column]) -> DataFram
 def suppress(boxes: DataFrame, frame: str, threshold: float) -> DataFrame:
     """Greedy non-maximum suppression by score within each frame; boxes are (frame, box_id, score, box ltrb).
 
-    The greedy rule is sequential; a frame's boxes are one small group.
+    The greedy rule is sequential; a frame's boxes are one small group, and a call takes many frames.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "box_id"], ascending=[False, True], kind="stable")
-        chosen: list[tuple[float, float, float, float]] = []
-        keep = []
-        for box in pdf["box"]:
-            a = tuple(map(float, box))
-            ok = True
+    def fold(pdf: pd.DataFrame, firsts: np.ndarray) -> pd.DataFrame:
+        group = np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, len(pdf))))
+        order = pdf.assign(__g=group).sort_values(["__g", "score", "box_id"], ascending=[True, False, True], kind="stable").index.to_numpy()
+        sides = np.array(pdf["box"].tolist(), float)[order]
+        keep = np.ones(len(pdf), bool)
+        chosen: list[list[float]] = []
+        at = -1
+        for n, (g, a) in enumerate(zip(group[order].tolist(), sides.tolist(), strict=True)):
+            if g != at:
+                chosen, at = [], g
             for b in chosen:
                 w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
                 common = max(w, 0.0) * max(h, 0.0)
                 union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - common
                 if union > 0 and common / union > threshold:
-                    ok = False
+                    keep[n] = False
                     break
-            if ok:
+            else:
                 chosen.append(a)
-            keep.append(ok)
-        return pdf[keep]
+        return pdf.iloc[order[keep]]
 
-    return boxes.groupBy(frame).applyInPandas(fold, boxes.schema)
+    return in_frames.by_group(boxes, [frame], fold, boxes.schema)
 
 
 def painted(pixels: DataFrame, frame: str, pixel: str) -> DataFrame:
