@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 
+from ..operators import frames as in_frames
 from ..operators import merge
 
 Tables = dict[str, DataFrame]
@@ -91,17 +93,21 @@ def detections_stage(name: str, fn: Callable[[pd.DataFrame], pd.DataFrame], requ
     return Stage(name, lambda t: {"detections": step(t["detections"], key, provides, module, where)}, {"detections": [key, *requires]}, {"detections": list(provides)})
 
 
-def _grouped(name: str, by: str, fn: Callable[[pd.DataFrame], pd.DataFrame], requires: list[str], provides: dict[str, str], key: str, where: Column | None) -> Stage:
+def _grouped(name: str, by: str, fn: Callable[[pd.DataFrame], pd.DataFrame], requires: list[str], provides: dict[str, str], key: str, where: Column | None, many: bool) -> Stage:
+    def run(rows: pd.DataFrame, firsts: np.ndarray) -> pd.DataFrame:
+        parts = [rows] if many else [rows.iloc[a:b] for a, b in zip(firsts, [*firsts[1:], len(rows)], strict=True)]
+        return pd.concat([fn(part)[[key, *provides]] for part in parts])
+
     def module(rows: DataFrame) -> DataFrame:
         chosen = rows.select(*dict.fromkeys([key, by, *requires]))
-        return chosen.groupBy(by).applyInPandas(lambda pdf: fn(pdf)[[key, *provides]], _schema(chosen, [key], provides))
+        return in_frames.by_group(chosen, [by], run, _schema(chosen, [key], provides))
 
     return Stage(name, lambda t: {"detections": step(t["detections"], key, provides, module, where)}, {"detections": list(dict.fromkeys([key, by, *requires]))}, {"detections": list(provides)})
 
 
-def images_stage(name: str, fn: Callable[[pd.DataFrame], pd.DataFrame], requires: list[str], provides: dict[str, str], key: str = "det_id", where: Column | None = None) -> Stage:
-    """A function of the rows of one image."""
-    return _grouped(name, "image_id", fn, requires, provides, key, where)
+def images_stage(name: str, fn: Callable[[pd.DataFrame], pd.DataFrame], requires: list[str], provides: dict[str, str], key: str = "det_id", where: Column | None = None, many: bool = False) -> Stage:
+    """A function of the rows of one image; with ``many`` of those of many whole images, which it tells apart by image_id, so that small images cost no call each."""
+    return _grouped(name, "image_id", fn, requires, provides, key, where, many)
 
 
 def videos_stage(name: str, fn: Callable[[DataFrame], DataFrame], requires: list[str], provides: dict[str, str], key: str = "det_id", where: Column | None = None) -> Stage:

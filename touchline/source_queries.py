@@ -308,11 +308,11 @@ def stages_merged(spark, sf_dir):
 
     def placed(rows):
         some = rows[rows["y"].notna()].sort_values(["y", "det_id"])
-        return rows.assign(place=some.assign(k=range(1, len(some) + 1))["k"].astype("Int64").reindex(rows.index))
+        return rows.assign(place=(some.groupby("image_id").cumcount() + 1).astype("Int64").reindex(rows.index))
 
     stages = [
         stage.detections_stage("y", lambda b: b.assign(y=b["value"] * 2 + 1), ["value"], {"y": "double"}, where=F.col("value") > 20),
-        stage.images_stage("place", placed, ["y"], {"place": "bigint"}),
+        stage.images_stage("place", placed, ["y"], {"place": "bigint"}, many=True),
         stage.videos_stage("seen", lambda t: t.join(t.groupBy("video_id").agg(F.count("y").alias("seen")), "video_id"), ["y"], {"seen": "bigint"}),
     ]
     out = stage.run_stages(stages, {"detections": e})["detections"]
