@@ -7,11 +7,13 @@ each by its best overlap among the free ones, else it is a duplicate of what is
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import boxes, masks
+from . import frames as in_frames
 from .joins import interval_join
 
 #: Pixels of a bin when runs are joined; runs are at most an image's column long, as a rule.
@@ -81,11 +83,15 @@ def match_segments(
     full = left.drop("a").join(near, [*keys, "place"], "left").join(close, [*keys, "place"], "left")
     kinds = dict(full.dtypes)
 
-    def cascade(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: set[int] = set()
-        there: dict[int, tuple[int, bool, bool]] = {}  # place to (object, matched, has a mask)
+    def cascade(pdf: pd.DataFrame, firsts: np.ndarray) -> pd.DataFrame:
+        group = np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, len(pdf))))
+        rows = pdf.assign(__g=group).sort_values(["__g", "place"])
         out = []
-        for row in pdf.sort_values("place").itertuples():
+        at = -1
+        for g, row in zip(rows["__g"], rows[["place", "obj_id", "has_mask", "near", "close"]].itertuples(), strict=True):
+            if g != at:
+                at, taken = g, set()
+                there: dict[int, tuple[int, bool, bool]] = {}  # place to (object, matched, has a mask)
             free = [d for d in (row.near if row.near is not None else []) if d["det"] not in taken]
             by_iou = max(free, key=lambda d: d["iou"], default=None)
             by_own = max(free, key=lambda d: d["own"], default=None)
@@ -113,8 +119,8 @@ def match_segments(
             out.append((row.place, row.obj_id, None, "duplicate" if twice else "new"))
         done = pd.DataFrame(out, columns=["place", "obj_id", "det", "outcome"]).astype({"det": "Int64"})
         for k in keys:
-            done[k] = pdf[k].iloc[0]
+            done[k] = rows[k].to_numpy()
         return done[[*keys, "place", "obj_id", "det", "outcome"]]
 
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", place long, obj_id {kinds['obj_id']}, det long, outcome string"
-    return full.groupBy(*keys).applyInPandas(cascade, schema)
+    return in_frames.by_group(full, keys, cascade, schema)
