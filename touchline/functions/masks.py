@@ -6,6 +6,8 @@ that begin with the background. Work on pixels is numpy inside Arrow batches.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -57,33 +59,90 @@ def spans(rle: str, pixels: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     return begins[some], ends[some]
 
 
+def _before(b: tuple[np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """How much of the sorted intervals b lies before each pixel."""
+    sums = np.concatenate([[0], np.cumsum(b[1] - b[0])])
+    k = np.searchsorted(b[0], x, side="right")
+    last = np.maximum(k - 1, 0)
+    return np.where(k > 0, sums[last] + np.minimum(x, b[1][last]) - b[0][last], 0)
+
+
 def common_pixels(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
     """Pixels in runs of both: for each end of a run of a, how much of b lies before it."""
     if not len(a[0]) or not len(b[0]):
         return 0
-    before = np.concatenate([[0], np.cumsum(b[1] - b[0])])
+    return int((_before(b, a[1]) - _before(b, a[0])).sum())
+
+
+# Many masks at once: the pixels of mask k are numbered from k * stride, so intervals of different masks never touch
+
 
-    def upto(x: np.ndarray) -> np.ndarray:
-        k = np.searchsorted(b[0], x, side="right")
-        last = np.maximum(k - 1, 0)
-        return np.where(k > 0, before[last] + np.minimum(x, b[1][last]) - b[0][last], 0)
+def run_table(rles: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mask, first, one past last pixel) of the foreground runs of many masks that are not empty; null masks have none."""
+    texts = [x if x is not None else "" for x in rles]
+    lens = np.fromiter((len(x.split()) for x in texts), np.int64, len(texts))
+    joined = " ".join(texts)
+    counts = np.array(joined.split(), np.int64) if joined.strip() else np.zeros(0, np.int64)
+    sums, firsts = np.cumsum(counts), np.cumsum(lens) - lens
+    row = np.repeat(np.arange(len(texts)), lens)
+    own = np.concatenate([[0], sums])[firsts]
+    odd = (np.arange(len(counts)) - firsts[row]) % 2 == 1
+    row, ends, counts = row[odd], (sums - own[row])[odd], counts[odd]
+    some = counts > 0
+    return row[some], (ends - counts)[some], ends[some]
 
-    return int((upto(a[1]) - upto(a[0])).sum())
+
+def _many_spans(rles: list, pixels: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray]:
+    """``spans`` of many masks, cut at their ``pixels``."""
+    row, begins, ends = run_table(rles)
+    begins, ends = np.minimum(begins, pixels[row]), np.minimum(ends, pixels[row])
+    some = ends > begins
+    base = row[some] * stride
+    return begins[some] + base, ends[some] + base
+
+
+def _summed(begins: np.ndarray, sizes: np.ndarray, stride: int, n: int) -> np.ndarray:
+    """Sizes of intervals by mask: whole numbers below 2**53, so exact."""
+    return np.bincount(begins // stride, weights=sizes, minlength=n)
+
+
+def _many_common(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], stride: int, n: int) -> np.ndarray:
+    """``common_pixels`` of each mask."""
+    if not len(a[0]) or not len(b[0]):
+        return np.zeros(n)
+    return _summed(a[0], _before(b, a[1]) - _before(b, a[0]), stride, n)
+
+
+#: Characters of masks, columns and their copies in growing, that numpy works on at once.
+WORK = 1 << 21
+
+
+def _in_slices(one: Callable[..., np.ndarray], a: pd.Series, b: pd.Series, h: pd.Series, w: pd.Series, copies: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """``one`` over slices of a batch that are about ``WORK`` large; a larger pair of masks makes a slice of its own."""
+    x, y, h, w = list(a), list(b), h.to_numpy(np.int64), w.to_numpy(np.int64)
+    chars = np.fromiter(((len(p) if p is not None else 0) + (len(q) if q is not None else 0) for p, q in zip(x, y, strict=True)), np.int64, len(x))
+    slices = np.cumsum((chars + w) * copies(h, w)) // WORK
+    out = np.zeros(len(x))
+    for k in np.split(np.arange(len(x)), np.flatnonzero(np.diff(slices)) + 1):
+        if len(k):
+            out[k] = one(x[k[0] : k[-1] + 1], y[k[0] : k[-1] + 1], h[k], w[k])
+    return out
+
+
+def _overlaps(a: list, b: list, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    pixels, n = h * w, len(a)
+    stride = int(pixels.max()) + 1
+    p, q = _many_spans(a, pixels, stride), _many_spans(b, pixels, stride)
+    common = _many_common(p, q, stride, n)
+    union = _summed(p[0], p[1] - p[0], stride, n) + _summed(q[0], q[1] - q[0], stride, n) - common
+    found = np.where(union > 0, common / np.where(union > 0, union, 1), 0.0)
+    return np.where([x is None or y is None for x, y in zip(a, b, strict=True)], np.nan, found)
 
 
 @F.pandas_udf(T.DoubleType())
 def mask_iou(a: pd.Series, b: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
     """Intersection over union from run lengths; two empty masks give 0, a null mask null."""
-
-    def one(x: str, y: str, pixels: int) -> float | None:
-        if x is None or y is None:
-            return None
-        p, q = spans(x, pixels), spans(y, pixels)
-        common = common_pixels(p, q)
-        union = int((p[1] - p[0]).sum() + (q[1] - q[0]).sum()) - common
-        return common / union if union else 0.0
-
-    return pd.Series([one(x, y, int(m) * int(n)) for x, y, m, n in zip(a, b, h, w, strict=True)], dtype="float64")
+    return pd.Series(_in_slices(_overlaps, a, b, h, w, lambda h, w: np.ones_like(h)))
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -104,7 +163,7 @@ def box_of_mask(rle: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
 
 def column_runs(rle: str, h: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(column, first row, one past last row) of each run, runs over the end of a column cut there."""
-    return _columns(*spans(rle, h * w), h)
+    return _columns(*spans(rle, h * w), h)[:3]
 
 
 def pieces(rle: str, h: int, w: int, corners: bool = True) -> list[int]:
@@ -207,60 +266,88 @@ def _where(begins: np.ndarray, ends: np.ndarray, full: int | None = None) -> tup
     return at[turns == 1], at[turns == -1]
 
 
-def _columns(begins: np.ndarray, ends: np.ndarray, h: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(column, first row, one past last row) of each interval, cut where columns end."""
+def _columns(begins: np.ndarray, ends: np.ndarray, h: np.ndarray | int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(column, first row, one past last row, number of the interval) of each interval, cut where columns end; ``h`` for all or for each."""
     parts = (ends - 1) // h - begins // h + 1
     run = np.repeat(np.arange(len(begins)), parts)
+    h = h[run] if isinstance(h, np.ndarray) else h
     column = begins[run] // h + np.arange(len(run)) - np.repeat(np.cumsum(parts) - parts, parts)
-    return column, np.maximum(begins[run], column * h) - column * h, np.minimum(ends[run], (column + 1) * h) - column * h
+    return column, np.maximum(begins[run], column * h) - column * h, np.minimum(ends[run], (column + 1) * h) - column * h, run
 
 
 def _sized(intervals: tuple[np.ndarray, np.ndarray]) -> int:
     return int((intervals[1] - intervals[0]).sum())
 
 
-def boundary(rle: str, h: int, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pixels that differ from the next one to the right, below, or both, as intervals; the mask is never decoded.
+def _placed(intervals: tuple[np.ndarray, np.ndarray], h: np.ndarray, stride: int) -> tuple[np.ndarray, ...]:
+    """(mask, column, first row, one past last row) of the intervals of many masks."""
+    mask = intervals[0] // stride
+    column, top, end, run = _columns(intervals[0] - mask * stride, intervals[1] - mask * stride, h[mask])
+    return mask[run], column, top, end
 
-    In the last row only the right neighbour counts, in the last column only the one below, and the last pixel never.
-    """
-    column, top, end = column_runs(rle, h, w)
+
+def _many_boundaries(spans_: tuple[np.ndarray, np.ndarray], h: np.ndarray, w: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray]:
+    """``boundary`` of many masks from their runs."""
+    mask, column, top, end = _placed(spans_, h, stride)
     # the mask and its three neighbours, each moved to the pixel that looks at it
-    inner_end, inner_column = h - 1, w - 1
+    base, tall, inner_end, inner_column = mask * stride, h[mask], h[mask] - 1, w[mask] - 1
     begins, ends = [], []
     for right, down in ((0, 0), (0, 1), (1, 0), (1, 1)):
         c, a, b = column - right, np.maximum(top - down, 0), np.minimum(end - down, inner_end)
         here = (c >= 0) & (c < inner_column) & (b > a)
-        begins.append((c * h + a)[here])
-        ends.append((c * h + b)[here])
+        begins.append((base + c * tall + a)[here])
+        ends.append((base + c * tall + b)[here])
     found = [_where(np.concatenate(begins), np.concatenate(ends), 4)]
     last = column == inner_column
-    sides = [np.maximum(top[last] - down, 0) for down in (0, 1)], [np.minimum(end[last] - down, inner_end) for down in (0, 1)]
-    found.append(_where(inner_column * h + np.concatenate(sides[0]), inner_column * h + np.maximum(np.concatenate(sides[1]), np.concatenate(sides[0])), 2))
-    bottom = column[end == h]
-    row = np.setxor1d(bottom[bottom < inner_column], bottom[bottom > 0] - 1) * h + inner_end
+    at = np.tile((base + inner_column * tall)[last], 2)
+    sides = np.concatenate([np.maximum(top[last] - down, 0) for down in (0, 1)]), np.concatenate([np.minimum(end[last] - down, inner_end[last]) for down in (0, 1)])
+    found.append(_where(at + sides[0], at + np.maximum(sides[1], sides[0]), 2))
+    wide = int(w.max(initial=0)) + 1
+    low = (end == tall) & (tall > 0)
+    key, bottom = (mask * wide + column)[low], column[low]
+    row = np.setxor1d(key[bottom < inner_column[low]], key[bottom > 0] - 1)
+    row = row // wide * stride + row % wide * h[row // wide] + h[row // wide] - 1
     found.append((row, row + 1))
     return _where(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
 
 
-def grown(intervals: tuple[np.ndarray, np.ndarray], reach: int, h: int, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pixels within ``reach`` of a set: each column's intervals widened in the columns beside it, less the farther away."""
-    column, top, end = _columns(*intervals, h)
+def boundary(rle: str, h: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pixels that differ from the next one to the right, below, or both, as intervals; the mask is never decoded.
+
+    In the last row only the right neighbour counts, in the last column only the one below, and the last pixel never.
+    """
+    return _many_boundaries(spans(rle, h * w), np.array([h]), np.array([w]), h * w + 1)
+
+
+def _many_grown(intervals: tuple[np.ndarray, np.ndarray], reach: np.ndarray, h: np.ndarray, w: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray]:
+    """``grown`` of the intervals of many masks, each by its own reach."""
+    mask, column, top, end = _placed(intervals, h, stride)
+    base, tall, wide, far = mask * stride, h[mask], w[mask], reach[mask]
     begins, ends = [], []
-    for aside in range(-reach, reach + 1):
-        more = int(np.sqrt(reach * reach - aside * aside))
-        here = (column + aside >= 0) & (column + aside < w)
-        base = (column[here] + aside) * h
-        begins.append(base + np.maximum(top[here] - more, 0))
-        ends.append(base + np.minimum(end[here] + more, h))
+    most = int(reach.max(initial=0))
+    for aside in range(-most, most + 1):
+        here = (column + aside >= 0) & (column + aside < wide) & (far >= abs(aside))
+        more = np.sqrt(far[here] * far[here] - aside * aside).astype(np.int64)
+        at = base[here] + (column[here] + aside) * tall[here]
+        begins.append(at + np.maximum(top[here] - more, 0))
+        ends.append(at + np.minimum(end[here] + more, tall[here]))
     return _where(np.concatenate(begins), np.concatenate(ends))
 
 
+def grown(intervals: tuple[np.ndarray, np.ndarray], reach: int, h: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pixels within ``reach`` of a set: each column's intervals widened in the columns beside it, less the farther away."""
+    return _many_grown(intervals, np.array([reach]), np.array([h]), np.array([w]), h * w + 1)
+
+
 def reach_of(h: int, w: int, share: float = 0.008) -> int:
     """Pixels within which boundaries agree: a share of the diagonal, rounded up."""
     return int(np.ceil(share * np.hypot(h, w)))
 
 
+def _reaches(h: np.ndarray, w: np.ndarray, share: float = 0.008) -> np.ndarray:
+    return np.ceil(share * np.hypot(h, w)).astype(np.int64)
+
+
 def boundary_f(a: str | None, b: str | None, h: int, w: int, reach: int | None = None) -> float:
     """F of the boundary pixels of two masks that lie within ``reach`` of the other's; a null mask is empty, two empty ones give 1."""
     p, q = (boundary(m, h, w) if m is not None else (np.zeros(0, np.int64),) * 2 for m in (a, b))
@@ -272,7 +359,21 @@ def boundary_f(a: str | None, b: str | None, h: int, w: int, reach: int | None =
     return 2 * precision * recall / (precision + recall) if precision + recall else 0.0
 
 
+def _boundary_scores(a: list, b: list, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``boundary_f`` of many pairs of masks."""
+    pixels, n = h * w, len(a)
+    stride = int(pixels.max()) + 1
+    reach = _reaches(h, w)
+    p, q = (_many_boundaries(_many_spans(x, pixels, stride), h, w, stride) for x in (a, b))
+    x, y = (_summed(v[0], v[1] - v[0], stride, n) for v in (p, q))
+    precision = _many_common(p, _many_grown(q, reach, h, w, stride), stride, n) / np.maximum(x, 1)
+    recall = _many_common(q, _many_grown(p, reach, h, w, stride), stride, n) / np.maximum(y, 1)
+    both = precision + recall
+    f = np.where(both > 0, 2 * precision * recall / np.where(both > 0, both, 1), 0.0)
+    return np.where((x == 0) | (y == 0), (x == y).astype(float), f)
+
+
 @F.pandas_udf(T.DoubleType())
 def boundary_score(a: pd.Series, b: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
-    """``boundary_f`` of two columns of masks."""
-    return pd.Series([boundary_f(x, y, int(m), int(n)) for x, y, m, n in zip(a, b, h, w, strict=True)], dtype="float64")
+    """``boundary_f`` of two columns of masks, whole batches of pairs at once."""
+    return pd.Series(_in_slices(_boundary_scores, a, b, h, w, lambda h, w: 2 * _reaches(h, w) + 1))
