@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import masks
+from ..operators import frames as in_frames
 from ..operators.segments import shared_pixels
 from .assignment import assign
 
@@ -43,20 +44,28 @@ def assigned(truth: DataFrame, predicted: DataFrame, images: DataFrame) -> DataF
     rows = pairs.select("seq", "gt_id", "tracker_id", "v").unionByName(left).unionByName(right).join(images.select("seq", "n_frames"), "seq")
     kind = dict(truth.dtypes)["seq"]
 
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        alone_g, alone_p = pdf[pdf["tracker_id"].isna()].sort_values("gt_id"), pdf[pdf["gt_id"].isna()].sort_values("tracker_id")
-        gt, tr = alone_g["gt_id"].to_numpy(np.int64), alone_p["tracker_id"].to_numpy(np.int64)
+    def best(many: pd.DataFrame, firsts: np.ndarray) -> pd.DataFrame:
+        cuts = [*firsts, len(many)]
+        columns = {c: many[c].to_numpy() for c in ("gt_id", "tracker_id", "v", "n_frames")}
+        found = [matched({c: v[a:b] for c, v in columns.items()}) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        at = np.repeat(firsts, [len(f[0]) for f in found])
+        return pd.DataFrame({"seq": many["seq"].to_numpy()[at], "gt_id": np.concatenate([f[0] for f in found]), "tracker_id": np.concatenate([f[1] for f in found])})
+
+    def matched(one: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        n, no_gt, no_tr = one["n_frames"][0], pd.isna(one["gt_id"]), pd.isna(one["tracker_id"])
+        gt, tr = one["gt_id"][no_tr].astype(np.int64), one["tracker_id"][no_gt].astype(np.int64)
+        by_g, by_p = np.argsort(gt), np.argsort(tr)
+        gt, tr, alone_g, alone_p = gt[by_g], tr[by_p], one["v"][no_tr][by_g], one["v"][no_gt][by_p]
         # frames that both miss: all, less those of either, and those of both again, which the pairs bring
-        m = pdf["n_frames"].iloc[0] - alone_g["v"].to_numpy()[:, None] - alone_p["v"].to_numpy()[None, :]
-        both = pdf[pdf["gt_id"].notna() & pdf["tracker_id"].notna()]
-        m[np.searchsorted(gt, both["gt_id"].to_numpy(np.int64)), np.searchsorted(tr, both["tracker_id"].to_numpy(np.int64))] += both["v"].to_numpy()
+        m = n - alone_g[:, None] - alone_p[None, :]
+        both = ~no_gt & ~no_tr
+        m[np.searchsorted(gt, one["gt_id"][both].astype(np.int64)), np.searchsorted(tr, one["tracker_id"][both].astype(np.int64))] += one["v"][both]
         none = max(len(gt) - len(tr), 0)
-        m = np.concatenate([m, np.repeat(pdf["n_frames"].iloc[0] - alone_g["v"].to_numpy()[:, None], none, axis=1)], axis=1)
-        r, c = assign(-m)
+        r, c = assign(-np.concatenate([m, np.repeat(n - alone_g[:, None], none, axis=1)], axis=1))
         real = c < len(tr)
-        return pd.DataFrame({"seq": pdf["seq"].iloc[0], "gt_id": gt[r[real]], "tracker_id": tr[c[real]]})
+        return gt[r[real]], tr[c[real]]
 
-    return rows.groupBy("seq").applyInPandas(best, f"seq {kind}, gt_id long, tracker_id long")
+    return in_frames.by_group(rows, ["seq"], best, f"seq {kind}, gt_id long, tracker_id long")
 
 
 def frame_scores(truth: DataFrame, predicted: DataFrame, images: DataFrame) -> DataFrame:

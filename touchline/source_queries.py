@@ -28,6 +28,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """The rows, written to a new shared folder once and read from there wherever a plan needs them."""
+    path = scratch(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _matrix(*rows) -> F.Column:
     return F.array(*(F.array(*(F.lit(float(v)) if isinstance(v, int | float) else v for v in row)) for row in rows))
 
