@@ -15,13 +15,17 @@ is compared as whole numbers. A range without counted truths has null results. N
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes
+from ..operators import frames as in_frames
 from ..operators import ordered
+from ..session import stored
 
 _EPS = float(np.finfo(float).eps)
 #: (name, column, least, most): fixed values of the usual ranges, in pixels and frames.
@@ -53,11 +57,22 @@ def _inside(ranges: list) -> F.Column:
     return F.array(*(F.coalesce(_within(c, a, b), F.lit(False)) if c else F.lit(True) for _, c, a, b in ranges))
 
 
-def track_matches(overlaps: DataFrame, truth: DataFrame, predicted: DataFrame, ranges: list | None = None, thresholds: list[float] | None = None) -> DataFrame:
+def _slices(rows: np.ndarray, owner: np.ndarray, most: int = 20_000) -> list[np.ndarray]:
+    """Rows in slices of about ``most``, cut where their owner changes."""
+    if len(rows) <= most:
+        return [rows]
+    starts = np.flatnonzero(np.diff(owner[rows], prepend=-1))
+    return np.split(rows, starts[np.flatnonzero(np.diff(starts // most)) + 1])
+
+
+def track_matches(
+    overlaps: DataFrame, truth: DataFrame, predicted: DataFrame, ranges: list | None = None, thresholds: list[float] | None = None, wide: bool = False
+) -> DataFrame:
     """seq, tracker_id, range, threshold, gt_id, ignored for every prediction that took a truth.
 
     overlaps(seq, gt_id, tracker_id, iou); truth(seq, gt_id, area, frames, and crowd where there are any);
-    predicted(seq, tracker_id, score, ...).
+    predicted(seq, tracker_id, score, ...). With ``wide`` seq, tracker_id and took, for each range and, within it, threshold
+    0 where nothing was taken, 1 where a counted truth and 2 where an ignored one was.
     """
     ranges, thresholds = ranges or RANGES, thresholds or THRESHOLDS
     kind = dict(overlaps.dtypes)["seq"]
@@ -67,50 +82,102 @@ def track_matches(overlaps: DataFrame, truth: DataFrame, predicted: DataFrame, r
     pairs = pairs.join(predicted.select("seq", "tracker_id", "score"), ["seq", "tracker_id"]).select("seq", "gt_id", "tracker_id", "iou", "score", "counted")
     levels = np.minimum(np.array(thresholds), 1 - 1e-10) - _EPS
 
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        shape = (len(ranges), len(levels))
-        free: dict[int, np.ndarray] = {}
+    def take(pdf: pd.DataFrame, firsts: np.ndarray) -> pd.DataFrame:
+        group = np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, len(pdf))))
+        iou, gt_id = pdf["iou"].to_numpy(float), pdf["gt_id"].to_numpy(np.int64)
+        tracker, score = pdf["tracker_id"].to_numpy(np.int64), -pdf["score"].to_numpy(float)  # null scores are last
+        order = np.lexsort([gt_id, iou, tracker, score, group])
+        group, gt, who, iou = group[order], gt_id[order], tracker[order], iou[order]
+        counted_ = np.array(pdf["counted"].tolist(), bool).reshape(len(pdf), len(ranges))[order]
+        new = np.ones(len(who), bool)
+        new[1:] = (np.diff(group) != 0) | (np.diff(who) != 0)
+        mine = np.cumsum(new) - 1
+        truth_ = pd.MultiIndex.from_arrays([group, gt]).factorize()[0]
+        # a prediction comes one level after the last one before it that overlaps a truth of its own; those of a level do not disturb each other
+        level, last, begins = np.zeros(mine[-1] + 1, np.int64), [0] * (int(truth_.max()) + 1), [*np.flatnonzero(new).tolist(), len(who)]
+        named = truth_.tolist()
+        for k in range(len(level)):
+            own = named[begins[k] : begins[k + 1]]
+            level[k] = at = max(last[g] for g in own) + 1
+            for g in own:
+                last[g] = at
+        free = np.ones((len(last), len(ranges), len(levels)), bool)
         out = []
-        falling = pdf.sort_values(["score", "tracker_id"], ascending=[False, True], na_position="last")
-        for tracker, rows in falling.groupby("tracker_id", sort=False):
-            best, ignored = np.full(shape, -1), np.zeros(shape, bool)
-            rows = rows.sort_values(["iou", "gt_id"])
-            # the last that fits is taken: first among the ignored, then counted ones replace them
-            for wanted in (False, True):
-                for gt, iou, marks in zip(rows["gt_id"], rows["iou"], rows["counted"], strict=True):
-                    fits = (np.asarray(marks, bool) == wanted)[:, None] & (iou >= levels)[None, :] & free.setdefault(gt, np.ones(shape, bool))
-                    best[fits], ignored[fits] = gt, not wanted
-            for gt in rows["gt_id"]:
-                free[gt] &= best != gt
-            r, t = np.nonzero(best >= 0)
-            out.append(pd.DataFrame({"tracker_id": tracker, "range": r, "threshold": t, "gt_id": best[r, t], "ignored": ignored[r, t]}))
-        return pd.concat(out).assign(seq=pdf["seq"].iloc[0])[["seq", "tracker_id", "range", "threshold", "gt_id", "ignored"]]
-
-    return pairs.groupBy("seq").applyInPandas(take, f"seq {kind}, tracker_id long, range int, threshold int, gt_id long, ignored boolean")
+        by_level = np.argsort(level[mine], kind="stable")
+        cuts = np.flatnonzero(np.diff(level[mine][by_level])) + 1
+        for rows in (part for same in np.split(by_level, cuts) for part in _slices(same, mine)):
+            # the last that fits is taken, a counted one before any ignored one
+            worth = np.arange(1, len(rows) + 1)[:, None, None] + len(rows) * counted_[rows][:, :, None]
+            worth = np.where(free[truth_[rows]] & (iou[rows][:, None] >= levels)[:, None, :], worth, 0)
+            starts = np.flatnonzero(np.diff(mine[rows], prepend=-1))
+            best = np.maximum.reduceat(worth, starts)
+            p, r, t = np.nonzero(best)
+            got = rows[(best[p, r, t] - 1) % len(rows)]
+            free[truth_[got], r, t] = False
+            out.append((got, r, t, best[p, r, t] <= len(rows)))
+        got, r, t, ignored = (np.concatenate(c) for c in zip(*out, strict=True))
+        if wide:
+            took = np.zeros((len(level), len(ranges) * len(levels)), np.int8)
+            took[mine[got], r * len(levels) + t] = 1 + ignored
+            return pd.DataFrame({"seq": pdf["seq"].to_numpy()[order[new]], "tracker_id": who[new], "took": list(took)})
+        return pd.DataFrame({"seq": pdf["seq"].to_numpy()[order[got]], "tracker_id": who[got], "range": r, "threshold": t, "gt_id": gt[got], "ignored": ignored})
+
+    if wide:
+        return in_frames.by_group(pairs, ["seq"], take, f"seq {kind}, tracker_id long, took array<tinyint>")
+    return in_frames.by_group(pairs, ["seq"], take, f"seq {kind}, tracker_id long, range int, threshold int, gt_id long, ignored boolean")
+
+
+def _best_precisions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The best precision of each cell at each place of recall, over rows of marks in order of falling score; a row with ``base`` begins a range."""
+    best, sums, n = None, None, None
+    for batch in batches:
+        begins = np.flatnonzero(batch["base"].notna().to_numpy())
+        for a, b in zip([0, *begins], [*begins, len(batch)], strict=True):
+            if a < b and batch["base"].iloc[a] is not None:
+                base = np.array(batch["base"].iloc[a], np.int64).reshape(-1, 3)
+                sums, n, a = base[:, :2].T, base[:, 2], a + 1
+                best = np.full((len(n), RECALLS + 1), -1.0) if best is None else best
+            if a >= b or sums is None:  # without truth there is no range
+                continue
+            marks = np.array(batch["marks"].iloc[a:b].tolist(), np.int8)
+            tp, fp = sums[0] + np.cumsum(marks == 1, axis=0), sums[1] + np.cumsum(marks == 2, axis=0)
+            sums = np.stack([tp[-1], fp[-1]])
+            row, cell = np.nonzero((marks > 0) & (n > 0))
+            tp, fp = tp[row, cell], fp[row, cell]
+            np.maximum.at(best, (cell, np.minimum(tp * RECALLS // n[cell], RECALLS)), tp / (tp + fp + _EPS))
+    if best is not None:
+        cell, k = np.nonzero(best >= 0)
+        yield pd.DataFrame({"cell": cell, "k": k, "p": best[cell, k]})
 
 
 def track_precision(overlaps: DataFrame, truth: DataFrame, predicted: DataFrame, ranges: list | None = None, thresholds: list[float] | None = None) -> DataFrame:
     """range, threshold, ap, ar, n_truth, n_predicted; predictions may have ``open``, true where a sequence is not labelled exhaustively."""
     ranges, thresholds = ranges or RANGES, thresholds or THRESHOLDS
-    taken = track_matches(overlaps, truth, predicted, ranges, thresholds)
+    taken = track_matches(overlaps, truth, predicted, ranges, thresholds, wide=True)
     crowd = F.coalesce(F.col("crowd"), F.lit(False)) if "crowd" in truth.columns else F.lit(False)
     n_truth = truth.select(F.posexplode(F.transform(_inside(ranges), lambda x: (x & ~crowd).cast("int"))).alias("range", "n")).groupBy("range").agg(F.sum("n").alias("n_truth"))
     counts = F.transform(_inside(ranges), lambda x: x & ~(F.coalesce(F.col("open"), F.lit(False)) if "open" in predicted.columns else F.lit(False)))
-    cells = predicted.select("seq", "tracker_id", "score", F.posexplode(counts).alias("range", "counts"))
-    cells = cells.withColumn("threshold", F.explode(F.sequence(F.lit(0), F.lit(len(thresholds) - 1))))
-    keys = ["seq", "tracker_id", "range", "threshold"]
-    judged = cells.join(taken.select(*keys, "ignored"), keys, "left")
-    hit = F.col("ignored").isNotNull() & ~F.col("ignored")
-    missed = F.col("ignored").isNull() & F.col("counts")
-    judged = judged.where(hit | missed).withColumn("hit", hit.cast("int")).withColumn("cell", F.col("range") * len(thresholds) + F.col("threshold"))
-    sums = ordered.running(judged, "score", ["seq", "tracker_id"], {"tp": F.col("hit"), "fp": 1 - F.col("hit")}, falling=True, group="cell")
-    rated = sums.join(F.broadcast(n_truth), "range").where("n_truth > 0")
-    at = F.floor(F.col("tp") * RECALLS / F.col("n_truth")).cast("int")
-    place = F.when((at + 1) * F.col("n_truth") <= F.col("tp") * RECALLS, at + 1).when(at * F.col("n_truth") > F.col("tp") * RECALLS, at - 1).otherwise(at)
-    best = rated.groupBy("range", "threshold", place.alias("k")).agg(F.max(F.col("tp") / (F.col("tp") + F.col("fp") + F.lit(_EPS))).alias("p"))
+    steps = len(thresholds)
+    none = F.array_repeat(F.lit(0).cast("tinyint"), len(ranges) * steps)
+    mark = lambda took, i: F.when(took == 1, 1).when((took == 0) & F.get("counts", (i / steps).cast("int")), 2).otherwise(0).cast("tinyint")
+    full = predicted.select("seq", "tracker_id", "score", counts.alias("counts")).join(taken, ["seq", "tracker_id"], "left")
+    rows = stored(full.select("seq", "tracker_id", "score", F.transform(F.coalesce("took", none), mark).alias("marks")))
+    # the order is cut into ranges of the score; what is counted before each comes as its first row
+    placed = ordered.ranged(rows, "score", "__k").withColumn("__k", -F.col("__k"))
+    cells = placed.select("__k", F.posexplode("marks").alias("cell", "mark")).groupBy("__k", "cell").agg(F.count_if(F.col("mark") == 1).alias("tp"), F.count_if(F.col("mark") == 2).alias("fp"))
+    range_ = (F.col("cell") / steps).cast("int")
+    before = Window.partitionBy("cell").orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    sums = (F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("tp", "fp"))
+    bases = cells.select("__k", "cell", *sums).join(F.broadcast(n_truth), F.col("range") == range_)
+    one = F.sort_array(F.collect_list(F.struct("cell", "tp", "fp", "n_truth")))
+    bases = bases.groupBy("__k").agg(F.flatten(F.transform(one, lambda s: F.array(s["tp"], s["fp"], s["n_truth"]))).alias("base"))
+    null = lambda c: F.lit(None).cast(dict(rows.dtypes)[c]).alias(c)
+    led = placed.withColumn("base", F.lit(None).cast("array<bigint>")).unionByName(bases.select("__k", "base", *(null(c) for c in rows.columns)))
+    led = led.repartition("__k").sortWithinPartitions("__k", F.asc_nulls_last("base"), F.desc_nulls_last("score"), "seq", "tracker_id").select("base", "marks")
+    best = led.mapInPandas(_best_precisions, "cell int, k int, p double").groupBy((F.col("cell") / steps).cast("int").alias("range"), (F.col("cell") % steps).alias("threshold"), "k").agg(F.max("p").alias("p"))
     upto = best.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("k")))).groupBy("range", "threshold", "k").agg(F.max("p").alias("p"))
     ap = upto.groupBy("range", "threshold").agg((F.sum("p") / (RECALLS + 1)).alias("ap"))
-    whole = judged.groupBy("range", "threshold").agg(F.sum("hit").alias("hits"), F.count("*").alias("n_predicted"))
+    whole = cells.groupBy(range_.alias("range"), (F.col("cell") % steps).alias("threshold")).agg(F.sum("tp").alias("hits"), F.sum(F.col("tp") + F.col("fp")).alias("n_predicted"))
     grid = n_truth.withColumn("threshold", F.explode(F.sequence(F.lit(0), F.lit(len(thresholds) - 1))))
     full = grid.join(F.broadcast(ap), ["range", "threshold"], "left").join(F.broadcast(whole), ["range", "threshold"], "left")
     some = F.col("n_truth") > 0

@@ -255,16 +255,17 @@ def pitch_distance(matches: DataFrame, gt_at: DataFrame, pred_at: DataFrame, sig
     return both.groupBy("seq").agg(F.avg(d).alias("distance"), F.avg(F.exp(-d * d / (2 * sigma * sigma))).alias("similarity"))
 
 
-def track_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
+def track_overlap(a: DataFrame, b: DataFrame, touching: bool = False) -> DataFrame:
     """Summed intersections over summed unions of two tracks' boxes over all frames of either.
 
-    a and b have seq, id, t, box (ltrb); pairs share at least one frame.
+    a and b have seq, id, t, box (ltrb); pairs share at least one frame or, with ``touching``, a part of one.
     """
     from ..functions import boxes
 
     size = lambda df, name: df.groupBy("seq", "id").agg(F.sum(boxes.area(F.col("box"))).alias(name))
     met = a.select("seq", "t", F.col("id").alias("a_id"), F.col("box").alias("x")).join(b.select("seq", "t", F.col("id").alias("b_id"), F.col("box").alias("y")), ["seq", "t"])
-    common = met.groupBy("seq", "a_id", "b_id").agg(F.sum(boxes.intersection(F.col("x"), F.col("y"))).alias("i"))
+    part = boxes.intersection(F.col("x"), F.col("y"))
+    common = (met.where(part > 0) if touching else met).groupBy("seq", "a_id", "b_id").agg(F.sum(part).alias("i"))
     full = common.join(size(a, "sa").withColumnRenamed("id", "a_id"), ["seq", "a_id"]).join(size(b, "sb").withColumnRenamed("id", "b_id"), ["seq", "b_id"])
     union = F.col("sa") + F.col("sb") - F.col("i")
     return full.select("seq", "a_id", "b_id", F.when(union > 0, F.col("i") / union).otherwise(0.0).alias("iou"))

@@ -6,35 +6,15 @@ session shares, and reads them back; its SQL says what must come back.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import cameras, geometry
 from .queries import _r, _read, query
+from .session import scratch
 from .sources import readers, reports, versions, writers
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors see: below spark.checkpoint.dir, a local one only where that is unset and all runs in one process."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        shared = f"file://{os.path.join(tempfile.gettempdir(), 'touchline-round-trips')}"
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def stored(rows: DataFrame) -> DataFrame:
-    """The rows, written to a new shared folder once and read from there wherever a plan needs them."""
-    path = scratch(rows.sparkSession)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def _matrix(*rows) -> F.Column:
     return F.array(*(F.array(*(F.lit(float(v)) if isinstance(v, int | float) else v for v in row)) for row in rows))
 

@@ -67,7 +67,7 @@ SELECT range, CAST(threshold AS DOUBLE) AS threshold, CASE WHEN n_truth > 0 THEN
 def track_average_precision(spark, sf_dir):
     """Orders as tracks, each predicted three times; some are crowds, some sequences are labelled in part."""
     truth, predicted = _tracks(spark, sf_dir)
-    overlaps = tracking.track_overlap(truth, predicted).withColumnsRenamed({"a_id": "gt_id", "b_id": "tracker_id"})
+    overlaps = tracking.track_overlap(truth, predicted, touching=True).withColumnsRenamed({"a_id": "gt_id", "b_id": "tracker_id"})
     t = precision.measured(truth, ["seq", "id"]).withColumnRenamed("id", "gt_id").withColumn("crowd", F.col("gt_id") % 11 == 0)
     p = precision.measured(predicted, ["seq", "id"]).withColumnRenamed("id", "tracker_id")
     p = p.withColumn("score", F.col("tracker_id") * 37 % 101 / 100.0).withColumn("open", F.col("seq") % 13 == 0)
@@ -193,7 +193,7 @@ def region_and_boundary(spark, sf_dir):
 def region_scores(spark, sf_dir):
     """Blocks of orders as sequences, lines as objects over sixteen frames; the best assignment has no form in SQL."""
     from .evaluation import regions
-    from .source_queries import stored
+    from .session import stored
 
     rows = _segments(spark, sf_dir).select(F.expr("l_orderkey div 64").alias("seq"), (F.col("l_orderkey") % 16).alias("t"), F.col("place").alias("id"), "mask", "obj_id", "l_orderkey")
     one = rows.groupBy("seq", "id", "t").agg(F.min_by("mask", F.struct("l_orderkey", "mask")).alias("mask"), F.max_by("mask", F.struct("l_orderkey", "mask")).alias("other"))
