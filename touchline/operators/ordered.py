@@ -8,6 +8,10 @@ that fills a range by itself, as one score of a third of all rows would, is cut
 
 from __future__ import annotations
 
+from decimal import Decimal
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,20 +30,27 @@ def _number(name: str, kind: str) -> tuple[Column, bool]:
 
 
 def _cut(value: Column, bounds: list) -> Column:
-    """2 * (bounds below the value), one more where it equals the next one, -1 for null; found by halving."""
+    """2 * (bounds below the value), one more where it equals the next one, -1 for null; found by halving, whole batches at once."""
     if not bounds:
         return F.when(value.isNull(), -1).otherwise(0)
-    every = F.array(*bounds)
-    halves = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
-    below = F.aggregate(halves, F.lit(0), lambda n, h: n + F.when(F.get(every, n + h - 1) < value, h).otherwise(0))
-    return F.when(value.isNull(), -1).otherwise(F.transform(F.array(below), lambda n: 2 * n + F.coalesce((F.get(every, n) == value).cast("int"), F.lit(0)))[0])
+    every = np.array(bounds) if not isinstance(bounds[0], Decimal) else np.array(bounds, object)
+
+    @F.pandas_udf("int")
+    def place(v: pd.Series) -> pd.Series:
+        v = v.to_numpy()
+        n = np.searchsorted(every, v)
+        at = every[np.minimum(n, len(every) - 1)]
+        same = (at == v) | ((at != at) & (v != v))
+        return pd.Series((2 * n + ((n < len(every)) & same)).astype(np.int32))
+
+    return F.when(value.isNull(), -1).otherwise(place(F.coalesce(value, F.lit(bounds[0]))))
 
 
 def _bounds(rows: DataFrame, values: dict[str, Column], ranges: int) -> dict[str, list]:
     """Quantiles of several columns from one pass: at most ``ranges`` - 1 numbers each come to the driver."""
     shares = [k / ranges for k in range(1, ranges)]
     found = rows.agg(*(F.percentile_approx(v, shares, 20 * ranges).alias(n) for n, v in values.items())).first()
-    return {n: [F.lit(b) for b in sorted(set(found[n] or []))] for n in values}
+    return {n: sorted(set(found[n] or [])) for n in values}
 
 
 def ranged(rows: DataFrame, lead: str, name: str, ranges: int = RANGES) -> DataFrame:

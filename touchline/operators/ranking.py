@@ -111,7 +111,9 @@ def stepwise_ap(curve: DataFrame, group: str | None = None) -> DataFrame:
     ends = ends.select(
         *(F.col(c).alias("__g") for c in own), F.col("__k").alias("__at"), F.max("__p").over(along.rowsBetween(1, Window.unboundedFollowing)).alias("__beyond"), F.lag("__r").over(along).alias("__from")
     )
-    inside = steps.withColumn("__e", F.max("p").over(here.rowsBetween(0, Window.unboundedFollowing))).withColumn("__l", F.lag("recall").over(here))
+    # the best from a row on is taken in falling order: a frame that ends at the last row is computed anew for each row
+    back = Window.partitionBy(*own, "__k").orderBy(F.desc("recall")).rowsBetween(Window.unboundedPreceding, 0)
+    inside = steps.withColumn("__e", F.max("p").over(back)).withColumn("__l", F.lag("recall").over(here))
     rise = F.col("recall") - F.coalesce("__l", "__from", F.lit(0.0))
     same = F.expr("__k = __at")
     met = inside.join(ends, same & F.col(group).eqNullSafe(F.col("__g")) if group else same)
