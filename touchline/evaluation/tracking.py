@@ -2,7 +2,7 @@
 
 Inputs are long tables: gt(seq, t, gt_id), pred(seq, t, tracker_id) and sim(seq, t, gt_id, tracker_id,
 sim) for pairs of one frame. Sums over pairs and sequences are plain aggregations; optimal matching
-runs in grouped functions over a bounded run of frames, and over a sequence only where the definition
+runs in functions that take many whole frames, and over a sequence only where the definition
 looks at earlier frames. No table is collected.
 """
 
@@ -18,8 +18,6 @@ from ..operators import ordered
 from .assignment import assign, assign_sparse
 
 ALPHAS = [round(0.05 * k, 2) for k in range(1, 20)]
-#: Frames that one matching task takes together.
-FRAMES = 256
 _EPS = float(np.finfo(float).eps)
 
 
@@ -35,31 +33,32 @@ def alignment(sim: DataFrame, gt: DataFrame, pred: DataFrame, least: float = _EP
     return full.withColumn("alignment", F.col("potential") / (F.col("n_gt") + F.col("n_tr") - F.col("potential")))
 
 
-def _dense(pdf: pd.DataFrame, value: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    g, gi = np.unique(pdf["gt_id"], return_inverse=True)
-    t, ti = np.unique(pdf["tracker_id"], return_inverse=True)
-    out = np.zeros((len(g), len(t)))
-    out[gi, ti] = pdf[value]
-    return out, g, t
-
-
 def frame_matches(scored: DataFrame, score: str) -> DataFrame:
     """M01, second pass: the assignment of largest summed score within each frame; needs seq, t, gt_id, tracker_id, sim."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, one in pdf.groupby("t", sort=True):
-            s, g, t = _dense(one, score)
-            r, c = assign(-s)
-            picked = pd.DataFrame({"gt_id": g[r], "tracker_id": t[c]})
-            out.append(one.merge(picked, on=["gt_id", "tracker_id"]))
-        return pd.concat(out)[["seq", "t", "gt_id", "tracker_id", "sim"]]
+    def fold(pdf: pd.DataFrame, firsts: np.ndarray) -> pd.DataFrame:
+        gt, tr, worth = pdf["gt_id"].to_numpy(np.int64), pdf["tracker_id"].to_numpy(np.int64), pdf[score].to_numpy(float)
+        sizes = np.diff(np.append(firsts, len(pdf)))
+        keep = np.zeros(len(pdf), bool)
+        alone = firsts[sizes == 1]
+        keep[alone] = np.isfinite(worth[alone])
+        for a, n in zip(firsts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
+            g, t, v = gt[a : a + n], tr[a : a + n], worth[a : a + n]
+            one_g, one_t = (g == g[0]).all(), (t == t[0]).all()
+            if (one_g or one_t) and np.isfinite(v).all():  # a matrix of one row or column: its best, of equal ones the lowest id
+                best = np.flatnonzero(v == v.max())
+                keep[a + best[np.argmin((t if one_g else g)[best])]] = True
+                continue
+            gi, ti = np.unique(g, return_inverse=True)[1], np.unique(t, return_inverse=True)[1]
+            s, at = np.zeros((gi.max() + 1, ti.max() + 1)), np.full((gi.max() + 1, ti.max() + 1), -1)
+            s[gi, ti], at[gi, ti] = v, np.arange(a, a + n)
+            chosen = at[assign(-s)]
+            keep[chosen[chosen >= 0]] = True
+        return pdf.loc[keep, ["seq", "t", "gt_id", "tracker_id", "sim"]]
 
     kind = dict(scored.dtypes)["seq"]
-    chunked = scored.withColumn("chunk", F.floor(F.col("t") / FRAMES))
-    return chunked.select("seq", "chunk", "t", "gt_id", "tracker_id", "sim", score).groupBy("seq", "chunk").applyInPandas(
-        fold, f"seq {kind}, t long, gt_id long, tracker_id long, sim double"
-    )
+    rows = scored.select("seq", "t", "gt_id", "tracker_id", "sim", *([score] if score != "sim" else []))
+    return in_frames.by_group(rows, ["seq", "t"], fold, f"seq {kind}, t long, gt_id long, tracker_id long, sim double")
 
 
 def hota(sim: DataFrame, gt: DataFrame, pred: DataFrame, alphas: list[float] | None = None) -> DataFrame:
