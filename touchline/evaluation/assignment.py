@@ -24,6 +24,10 @@ def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, int), np.zeros(0, int)
     top = np.abs(cost[real]).max() * 2 * m + 1
     full = np.where(real, cost, top)
+    least = full.argmin(axis=1)
+    if len(set(least.tolist())) == n:  # each row takes its lowest cost, no path is longer than one edge
+        some = np.flatnonzero(real[np.arange(n), least])
+        return some, least[some]
     row_price, column_price = np.zeros(n), np.zeros(m)
     owner = np.full(m, -1)
     for i in range(n):

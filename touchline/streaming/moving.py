@@ -25,46 +25,57 @@ def with_motion(detections: DataFrame, motion: DataFrame) -> DataFrame:
 
 
 class Extent(Kalman):
-    """Constant velocity for (x, y, width, height); noise in shares of the width and the height."""
+    """Constant velocity for (x, y, width, height) of many tracks at once; noise in shares of the width and the height."""
 
     @staticmethod
-    def _noise(w: float, h: float, p: float, v: float) -> np.ndarray:
+    def _noise(wh: np.ndarray, p: float, v: float) -> np.ndarray:
+        """Variances, on the diagonal."""
         k = Kalman
-        return np.diag(np.square([p * k.POSITION * w, p * k.POSITION * h] * 2 + [v * k.VELOCITY * w, v * k.VELOCITY * h] * 2))
+        return np.square(np.concatenate([p * k.POSITION * wh] * 2 + [v * k.VELOCITY * wh] * 2, axis=1))
 
     @staticmethod
     def start(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.concatenate([z, np.zeros(4)]), Extent._noise(z[2], z[3], 2, 10)
+        return np.concatenate([z, np.zeros(z.shape)], axis=1), Extent._noise(z[:, 2:], 2, 10)[:, :, None] * np.eye(8)
 
     @staticmethod
     def predict(mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        f = np.eye(8) + np.eye(8, k=4)
-        return f @ mean, f @ cov @ f.T + Extent._noise(mean[2], mean[3], 1, 1)
+        """The constant velocity's matrix adds the second half of rows, then of columns, to the first."""
+        noise, mean, cov = Extent._noise(mean[:, 2:4], 1, 1), mean.copy(), cov.copy()
+        mean[:, :4] += mean[:, 4:]
+        cov[:, :4] += cov[:, 4:]
+        cov[:, :, :4] += cov[:, :, 4:]
+        cov.reshape(-1, 64)[:, ::9] += noise
+        return mean, cov
 
     @staticmethod
     def _seen(mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        s = Kalman.POSITION * mean[2:4]
-        return mean[:4], cov[:4, :4] + np.diag(np.square(np.concatenate([s, s])))
+        s = np.square(Kalman.POSITION * mean[:, 2:4])
+        return mean[:, :4], cov[:, :4, :4] + np.concatenate([s, s], axis=1)[:, :, None] * np.eye(4)
 
     @staticmethod
     def update(mean: np.ndarray, cov: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         m, s = Extent._seen(mean, cov)
-        gain = np.linalg.solve(s, cov[:, :4].T).T
-        return mean + gain @ (z - m), cov - gain @ s @ gain.T
+        gain = np.linalg.solve(s, cov[:, :, :4].transpose(0, 2, 1)).transpose(0, 2, 1)
+        return mean + (gain @ (z - m)[:, :, None])[:, :, 0], cov - gain @ s @ gain.transpose(0, 2, 1)
 
     @staticmethod
     def gate(mean: np.ndarray, cov: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """Squared Mahalanobis distances of measurements (columns) from tracks (rows)."""
         m, s = Extent._seen(mean, cov)
-        d = z - m
-        return np.einsum("ij,ij->i", d, np.linalg.solve(s, d.T).T)
+        d = z[None] - m[:, None]
+        return (d * np.linalg.solve(s, d.transpose(0, 2, 1)).transpose(0, 2, 1)).sum(axis=2)
 
     @staticmethod
     def warped(mean: np.ndarray, cov: np.ndarray, warp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Position, extent and their velocities turned by the linear part, the position shifted."""
-        big = np.kron(np.eye(4), warp[:, :2])
-        mean = big @ mean
-        mean[:2] += warp[:, 2]
-        return mean, big @ cov @ big.T
+        turn = warp[:, :2]
+        if (turn == np.eye(2)).all():
+            mean = mean.copy()
+        else:
+            big = np.kron(np.eye(4), turn)
+            mean, cov = mean @ big.T, big @ cov @ big.T
+        mean[:, :2] += warp[:, 2]
+        return mean, cov
 
 
 def _extents(boxes: np.ndarray) -> np.ndarray:
@@ -72,9 +83,26 @@ def _extents(boxes: np.ndarray) -> np.ndarray:
     return np.column_stack([z[:, 0], z[:, 1], z[:, 2] * z[:, 3], z[:, 3]])
 
 
-def _boxes(tracks: list[dict]) -> np.ndarray:
-    m = np.array([t["mean"][:4] for t in tracks]).reshape(-1, 4)
-    return np.column_stack([m[:, 0] - m[:, 2] / 2, m[:, 1] - m[:, 3] / 2, m[:, 0] + m[:, 2] / 2, m[:, 1] + m[:, 3] / 2])
+def _boxes(mean: np.ndarray) -> np.ndarray:
+    return np.concatenate([mean[:, :2] - mean[:, 2:4] / 2, mean[:, :2] + mean[:, 2:4] / 2], axis=1)
+
+
+#: The tracks of a video, oldest first: an array for each of their values, so that a frame costs a few operations on arrays whatever their number.
+Tracks = dict[str, np.ndarray]
+
+
+def _some(tracks: Tracks, which: np.ndarray) -> Tracks:
+    return tracks if which.all() else {k: v[which] for k, v in tracks.items()}
+
+
+def _with(tracks: Tracks | None, fresh: Tracks) -> Tracks:
+    return {k: np.concatenate([tracks[k], v]) for k, v in fresh.items()} if tracks and len(tracks["id"]) else fresh
+
+
+def _blended(old: np.ndarray, new: np.ndarray, keep: np.ndarray | float) -> np.ndarray:
+    mixed = keep * old + (1 - keep) * new
+    size = np.linalg.norm(mixed, axis=1, keepdims=True)
+    return mixed / np.where(size > 0, size, 1)
 
 
 def _units(features: np.ndarray) -> np.ndarray:
@@ -82,11 +110,11 @@ def _units(features: np.ndarray) -> np.ndarray:
     return features / np.where(norm > 0, norm, 1)
 
 
-def _cosines(tracks: list[dict], unit: np.ndarray) -> np.ndarray:
+def _cosines(known: np.ndarray, unit: np.ndarray) -> np.ndarray:
     """Cosine distances; 0 where there are no features."""
-    if not unit.shape[1] or not tracks:
-        return np.zeros((len(tracks), len(unit)))
-    return np.maximum(0, 1 - np.array([t["feature"] for t in tracks]) @ unit.T)
+    if not unit.shape[1] or not len(known):
+        return np.zeros((len(known), len(unit)))
+    return np.maximum(0, 1 - known @ unit.T)
 
 
 def _below(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
@@ -107,58 +135,75 @@ def camera(
     """
 
     def step(state: dict, frame: int, ids: np.ndarray, boxes: np.ndarray, scores: np.ndarray, features: np.ndarray) -> list[tuple[int, int]]:
-        tracks: list[dict] = state.setdefault("list", [])
-        for t in tracks:
-            if t["sure"]:
-                if t["lost"]:
-                    t["mean"][6:] = 0
-                t["mean"], t["cov"] = Extent.predict(t["mean"], t["cov"])
-            if state.get("warp") is not None:
-                t["mean"], t["cov"] = Extent.warped(t["mean"], t["cov"], state["warp"])
-        z, unit, out = _extents(boxes), _units(features), []
-
-        def seen(t: dict, j: int, with_feature: bool = True) -> None:
-            t["mean"], t["cov"] = Extent.update(t["mean"], t["cov"], z[j])
-            if with_feature and unit.shape[1]:
-                mixed = momentum * t["feature"] + (1 - momentum) * unit[j]
-                size = np.linalg.norm(mixed)
-                t["feature"] = mixed / size if size > 0 else mixed
-            t.update(last=frame, sure=True, lost=False)
-            out.append((int(ids[j]), t["id"]))
+        t: Tracks | None = state.get("list")
+        if not len(ids) and (t is None or not len(t["id"])):
+            return []
+        z, unit = _extents(boxes), _units(features)
+        if t is None or not len(t["id"]):
+            none = np.zeros(0, bool)
+            t = {"id": np.zeros(0, np.int64), "mean": np.zeros((0, 8)), "cov": np.zeros((0, 8, 8)), "feature": unit[:0], "start": np.zeros(0, np.int64), "last": np.zeros(0, np.int64), "sure": none, "lost": none}
+        else:
+            sure = t["sure"]
+            t["mean"][sure & t["lost"], 6:] = 0
+            mean, cov = Extent.predict(t["mean"], t["cov"])
+            if not sure.all():
+                mean[~sure], cov[~sure] = t["mean"][~sure], t["cov"][~sure]
+            t["mean"], t["cov"] = (mean, cov) if state.get("warp") is None else Extent.warped(mean, cov, state["warp"])
+        found: list[tuple[int, int]] = []  # (track, detection), by their places
+
+        def seen(pairs: list[tuple[int, int]], tracks: np.ndarray, detections: np.ndarray, with_feature: bool = True) -> tuple[np.ndarray, np.ndarray]:
+            """The pairs' places among the tracks and detections matched; the tracks that were seen move on."""
+            at = np.array(pairs, int).reshape(-1, 2)
+            i, j = tracks[at[:, 0]], detections[at[:, 1]]
+            if len(at):
+                t["mean"][i], t["cov"][i] = Extent.update(t["mean"][i], t["cov"][i], z[j])
+                if with_feature and unit.shape[1]:
+                    t["feature"][i] = _blended(t["feature"][i], unit[j], momentum)
+                t["last"][i], t["sure"][i], t["lost"][i] = frame, True, False
+                found.extend(zip(i.tolist(), j.tolist(), strict=True))
+            return at[:, 0], at[:, 1]
 
         strong, weak = np.flatnonzero(scores > high), np.flatnonzero((scores > low) & (scores < high))
-        sure, fresh = [t for t in tracks if t["sure"]], [t for t in tracks if not t["sure"]]
-        gates = np.array([Extent.gate(t["mean"], t["cov"], z[strong]) for t in sure]).reshape(len(sure), len(strong))
-        cost = blend * _cosines(sure, unit[strong]) + (1 - blend) * gates
-        first = _below(np.where(gates <= GATE, cost, np.inf), first_cost) if sure else []
-        for i, j in first:
-            seen(sure[i], strong[j])
-        used = {i for i, _ in first}
-        left = [t for i, t in enumerate(sure) if i not in used and not t["lost"]]
-        for i, j in _below(1 - iou_matrix(_boxes(left), boxes[weak]), second_cost):
-            seen(left[i], weak[j], False)
-        for t in left:
-            t["lost"] = t["last"] != frame
-        open_ = strong[[k for k in range(len(strong)) if k not in {j for _, j in first}]]
-        overlap = 1 - iou_matrix(_boxes(fresh), boxes[open_])
-        looks = _cosines(fresh, unit[open_]) / 2 if unit.shape[1] else np.ones(overlap.shape)
-        looks = np.where((looks > near) | (overlap > proximity), 1.0, looks)
-        third = _below(np.minimum(1 - (1 - overlap) * scores[open_], looks), fresh_cost)
-        for i, j in third:
-            seen(fresh[i], open_[j])
-        gone = {id(fresh[i]) for i in range(len(fresh)) if i not in {x for x, _ in third}}
-        for k, j in enumerate(open_):
-            if k not in {y for _, y in third} and scores[j] >= new_score:
-                state["next"] = state.get("next", 0) + 1
-                mean, cov = Extent.start(z[j])
-                tracks.append({"id": state["next"], "mean": mean, "cov": cov, "feature": unit[j], "start": frame, "last": frame, "sure": frame == state["first"], "lost": False})
-                out.append((int(ids[j]), state["next"]))
-        kept = [t for t in tracks if id(t) not in gone and frame - t["last"] <= buffer]
-        followed, lost = [t for t in kept if not t["lost"]], [t for t in kept if t["lost"]]
-        for a, b in np.argwhere(1 - iou_matrix(_boxes(followed), _boxes(lost)) < twin):
-            longer = followed[a]["last"] - followed[a]["start"] > lost[b]["last"] - lost[b]["start"]
-            gone.add(id(lost[b] if longer else followed[a]))
-        state["list"] = [t for t in kept if id(t) not in gone]
+        sure, fresh = np.flatnonzero(t["sure"]), np.flatnonzero(~t["sure"])
+        left, open_ = sure[~t["lost"][sure]], strong
+        if len(sure) and len(strong):
+            gates = Extent.gate(t["mean"][sure], t["cov"][sure], z[strong])
+            cost = blend * _cosines(t["feature"][sure], unit[strong]) + (1 - blend) * gates
+            i, j = seen(_below(np.where(gates <= GATE, cost, np.inf), first_cost), sure, strong)
+            left = np.setdiff1d(left, sure[i], assume_unique=True)
+            open_ = np.delete(strong, j)
+        if len(left) and len(weak):
+            i, _ = seen(_below(1 - iou_matrix(_boxes(t["mean"][left]), boxes[weak]), second_cost), left, weak, False)
+            left = np.delete(left, i)
+        t["lost"][left] = True
+        gone = ~t["sure"]  # seen once; those that are missed now go
+        if len(fresh) and len(open_):
+            overlap = 1 - iou_matrix(_boxes(t["mean"][fresh]), boxes[open_])
+            looks = _cosines(t["feature"][fresh], unit[open_]) / 2 if unit.shape[1] else np.ones(overlap.shape)
+            looks = np.where((looks > near) | (overlap > proximity), 1.0, looks)
+            i, j = seen(_below(np.minimum(1 - (1 - overlap) * scores[open_], looks), fresh_cost), fresh, open_)
+            gone[fresh[i]] = False
+            open_ = np.delete(open_, j)
+        out = [(int(ids[j]), int(t["id"][i])) for i, j in found]
+        new = open_[scores[open_] >= new_score]
+        if len(new):
+            names = np.arange(1, len(new) + 1) + state.get("next", 0)
+            state["next"] = int(names[-1])
+            mean, cov = Extent.start(z[new])
+            out += zip(ids[new].tolist(), names.tolist(), strict=True)
+            at, first = np.full(len(new), frame), np.full(len(new), frame == state["first"])
+            t = _with(t, {"id": names, "mean": mean, "cov": cov, "feature": unit[new], "start": at, "last": at.copy(), "sure": first, "lost": np.zeros(len(new), bool)})
+            gone = np.concatenate([gone, np.zeros(len(new), bool)])
+        t = _some(t, ~gone & (frame - t["last"] <= buffer))
+        followed, lost = np.flatnonzero(~t["lost"]), np.flatnonzero(t["lost"])
+        if len(followed) and len(lost):
+            twins = np.argwhere(1 - iou_matrix(_boxes(t["mean"][followed]), _boxes(t["mean"][lost])) < twin)
+            if len(twins):
+                a, b = followed[twins[:, 0]], lost[twins[:, 1]]
+                age, stay = t["last"] - t["start"], np.ones(len(t["id"]), bool)
+                stay[np.where(age[a] > age[b], b, a)] = False
+                t = _some(t, stay)
+        state["list"] = t
         return out
 
     return step
@@ -193,64 +238,69 @@ def deep_observation_centric(
         d = middle(b) - middle(a)
         return d / (np.linalg.norm(d, axis=-1, keepdims=True) + 1e-6)
 
-    def past(t: dict, frame: int) -> np.ndarray:
-        for back in range(look_back, 0, -1):
-            if frame - back in t["seen"]:
-                return t["seen"][frame - back]
-        return t["box"]
+    never = np.iinfo(np.int64).min
+
+    def past(t: Tracks, frame: int) -> np.ndarray:
+        """The oldest boxes of the last ``look_back`` frames, else the last ones; a frame's box lies at its number modulo ``look_back``."""
+        found = t["box"].copy()
+        for back in range(1, look_back + 1):
+            k = (frame - back) % look_back
+            there = t["at"][:, k] == frame - back
+            found[there] = t["seen"][there, k]
+        return found
 
     def step(state: dict, frame: int, ids: np.ndarray, boxes: np.ndarray, scores: np.ndarray, features: np.ndarray) -> list[tuple[int, int]]:
-        tracks: list[dict] = state.setdefault("list", [])
-        for t in tracks:
+        t: Tracks | None = state.get("list")
+        n = len(t["id"]) if t else 0
+        if n:
             if state.get("warp") is not None:
                 t["mean"], t["cov"] = Extent.warped(t["mean"], t["cov"], state["warp"])
-                t["box"] = moved_boxes(t["box"][None], state["warp"])[0]
-                t["seen"] = {f: moved_boxes(b[None], state["warp"])[0] for f, b in t["seen"].items()}
+                t["box"] = moved_boxes(t["box"], state["warp"])
+                t["seen"] = moved_boxes(t["seen"], state["warp"]).reshape(n, look_back, 4)
             t["mean"], t["cov"] = Extent.predict(t["mean"], t["cov"])
-        use = np.flatnonzero(scores > least_score)
-        z, unit, out = _extents(boxes), _units(features), []
-        trust = (scores - least_score) / (1 - least_score)
-        keep = momentum + (1 - momentum) * (1 - trust)
-        free_t, free_d = list(range(len(tracks))), list(use)
-
-        def take(i: int, j: int) -> None:
-            t = tracks[i]
-            t["heading"] = way(past(t, frame), boxes[j])
-            t["mean"], t["cov"] = Extent.update(t["mean"], t["cov"], z[j])
-            t["seen"] = {f: b for f, b in t["seen"].items() if f >= frame - look_back} | {frame: boxes[j].copy()}
-            if unit.shape[1]:
-                mixed = keep[j] * t["feature"] + (1 - keep[j]) * unit[j]
-                size = np.linalg.norm(mixed)
-                t["feature"] = mixed / size if size > 0 else mixed
-            t.update(box=boxes[j].copy(), last=frame)
-            free_t.remove(i)
-            free_d.remove(j)
-            out.append((int(ids[j]), t["id"]))
-
-        if tracks and len(use):
-            overlap = iou_matrix(_boxes(tracks), boxes[use])
-            to = np.array([way(past(t, frame), boxes[use]) for t in tracks])
-            angle = np.arccos(np.clip(np.einsum("td,tnd->tn", np.array([t["heading"] for t in tracks]), to), -1, 1))
-            moving = np.array([np.any(t["heading"] != 0) for t in tracks])[:, None]
-            worth = overlap + np.where(moving, (np.pi / 2 - angle) / np.pi, 0.0) * inertia * scores[use]
-            if unit.shape[1]:
-                cosines = np.array([t["feature"] for t in tracks]) @ unit[use].T
-                worth = worth + _weighed(np.where(overlap > 0, cosines, 0.0), appearance, bottom)
-            over = overlap > least_iou
-            alone = over.any() and over.sum(0).max() <= 1 and over.sum(1).max() <= 1
-            for i, j in zip(*(np.nonzero(over) if alone else assign(-worth)), strict=True):
-                if overlap[i, j] >= least_iou:
-                    take(i, use[j])
-        if free_t and free_d:
-            rest_t, rest_d = list(free_t), list(free_d)
-            for i, j in zip(*assign_above(iou_matrix(np.array([tracks[i]["box"] for i in rest_t]), boxes[rest_d]), least_iou), strict=True):
-                take(rest_t[i], rest_d[j])
-        for j in list(free_d):
-            state["next"] = state.get("next", 0) + 1
-            mean, cov = Extent.start(z[j])
-            tracks.append({"id": state["next"], "mean": mean, "cov": cov, "box": boxes[j].copy(), "seen": {frame: boxes[j].copy()}, "heading": np.zeros(2), "feature": unit[j], "last": frame})
-            out.append((int(ids[j]), state["next"]))
-        state["list"] = [t for t in tracks if frame - t["last"] <= buffer]
+        use, out = np.flatnonzero(scores > least_score), []
+        if len(use):
+            ids, boxes, scores, unit = ids[use], boxes[use], scores[use], _units(features[use])
+            z, keep = _extents(boxes), momentum + (1 - momentum) * (1 - (scores - least_score) / (1 - least_score))
+            free_d = np.arange(len(use))
+            if n:
+                before = past(t, frame)
+                overlap = iou_matrix(_boxes(t["mean"]), boxes)
+                to = way(before[:, None], boxes[None])
+                angle = np.arccos(np.clip(np.einsum("td,tnd->tn", t["heading"], to), -1, 1))
+                moving = (t["heading"] != 0).any(axis=1)[:, None]
+                worth = overlap + np.where(moving, (np.pi / 2 - angle) / np.pi, 0.0) * inertia * scores
+                if unit.shape[1]:
+                    worth = worth + _weighed(np.where(overlap > 0, t["feature"] @ unit.T, 0.0), appearance, bottom)
+                over = overlap > least_iou
+                alone = over.any() and over.sum(0).max() <= 1 and over.sum(1).max() <= 1
+                i, j = np.nonzero(over) if alone else assign(-worth)
+                close = overlap[i, j] >= least_iou
+                i, j = i[close], j[close]
+                free_t, free_d = np.delete(np.arange(n), i), np.delete(free_d, j)
+                if len(free_t) and len(free_d):
+                    a, b = assign_above(iou_matrix(t["box"][free_t], boxes[free_d]), least_iou)
+                    i, j, free_d = np.concatenate([i, free_t[a]]), np.concatenate([j, free_d[b]]), np.delete(free_d, b)
+                if len(i):
+                    t["heading"][i] = way(before[i], boxes[j])
+                    t["mean"][i], t["cov"][i] = Extent.update(t["mean"][i], t["cov"][i], z[j])
+                    t["seen"][i, frame % look_back], t["at"][i, frame % look_back] = boxes[j], frame
+                    if unit.shape[1]:
+                        t["feature"][i] = _blended(t["feature"][i], unit[j], keep[j][:, None])
+                    t["box"][i], t["last"][i] = boxes[j], frame
+                    out += zip(ids[j].tolist(), t["id"][i].tolist(), strict=True)
+            if len(free_d):
+                k = len(free_d)
+                names = np.arange(1, k + 1) + state.get("next", 0)
+                state["next"] = int(names[-1])
+                mean, cov = Extent.start(z[free_d])
+                seen, at = np.zeros((k, look_back, 4)), np.full((k, look_back), never)
+                seen[:, frame % look_back], at[:, frame % look_back] = boxes[free_d], frame
+                fresh = {"id": names, "mean": mean, "cov": cov, "box": boxes[free_d], "seen": seen, "at": at, "heading": np.zeros((k, 2)), "feature": unit[free_d], "last": np.full(k, frame)}
+                t = _with(t, fresh)
+                out += zip(ids[free_d].tolist(), names.tolist(), strict=True)
+        if t:
+            state["list"] = _some(t, frame - t["last"] <= buffer)
         return out
 
     return step

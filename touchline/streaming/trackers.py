@@ -363,25 +363,35 @@ def _step(tracker: str, options: dict) -> Step:
 
 
 def _fold(step: Step, state: dict, pdf: pd.DataFrame) -> list[tuple[int, int, int]]:
+    pdf = pdf[pdf["frame"].notna()].sort_values(["frame", "det_id"], kind="stable")
+    at, is_box = pdf["frame"].to_numpy(np.int64), np.ones(len(pdf), bool)
+    warps = [None] * len(pdf)
+    if "warp" in pdf:  # rows without a detection bring the motion of the camera
+        warps, is_box = pdf["warp"].tolist(), pdf["det_id"].notna().to_numpy()
+    found = pdf[is_box]
+    ids, scores = found["det_id"].to_numpy(np.int64), found["score"].to_numpy(float)
+    boxes = np.array(found["box"].tolist(), float).reshape(-1, 4)
+    seen = np.array(found["features"].tolist(), float).reshape(len(found), -1) if "features" in found and len(found) else None
+    firsts = np.flatnonzero(np.diff(at, prepend=at[:1] - 1))  # where a frame begins
+    ends, place = np.append(firsts[1:], len(at)), np.concatenate([[0], np.cumsum(is_box)])
     rows = []
-    for frame, f in pdf.sort_values(["frame", "det_id"], kind="stable").groupby("frame", sort=True):
+    for i, e, frame in zip(firsts.tolist(), ends.tolist(), at[firsts].tolist(), strict=True):
         if frame <= state.get("frame", -1):
             continue  # late
-        state["frame"] = int(frame)
-        if "warp" in f:  # rows without a detection bring the motion of the camera
-            found = [w for w in f["warp"] if w is not None]
-            state["warp"] = np.array(found[0], float).reshape(2, 3) if found else None
-            f = f[f["det_id"].notna()]
-        if len(f):
-            state.setdefault("first", int(frame))
+        state["frame"] = frame
+        a, b = int(place[i]), int(place[e])
+        if "warp" in pdf:
+            motion = next((w for w in warps[i:e] if w is not None), None)
+            state["warp"] = None if motion is None else np.array(motion, float).reshape(2, 3)
+        if a < b:
+            state.setdefault("first", frame)
         elif "first" not in state:
             continue
-        boxes = np.array(f["box"].tolist(), float).reshape(-1, 4)
-        features = np.zeros((len(f), state.get("width", 0)))
-        if "features" in f and len(f):
-            features = np.array(f["features"].tolist(), float).reshape(len(f), -1)
+        features = np.zeros((b - a, state.get("width", 0)))
+        if seen is not None and a < b:
+            features = seen[a:b]
             state["width"] = features.shape[1]
-        rows += [(int(frame), d, t) for d, t in step(state, int(frame), f["det_id"].to_numpy(np.int64), boxes, f["score"].to_numpy(float), features)]
+        rows += [(frame, d, t) for d, t in step(state, frame, ids[a:b], boxes[a:b], scores[a:b], features)]
     return rows
 
 
