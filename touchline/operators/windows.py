@@ -84,16 +84,20 @@ def gap_split(rows: DataFrame, group: str, value: str, tie: list[str], gap: floa
     """
     w = Window.partitionBy(group)
     by = w.orderBy(value, *tie)
-    step = rows.withColumn("__n", F.count("*").over(w)).withColumn("__k", F.row_number().over(by)).withColumn("__g", F.col(value) - F.lag(value).over(by))
-    wide = F.max(value).over(w) - F.min(value).over(w) >= spread
-    ranked = step.withColumn("__any", F.max(F.coalesce((F.col("__g") >= gap).cast("int"), F.lit(0))).over(w)).withColumn("__wide", wide)
-    ranked = ranked.withColumn("__late", F.row_number().over(w.orderBy(F.col("__g").desc_nulls_last(), F.desc("__k"))))
-    ranked = ranked.withColumn("__early", F.row_number().over(w.orderBy(F.col("__g").desc_nulls_last(), F.asc("__k"))))
-    cut = F.when(F.col("__any") == 1, (F.col("__g") >= gap) & (F.col("__late") <= most)).otherwise(F.col("__wide") & (F.col("__early") == 1) & F.col("__g").isNotNull())
+    # one sort serves all windows below: numbers and gaps come first, whatever looks at a whole group reads the same order
+    step = rows.withColumn("__k", F.row_number().over(by)).withColumn("__g", F.col(value) - F.lag(value).over(by))
+    late, early = F.struct("__g", "__k"), F.struct(F.col("__g").alias("g"), (-F.col("__k")).alias("k"))
+    ranked = step.withColumns({
+        "__n": F.count("*").over(w), "__wide": F.max(value).over(w) - F.min(value).over(w) >= spread, "__any": F.coalesce(F.max("__g").over(w) >= gap, F.lit(False)),
+        "__early": F.max(early).over(w)["k"] == -F.col("__k"), "__last": F.max(late).over(w),
+    })
+    for _ in range(most - 1):  # the next largest gap, the later one of equals
+        ranked = ranked.withColumn("__last", F.coalesce(F.max(F.when(late < F.col("__last"), late)).over(w), F.col("__last")))
+    cut = F.when(F.col("__any"), (F.col("__g") >= gap) & (late >= F.col("__last")) & F.lit(most > 0)).otherwise(F.col("__wide") & F.col("__early") & F.col("__g").isNotNull())
     parts = ranked.withColumn("__c", F.coalesce(cut, F.lit(False)).cast("int"))
     parts = parts.withColumn("part", F.when(F.col("__n") >= 2, F.sum("__c").over(by.rowsBetween(Window.unboundedPreceding, 0))))
     parts = parts.withColumn("n_parts", F.max("part").over(w) + 1)
-    return parts.drop("__n", "__k", "__g", "__any", "__wide", "__late", "__early", "__c")
+    return parts.drop("__n", "__k", "__g", "__any", "__wide", "__last", "__early", "__c")
 
 
 def identity_switches(matches: DataFrame, sequence: str, gt: str, frame: str, tracker: str) -> DataFrame:
