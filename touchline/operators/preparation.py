@@ -109,28 +109,41 @@ def keypoint_similarity(points: Column, candidate: Column, kappas: list[float])
     The scale is the root of the visible extent, enlarged by the root of what all points span over it,
     upright or turned by 45 degrees, whichever is less, five times at most.
     """
-    seen = F.filter(points, lambda p: p["c"] > 0)
     half = F.sqrt(F.lit(0.5))
     upright = (lambda p: p["x"], lambda p: p["y"])
     turned = (lambda p: (p["x"] - p["y"]) * half, lambda p: (p["x"] + p["y"]) * half)
+    square = lambda v: v * v
+    spread = F.array(*(F.lit(k) for k in kappas))
+
+    def once(value: Column, then: Callable[[Column], Column]) -> Column:
+        """``then`` of a value that is computed once for a row, not wherever it is used."""
+        return F.get(F.transform(F.array(value), then), F.lit(0))
 
     def extent(some: Column, axes) -> Column:
-        wide, high = (F.array_max(F.transform(some, a)) - F.array_min(F.transform(some, a)) for a in axes)
+        wide, high = (once(F.transform(some, a), lambda v: F.array_max(v) - F.array_min(v)) for a in axes)
         return wide * high
 
-    growth = [F.when(extent(seen, axes) > 0.1, extent(points, axes) / extent(seen, axes)) for axes in (upright, turned)]
-    factor = F.least(F.lit(5.0), F.sqrt(F.coalesce(F.least(*growth), F.lit(float("inf")))))
-    scale = F.sqrt(extent(seen, upright)) * factor
-    spread = F.array(*(F.lit(k) for k in kappas))
-    square = lambda v: v * v
+    def extents(seen: Column, every: Column) -> Column:
+        return F.struct(F.size(seen).alias("n"), *(extent(some, axes).alias(n) for n, some, axes in (("s", seen, upright), ("e", every, upright), ("ts", seen, turned), ("te", every, turned))))
+
+    def measured(e: Column) -> Column:
+        growth = [F.when(e[s] > 0.1, e[t] / e[s]) for s, t in (("s", "e"), ("ts", "te"))]
+        factor = F.least(F.lit(5.0), F.sqrt(F.coalesce(F.least(*growth), F.lit(float("inf")))))
+        return F.struct(e["n"].alias("n"), (F.sqrt(e["s"]) * factor).alias("scale"))
+
+    def similarity(both: Column, m: Column) -> Column:
+        def part(p: Column, i: Column) -> Column:
+            near = lambda q: F.exp(-(square(p["x"] - q["x"]) + square(p["y"] - q["y"])) / (2 * square(m["scale"]) * square(F.get(spread, i))))
+            return F.when(p["c"] > 0, once(F.get(both["candidate"], i), near)).otherwise(0.0)
+
+        total = F.aggregate(F.transform(both["points"], part), F.lit(0.0), lambda a, x: a + x)
+        return F.when((m["n"] > 0) & (m["scale"] >= 0.1), total / m["n"])
 
-    def part(p: Column, i: Column) -> Column:
-        q = F.get(candidate, i)
-        apart = square(p["x"] - q["x"]) + square(p["y"] - q["y"])
-        return F.when(p["c"] > 0, F.exp(-apart / (2 * square(scale) * square(F.get(spread, i))))).otherwise(0.0)
+    def judged(both: Column) -> Column:
+        seen = F.filter(both["points"], lambda p: p["c"] > 0)
+        return once(once(once(seen, lambda s: extents(s, both["points"])), measured), lambda m: similarity(both, m))
 
-    total = F.aggregate(F.transform(points, part), F.lit(0.0), lambda a, x: a + x)
-    return F.when((F.size(seen) > 0) & (scale >= 0.1), total / F.size(seen))
+    return once(F.struct(points.alias("points"), candidate.alias("candidate")), judged)
 
 
 def recognised(rows: DataFrame, key: str, score: str, least: float, recognise: Callable[[DataFrame], DataFrame]) -> DataFrame:
