@@ -142,7 +142,7 @@ def labels_round_trip(spark, sf_dir):
     image = F.struct("image_id", F.format_string("img1/%06d.jpg", F.col("l_orderkey") % 512).alias("file_name"))
     doc = rows.groupBy("clip").agg(F.struct(F.first("clip").alias("name")).alias("info"), F.collect_set(image).alias("images"), F.collect_list(a).alias("annotations"))
     path = scratch(spark)
-    doc.select("clip", F.to_json(F.struct("info", "images", "annotations"), {"ignoreNullFields": "true"}).alias("value")).repartition("clip").write.partitionBy("clip").text(path)
+    doc.select("clip", F.to_json(F.struct("info", "images", "annotations"), {"ignoreNullFields": "true"}).alias("value")).repartition("clip").write.partitionBy("clip").text(path, compression="gzip")
     found = readers.labels(spark, path).drop("clip")
     return readers.positions(found).select("clip", "track_id", "team", "role", "jersey_number", "x", "y", "frame")
 
