@@ -91,4 +91,5 @@ def fold(
         if state is not None and finish:
             yield finish(state)
 
-    return rows.repartition(group).sortWithinPartitions(group, frame).mapInPandas(run, schema)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated: adaptive execution would join them by bytes, into fewer tasks than cores
+    return rows.repartition(parts, group).sortWithinPartitions(group, frame).mapInPandas(run, schema)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..evaluation.assignment import assign, assign_above
-from .trackers import GATE, STEPS, Kalman, Step, _measure, iou_matrix, moved_boxes
+from .trackers import GATE, STEPS, Kalman, Step, iou_matrix, moved_boxes, shifts
 
 
 def with_motion(detections: DataFrame, motion: DataFrame) -> DataFrame:
@@ -28,19 +28,19 @@ class Extent(Kalman):
     """Constant velocity for (x, y, width, height) of many tracks at once; noise in shares of the width and the height."""
 
     @staticmethod
-    def _noise(wh: np.ndarray, p: float, v: float) -> np.ndarray:
+    def _noise(mean: np.ndarray, p: float, v: float) -> np.ndarray:
         """Variances, on the diagonal."""
         k = Kalman
-        return np.square(np.concatenate([p * k.POSITION * wh] * 2 + [v * k.VELOCITY * wh] * 2, axis=1))
+        return np.square(mean[:, [2, 3] * 4] * np.array([p * k.POSITION] * 4 + [v * k.VELOCITY] * 4))
 
     @staticmethod
     def start(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.concatenate([z, np.zeros(z.shape)], axis=1), Extent._noise(z[:, 2:], 2, 10)[:, :, None] * np.eye(8)
+        return np.concatenate([z, np.zeros(z.shape)], axis=1), Extent._noise(z, 2, 10)[:, :, None] * np.eye(8)
 
     @staticmethod
     def predict(mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The constant velocity's matrix adds the second half of rows, then of columns, to the first."""
-        noise, mean, cov = Extent._noise(mean[:, 2:4], 1, 1), mean.copy(), cov.copy()
+        noise, mean, cov = Extent._noise(mean, 1, 1), mean.copy(), cov.copy()
         mean[:, :4] += mean[:, 4:]
         cov[:, :4] += cov[:, 4:]
         cov[:, :, :4] += cov[:, :, 4:]
@@ -68,19 +68,32 @@ class Extent(Kalman):
     @staticmethod
     def warped(mean: np.ndarray, cov: np.ndarray, warp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Position, extent and their velocities turned by the linear part, the position shifted."""
-        turn = warp[:, :2]
-        if (turn == np.eye(2)).all():
+        if shifts(warp):
             mean = mean.copy()
         else:
-            big = np.kron(np.eye(4), turn)
+            big = np.kron(np.eye(4), warp[:, :2])
             mean, cov = mean @ big.T, big @ cov @ big.T
         mean[:, :2] += warp[:, 2]
         return mean, cov
 
 
 def _extents(boxes: np.ndarray) -> np.ndarray:
-    z = _measure(boxes)
-    return np.column_stack([z[:, 0], z[:, 1], z[:, 2] * z[:, 3], z[:, 3]])
+    z = np.empty((len(boxes), 4))
+    z[:, :2] = (boxes[:, :2] + boxes[:, 2:]) / 2
+    h = z[:, 3] = np.maximum(boxes[:, 3] - boxes[:, 1], 1e-6)
+    z[:, 2] = (boxes[:, 2] - boxes[:, 0]) / h * h
+    return z
+
+
+def _length(v: np.ndarray) -> np.ndarray:
+    return np.sqrt((v * v).sum(axis=-1, keepdims=True))
+
+
+def _rest(n: int, used: np.ndarray) -> np.ndarray:
+    """The numbers below n that are not used, rising."""
+    free = np.ones(n, bool)
+    free[used] = False
+    return free.nonzero()[0]
 
 
 def _boxes(mean: np.ndarray) -> np.ndarray:
@@ -101,12 +114,12 @@ def _with(tracks: Tracks | None, fresh: Tracks) -> Tracks:
 
 def _blended(old: np.ndarray, new: np.ndarray, keep: np.ndarray | float) -> np.ndarray:
     mixed = keep * old + (1 - keep) * new
-    size = np.linalg.norm(mixed, axis=1, keepdims=True)
+    size = _length(mixed)
     return mixed / np.where(size > 0, size, 1)
 
 
 def _units(features: np.ndarray) -> np.ndarray:
-    norm = np.linalg.norm(features, axis=1, keepdims=True)
+    norm = _length(features)
     return features / np.where(norm > 0, norm, 1)
 
 
@@ -163,18 +176,18 @@ def camera(
                 found.extend(zip(i.tolist(), j.tolist(), strict=True))
             return at[:, 0], at[:, 1]
 
-        strong, weak = np.flatnonzero(scores > high), np.flatnonzero((scores > low) & (scores < high))
-        sure, fresh = np.flatnonzero(t["sure"]), np.flatnonzero(~t["sure"])
+        strong, weak = (scores > high).nonzero()[0], ((scores > low) & (scores < high)).nonzero()[0]
+        sure, fresh = (t["sure"]).nonzero()[0], (~t["sure"]).nonzero()[0]
         left, open_ = sure[~t["lost"][sure]], strong
         if len(sure) and len(strong):
             gates = Extent.gate(t["mean"][sure], t["cov"][sure], z[strong])
             cost = blend * _cosines(t["feature"][sure], unit[strong]) + (1 - blend) * gates
             i, j = seen(_below(np.where(gates <= GATE, cost, np.inf), first_cost), sure, strong)
-            left = np.setdiff1d(left, sure[i], assume_unique=True)
-            open_ = np.delete(strong, j)
+            left = left[t["last"][left] != frame]
+            open_ = strong[_rest(len(strong), j)]
         if len(left) and len(weak):
             i, _ = seen(_below(1 - iou_matrix(_boxes(t["mean"][left]), boxes[weak]), second_cost), left, weak, False)
-            left = np.delete(left, i)
+            left = left[_rest(len(left), i)]
         t["lost"][left] = True
         gone = ~t["sure"]  # seen once; those that are missed now go
         if len(fresh) and len(open_):
@@ -183,7 +196,7 @@ def camera(
             looks = np.where((looks > near) | (overlap > proximity), 1.0, looks)
             i, j = seen(_below(np.minimum(1 - (1 - overlap) * scores[open_], looks), fresh_cost), fresh, open_)
             gone[fresh[i]] = False
-            open_ = np.delete(open_, j)
+            open_ = open_[_rest(len(open_), j)]
         out = [(int(ids[j]), int(t["id"][i])) for i, j in found]
         new = open_[scores[open_] >= new_score]
         if len(new):
@@ -195,7 +208,7 @@ def camera(
             t = _with(t, {"id": names, "mean": mean, "cov": cov, "feature": unit[new], "start": at, "last": at.copy(), "sure": first, "lost": np.zeros(len(new), bool)})
             gone = np.concatenate([gone, np.zeros(len(new), bool)])
         t = _some(t, ~gone & (frame - t["last"] <= buffer))
-        followed, lost = np.flatnonzero(~t["lost"]), np.flatnonzero(t["lost"])
+        followed, lost = (~t["lost"]).nonzero()[0], (t["lost"]).nonzero()[0]
         if len(followed) and len(lost):
             twins = np.argwhere(1 - iou_matrix(_boxes(t["mean"][followed]), _boxes(t["mean"][lost])) < twin)
             if len(twins):
@@ -216,7 +229,7 @@ def _weighed(cosines: np.ndarray, weight: float, bottom: float) -> np.ndarray:
         if cosines.shape[axis] < 2:
             continue
         ranked = np.sort(cosines, axis=axis)
-        best, second = (np.take(ranked, [k], axis=axis) for k in (-1, -2))
+        best, second = (ranked[-1:], ranked[-2:-1]) if axis == 0 else (ranked[:, -1:], ranked[:, -2:-1])
         ratio = np.divide(second, best, out=np.zeros_like(best), where=best != 0)
         whole = whole * np.where(best == 0, 0.0, 1 - np.maximum(ratio - bottom, 0) / (1 - bottom))
     return whole * cosines
@@ -236,7 +249,7 @@ def deep_observation_centric(
 
     def way(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         d = middle(b) - middle(a)
-        return d / (np.linalg.norm(d, axis=-1, keepdims=True) + 1e-6)
+        return d / (_length(d) + 1e-6)
 
     never = np.iinfo(np.int64).min
 
@@ -258,7 +271,7 @@ def deep_observation_centric(
                 t["box"] = moved_boxes(t["box"], state["warp"])
                 t["seen"] = moved_boxes(t["seen"], state["warp"]).reshape(n, look_back, 4)
             t["mean"], t["cov"] = Extent.predict(t["mean"], t["cov"])
-        use, out = np.flatnonzero(scores > least_score), []
+        use, out = (scores > least_score).nonzero()[0], []
         if len(use):
             ids, boxes, scores, unit = ids[use], boxes[use], scores[use], _units(features[use])
             z, keep = _extents(boxes), momentum + (1 - momentum) * (1 - (scores - least_score) / (1 - least_score))
@@ -277,10 +290,10 @@ def deep_observation_centric(
                 i, j = np.nonzero(over) if alone else assign(-worth)
                 close = overlap[i, j] >= least_iou
                 i, j = i[close], j[close]
-                free_t, free_d = np.delete(np.arange(n), i), np.delete(free_d, j)
+                free_t, free_d = _rest(n, i), _rest(len(use), j)
                 if len(free_t) and len(free_d):
                     a, b = assign_above(iou_matrix(t["box"][free_t], boxes[free_d]), least_iou)
-                    i, j, free_d = np.concatenate([i, free_t[a]]), np.concatenate([j, free_d[b]]), np.delete(free_d, b)
+                    i, j, free_d = np.concatenate([i, free_t[a]]), np.concatenate([j, free_d[b]]), free_d[_rest(len(free_d), b)]
                 if len(i):
                     t["heading"][i] = way(before[i], boxes[j])
                     t["mean"][i], t["cov"][i] = Extent.update(t["mean"][i], t["cov"][i], z[j])

@@ -26,12 +26,11 @@ OUTPUT = "video_id string, frame long, det_id long, track_id long"
 
 def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Of ltrb rows; degenerate boxes give 0."""
-    w = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0])
-    h = np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1])
-    common = np.maximum(w, 0) * np.maximum(h, 0)
-    size = lambda x: np.maximum(x[:, 2] - x[:, 0], 0) * np.maximum(x[:, 3] - x[:, 1], 0)
-    union = size(a)[:, None] + size(b)[None, :] - common
-    return np.where(union > 0, common / np.where(union > 0, union, 1), 0.0)
+    apart = np.maximum(np.minimum(a[:, None, 2:], b[None, :, 2:]) - np.maximum(a[:, None, :2], b[None, :, :2]), 0)
+    common = apart[:, :, 0] * apart[:, :, 1]
+    sides_a, sides_b = np.maximum(a[:, 2:] - a[:, :2], 0), np.maximum(b[:, 2:] - b[:, :2], 0)
+    union = (sides_a[:, 0] * sides_a[:, 1])[:, None] + sides_b[:, 0] * sides_b[:, 1] - common
+    return np.divide(common, union, out=np.zeros(union.shape), where=union > 0)
 
 
 class Kalman:
@@ -73,8 +72,15 @@ class Kalman:
         return np.einsum("ij,ij->i", d, np.linalg.solve(s, d.T).T)
 
 
+def shifts(warp: np.ndarray) -> bool:
+    """Whether a motion only shifts."""
+    return warp[0, 0] == 1 and warp[1, 1] == 1 and warp[0, 1] == 0 and warp[1, 0] == 0
+
+
 def moved_boxes(boxes: np.ndarray, warp: np.ndarray) -> np.ndarray:
     """ltrb rows with both corners taken through an affine motion (2 x 3)."""
+    if shifts(warp):
+        return boxes.reshape(-1, 4) + np.concatenate([warp[:, 2], warp[:, 2]])
     corners = boxes.reshape(-1, 2) @ warp[:, :2].T + warp[:, 2]
     return corners.reshape(-1, 4)
 
