@@ -457,6 +457,47 @@ def test_near_copies_with_repeated_ids(spark):
     assert [x[1] for x in got] == [3, 1, 3, 3] and sum(x[2] for x in got) == 2
 
 
+def made_by_joins(df):
+    """The rows that each join of a plan has made when it ran."""
+    df.collect()
+    plan, found = [df._jdf.queryExecution().executedPlan()], []
+    while plan:
+        node = plan.pop()
+        if "Join" in node.nodeName():
+            found.append(node.metrics().apply("numOutputRows").value())
+        plan += [node.children().apply(k) for k in range(node.children().size())]
+    return found
+
+
+def test_pairs_across_components_meet_once(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = []
+    for k in range(24):  # alike, so that pairs share many tables
+        words = [f"w{x}" for x in range(80)]
+        words[rng.randrange(80)] = f"v{k}"
+        texts.append((k, " ".join(words)))
+    banding = minhash_dedup.Banding()
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    sketch = minhash_dedup.sliced(minhash_dedup._sketch(banding))
+    sketches = minhash_dedup.stored(numbered(docs).select("row_id", "text").mapInArrow(sketch, "row_id long, n long, s0 long, s1 long, left array<long>, right array<long>, bits array<long>"))
+    members = minhash_dedup._members(sketches, banding, [])
+    found = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (7, 7), (9, 7)], "node long, component long")
+    component = {0: 0, 1: 0, 2: 0, 7: 7, 9: 7}
+    met = members.alias("p").join(members.alias("q"), F.expr("p.key = q.key and p.row_id < q.row_id")).select("p.row_id", "q.row_id").distinct().collect()
+    both = spark.createDataFrame([tuple(x) for x in met if component.get(x[0], x[0]) != component.get(x[1], x[1])], "a long, b long")
+    placed = both.join(sketches.alias("x"), F.expr("a = x.row_id")).join(sketches.alias("y"), F.expr("b = y.row_id"))
+    want = sorted(tuple(r) for r in placed.where(minhash_dedup._room(banding.percent)).select("a", "b").collect())
+    monkeypatch.setattr(minhash_dedup, "stored", lambda df, *_: df)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = minhash_dedup._across(members, found, sketches, banding, [])
+        made = made_by_joins(out)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sorted(tuple(r) for r in out.collect()) == want and len(want) > 50
+    assert made[0] == len(want)  # the topmost join: that of the buckets
+
+
 # 9 and 10 classifiers
 
 

@@ -6,8 +6,9 @@ rows cost 2 * m * r minhashes instead of 2 * m * m * r.
 
 Texts with the same set form a class and only the classes' first members are compared. In each table
 bucket the members are first paired with the bucket's smallest member, and verified on full sets. Buckets that then
-still hold more than one component are searched again between the components only, so a bucket of
-thousands of near copies never gives all its pairs, and no link between components is left untested.
+still hold more than one component are searched again between the components only, the rows outside a
+bucket's largest component against all of its rows, so a bucket of thousands of near copies never gives all its
+pairs, and no link between components is left untested. A pair is met once, in the first of the tables that it shares.
 Before full sets are compared, sizes and parity bitmaps are asked whether they leave room for a link: a
 bitmap never differs in more positions than the sets differ in shingles, so no link is lost to it. Sets
 of more than ``WHOLE`` shingles have no bitmap; theirs are all compared whole.
@@ -193,18 +194,25 @@ def _members(firsts: DataFrame, banding: Banding, gone: list[str]) -> DataFrame:
     return found
 
 
-def _across(members: DataFrame, found: DataFrame, sketches: DataFrame, percent: int, gone: list[str]) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components whose sizes and bitmaps leave room for a link."""
+def _first_table() -> Column:
+    """The key of the first table that x and y share; halves are equal only where they stand at the same place."""
+    common = lambda side: F.get(F.array_compact(F.zip_with(f"x.{side}", f"y.{side}", lambda a, b: F.when(a == b, a))), F.lit(0))
+    return F.xxhash64(common("left"), common("right"))
+
+
+def _across(members: DataFrame, found: DataFrame, sketches: DataFrame, banding: Banding, gone: list[str]) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components whose sizes and bitmaps leave room for a link, each in its first bucket only."""
     at = found.select("node", "component")
     labelled = stored(members.join(at, F.expr("row_id = node"), "left").select("key", "row_id", F.coalesce("component", "row_id").alias("component")), gone)
-    several = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select(F.col("key").alias("k"))
-    open_ = stored(labelled.join(stored(several, gone), F.expr("key = k"), "left_semi"), gone)
+    per = labelled.groupBy("key", "component").agg(F.count("*").alias("c"))
+    several = per.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"), "main")
+    open_ = stored(labelled.join(stored(several, gone), F.expr("key = k")).select("key", "row_id", "component", (F.col("component") == F.col("main")).alias("main")), gone)
     release(members.sparkSession)
-    short = sketches.select(F.col("row_id").alias("id"), "n", "bits")
-    rows = open_.join(short, F.expr("row_id = id")).select("key", "row_id", "component", "n", "bits")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.row_id") < F.col("y.row_id")) & (F.col("x.component") != F.col("y.component"))
-    met = rows.alias("x").join(rows.alias("y"), apart & _room(percent))
-    return stored(met.select(F.col("x.row_id").alias("a"), F.col("y.row_id").alias("b")).distinct(), gone)
+    short = sketches.select(F.col("row_id").alias("id"), "n", "bits", "left", "right")
+    rows = open_.join(short, F.expr("row_id = id")).drop("id")
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.col("y.main") | (F.col("x.row_id") < F.col("y.row_id")))
+    met = rows.where("not main").alias("x").join(rows.alias("y"), apart & _room(banding.percent) & (F.col("x.key") == _first_table()))
+    return stored(met.select(F.least("x.row_id", "y.row_id").alias("a"), F.greatest("x.row_id", "y.row_id").alias("b")), gone)
 
 
 def near_duplicates(docs: DataFrame, banding: Banding | None = None, carry: list[str] | None = None) -> DataFrame:
@@ -241,7 +249,7 @@ def near_duplicates(docs: DataFrame, banding: Banding | None = None, carry: list
     if found is None:
         links = star
         found = stored(connected_components(links))
-    more = _across(members, found, sketches, banding.percent, gone)
+    more = _across(members, found, sketches, banding, gone)
     if not more.isEmpty():  # afterwards every pair of a bucket was tested or lies within one component
         links = links.unionByName(_verified(base, sketches, more, banding))
         found = stored(connected_components(links))
