@@ -8,15 +8,22 @@ from pyspark.sql import functions as F
 from ..functions.rounding import half_even
 
 
-def sample_vote(samples: DataFrame, card: list[str], verdict: str, confidence: str, pos: str) -> DataFrame:
+def sample_vote(samples: DataFrame, card: list[str], verdict: str, confidence: str, pos: str, ordered: bool = False) -> DataFrame:
     """Modal verdict, half-even rounded mean confidence of its samples, nearest sample as representative.
 
-    An even number of samples of a card is an error.
+    An even number of samples of a card is an error. A sum of doubles depends on the order of its rows: a mean some bits
+    beside a tie is taken for one, or, with ``ordered``, confidences are added in the order of ``pos`` and rounded as they come.
     """
-    per = samples.groupBy(*card, verdict).agg(F.count("*").alias("n"), F.avg(confidence).alias("mean"), F.min(pos).alias("first"))
+    if ordered:
+        before = Window.partitionBy(*card, verdict).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+        summed = samples.select("*", F.sum(confidence).over(before).alias("__sum"), F.count("*").over(before).alias("__at"))
+        mean, slack = F.try_divide(F.max_by("__sum", "__at"), F.count(confidence)), 0
+    else:
+        summed, mean, slack = samples, F.avg(confidence), 4
+    per = summed.groupBy(*card, verdict).agg(F.count("*").alias("n"), mean.alias("mean"), F.min(pos).alias("first"))
     total = per.groupBy(*card).agg(F.sum("n").alias("all"), F.max_by(F.struct(verdict, "mean"), F.struct(F.col("n"), -F.col("first"))).alias("best"))
     odd = F.when(F.col("all") % 2 == 1, F.col("all")).otherwise(F.raise_error(F.lit("an odd number of samples is needed")).cast("long"))
-    won = total.select(*card, odd.alias("samples"), F.col(f"best.{verdict}").alias(verdict), half_even(F.col("best.mean"), slack=4).alias(confidence))
+    won = total.select(*card, odd.alias("samples"), F.col(f"best.{verdict}").alias(verdict), half_even(F.col("best.mean"), slack=slack).alias(confidence))
     own = samples.withColumnRenamed(confidence, "__c")
     near = won.join(own, [*card, verdict]).groupBy(*card, verdict, confidence, "samples")
     return near.agg(F.min_by(pos, F.struct(F.abs(F.col("__c") - F.col(confidence)), F.col(pos))).alias("representative"))
