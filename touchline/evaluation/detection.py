@@ -8,11 +8,65 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import boxes
+from ..operators import frames as in_frames
 from ..operators import ordered, ranking
-from .assignment import assign, greedy
+from ..session import stored
+from .assignment import assign
+from .track_precision import RECALLS, best_precisions
 
 THRESHOLDS = [0.01, 0.25, *(round(0.5 + 0.05 * k, 2) for k in range(10))]
-FRAMES = 256
+
+
+def _taken(pairs: DataFrame, pred: DataFrame, thresholds: list[float], marks: bool) -> DataFrame:
+    """``greedy_matches``, or with ``marks`` a row for each prediction: for each threshold 1 where it takes a truth, else 2.
+
+    Many frames are matched in a call, one prediction of each at a time.
+    """
+    kind = dict(pred.dtypes)["pos"]
+    real = pairs.where(F.col("gt_id").isNotNull() & (F.col("iou") >= min(thresholds)))
+    rows = pred.select("frame", "pred_id", "pos", F.lit(0).cast("long").alias("gt_id"), F.lit(0.0).alias("iou"), F.lit(False).alias("pair")).unionByName(
+        real.select("frame", "pred_id", F.lit(0).cast(kind).alias("pos"), F.col("gt_id").cast("long").alias("gt_id"), "iou", F.lit(True).alias("pair"))
+    )
+    levels = np.array(thresholds)
+
+    def take(pdf: pd.DataFrame, firsts: np.ndarray) -> pd.DataFrame:
+        group = np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, len(pdf))))
+        pair = pdf["pair"].to_numpy(bool)
+        name = np.unique(pdf["pred_id"].to_numpy(), return_inverse=True)[1]
+        key = group * (int(name.max()) + 1) + name
+        one = np.flatnonzero(~pair)
+        one = one[np.lexsort([name[one], pdf["pos"].to_numpy()[one], group[one]])]
+        one = one[np.sort(np.unique(key[one], return_index=True)[1])]  # a prediction comes once
+        place = np.arange(len(one)) - np.searchsorted(group[one], group[one])
+        by_key = np.argsort(key[one])
+        at = np.flatnonzero(pair)
+        found = np.searchsorted(key[one], key[at], sorter=by_key)
+        known = found < len(one)
+        known[known] = key[one][by_key[found[known]]] == key[at[known]]
+        at, who = at[known], by_key[found[known]]
+        gt, iou = pdf["gt_id"].to_numpy(np.int64)[at], pdf["iou"].to_numpy(float)[at]
+        truth = np.unique(gt, return_inverse=True)[1]
+        # of a prediction's pairs the last that is free is the best, the first truth of equals
+        order = np.lexsort([-truth, iou, who, place[who]])
+        who, gt, iou, truth = who[order], gt[order], iou[order], truth[order] + group[at[order]] * (len(at) + 1)
+        truth = np.unique(truth, return_inverse=True)[1]
+        free = np.ones((len(truth), len(levels)), bool)
+        hit, took = np.zeros((len(one), len(levels)), bool), np.zeros((len(one), len(levels)), np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(place[who])) + 1), len(who)] if len(who) else [0]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            worth = np.where(free[truth[a:b]] & (iou[a:b, None] >= levels), np.arange(1, b - a + 1)[:, None], 0)
+            best = np.maximum.reduceat(worth, np.flatnonzero(np.diff(who[a:b], prepend=-1)))
+            p, t = np.nonzero(best)
+            got = a + best[p, t] - 1
+            free[truth[got], t], hit[who[got], t], took[who[got], t] = False, True, gt[got]
+        frame, pred_id = pdf["frame"].to_numpy()[one], pdf["pred_id"].to_numpy()[one]
+        if marks:
+            return pd.DataFrame({"frame": frame, "pred_id": pred_id, "marks": list(np.where(hit, 1, 2).astype(np.int8))})
+        n = len(levels)
+        found = pd.Series(took.ravel(), dtype="Int64").mask(~hit.ravel())
+        return pd.DataFrame({"frame": np.repeat(frame, n), "threshold": np.tile(levels, len(one)), "pred_id": np.repeat(pred_id, n), "gt_id": found})
+
+    return in_frames.by_group(rows, ["frame"], take, "frame long, pred_id long, marks array<tinyint>" if marks else "frame long, threshold double, pred_id long, gt_id long")
 
 
 def greedy_matches(pairs: DataFrame, pred: DataFrame, thresholds: list[float]) -> DataFrame:
@@ -20,24 +74,16 @@ def greedy_matches(pairs: DataFrame, pred: DataFrame, thresholds: list[float]) -
 
     pairs(frame, pred_id, gt_id, iou); pred(frame, pred_id, pos): stored order decides who takes first.
     """
-    rows = pred.join(pairs, ["frame", "pred_id"], "left").withColumn("chunk", F.floor(F.col("frame") / FRAMES))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for frame, f in pdf.groupby("frame", sort=True):
-            order = f.drop_duplicates("pred_id").sort_values("pos", kind="stable")["pred_id"].to_numpy()
-            truth = np.sort(f["gt_id"].dropna().astype(int).unique())
-            m = np.full((len(order), len(truth)), -1.0)
-            at = {p: k for k, p in enumerate(order)}
-            real = f[f["gt_id"].notna()]
-            m[[at[p] for p in real["pred_id"]], np.searchsorted(truth, real["gt_id"].astype(int))] = real["iou"]
-            for level in thresholds:
-                r, c = greedy(m, level)
-                got = dict(zip(r, c, strict=True))
-                out += [(frame, level, p, int(truth[got[k]]) if k in got else None) for k, p in enumerate(order)]
-        return pd.DataFrame(out, columns=["frame", "threshold", "pred_id", "gt_id"]).astype({"gt_id": "Int64"})
-
-    return rows.groupBy("chunk").applyInPandas(fold, "frame long, threshold double, pred_id long, gt_id long")
+    return _taken(pairs, pred, thresholds, False)
+
+
+def box_precision(pairs: DataFrame, pred: DataFrame, truths: int, thresholds: list[float]) -> DataFrame:
+    """``average_precision`` of the ``greedy_matches`` of pred(frame, pred_id, pos, score), from one row for each prediction."""
+    rows = stored(_taken(pairs, pred, thresholds, True).join(pred.select("frame", "pred_id", "score"), ["frame", "pred_id"]))
+    n = rows.sparkSession.range(len(thresholds)).select(F.col("id").cast("int").alias("cell"), F.lit(max(1, truths)).cast("long").alias("n_truth"))
+    best, counted = best_precisions(rows, "score", ["frame", "pred_id"], n, spread="frame", eps=0.0)
+    per = best.groupBy("cell").agg((F.sum("p") / (RECALLS + 1)).alias("ap"))
+    return counted.join(per, "cell", "left").select(F.get(F.array(*map(F.lit, thresholds)), F.col("cell")).alias("threshold"), F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 
 def average_precision(matches: DataFrame, scores: DataFrame, truths: int, levels: int = 101) -> DataFrame:

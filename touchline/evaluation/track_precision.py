@@ -127,7 +127,7 @@ def track_matches(
     return in_frames.by_group(pairs, ["seq"], take, f"seq {kind}, tracker_id long, range int, threshold int, gt_id long, ignored boolean")
 
 
-def _best_precisions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _best_precisions(batches: Iterator[pd.DataFrame], eps: float = _EPS) -> Iterator[pd.DataFrame]:
     """The best precision of each cell at each place of recall, over rows of marks in order of falling score; a row with ``base`` begins a range."""
     best, sums, n = None, None, None
     for batch in batches:
@@ -144,12 +144,36 @@ def _best_precisions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sums = np.stack([tp[-1], fp[-1]])
             row, cell = np.nonzero((marks > 0) & (n > 0))
             tp, fp = tp[row, cell], fp[row, cell]
-            np.maximum.at(best, (cell, np.minimum(tp * RECALLS // n[cell], RECALLS)), tp / (tp + fp + _EPS))
+            np.maximum.at(best, (cell, np.minimum(tp * RECALLS // n[cell], RECALLS)), tp / (tp + fp + eps))
     if best is not None:
         cell, k = np.nonzero(best >= 0)
         yield pd.DataFrame({"cell": cell, "k": k, "p": best[cell, k]})
 
 
+def best_precisions(rows: DataFrame, score: str, tie: list[str], truths: DataFrame, spread: str | None = None, eps: float = _EPS) -> tuple[DataFrame, DataFrame]:
+    """(cell, k, p), the best precision of each cell at recalls of k hundredths or more, and (cell, tp, fp), its counts.
+
+    rows: score, the columns of ``tie``, marks (array<tinyint>: for each cell 1 for a hit, 2 for a false one, 0 for neither);
+    truths: cell, n_truth. All cells are counted along one order, by falling score, then ``tie``; it is cut into ranges of the
+    score, of one score by ``spread``, and what is counted before a range comes as its first row. rows are read three times.
+    """
+    placed = ordered.ranged(rows, score, "__k", falling=True, spread=spread)
+    cells = placed.select("__k", F.posexplode("marks").alias("cell", "mark")).groupBy("__k", "cell").agg(F.count_if(F.col("mark") == 1).alias("tp"), F.count_if(F.col("mark") == 2).alias("fp"))
+    before = Window.partitionBy("cell").orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    sums = (F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("tp", "fp"))
+    bases = cells.select("__k", "cell", *sums).join(F.broadcast(truths), "cell")
+    one = F.sort_array(F.collect_list(F.struct("cell", "tp", "fp", "n_truth")))
+    bases = bases.groupBy("__k").agg(F.flatten(F.transform(one, lambda s: F.array(s["tp"], s["fp"], s["n_truth"]))).alias("base"))
+    kinds = dict(rows.dtypes)
+    null = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+    columns = list(dict.fromkeys([score, *tie, "marks"]))
+    led = placed.select("__k", *columns, F.lit(None).cast("array<bigint>").alias("base")).unionByName(bases.select("__k", "base", *map(null, columns)))
+    led = led.repartition("__k").sortWithinPartitions("__k", F.asc_nulls_last("base"), F.desc_nulls_last(score), *tie).select("base", "marks")
+    best = led.mapInPandas(lambda batches: _best_precisions(batches, eps), "cell int, k int, p double").groupBy("cell", "k").agg(F.max("p").alias("p"))
+    upto = best.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("k")))).groupBy("cell", "k").agg(F.max("p").alias("p"))
+    return upto, cells.groupBy("cell").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
+
+
 def track_precision(overlaps: DataFrame, truth: DataFrame, predicted: DataFrame, ranges: list | None = None, thresholds: list[float] | None = None) -> DataFrame:
     """range, threshold, ap, ar, n_truth, n_predicted; predictions may have ``open``, true where a sequence is not labelled exhaustively."""
     ranges, thresholds = ranges or RANGES, thresholds or THRESHOLDS
@@ -162,22 +186,11 @@ def track_precision(overlaps: DataFrame, truth: DataFrame, predicted: DataFrame,
     mark = lambda took, i: F.when(took == 1, 1).when((took == 0) & F.get("counts", (i / steps).cast("int")), 2).otherwise(0).cast("tinyint")
     full = predicted.select("seq", "tracker_id", "score", counts.alias("counts")).join(taken, ["seq", "tracker_id"], "left")
     rows = stored(full.select("seq", "tracker_id", "score", F.transform(F.coalesce("took", none), mark).alias("marks")))
-    # the order is cut into ranges of the score; what is counted before each comes as its first row
-    placed = ordered.ranged(rows, "score", "__k").withColumn("__k", -F.col("__k"))
-    cells = placed.select("__k", F.posexplode("marks").alias("cell", "mark")).groupBy("__k", "cell").agg(F.count_if(F.col("mark") == 1).alias("tp"), F.count_if(F.col("mark") == 2).alias("fp"))
-    range_ = (F.col("cell") / steps).cast("int")
-    before = Window.partitionBy("cell").orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
-    sums = (F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("tp", "fp"))
-    bases = cells.select("__k", "cell", *sums).join(F.broadcast(n_truth), F.col("range") == range_)
-    one = F.sort_array(F.collect_list(F.struct("cell", "tp", "fp", "n_truth")))
-    bases = bases.groupBy("__k").agg(F.flatten(F.transform(one, lambda s: F.array(s["tp"], s["fp"], s["n_truth"]))).alias("base"))
-    null = lambda c: F.lit(None).cast(dict(rows.dtypes)[c]).alias(c)
-    led = placed.withColumn("base", F.lit(None).cast("array<bigint>")).unionByName(bases.select("__k", "base", *(null(c) for c in rows.columns)))
-    led = led.repartition("__k").sortWithinPartitions("__k", F.asc_nulls_last("base"), F.desc_nulls_last("score"), "seq", "tracker_id").select("base", "marks")
-    best = led.mapInPandas(_best_precisions, "cell int, k int, p double").groupBy((F.col("cell") / steps).cast("int").alias("range"), (F.col("cell") % steps).alias("threshold"), "k").agg(F.max("p").alias("p"))
-    upto = best.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("k")))).groupBy("range", "threshold", "k").agg(F.max("p").alias("p"))
-    ap = upto.groupBy("range", "threshold").agg((F.sum("p") / (RECALLS + 1)).alias("ap"))
-    whole = cells.groupBy(range_.alias("range"), (F.col("cell") % steps).alias("threshold")).agg(F.sum("tp").alias("hits"), F.sum(F.col("tp") + F.col("fp")).alias("n_predicted"))
+    of_cell = [(F.col("cell") / steps).cast("int").alias("range"), (F.col("cell") % steps).alias("threshold")]
+    truths = n_truth.select(F.explode(F.sequence(F.col("range") * steps, F.col("range") * steps + steps - 1)).alias("cell"), "n_truth")
+    best, counted = best_precisions(rows, "score", ["seq", "tracker_id"], truths)
+    ap = best.groupBy(*of_cell).agg((F.sum("p") / (RECALLS + 1)).alias("ap"))
+    whole = counted.select(*of_cell, F.col("tp").alias("hits"), (F.col("tp") + F.col("fp")).alias("n_predicted"))
     grid = n_truth.withColumn("threshold", F.explode(F.sequence(F.lit(0), F.lit(len(thresholds) - 1))))
     full = grid.join(F.broadcast(ap), ["range", "threshold"], "left").join(F.broadcast(whole), ["range", "threshold"], "left")
     some = F.col("n_truth") > 0

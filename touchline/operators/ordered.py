@@ -53,10 +53,20 @@ def _bounds(rows: DataFrame, values: dict[str, Column], ranges: int) -> dict[str
     return {n: sorted(set(found[n] or [])) for n in values}
 
 
-def ranged(rows: DataFrame, lead: str, name: str, ranges: int = RANGES) -> DataFrame:
-    """rows with the number of the range that a column's value is in; larger values are never in a lower range."""
-    value, _ = _number(lead, dict(rows.dtypes)[lead])
-    return rows.withColumn(name, _cut(value, _bounds(rows, {"lead": value}, ranges)["lead"]))
+def ranged(rows: DataFrame, lead: str, name: str, ranges: int = RANGES, falling: bool = False, spread: str | None = None) -> DataFrame:
+    """rows with the number of the range that a column's value is in; larger values are never in a lower range, or with ``falling`` in a higher one.
+
+    Rows of a value that fills a range by itself are cut again by ``spread``, a number that never falls where the value is the same.
+    """
+    value, strict = _number(lead, dict(rows.dtypes)[lead])
+    asked = {"lead": value} | ({"spread": F.col(spread)} if spread and strict else {})
+    bounds = _bounds(rows, asked, ranges)
+    cell = _cut(value, bounds["lead"])
+    placed = rows.withColumn(name, -cell if falling else cell)
+    if "spread" not in asked:
+        return placed
+    part = F.when(F.col(name) % 2 != 0, _cut(F.col(spread), bounds["spread"])).otherwise(0)
+    return placed.withColumn(name, F.col(name).cast("long") * (2 * ranges + 2) + part)
 
 
 def running(
