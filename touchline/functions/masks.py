@@ -117,6 +117,34 @@ def _many_common(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarr
 WORK = 1 << 21
 
 
+def pair_overlaps(table: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Intersection over union of pairs of the n masks of a ``run_table``, given by their numbers: a mask is cut into runs once, however many pairs it is in.
+
+    Only pairs whose first and last pixels enclose a common one are compared; two empty masks give 0.
+    """
+    row, begins, ends = table
+    runs, sizes = np.bincount(row, minlength=n), np.bincount(row, weights=ends - begins, minlength=n)
+    last = np.cumsum(runs)
+    first = last - runs
+    out = np.zeros(len(a))
+    met = np.flatnonzero((runs[a] > 0) & (runs[b] > 0))
+    met = met[(begins[first[a[met]]] < ends[last[b[met]] - 1]) & (begins[first[b[met]]] < ends[last[a[met]] - 1])]
+    if not len(met):
+        return out
+    stride = int(ends.max()) + 1
+
+    def laid(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = np.repeat(np.arange(len(side)), runs[side])
+        at = first[side][k] + np.arange(len(k)) - (np.cumsum(runs[side]) - runs[side])[k]
+        return begins[at] + k * stride, ends[at] + k * stride
+
+    slices = np.cumsum(runs[a[met]] + runs[b[met]]) // WORK
+    for k in np.split(met, np.flatnonzero(np.diff(slices)) + 1):
+        common = _many_common(laid(a[k]), laid(b[k]), stride, len(k))
+        out[k] = common / (sizes[a[k]] + sizes[b[k]] - common)
+    return out
+
+
 def _in_slices(one: Callable[..., np.ndarray], a: pd.Series, b: pd.Series, h: pd.Series, w: pd.Series, copies: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
     """``one`` over slices of a batch that are about ``WORK`` large; a larger pair of masks makes a slice of its own."""
     x, y, h, w = list(a), list(b), h.to_numpy(np.int64), w.to_numpy(np.int64)

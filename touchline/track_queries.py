@@ -196,8 +196,9 @@ def region_scores(spark, sf_dir):
     from .session import stored
 
     rows = _segments(spark, sf_dir).select(F.expr("l_orderkey div 64").alias("seq"), (F.col("l_orderkey") % 16).alias("t"), F.col("place").alias("id"), "mask", "obj_id", "l_orderkey")
-    one = rows.groupBy("seq", "id", "t").agg(F.min_by("mask", F.struct("l_orderkey", "mask")).alias("mask"), F.max_by("mask", F.struct("l_orderkey", "mask")).alias("other"))
-    one = stored(one)
+    row = F.struct("l_orderkey", "mask")
+    one = rows.groupBy("seq", "id", "t").agg(F.min(row).alias("first"), F.max(row).alias("last"))
+    one = stored(one.select("seq", "id", "t", F.col("first.mask").alias("mask"), F.col("last.mask").alias("other")))
     truth, predicted = one.select("seq", "id", "t", "mask"), one.select("seq", ((F.col("id") + 2) % 7).alias("id"), "t", F.col("other").alias("mask"))
     images = one.select("seq").distinct().select("seq", F.lit(16).cast("long").alias("n_frames"), F.lit(12).alias("h"), F.lit(10).alias("w"))
     out = regions.region_scores(truth, predicted, images)
