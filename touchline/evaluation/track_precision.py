@@ -7,7 +7,9 @@ crowds always: such a truth may absorb a prediction only if no counted one can b
 absorbs counts for nothing. Predictions that took nothing and lie outside the range, or come from a
 sequence that is not labelled exhaustively, do not count either.
 
-Only pairs at or above the least threshold reach the grouped function, one row each; scores are
+``box_track_precision`` takes tables of boxes: a sequence's frames follow each other in one task, which
+adds up tracks and pairs of tracks that touch and matches them when the sequence ends, so boxes are
+shuffled once. From ready overlaps, only pairs at or above the least threshold are matched. Scores are
 ranked over all sequences by running sums in ranges of the score, without a task for a whole table.
 Equal scores are ordered by sequence and id; of equal overlaps the larger truth id is taken. Recall
 is compared as whole numbers. A range without counted truths has null results. Null scores come last.
@@ -39,6 +41,8 @@ RANGES = [
     ("time_l", "frames", 10.0, 1e5),
 ]
 THRESHOLDS = [round(0.5 + 0.05 * k, 2) for k in range(10)]
+#: Pairs of boxes that are compared at once.
+PAIRS = 1 << 20
 #: Recall is read at 0, 1/100, ..., 1.
 RECALLS = 100
 
@@ -65,6 +69,40 @@ def _slices(rows: np.ndarray, owner: np.ndarray, most: int = 20_000) -> list[np.
     return np.split(rows, starts[np.flatnonzero(np.diff(starts // most)) + 1])
 
 
+def _greedy(group: np.ndarray, gt_id: np.ndarray, tracker: np.ndarray, iou: np.ndarray, score: np.ndarray, counted: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(order, new, mine, got, range, level, ignored) of many sequences' pairs: their order, where a prediction begins in it, the number of each pair's prediction,
+    and the pairs, by their place in the order, that are taken. Null scores are last."""
+    order = np.lexsort([gt_id, iou, tracker, -score, group])
+    group, gt, who, iou, counted = group[order], gt_id[order], tracker[order], iou[order], counted[order]
+    new = np.ones(len(who), bool)
+    new[1:] = (np.diff(group) != 0) | (np.diff(who) != 0)
+    mine = np.cumsum(new) - 1
+    truth = pd.MultiIndex.from_arrays([group, gt]).factorize()[0]
+    # a prediction comes one level after the last one before it that overlaps a truth of its own; those of a level do not disturb each other
+    level, last, begins = np.zeros(mine[-1] + 1, np.int64), [0] * (int(truth.max()) + 1), [*np.flatnonzero(new).tolist(), len(who)]
+    named = truth.tolist()
+    for k in range(len(level)):
+        own = named[begins[k] : begins[k + 1]]
+        level[k] = at = max(last[g] for g in own) + 1
+        for g in own:
+            last[g] = at
+    free = np.ones((len(last), counted.shape[1], len(levels)), bool)
+    out = []
+    by_level = np.argsort(level[mine], kind="stable")
+    cuts = np.flatnonzero(np.diff(level[mine][by_level])) + 1
+    for rows in (part for same in np.split(by_level, cuts) for part in _slices(same, mine)):
+        # the last that fits is taken, a counted one before any ignored one
+        worth = np.arange(1, len(rows) + 1)[:, None, None] + len(rows) * counted[rows][:, :, None]
+        worth = np.where(free[truth[rows]] & (iou[rows][:, None] >= levels)[:, None, :], worth, 0)
+        starts = np.flatnonzero(np.diff(mine[rows], prepend=-1))
+        best = np.maximum.reduceat(worth, starts)
+        p, r, t = np.nonzero(best)
+        got = rows[(best[p, r, t] - 1) % len(rows)]
+        free[truth[got], r, t] = False
+        out.append((got, r, t, best[p, r, t] <= len(rows)))
+    return order, new, mine, *(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def track_matches(
     overlaps: DataFrame, truth: DataFrame, predicted: DataFrame, ranges: list | None = None, thresholds: list[float] | None = None, wide: bool = False
 ) -> DataFrame:
@@ -80,53 +118,120 @@ def track_matches(
     counted = F.transform(_inside(ranges), lambda x: x & ~crowd)
     pairs = overlaps.where(F.col("iou") >= min(thresholds) - _EPS).join(truth.select("seq", "gt_id", counted.alias("counted")), ["seq", "gt_id"])
     pairs = pairs.join(predicted.select("seq", "tracker_id", "score"), ["seq", "tracker_id"]).select("seq", "gt_id", "tracker_id", "iou", "score", "counted")
-    levels = np.minimum(np.array(thresholds), 1 - 1e-10) - _EPS
+    levels = _levels(thresholds)
 
     def take(pdf: pd.DataFrame, firsts: np.ndarray) -> pd.DataFrame:
         group = np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, len(pdf))))
-        iou, gt_id = pdf["iou"].to_numpy(float), pdf["gt_id"].to_numpy(np.int64)
-        tracker, score = pdf["tracker_id"].to_numpy(np.int64), -pdf["score"].to_numpy(float)  # null scores are last
-        order = np.lexsort([gt_id, iou, tracker, score, group])
-        group, gt, who, iou = group[order], gt_id[order], tracker[order], iou[order]
-        counted_ = np.array(pdf["counted"].tolist(), bool).reshape(len(pdf), len(ranges))[order]
-        new = np.ones(len(who), bool)
-        new[1:] = (np.diff(group) != 0) | (np.diff(who) != 0)
-        mine = np.cumsum(new) - 1
-        truth_ = pd.MultiIndex.from_arrays([group, gt]).factorize()[0]
-        # a prediction comes one level after the last one before it that overlaps a truth of its own; those of a level do not disturb each other
-        level, last, begins = np.zeros(mine[-1] + 1, np.int64), [0] * (int(truth_.max()) + 1), [*np.flatnonzero(new).tolist(), len(who)]
-        named = truth_.tolist()
-        for k in range(len(level)):
-            own = named[begins[k] : begins[k + 1]]
-            level[k] = at = max(last[g] for g in own) + 1
-            for g in own:
-                last[g] = at
-        free = np.ones((len(last), len(ranges), len(levels)), bool)
-        out = []
-        by_level = np.argsort(level[mine], kind="stable")
-        cuts = np.flatnonzero(np.diff(level[mine][by_level])) + 1
-        for rows in (part for same in np.split(by_level, cuts) for part in _slices(same, mine)):
-            # the last that fits is taken, a counted one before any ignored one
-            worth = np.arange(1, len(rows) + 1)[:, None, None] + len(rows) * counted_[rows][:, :, None]
-            worth = np.where(free[truth_[rows]] & (iou[rows][:, None] >= levels)[:, None, :], worth, 0)
-            starts = np.flatnonzero(np.diff(mine[rows], prepend=-1))
-            best = np.maximum.reduceat(worth, starts)
-            p, r, t = np.nonzero(best)
-            got = rows[(best[p, r, t] - 1) % len(rows)]
-            free[truth_[got], r, t] = False
-            out.append((got, r, t, best[p, r, t] <= len(rows)))
-        got, r, t, ignored = (np.concatenate(c) for c in zip(*out, strict=True))
+        gt_id, tracker = pdf["gt_id"].to_numpy(np.int64), pdf["tracker_id"].to_numpy(np.int64)
+        counted_ = np.array(pdf["counted"].tolist(), bool).reshape(len(pdf), len(ranges))
+        order, new, mine, got, r, t, ignored = _greedy(group, gt_id, tracker, pdf["iou"].to_numpy(float), pdf["score"].to_numpy(float), counted_, levels)
+        who, seq = tracker[order], pdf["seq"].to_numpy()[order]
         if wide:
-            took = np.zeros((len(level), len(ranges) * len(levels)), np.int8)
+            took = np.zeros((int(new.sum()), len(ranges) * len(levels)), np.int8)
             took[mine[got], r * len(levels) + t] = 1 + ignored
-            return pd.DataFrame({"seq": pdf["seq"].to_numpy()[order[new]], "tracker_id": who[new], "took": list(took)})
-        return pd.DataFrame({"seq": pdf["seq"].to_numpy()[order[got]], "tracker_id": who[got], "range": r, "threshold": t, "gt_id": gt[got], "ignored": ignored})
+            return pd.DataFrame({"seq": seq[new], "tracker_id": who[new], "took": list(took)})
+        return pd.DataFrame({"seq": seq[got], "tracker_id": who[got], "range": r, "threshold": t, "gt_id": gt_id[order][got], "ignored": ignored})
 
     if wide:
         return in_frames.by_group(pairs, ["seq"], take, f"seq {kind}, tracker_id long, took array<tinyint>")
     return in_frames.by_group(pairs, ["seq"], take, f"seq {kind}, tracker_id long, range int, threshold int, gt_id long, ignored boolean")
 
 
+def _levels(thresholds: list[float]) -> np.ndarray:
+    return np.minimum(np.array(thresholds), 1 - 1e-10) - _EPS
+
+
+def _touching(frame: np.ndarray, real: np.ndarray, box: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, pixels): truths and predictions of a frame that share a part, by a search among the left edges of the frame's predictions."""
+    sound = ~np.isnan(box).any(axis=1)
+    g, p = np.flatnonzero(real & sound), np.flatnonzero(~real & sound)
+    if not len(g) or not len(p):
+        return g[:0], p[:0], np.zeros(0)
+    edges, place = np.unique(box[p, 0], return_inverse=True)
+    key = frame[p] * (len(edges) + 1) + place
+    p, key = p[np.argsort(key)], np.sort(key)
+    widest = np.zeros(int(frame.max()) + 1)
+    np.maximum.at(widest, frame[p], box[p, 2] - box[p, 0])
+    low = box[g, 0] - widest[frame[g]]
+    low -= 1e-9 * (np.abs(low) + np.abs(box[g, 0]))  # a width is rounded
+    base = frame[g] * (len(edges) + 1)
+    begin, end = (np.searchsorted(key, base + np.searchsorted(edges, x)) for x in (low, box[g, 2]))
+    per, out = np.maximum(end - begin, 0), []
+    for k in np.split(np.arange(len(g)), np.flatnonzero(np.diff(np.cumsum(per) // PAIRS)) + 1):
+        a = np.repeat(g[k], per[k])
+        b = p[np.repeat(begin[k], per[k]) + np.arange(len(a)) - np.repeat(np.cumsum(per[k]) - per[k], per[k])]
+        wide, high = (np.minimum(box[a, c + 2], box[b, c + 2]) - np.maximum(box[a, c], box[b, c]) for c in (0, 1))
+        some = (wide > 0) & (high > 0)
+        out.append((a[some], b[some], (wide * high)[some]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def box_marks(truth: DataFrame, predicted: DataFrame, ranges: list, thresholds: list[float]) -> DataFrame:
+    """seq, tracker_id, score, marks of every predicted track, as ``best_precisions`` takes them, and rows without them that hold counted truths by range, to be added.
+
+    truth: seq, id, t, box and, where there are any, crowd; predicted: seq, id, t, box, score and perhaps open, the same in all rows of a track.
+    All frames of a sequence are in one task: sums for tracks and for pairs of tracks that touch are made there, and matched there when the sequence ends.
+    """
+    kind = dict(truth.dtypes)["seq"]
+    names = ["left", "top", "right", "bottom"]
+
+    def side(df: DataFrame, real: bool, score, flag: str) -> DataFrame:
+        flag = F.coalesce(F.col(flag), F.lit(False)) if flag in df.columns else F.lit(False)
+        edges = (F.col("box")[k].cast("double").alias(n) for k, n in enumerate(names))
+        return df.select("seq", "t", F.lit(real).alias("real"), F.col("id").cast("long").alias("id"), *edges, score.cast("double").alias("score"), flag.alias("flag"))
+
+    rows = side(truth, True, F.lit(None), "crowd").unionByName(side(predicted, False, F.col("score"), "open"))
+    levels, steps = _levels(thresholds), len(thresholds)
+
+    def meet(many: pd.DataFrame, firsts: np.ndarray) -> pd.DataFrame:
+        frame = np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, len(many))))
+        seq, ids, real = pd.factorize(many["seq"], use_na_sentinel=False)[0], many["id"].to_numpy(np.int64), many["real"].to_numpy(bool)
+        box = many[names].to_numpy(float)
+        area = np.maximum(box[:, 2] - box[:, 0], 0) * np.maximum(box[:, 3] - box[:, 1], 0)
+        each = {"at": np.arange(len(many)), "s": seq, "real": real, "id": ids, "sum": np.nan_to_num(area), "known": ~np.isnan(area), "frames": 1, "score": many["score"], "flag": many["flag"]}
+        own = pd.DataFrame(each).groupby(["s", "real", "id"], sort=False).agg({"at": "first", "sum": "sum", "known": "sum", "frames": "sum", "score": "first", "flag": "first"}).reset_index()
+        own["gt_id"], own["tracker_id"] = own["id"].astype("Int64").where(own["real"]), own["id"].astype("Int64").mask(own["real"])
+        a, b, part = _touching(frame, real, box)
+        both = pd.DataFrame({"at": a, "s": seq[a], "gt_id": ids[a], "tracker_id": ids[b], "sum": part}).groupby(["s", "gt_id", "tracker_id"], sort=False).agg({"at": "first", "sum": "sum"}).reset_index()
+        both = both.astype({"gt_id": "Int64", "tracker_id": "Int64"}).assign(known=0, frames=0, score=np.nan, flag=False)
+        found = pd.concat([own, both], ignore_index=True).sort_values("s", kind="stable")  # sequences as they came
+        found["seq"] = many["seq"].to_numpy()[found["at"]]
+        return found[["seq", "gt_id", "tracker_id", "sum", "known", "frames", "score", "flag"]]
+
+    def judge(many: pd.DataFrame, firsts: np.ndarray) -> pd.DataFrame:
+        many = many.assign(g=np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, len(many)))))
+        whole = {"sum": "sum", "known": "sum", "frames": "sum", "score": "first", "flag": "first"}
+        no_gt, no_tr = many["gt_id"].isna(), many["tracker_id"].isna()
+        t = many[no_tr].astype({"gt_id": np.int64}).groupby(["g", "gt_id"]).agg(whole)
+        p = many[no_gt].astype({"tracker_id": np.int64}).groupby(["g", "tracker_id"]).agg(whole)
+        inside = []
+        for x in (t, p):
+            mean = (x["sum"] / x["known"].where(x["known"] > 0)).to_numpy(float)
+            by = {None: np.zeros(len(x)), "area": mean, "frames": x["frames"].to_numpy(float)}
+            fits = [(by[c] >= (a - _EPS if c else 0)) & (by[c] <= (b + _EPS if c else 0)) for _, c, a, b in ranges]
+            inside.append(np.stack(fits, axis=1) & ~x["flag"].to_numpy(bool)[:, None])
+        counted, counts = inside
+        marks = np.where(np.repeat(counts, steps, axis=1), 2, 0).astype(np.int8)
+        pairs = many[~no_gt & ~no_tr].astype({"gt_id": np.int64, "tracker_id": np.int64}).groupby(["g", "gt_id", "tracker_id"])["sum"].sum().reset_index()
+        at_t, at_p = t.index.get_indexer(pd.MultiIndex.from_frame(pairs[["g", "gt_id"]])), p.index.get_indexer(pd.MultiIndex.from_frame(pairs[["g", "tracker_id"]]))
+        common = pairs["sum"].to_numpy(float)
+        union = t["sum"].to_numpy(float)[at_t] + p["sum"].to_numpy(float)[at_p] - common
+        iou = np.where(union > 0, common / np.where(union > 0, union, 1), 0.0)
+        near = iou >= min(thresholds) - _EPS
+        if near.any():
+            pairs, at_t, at_p = pairs[near], at_t[near], at_p[near]
+            score = p["score"].to_numpy(float)[at_p]
+            order, new, mine, got, r, level, ignored = _greedy(*(pairs[c].to_numpy(np.int64) for c in ("g", "gt_id", "tracker_id")), iou[near], score, counted[at_t], levels)
+            marks[at_p[order][got], r * steps + level] = np.where(ignored, 0, 1)
+        seq = many["seq"].to_numpy()[firsts]
+        out = pd.DataFrame({"seq": seq[p.index.get_level_values(0)], "tracker_id": p.index.get_level_values(1).astype("Int64"), "score": p["score"].to_numpy(float), "marks": list(marks), "n_truth": None})
+        if len(t):
+            out = pd.concat([out, pd.DataFrame({"seq": seq[:1], "tracker_id": pd.array([pd.NA], "Int64"), "score": [np.nan], "marks": [None], "n_truth": [counted.sum(axis=0).tolist()]})], ignore_index=True)
+        return out
+
+    return in_frames.by_group(rows, ["seq", "t"], meet, f"seq {kind}, tracker_id long, score double, marks array<tinyint>, n_truth array<bigint>", ["seq"], judge)
+
+
 def _best_precisions(batches: Iterator[pd.DataFrame], eps: float = _EPS) -> Iterator[pd.DataFrame]:
     """The best precision of each cell at each place of recall, over rows of marks in order of falling score; a row with ``base`` begins a range."""
     best, sums, n = None, None, None
@@ -186,6 +291,20 @@ def track_precision(overlaps: DataFrame, truth: DataFrame, predicted: DataFrame,
     mark = lambda took, i: F.when(took == 1, 1).when((took == 0) & F.get("counts", (i / steps).cast("int")), 2).otherwise(0).cast("tinyint")
     full = predicted.select("seq", "tracker_id", "score", counts.alias("counts")).join(taken, ["seq", "tracker_id"], "left")
     rows = stored(full.select("seq", "tracker_id", "score", F.transform(F.coalesce("took", none), mark).alias("marks")))
+    return _precisions(rows, n_truth, ranges, thresholds)
+
+
+def box_track_precision(truth: DataFrame, predicted: DataFrame, ranges: list | None = None, thresholds: list[float] | None = None) -> DataFrame:
+    """``track_precision`` of tracks of boxes, measured, overlapped and matched in one pass; see ``box_marks``."""
+    ranges, thresholds = ranges or RANGES, thresholds or THRESHOLDS
+    rows = stored(box_marks(truth, predicted, ranges, thresholds))
+    n_truth = rows.where("n_truth is not null").select(F.posexplode("n_truth").alias("range", "n")).groupBy("range").agg(F.sum("n").alias("n_truth"))
+    return _precisions(rows.where("marks is not null").drop("n_truth"), n_truth, ranges, thresholds)
+
+
+def _precisions(rows: DataFrame, n_truth: DataFrame, ranges: list, thresholds: list[float]) -> DataFrame:
+    """The results of ``track_precision`` from marks (range by range, its thresholds in order) and range, n_truth."""
+    steps = len(thresholds)
     of_cell = [(F.col("cell") / steps).cast("int").alias("range"), (F.col("cell") % steps).alias("threshold")]
     truths = n_truth.select(F.explode(F.sequence(F.col("range") * steps, F.col("range") * steps + steps - 1)).alias("cell"), "n_truth")
     best, counted = best_precisions(rows, "score", ["seq", "tracker_id"], truths)

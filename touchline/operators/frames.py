@@ -62,15 +62,21 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[t
         yield pd.concat(held, ignore_index=True), np.zeros(1, np.int64)
 
 
-def by_group(rows: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, together: list[str] | None = None) -> DataFrame:
+def by_group(
+    rows: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, together: list[str] | None = None,
+    then: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame] | None = None,
+) -> DataFrame:
     """``fn`` of the rows of many whole groups at once and of where each begins; for groups so small that a call for each costs more than its work.
 
-    Groups equal in ``together``, the first of the keys, follow each other in one task.
+    Groups equal in ``together``, the first of the keys, follow each other in one task; ``then`` takes, there and without a shuffle,
+    what ``fn`` gave for them, its rows in the order of their groups.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for some, firsts in whole_groups(batches, keys):
-            yield fn(some, firsts)
+        done = (fn(some, firsts) for some, firsts in whole_groups(batches, keys))
+        if then:
+            done = (then(some, firsts) for some, firsts in whole_groups(done, together))
+        yield from done
 
     return rows.repartition(*(together or keys)).sortWithinPartitions(*keys).mapInPandas(run, schema)
 

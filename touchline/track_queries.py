@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .evaluation import track_precision as precision
-from .evaluation import tracking
 from .operators import cleanup, segments
 from .queries import _r, _read, query
 
@@ -67,11 +66,8 @@ SELECT range, CAST(threshold AS DOUBLE) AS threshold, CASE WHEN n_truth > 0 THEN
 def track_average_precision(spark, sf_dir):
     """Orders as tracks, each predicted three times; some are crowds, some sequences are labelled in part."""
     truth, predicted = _tracks(spark, sf_dir)
-    overlaps = tracking.track_overlap(truth, predicted, touching=True).withColumnsRenamed({"a_id": "gt_id", "b_id": "tracker_id"})
-    t = precision.measured(truth, ["seq", "id"]).withColumnRenamed("id", "gt_id").withColumn("crowd", F.col("gt_id") % 11 == 0)
-    p = precision.measured(predicted, ["seq", "id"]).withColumnRenamed("id", "tracker_id")
-    p = p.withColumn("score", F.col("tracker_id") * 37 % 101 / 100.0).withColumn("open", F.col("seq") % 13 == 0)
-    out = precision.track_precision(overlaps, t, p, _RANGES, _LEVELS)
+    score = F.col("id") * 37 % 101 / 100.0
+    out = precision.box_track_precision(truth.withColumn("crowd", F.col("id") % 11 == 0), predicted.withColumn("score", score).withColumn("open", F.col("seq") % 13 == 0), _RANGES, _LEVELS)
     return out.select("range", "threshold", _r("ap").alias("ap"), _r("ar").alias("ar"), "n_truth", "n_predicted")
 
 
