@@ -273,7 +273,7 @@ def best_precisions(rows: DataFrame, score: str, tie: list[str], truths: DataFra
     null = lambda c: F.lit(None).cast(kinds[c]).alias(c)
     columns = list(dict.fromkeys([score, *tie, "marks"]))
     led = placed.select("__k", *columns, F.lit(None).cast("array<bigint>").alias("base")).unionByName(bases.select("__k", "base", *map(null, columns)))
-    led = led.repartition("__k").sortWithinPartitions("__k", F.asc_nulls_last("base"), F.desc_nulls_last(score), *tie).select("base", "marks")
+    led = led.repartition("__k").sortWithinPartitions("__k", F.col("base").isNull(), F.desc_nulls_last(score), *tie).select("base", "marks")
     best = led.mapInPandas(lambda batches: _best_precisions(batches, eps), "cell int, k int, p double").groupBy("cell", "k").agg(F.max("p").alias("p"))
     upto = best.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("k")))).groupBy("cell", "k").agg(F.max("p").alias("p"))
     return upto, cells.groupBy("cell").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))

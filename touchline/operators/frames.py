@@ -62,6 +62,22 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[t
         yield pd.concat(held, ignore_index=True), np.zeros(1, np.int64)
 
 
+#: Rows that a call of numbers gets at least: below that its fixed costs count more than its rows.
+CALL = 100_000
+
+
+def _gathered(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
+    """The same rows in fewer batches."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= least:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def by_group(
     rows: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, together: list[str] | None = None,
     then: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame] | None = None,
@@ -69,11 +85,11 @@ def by_group(
     """``fn`` of the rows of many whole groups at once and of where each begins; for groups so small that a call for each costs more than its work.
 
     Groups equal in ``together``, the first of the keys, follow each other in one task; ``then`` takes, there and without a shuffle,
-    what ``fn`` gave for them, its rows in the order of their groups.
+    what ``fn`` gave for them, its rows in the order of their groups; rows are numbers then, and many batches make a call.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        done = (fn(some, firsts) for some, firsts in whole_groups(batches, keys))
+        done = (fn(some, firsts) for some, firsts in whole_groups(_gathered(batches, CALL) if then else batches, keys))
         if then:
             done = (then(some, firsts) for some, firsts in whole_groups(done, together))
         yield from done
